@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, quality_rules
+from gridloom.llm import exact_dedup, line_dedup, mixing, near_dedup, quality_rules
 from gridloom.llm.shared import documents
 
 
@@ -16,9 +16,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 SQL = {
