@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, line_dedup, mixing, near_dedup, quality_rules
+from gridloom.llm import (
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    token_shards,
+    toxicity,
+)
 from gridloom.llm.shared import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(documents(spark, sf_dir))
+
+
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.token_report(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -28,12 +56,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(documents(spark, sf_dir))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_token_shards": op2_token_shards,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pack_sequences": op6_pack_sequences,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL = {
