@@ -85,11 +85,15 @@ def _keys(fp: Column, max_diff: int, exact: int) -> Column:
 
 def pigeonring(differing: np.ndarray, max_diff: int, n_segments: int) -> np.ndarray:
     """Which of the XORed fingerprints have a chain, begun at some segment, within its budget at every length."""
-    parts = np.stack([np.bitwise_count((differing >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in _segments(n_segments)]).astype(np.int64)
+    parts = np.stack([np.bitwise_count((differing >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in _segments(n_segments)])
+    sums, open_chains, at = parts, parts <= max_diff // n_segments, np.arange(len(differing))
+    for length in range(2, n_segments + 1):
+        some = open_chains.any(axis=0)
+        parts, sums, open_chains, at = parts[:, some], sums[:, some], open_chains[:, some], at[some]
+        sums = sums + np.roll(parts, 1 - length, axis=0)
+        open_chains &= sums <= length * max_diff // n_segments
     passes = np.zeros(len(differing), bool)
-    for first in range(n_segments):
-        sums = np.cumsum(np.roll(parts, -first, axis=0), axis=0)
-        passes |= (sums * n_segments <= np.arange(1, n_segments + 1)[:, None] * max_diff).all(axis=0)
+    passes[at[open_chains.any(axis=0)]] = True
     return passes
 
 

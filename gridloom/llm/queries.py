@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as run_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import (
@@ -71,6 +73,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": run_pipeline,
 }
 
 SQL = {
@@ -80,3 +83,6 @@ SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)""",
 }
+
+if PIPELINE_SQL:
+    SQL["pipeline"] = PIPELINE_SQL
