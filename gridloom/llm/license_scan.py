@@ -29,10 +29,10 @@ CONFIDENCE = (1.0, 0.9, 0.7)
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every rule and phrase has one of these in it (any case).
 GATE = (
-    r"(?i)licen[cs]e|spdx|gpl|gfdl|gnu fdl|mpl|[ce]pl|ddl|cc0|\bcc[^0-9A-Za-z]|creative|public domain|hereby granted|redistribution and use|permission|"
-    r"rights reserved|warranty|free software|\.org/|unencumbered|commercial|unauthori|confidential|wtf|software foundation|terms of use|"
-    r"terms as perl|agreement|upl|sspl|busl|osl|afl|ofl|asl|odbl|open data commons|no attribution|clause|endorse or promote|advertising materials|"
-    r"you just do what|nationalarchives|substantial portions|notice and disclaimer|commons attribution"
+    r"(?i)licen[cs]e|spdx-|gpl|gfdl|gnu fdl|cddl|wtfpl|cc0|(?<![a-z])cc[^a-z]|creative commons|public domain|hereby granted|redistribution and use|"
+    r"rights reserved|express or implied warranty|free software|\.org/|unencumbered|commercial|unauthori[sz]ed|proprietary and|software foundation|"
+    r"terms of use|terms as perl|nasa open source agreement|(?<![a-z])(asl|osl|afl|ofl|mpl|epl|eupl|busl|upl|sspl|odbl)[-, v0-9]|endorse or promote|"
+    r"advertising materials|you just do what|substantial portions|notice and disclaimer|nationalarchives|permission is granted|mit no attribution|clause bsd|bsd (2|3|4|two|three|four|zero)"
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULE = "array<struct<label:string,tier:int,keyword:string,pattern:string,rank:int>>"
