@@ -71,7 +71,7 @@ def retain(log: DataFrame, now: Column, days: int = 90, at: str = "occurred_at")
 
 def retained_files(files: DataFrame, today: Column, days: int = 30) -> DataFrame:
     """files (name like activity-20260906.ndjson): those dated within the last days."""
-    day = F.to_date(F.regexp_extract("name", r"-(\d{8})\.ndjson$", 1), "yyyyMMdd")
+    day = F.try_to_timestamp(F.regexp_extract("name", r"-(\d{8})\.ndjson$", 1), F.lit("yyyyMMdd")).cast("date")
     return files.where(day >= F.date_sub(today, days))
 
 
