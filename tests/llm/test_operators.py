@@ -1,0 +1,376 @@
+"""Every corpus operator against a brute-force version, over awkward rows and the driver's smallest table."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import string
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from gridloom.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_shards, toxicity
+from gridloom.llm.components import connected_components
+from tests.llm import cases
+
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+WHITE = re.compile(r"[\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return cases.awkward_rows() + cases.driver_rows(spark)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, cases.SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], cases.SCHEMA)
+
+
+def bag(rows) -> Counter:
+    return Counter(map(tuple, rows))
+
+
+def crc(ids) -> int:
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def test_license_scan(rows, docs, empty):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    want = []
+    for doc_id, text, *_ in rows:
+        w, starts, labels = word.findall((text or "").translate(LOWER)), [], set()
+        for phrase, label in license_scan.PHRASES.items():
+            p = phrase.split()
+            found = [k for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
+            starts += found
+            labels |= {label} if found else set()
+        want.append((doc_id, len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))))
+    got = license_scan.license_report(docs).collect()
+    assert bag(r[:6] for r in got) == bag(want)
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[26].labels == "gpl-3" and by_id[26].score == 1.0  # "gpl" lies within the longer detections
+    assert by_id[7].labels == "apache-2" and "cc-by-nc-4" in by_id[20].labels and set(by_id[20].base_labels.split(",")) <= set(by_id[20].labels.split(","))
+    assert license_scan.license_report(empty).count() == 0
+
+
+def test_license_rules_pass_their_own_gates():
+    assert len(license_scan.RULES) > 300
+    for text in ("licensed under the gnu lesser general public license, version 2.1", "released under cc-by-sa 4.0", "wtfpl"):
+        hits = [r for r in license_scan.RULES if re.search(r["pattern"], text)]
+        assert hits and all(r["keyword"] in text for r in hits) and re.search(license_scan.GATE, text)
+
+
+def test_token_shards(spark, rows, docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, start, want = Tokenizer.from_file(path), 0, []
+    order = lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
+    for doc_id, text, *_ in sorted(rows, key=order):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, start, len(ids), crc(ids)))
+        start += len(ids)
+    got = token_shards.token_report(spark, docs, path).collect()
+    assert bag(got) == bag(want)
+    assert token_shards.token_report(spark, empty, path).count() == 0
+
+
+def test_token_shard_lookup(spark, rows, docs, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    manifest = token_shards.write_shards(docs, path, f"file://{tmp_path}/shards").collect()
+    readers = [token_shards.ShardReader(r.path) for r in manifest]
+    for wanted in (None, -5, 0, 10, 1003, 1199):
+        found = sorted(crc(ids) for r in readers for ids in r.get(wanted))
+        assert found == sorted(crc([*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t, *_ in rows if i == wanted)
+    assert not any(r.get(5_000_000) for r in readers)
+    damaged = bytearray(open(manifest[0].path.removeprefix("file://"), "rb").read())
+    damaged[3] ^= 1
+    (tmp_path / "damaged.sst").write_bytes(damaged)
+    with pytest.raises(ValueError, match="damaged"):
+        list(token_shards.ShardReader(f"file://{tmp_path}/damaged.sst"))
+
+
+def test_fast_tokens_equal_the_library():
+    from gridloom.llm import fast_tokens
+
+    rng = np.random.default_rng(3)
+    pool = [chr(c) for c in range(1, 0x250)] + list("  \n\n'sdt''llre<|>  ..") * 20
+    texts = ["".join(rng.choice(pool, rng.integers(1, 60))) for _ in range(2000)] + ["a<|endoftext|>b", "", "don't  we'll\n\n x  "]
+    plain = [c for c in pool if fast_tokens._PLAIN.fullmatch(c)]
+    texts += ["".join(rng.choice(plain, rng.integers(1, 60))) for _ in range(5000)]
+    for kind, name in (("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")):
+        fast = fast_tokens.load(kind, public_tokenizers.path(name))
+        assert [x.tolist() for x in fast.encode(texts)] == [e.ids for e in fast.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_quality_rules(rows, docs, empty):
+    want = []
+    for doc_id, text, *_ in rows:
+        text = text or ""
+        w = WORD.findall(text)
+        windows = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {p for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for p in (k, k + 1, k + 2)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        want.append((doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed))
+    got = quality_rules.quality_report(docs).collect()
+    assert bag(r[:7] for r in got) == bag(want)
+    assert not any(r.kept for r in got if r.base_failed)
+    assert quality_rules.quality_report(empty).count() == 0 and quality_rules.clean_documents(docs).columns == docs.columns
+
+
+def test_quality_rules_keep_clean_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    joined = quality_rules.quality_report(docs).join(labels, "doc_id").where("not base_failed")
+    assert joined.where("quality = 1 and not kept").count() == 0
+    assert joined.where("quality = 0 and kept").count() <= 0.1 * joined.where("quality = 0").count()
+
+
+def test_toxicity_learns_without_the_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in toxicity.toxicity_report(docs, labels).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    held = [(got[r.doc_id], r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
+    caught = [r.predicted for r, y in held if y]
+    assert np.mean(caught) > 0.9 and np.mean([r.predicted for r, y in held if not y]) < 0.01
+    assert all(0 <= r.score <= 1 for r in got.values())
+    flipped = toxicity.toxicity_report(docs, labels.selectExpr("doc_id", f"CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic"))
+    assert {r.doc_id: r.score for r in flipped.collect()} == {i: r.score for i, r in got.items()}
+
+
+def test_toxicity_search_is_exact():
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{k}" for k in range(40)]
+    examples = [(k, int(rng.random() < 0.3), {vocabulary[t]: int(rng.integers(1, 5)) for t in rng.choice(40, rng.integers(0, 8), replace=False)}) for k in range(700)]
+    index = toxicity.build_index(vocabulary, rng.integers(1, 500, 40).astype(float), 5000, examples, (2.0, 1.0), 0.2)
+    vectors = {}
+    for doc_id, _, counts in examples:
+        terms, weights = index.vector(" ".join(t for t, n in counts.items() for _ in range(n)))
+        vectors[doc_id] = dict(zip(terms.tolist(), weights, strict=True))
+    for _ in range(50):
+        terms, weights = index.vector(" ".join(rng.choice(vocabulary, 6)))
+        q = dict(zip(terms.tolist(), weights, strict=True))
+        want = sorted((round(sum(w * v.get(t, 0) for t, w in q.items()), 9) for v in vectors.values()), reverse=True)[: toxicity.K]
+        assert [round(s, 9) for s, _ in index.nearest(terms, weights)] == [s for s in want if s > 0]
+
+
+def test_toxicity_awkward(spark, docs, empty):
+    labels = spark.createDataFrame([(10, 1, 1), (10, 0, 0), (None, 1, 1), (77777, 1, 1), (4, 1, None)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.toxicity_report(docs, labels).count() == docs.count()
+    assert {r.score for r in toxicity.toxicity_report(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.toxicity_report(empty, labels).count() == 0
+
+
+@pytest.mark.parametrize("budget", [exact_dedup.MEMORY_BUDGET, 20_000])
+def test_exact_dedup(rows, docs, empty, budget):
+    groups = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        groups[WHITE.sub(" ", text or "")].append(doc_id)
+    want = []
+    for text, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+    assert bag(exact_dedup.exact_groups(docs, budget).collect()) == bag(want)
+    assert exact_dedup.exact_groups(empty).count() == 0
+    assert exact_dedup.drop_exact_copies(docs, budget).count() == len(groups)
+
+
+def test_packing(rows, docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = Counter()
+    for doc_id, text, *_ in rows:
+        want[doc_id, tuple([*library.encode(text or "", add_special_tokens=False).ids, 1])] += 1
+    pieces = packing.packed(docs, path).collect()
+    sequences = defaultdict(list)
+    for p in pieces:
+        sequences[p.sequence_id].append((p.offset, p.length))
+    padding = total = 0
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end and length > 0
+            end += length
+        assert end <= 2048
+        total += end
+        padding += 0 if end & (end - 1) == 0 else 2048 - end
+    assert padding <= 0.01 * total and total == sum(len(ids) * n for (_, ids), n in want.items())
+    by_doc = defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id, p.doc_tokens].append((p.start, np.frombuffer(p.ids, "<u4")))
+    for (doc_id, ids), n in want.items():
+        if n == 1 and sum(k[0] == doc_id and len(k[1]) == len(ids) for k in want) == 1:
+            assert np.concatenate([x for _, x in sorted(by_doc[doc_id, len(ids)], key=lambda s: s[0])]).tolist() == list(ids)
+    report = packing.packing_report(docs, path)
+    assert report.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert packing.packing_report(empty, path).count() == 0
+
+
+def test_best_fit_takes_the_tightest_window():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 101, 400).tolist()
+    windows = packing.best_fit_decreasing([(k, 0, s) for k, s in enumerate(sizes)], 100)
+    plain: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in plain if r >= s]
+        if fits:
+            plain.remove(min(fits))
+            plain.append(min(fits) - s)
+        else:
+            plain.append(100 - s)
+    assert sorted(w.room for w in windows) == sorted(plain)
+
+
+def _simhash(text: str | None, n: int) -> int:
+    w = WORD.findall((text or "").translate(LOWER))
+    shingles = [" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("max_diff", [4, 8])
+def test_near_dedup(rows, docs, empty, max_diff):
+    fps = [_simhash(r[1], 4) for r in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= max_diff:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[root(k)].append(rows[k][0])
+    want = [(rows[k][0], f"{fps[k]:016x}", min((i for i in groups[root(k)] if i is not None), default=None)) for k in range(len(rows))]
+    got = near_dedup.near_duplicates(docs, 4, max_diff).select("doc_id", "fingerprint", "component_id").collect()
+    assert bag(got) == bag(want)
+    assert near_dedup.near_duplicates(empty).count() == 0
+    assert near_dedup.drop_near_copies(docs, 4, max_diff).count() == len(groups)
+
+
+def test_pigeonring_loses_no_link():
+    rng = np.random.default_rng(4)
+    for max_diff, n in ((4, 6), (8, 10), (3, 5)):
+        bits = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, max_diff + 1), replace=False)) for _ in range(3000)]
+        assert near_dedup.pigeonring(np.array(bits, np.uint64), max_diff, n).all()
+        assert near_dedup.pigeonring(rng.integers(0, 2**63, 3000).astype(np.uint64), max_diff, n).mean() < 0.2
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(k, k + 1) for k in range(0, 60)] + [(1000, k) for k in range(500, 700)] + [(5000, 5000), (7, 7)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {k: 0 for k in range(61)} | {k: 500 for k in [1000, *range(500, 700)]}
+
+
+def test_mixing(rows, docs, empty):
+    sizes = [len(WORD.findall(r[1] or "")) for r in rows]
+    by_source = defaultdict(int)
+    for r, n in zip(rows, sizes, strict=True):
+        by_source[r[3]] += n
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, capped = sum(sizes), set()
+    while True:
+        left = total - sum(3 * by_source[s] for s in capped)
+        target = {s: 3 * by_source[s] if s in capped else left * weight[s] / sum(weight[x] for x in order if x not in capped) for s in order}
+        over = {s for s in order if s not in capped and target[s] > 3 * by_source[s]}
+        if not over:
+            break
+        capped |= over
+    got = mixing.mix_report(docs).collect()
+    assert bag((r.doc_id, r.size) for r in got) == bag((r[0], n) for r, n in zip(rows, sizes, strict=True))
+    assert sum(by_source.values()) == sum({r.target: 0 for r in got} and sizes)
+    source_of = defaultdict(set)
+    for r in rows:
+        source_of[r[0]].add(r[3])
+    taken = defaultdict(int)
+    for r in got:
+        (source,) = [s for s in source_of[r.doc_id] if by_source[s] == r.source_size][:1]
+        assert r.target == pytest.approx(target[source]) and r.taken <= 3 * r.size and r.taken == r.copies * r.size
+        taken[source] += r.taken
+    for s in order:
+        largest = max((n for r, n in zip(rows, sizes, strict=True) if r[3] == s), default=0)
+        assert abs(taken[s] - target[s]) <= max(largest / 2, 0.02 * target[s])
+    assert bag(mixing.mix_report(docs).collect()) == bag(got)
+    assert mixing.mix_report(empty).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+
+
+def test_splitting_tree():
+    quotas = np.array([700, 0, 13, 256, 1])
+    split = mixing.split_quotas(quotas, 16, 9)
+    assert (split.sum(1) == quotas).all() and split.min() >= 0 and np.ptp(split.sum(0)) <= 1
+    assert (split == mixing.split_quotas(quotas, 16, 9)).all()
+
+
+def _deleted_lines(rows, min_words):
+    """Line numbers deleted of each distinct document: every shortest run of min_words that occurs earlier."""
+    docs = sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)))))
+    seen, deleted = set(), {}
+    for doc_id, text in docs:
+        lines = [(k, x, len(WORD.findall(x))) for k, x in enumerate(text.split("\n")) if WORD.search(x)]
+        gone = set()
+        for a in range(len(lines)):
+            b, n = a, 0
+            while b < len(lines) and n < min_words:
+                n += lines[b][2]
+                b += 1
+            if n >= min_words:
+                run = tuple(x for _, x, _ in lines[a:b])
+                if run in seen:
+                    gone.update(range(lines[a][0], lines[b - 1][0] + 1))
+                seen.add(run)
+        deleted[doc_id, text] = gone
+    return deleted
+
+
+@pytest.mark.parametrize("min_words", [1, 12, 50])
+def test_line_dedup(rows, docs, empty, min_words):
+    deleted, want = _deleted_lines(rows, min_words), []
+    for doc_id, text, *_ in rows:
+        gone = deleted[doc_id, text or ""]
+        lines = (text or "").split("\n")
+        clean = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        runs = sum(k - 1 not in gone for k in gone)
+        want.append((doc_id, sum(bool(WORD.search(x)) for x in lines), sum(bool(WORD.search(lines[k])) for k in gone), runs, len(clean), hashlib.sha256(clean.encode()).hexdigest()))
+    assert bag(line_dedup.line_dedup_report(docs, min_words).collect()) == bag(want)
+    assert line_dedup.line_dedup_report(empty).count() == 0 and line_dedup.drop_repeated_lines(docs).columns == docs.columns
+
+
+def test_secret_scan(rows, docs, empty):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    want, spans = [], {}
+    for doc_id, text, *_ in rows:
+        text = text or ""
+        # ignoring case must not let letters beyond ASCII match
+        a = [m.span() for m in assign.finditer(text) if len(m[2]) >= 12 and re.fullmatch(r"[\x00-\x7f]*", m[0])]
+        b = [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        c = [m.span() for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+        base = sorted([(s, 0, e) for s, e in a] + [(s, 1, e) for s, e in b] + [(s, 2, e) for s, e in c])
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in base)
+        want.append((doc_id, len(a), len(b), len(c), hashlib.sha256(joined.encode()).hexdigest()))
+        spans[doc_id] = set(joined.split(",")) - {""}
+    got = secret_scan.secret_report(docs).collect()
+    assert bag(r[:5] for r in got) == bag(want)
+    by_id = {r.doc_id: r.spans for r in got if r.doc_id != 10}
+    assert all(spans[i] <= set(s.split(",")) for i, s in by_id.items())
+    text = cases.awkward_rows()[23][1]
+    first, second = text.index("key: a8"), text.index("key: b8")
+    assert f"secret:{first}:{first + 19}" in by_id[23] and f":{second}:" not in by_id[23]  # the second has no partner in its block
+    assert secret_scan.secret_report(empty).count() == 0
