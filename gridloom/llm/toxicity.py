@@ -1,8 +1,9 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Fit: at most MAX_EXAMPLES labelled rows of either class (the smallest by a seeded hash) are the examples; the
-class totals over all labels weigh their votes. Terms are lower-cased words and 4- and 5-letter word beginnings;
-the vocabulary is at most MAX_TERMS terms that occur in more toxic than clean examples by a clear ratio. Document
+Fit: at most MAX_EXAMPLES labelled rows of either class (the smallest by a hash) are the examples, near copies
+of an earlier one left out; the class totals over all labels weigh their votes. Terms are lower-cased words and
+4- and 5-letter word beginnings, each with its count's levels; the vocabulary is at most MAX_TERMS terms that
+occur in more toxic than clean examples by a clear ratio and with enough evidence. Document
 frequencies for the idf weights are counted over all documents. Examples and vocabulary are bounded by these
 parameters, so the index has a proven size and goes to every task.
 
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,10 @@ from gridloom.llm.shared import publish, text_of
 MAX_EXAMPLES = 4096
 MAX_TERMS = 1024
 MIN_EXAMPLES_OF_TERM = 3
+#: Log-likelihood ratio of a term's class counts, at least: about one in 10^5 by chance.
+MIN_EVIDENCE = 20.0
+#: Counts that a term has features for.
+LEVELS = 4
 #: Times that a term's share of toxic examples exceeds its share of clean ones, at least.
 MIN_RATIO = 6.0
 BLOCK, K = 64, 15
@@ -43,14 +49,32 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
 
-def term_counts(text: str, vocabulary: dict[str, int] | None = None) -> Counter:
-    """Terms of a text and how often each occurs; only those of the vocabulary, if one is given."""
+def term_counts(text: str, vocabulary: dict[str, int] | None = None, bases: frozenset[str] | None = None) -> Counter:
+    """Terms of a text and how often each occurs; only those of the vocabulary (built on bases), if one is given.
+
+    A term that occurs n times also counts as term+ (n - 1 times), term++ (n - 2) and so on, LEVELS in all, so
+    that a vector tells a single occurrence from many although its length is 1.
+    """
     out: Counter = Counter()
     for word, n in Counter(_WORD.findall(text.lower())).items():
         for term in (word, word[:4] + "*", word[:5] + "*") if len(word) > 5 else (word,):
-            if vocabulary is None or term in vocabulary:
+            if bases is None or term in bases:
                 out[term] += n
-    return out
+    for term, n in list(out.items()):
+        for k in range(1, min(n, LEVELS)):
+            out[term + "+" * k] = n - k
+    return out if vocabulary is None else Counter({t: n for t, n in out.items() if t in vocabulary})
+
+
+def base_terms(vocabulary: dict[str, int]) -> frozenset[str]:
+    return frozenset(t.rstrip("+") for t in vocabulary)
+
+
+def signatures(text: str) -> list[int]:
+    """Four min-hashes of a text's 3-word shingles; near copies share one almost always, other texts hardly ever."""
+    words = _WORD.findall(text.lower())
+    shingles = {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
+    return [min(xxhash.xxh32_intdigest(s, seed) for s in shingles) for seed in range(4)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,6 +86,7 @@ class Index:
     """Example vectors as blocks of postings, with each block's largest weight per term."""
 
     vocabulary: dict[str, int]
+    bases: frozenset[str]
     idf: np.ndarray
     bounds: np.ndarray  # terms x blocks
     blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]]  # term -> (places in the block, weights)
@@ -72,7 +97,7 @@ class Index:
     empty_score: float
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = term_counts(text, self.vocabulary)
+        counts = term_counts(text, self.vocabulary, self.bases)
         terms = np.array([self.vocabulary[t] for t in counts], np.int64)
         weights = np.array([1 + math.log(n) for n in counts.values()]) * self.idf[terms] if len(terms) else np.zeros(0)
         return terms, weights / (np.linalg.norm(weights) or 1.0)
@@ -109,7 +134,7 @@ def build_index(vocabulary: list[str], df: np.ndarray, n_docs: int, examples: li
     """examples: (doc_id, label, term counts within the vocabulary)."""
     number = {t: k for k, t in enumerate(vocabulary)}
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    index = Index(number, idf, np.zeros((len(vocabulary), 0)), [], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), prior, 0.0)
+    index = Index(number, base_terms(number), idf, np.zeros((len(vocabulary), 0)), [], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), prior, 0.0)
     vectors, empty = [], [0.0, 0.0]
     for doc_id, label, counts in examples:
         if not counts:
@@ -149,7 +174,23 @@ def _examples(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame
         chosen = some if chosen is None else chosen.unionByName(some)
     chosen = publish(chosen, "examples")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return publish(texts.join(F.broadcast(chosen), "doc_id"), "example-texts"), totals
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # 2 * limit rows at most
+    texts = publish(texts, "example-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signatures(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "signatures"])
+
+    seen: set[tuple[int, int]] = set()
+    fresh = []
+    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, signatures array<bigint>").collect()
+    for row in sorted(rows, key=lambda r: r["doc_id"]):
+        marks = set(enumerate(row["signatures"]))
+        if not marks & seen:
+            fresh.append((row["doc_id"],))
+        seen |= marks
+    kept = docs.sparkSession.createDataFrame(fresh, "doc_id bigint")
+    return publish(texts.join(F.broadcast(kept), "doc_id"), "fresh-examples"), totals
 
 
 def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
@@ -164,22 +205,27 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
     counts = examples.select("label", "text").mapInArrow(run, "term string, label int, n bigint")
     counts = counts.groupBy("term").agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}  # two rows at most
-    toxic, clean = (F.col("n1") + 0.5) / (sizes.get(1, 0) + 1), (F.col("n0") + 0.5) / (sizes.get(0, 0) + 1)
-    useful = counts.where((F.col("n1") >= MIN_EXAMPLES_OF_TERM) & (toxic >= MIN_RATIO * clean))
-    return [r["term"] for r in useful.orderBy((F.col("n1") * F.log(toxic / clean)).desc(), "term").limit(max_terms).select("term").collect()]
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    toxic, clean = (F.col("n1") + 0.5) / (n_toxic + 1), (F.col("n0") + 0.5) / (n_clean + 1)
+    expected = (F.col("n0") + F.col("n1")) / max(1, n_toxic + n_clean)
+    part = lambda n, size: F.when(n > 0, n * F.log(n / (expected * size))).otherwise(0.0)
+    evidence = F.round(2 * (part(F.col("n1"), n_toxic) + part(F.col("n0"), n_clean)), 6)
+    useful = counts.where((F.col("n1") >= MIN_EXAMPLES_OF_TERM) & (toxic >= MIN_RATIO * clean)).withColumn("evidence", evidence).where(F.col("evidence") >= MIN_EVIDENCE)
+    return [r["term"] for r in useful.orderBy(F.col("evidence").desc(), "term").limit(max_terms).select("term").collect()]
 
 
 def _frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
     """How many of all documents have each term, and how many documents there are."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(vocabulary)})
+    number = {t: k for k, t in enumerate(vocabulary)}
+    shared = docs.sparkSession.sparkContext.broadcast((number, base_terms(number)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n_docs = Counter(), 0
         for b in batches:
             n_docs += b.num_rows
             for text in b.column(0).to_pylist():
-                seen.update(term_counts(text, shared.value).keys())
-        terms = [shared.value[t] for t in seen]
+                seen.update(term_counts(text, *shared.value).keys())
+        terms = [shared.value[0][t] for t in seen]
         yield pa.RecordBatch.from_arrays([pa.array([*terms, -1], pa.int32()), pa.array([*seen.values(), n_docs], pa.int64())], names=["term", "n"])
 
     counted = docs.select(text_of().alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
@@ -197,12 +243,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     vocabulary = _vocabulary(examples, max_terms)
     df, n_docs = _frequencies(docs, vocabulary)
     number = {t: k for k, t in enumerate(vocabulary)}
-    shared = docs.sparkSession.sparkContext.broadcast(number)
+    shared = docs.sparkSession.sparkContext.broadcast((number, base_terms(number)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [term_counts(t, shared.value) for t in b.column(2).to_pylist()]
-            columns = [pa.array([[f(c, t) for t in c] for c in counts], kind) for f, kind in ((lambda c, t: shared.value[t], pa.list_(pa.int32())), (lambda c, t: c[t], pa.list_(pa.int64())))]
+            counts = [term_counts(t, *shared.value) for t in b.column(2).to_pylist()]
+            columns = [pa.array([[f(c, t) for t in c] for c in counts], kind) for f, kind in ((lambda c, t: shared.value[0][t], pa.list_(pa.int32())), (lambda c, t: c[t], pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "label", "terms", "counts"])
 
     rows = examples.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, terms array<int>, counts array<bigint>").collect()  # 2 * max_examples rows at most
