@@ -4,9 +4,11 @@ Sizes are words. Sources in code point order (null last) weigh 5, 2, 1, repeatin
 size by weight; a target stops at 3 times its source's size and the excess is shared by weight among the rest.
 
 How much of a source is taken: whole passes over it, and one part of a further pass. Documents stand in the
-order of a seeded hash; that order is cut where the part ends, found by descending a 256-ary tree of hash
+order of a seeded hash (those larger than the whole part are left aside); that order is cut where the part ends, found by descending a 256-ary tree of hash
 prefixes (at most 256 sums a source and level, never a source's documents in one task). What the cut leaves
-is filled, a document at a time, with the largest untaken document that still fits.
+is filled, a document at a time, with the largest untaken document that still fits. Only where more than
+TOLERANCE of a target then lacks (a source of a few documents, none of which fits) one more document is taken
+in part: its first words.
 
 Where it goes: the first 8 bits of the hash name a source's blocks, so they are a random permutation of its
 documents. The tree splits the sources' exact block quotas in two, again and again, drawing each half's
@@ -36,6 +38,8 @@ SHARDS = 256
 SEED = 20_260_101
 #: Documents that may be added one by one where a source's part ends.
 FILLERS = 6
+#: Share of a target that may lack before a document is taken in part.
+TOLERANCE = 0.001
 _LEVELS, _BITS = 4, 8
 _BLOCKS = 1 << _BITS
 
@@ -74,32 +78,41 @@ def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: passes, cut (of the first 32 bits of the hash), fillers (hashes taken beyond the cut)."""
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(0)
     plan = targets.withColumn("passes", whole.cast("bigint")).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
-    plan = publish(plan.withColumn("cut", F.lit(0).cast("bigint")), "cuts")
+    plan = publish(plan.withColumns({"cut": F.lit(0).cast("bigint"), "fit": F.col("need")}), "cuts")
     for level in range(_LEVELS):
         prefix = F.lit(0).cast("bigint") if level == 0 else F.shiftrightunsigned("h", 64 - _BITS * level)
         digit = F.shiftrightunsigned("h", 64 - _BITS * (level + 1)).bitwiseAND(F.lit(_BLOCKS - 1))
-        open_rows = _on_source(rows, plan.select("source", "cut")).where(prefix == F.col("cut"))
+        open_rows = _on_source(rows, plan.select("source", "cut", "fit")).where((prefix == F.col("cut")) & (F.col("size") <= F.col("fit")))
         sums = open_rows.groupBy("source", digit.alias("digit")).agg(F.sum("size").alias("mass"))
         upto = F.sum("mass").over(Window.partitionBy("source").orderBy("digit"))
         sums = _on_source(sums.withColumn("upto", upto), plan.select("source", "need"))
-        first = sums.where(F.col("upto") > F.col("need")).groupBy("source").agg(F.min(F.struct("upto", "digit", "mass")).alias("edge"))
-        plan = _on_source(plan, first, "left").select(
-            "source", "source_size", "target", "passes", (F.col("need") - F.coalesce(F.col("edge.upto") - F.col("edge.mass"), F.lit(0))).alias("need"),
-            (F.col("cut") * _BLOCKS + F.coalesce("edge.digit", F.lit(0))).alias("cut"),
+        first = F.min(F.when(F.col("upto") > F.col("need"), F.struct("upto", "digit", "mass")))
+        edges = sums.groupBy("source").agg(first.alias("edge"), F.max("upto").alias("all"))
+        below = F.col("edge.upto") - F.col("edge.mass")
+        everything = F.lit(_BLOCKS if level == 0 else 0)  # all that may be taken is less than what is needed
+        plan = _on_source(plan, edges, "left").select(
+            "source", "source_size", "target", "passes", "fit", (F.col("need") - F.coalesce(below, "all", F.lit(0))).alias("need"),
+            (F.col("cut") * _BLOCKS + F.when(F.col("all").isNull(), F.lit(0)).otherwise(F.coalesce("edge.digit", everything))).alias("cut"),
         )
         plan = publish(plan, "cuts")
     plan = plan.withColumn("fillers", F.array().cast("array<bigint>"))
-    for _ in range(FILLERS):
-        fits = _on_source(rows, plan.select("source", "cut", "fillers", "need")).where(
-            (F.shiftrightunsigned("h", 32) >= F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("need")) & ~F.array_contains("fillers", F.col("h"))
+    for turn in range(FILLERS + 1):
+        last = turn == FILLERS
+        untaken = _on_source(rows, plan.select("source", "cut", "fit", "fillers", "need", "target")).where(
+            ~((F.shiftrightunsigned("h", 32) < F.col("cut")) & (F.col("size") <= F.col("fit"))) & (F.col("size") > 0) & ~F.array_contains("fillers", F.col("h"))
         )
-        best = fits.groupBy("source").agg(F.max(F.struct("size", "h")).alias("best"))
-        plan = _on_source(plan, best, "left").select(
-            "source", "source_size", "target", "passes", "cut", (F.col("need") - F.coalesce("best.size", F.lit(0))).alias("need"),
+        wanted = F.col("need") > F.greatest(F.lit(0.5), TOLERANCE * F.col("target"))
+        best = untaken.where(wanted & (F.col("size") > F.col("need")) if last else F.col("size") <= F.col("need"))
+        best = best.groupBy("source").agg((F.min if last else F.max)(F.struct("size", "h")).alias("best"))
+        plan = _on_source(plan, best, "left")
+        if last:
+            parted = plan.withColumns({"part_h": F.col("best.h"), "part_words": F.when(F.col("best").isNotNull(), F.round("need").cast("bigint"))})
+            return publish(parted.drop("best"), "cuts")
+        plan = plan.select(
+            "source", "source_size", "target", "passes", "fit", "cut", (F.col("need") - F.coalesce("best.size", F.lit(0))).alias("need"),
             F.when(F.col("best").isNull(), F.col("fillers")).otherwise(F.array_append("fillers", F.col("best.h"))).alias("fillers"),
         )
         plan = publish(plan, "cuts")
-    return plan
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -113,6 +126,10 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return np.concatenate([split_quotas(mine, left, 2 * seed), split_quotas(quotas - mine, shards - left, 2 * seed + 1)], axis=1)
 
 
+def _cut_block() -> Column:
+    return F.least(F.shiftrightunsigned("cut", _BITS * (_LEVELS - 1)), F.lit(_BLOCKS - 1))
+
+
 def _with_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     """plan with bounds: the running sum, over shards, of the source's block quotas."""
 
@@ -121,7 +138,7 @@ def _with_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
         quotas = split_quotas(pdf["blocks"].to_numpy(np.int64), shards, seed)
         return pd.DataFrame({"source": pdf["source"], "bounds": list(np.cumsum(quotas, axis=1))})
 
-    blocks = F.col("passes") * _BLOCKS + F.shiftrightunsigned("cut", _BITS * (_LEVELS - 1)) + 1
+    blocks = F.col("passes") * _BLOCKS + _cut_block() + 1
     counted = plan.select("source", blocks.alias("blocks"))  # one row per source
     bounds = counted.groupBy(F.lit(0).alias("tree")).applyInPandas(run, "source string, bounds array<bigint>")
     return publish(_on_source(plan, bounds), "mix-plan")
@@ -132,13 +149,19 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _copies() -> Column:
-    extra = (F.shiftrightunsigned("h", 32) < F.col("cut")) | F.array_contains("fillers", F.col("h"))
+    """Whole copies."""
+    extra = (F.shiftrightunsigned("h", 32) < F.col("cut")) & (F.col("size") <= F.col("fit")) | F.array_contains("fillers", F.col("h"))
     return F.col("passes") + extra.cast("bigint")
 
 
+def _part() -> Column:
+    """Words of one more copy that is taken in part."""
+    return F.when(F.col("h") == F.col("part_h"), F.col("part_words")).otherwise(F.lit(0))
+
+
 def _shard(turn: Column) -> Column:
     """The shard of a document's copy in pass `turn`."""
-    block = F.least(F.shiftrightunsigned("h", 64 - _BITS), F.when(turn == F.col("passes"), F.shiftrightunsigned("cut", _BITS * (_LEVELS - 1))).otherwise(_BLOCKS))
+    block = F.least(F.shiftrightunsigned("h", 64 - _BITS), F.when(turn == F.col("passes"), _cut_block()).otherwise(_BLOCKS))
     unit = turn * _BLOCKS + block
     return F.size(F.filter("bounds", lambda b: b <= unit))
 
@@ -153,16 +176,20 @@ def mix_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     """A row per document: doc_id, size, source_size, target, taken, copies, shard (of its first copy)."""
     rows, plan = mix_plan(docs, shards, seed)
     joined = _on_source(rows, plan).withColumn("copies", _copies())
-    first = F.when(F.col("copies") > 0, F.when(F.col("passes") > 0, _shard(F.lit(0).cast("bigint"))).otherwise(_shard(F.col("passes"))))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", first.alias("shard"))
+    first = F.when((F.col("copies") > 0) | (F.coalesce(_part(), F.lit(0)) > 0), F.when(F.col("passes") > 0, _shard(F.lit(0).cast("bigint"))).otherwise(_shard(F.col("passes"))))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.coalesce(_part(), F.lit(0))).alias("taken"), "copies", first.alias("shard"))
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: a row per copy, shard by shard, each shard shuffled; the columns of docs."""
     _, plan = mix_plan(docs, shards, seed)
-    keyed = docs.withColumns({"source_": F.col("source").cast("string"), "h": _hash(seed)}).select(F.struct(*docs.columns).alias("doc"), F.col("source_").alias("source"), "h")
-    copies = _on_source(keyed, plan).withColumn("copies", _copies()).where("copies > 0")
-    copies = copies.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-    # a document beyond the cut of the last pass has fewer copies, so its last copy belongs to a whole pass
-    copies = copies.select("doc", _shard(F.col("turn")).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "turn").alias("order"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").cast("string").alias("source"), _hash(seed).alias("h"), _size().alias("size"))
+    copies = _on_source(keyed, plan).withColumn("part", F.coalesce(_part(), F.lit(0)))
+    copies = copies.withColumn("last", _copies() - F.when(F.col("part") > 0, 0).otherwise(1)).where("last >= 0")
+    copies = copies.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
+    parted = (F.col("part") > 0) & (F.col("turn") == F.col("last"))
+    text = F.when(parted, F.array_join(F.slice(words_of(text_of(F.col("doc.text"))), F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("doc.text"))
+    values = {"text": text, "n_chars": F.when(parted, F.length(text)).otherwise(F.col("doc")["n_chars"])} if "n_chars" in docs.columns else {"text": text}
+    doc = F.struct(*(values.get(c, F.col("doc")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    copies = copies.select(doc.alias("doc"), _shard(F.col("turn")).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "turn").alias("order"))
     return copies.repartition("shard").sortWithinPartitions("shard", "order").select("doc.*")

@@ -143,7 +143,7 @@ def test_toxicity_learns_without_the_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
     held = [(got[r.doc_id], r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
     caught = [r.predicted for r, y in held if y]
-    assert np.mean(caught) > 0.9 and np.mean([r.predicted for r, y in held if not y]) < 0.01
+    assert np.mean(caught) > 0.85 and np.mean([r.predicted for r, y in held if not y]) < 0.005
     assert all(0 <= r.score <= 1 for r in got.values())
     flipped = toxicity.toxicity_report(docs, labels.selectExpr("doc_id", f"CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic"))
     assert {r.doc_id: r.score for r in flipped.collect()} == {i: r.score for i, r in got.items()}
@@ -161,8 +161,8 @@ def test_toxicity_search_is_exact():
     for _ in range(50):
         terms, weights = index.vector(" ".join(rng.choice(vocabulary, 6)))
         q = dict(zip(terms.tolist(), weights, strict=True))
-        want = sorted((round(sum(w * v.get(t, 0) for t, w in q.items()), 9) for v in vectors.values()), reverse=True)[: toxicity.K]
-        assert [round(s, 9) for s, _ in index.nearest(terms, weights)] == [s for s in want if s > 0]
+        want = sorted((sum(w * v.get(t, 0) for t, w in q.items()) for v in vectors.values()), reverse=True)[: toxicity.K]
+        assert [s for s, _ in index.nearest(terms, weights)] == pytest.approx([s for s in want if s > 0], abs=1e-9)
 
 
 def test_toxicity_awkward(spark, docs, empty):
@@ -301,15 +301,15 @@ def test_mixing(rows, docs, empty):
     taken = defaultdict(int)
     for r in got:
         (source,) = [s for s in source_of[r.doc_id] if by_source[s] == r.source_size][:1]
-        assert r.target == pytest.approx(target[source]) and r.taken <= 3 * r.size and r.taken == r.copies * r.size
+        assert r.target == pytest.approx(target[source]) and r.copies * r.size <= r.taken <= 3 * r.size
         taken[source] += r.taken
     for s in order:
-        largest = max((n for r, n in zip(rows, sizes, strict=True) if r[3] == s), default=0)
-        assert abs(taken[s] - target[s]) <= max(largest / 2, 0.02 * target[s])
+        assert abs(taken[s] - target[s]) <= max(1, 0.002 * target[s])
     assert bag(mixing.mix_report(docs).collect()) == bag(got)
     assert mixing.mix_report(empty).count() == 0
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies + (r.taken > r.copies * r.size) for r in got)
+    assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == sum(r.taken for r in got)
 
 
 def test_splitting_tree():
