@@ -15,9 +15,20 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Distinct pre-tokens remembered by a worker; beyond it the memory is emptied and filled anew.
-MEMORY = 1 << 19
+MEMORY = 1 << 20
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ÿ]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a character as its UTF-8 bytes, a printable letter for each byte."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in printable)
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_BYTES = _byte_letters()
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
 
 
@@ -50,9 +61,8 @@ class FastTokenizer:
             if len(known) + len(new) > MEMORY:
                 known.clear()
                 new = list(dict.fromkeys(parts))
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                known.update((p, array("H", e.ids).tobytes()) for p, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True))
+            bpe = self.library.model.tokenize  # a pre-token needs no more of the library's steps than its byte pair encoding
+            known.update((p, array("H", [t.id for t in bpe(p.translate(_BYTES))]).tobytes()) for p in new)
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint16).astype(np.uint32)
 
 
