@@ -19,6 +19,7 @@ from gridloom.llm import (
     token_shards,
     toxicity,
 )
+from gridloom.llm.oracle import SQL
 from gridloom.llm.shared import documents
 
 
@@ -76,13 +77,5 @@ QUERIES = {
     "pipeline": run_pipeline,
 }
 
-SQL = {
-    "op5_exact_dedup": r"""
-        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
-             g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
-        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
-        FROM d JOIN g USING (t)""",
-}
-
 if PIPELINE_SQL:
     SQL["pipeline"] = PIPELINE_SQL
