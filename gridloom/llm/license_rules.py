@@ -218,7 +218,7 @@ def keyword(pattern: str) -> str:
             runs[-1] = runs[-1][:-1]
             runs.append("")
             at = pattern.index("}", at) if c == "{" else at
-        elif c == ".":
+        elif c in ".+":
             runs.append("")
         else:
             if c == "\\":
