@@ -199,10 +199,16 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen[label].update(term_counts(text).keys())
+                if len(seen[label]) > 1 << 16:
+                    yield counted(label, seen[label])
+                    seen[label].clear()
         for label in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen[label]), pa.string()), pa.array([label] * len(seen[label]), pa.int32()), pa.array(list(seen[label].values()), pa.int64())], names=["term", "label", "n"])
+            yield counted(label, seen[label])
 
-    counts = examples.select("label", "text").mapInArrow(run, "term string, label int, n bigint")
+    def counted(label: int, seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([label] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "label", "n"])
+
+    counts = examples.repartition(64, "doc_id").select("label", "text").mapInArrow(run, "term string, label int, n bigint")
     counts = counts.groupBy("term").agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
     sizes = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}  # two rows at most
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)

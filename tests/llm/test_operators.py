@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_shards, toxicity
@@ -65,11 +66,59 @@ def test_license_scan(rows, docs, empty):
     assert license_scan.license_report(empty).count() == 0
 
 
-def test_license_rules_pass_their_own_gates():
+def _sample(pattern: str) -> str:
+    """The shortest text that a rule's pattern matches, first alternatives taken."""
+
+    def build(parsed) -> str:
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            elif name == "MAX_REPEAT":
+                out += build(arg[2]) * arg[0]
+            elif name == "SUBPATTERN":
+                out += build(arg[3])
+            elif name == "BRANCH":
+                out += build(arg[1][0])
+            elif name == "ANY":
+                out += "x"
+        return out
+
+    return build(re._parser.parse(pattern))
+
+
+def test_license_rules_pass_their_own_gates(spark):
     assert len(license_scan.RULES) > 300
-    for text in ("licensed under the gnu lesser general public license, version 2.1", "released under cc-by-sa 4.0", "wtfpl"):
-        hits = [r for r in license_scan.RULES if re.search(r["pattern"], text)]
-        assert hits and all(r["keyword"] in text for r in hits) and re.search(license_scan.GATE, text)
+    samples = [(r["rank"], r["pattern"], r["keyword"], _sample(r["pattern"])) for r in license_scan.RULES]
+    assert all(re.search(p, t) and k in t for _, p, k, t in samples)
+    frame = spark.createDataFrame(samples, "rank int, pattern string, keyword string, text string")
+    assert frame.where(~license_scan.can_hold(F.col("text"))).count() == 0
+
+
+def _license_labels(text: str) -> set[str]:
+    low, hits = text.translate(LOWER), []
+    for r in license_scan.RULES:
+        for m in re.finditer(r["pattern"], low):
+            a, b = m.span()
+            word = lambda k: 0 <= k < len(low) and (low[k].isascii() and low[k].isalnum() or low[k] > "\x7f")
+            plain = lambda k: low[k].isascii() and low[k].isalnum()
+            if not (word(a - 1) and plain(a)) and not (word(b) and plain(b - 1)):
+                hits.append((a, -b, r["tier"], r["rank"], r["label"]))
+    hits.sort()
+    return {h[4] for k, h in enumerate(hits) if not any(g[0] <= h[0] and g[1] <= h[1] and g[2] <= h[2] for g in hits[:k])}
+
+
+def test_license_labels(spark):
+    rules = [_sample(r["pattern"]) for r in license_scan.RULES[::5]]
+    texts = [(k, f"Some text. {a.upper() if k % 2 else a}, and {b}! é{a} {b}é") for k, (a, b) in enumerate(zip(rules, rules[3:], strict=False))]
+    texts += [(1000 + k, r[1]) for k, r in enumerate(cases.awkward_rows())]
+    report = license_scan.license_report(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    for r in report.collect():
+        want = _license_labels(dict(texts)[r.doc_id] or "") | set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == want, dict(texts)[r.doc_id]
 
 
 def test_token_shards(spark, rows, docs, empty):
