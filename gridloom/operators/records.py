@@ -86,6 +86,16 @@ def recent_files(files: DataFrame, path: str, at: str, limit: int = RECENT_FILES
     return rows.drop("path_").orderBy(F.col(at).desc(), path).limit(limit)
 
 
+def autosaves(saves: DataFrame, now: Column, days: int = 7, at: str = "saved_at") -> DataFrame:
+    """Autosaves not older than some days, newest first."""
+    return saves.where(F.col(at) >= now - F.expr(f"INTERVAL {days} DAYS")).orderBy(F.col(at).desc())
+
+
+def by_category(items: DataFrame, category: str, name: str) -> DataFrame:
+    """Each category's names in order, such as a catalogue of functions or templates shows them."""
+    return items.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))
+
+
 def age_label(then: Column, now: Column) -> Column:
     minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 60e6)
     return (

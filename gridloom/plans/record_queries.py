@@ -57,6 +57,17 @@ def record_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.recent_files(opened, "path", "opened")
 
 
+def record_autosaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saves = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("saved_at"))
+    now = saves.agg(F.max("saved_at").alias("now_"))  # one row
+    return R.autosaves(saves.join(F.broadcast(now)), F.col("now_"), 2).select("event_id", "saved_at")
+
+
+def record_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return R.by_category(nations, "r_name", "n_name")
+
+
 def record_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(R.age_label(F.col("ts"), F.to_timestamp_ntz(F.lit("2024-01-05 00:00:00"))).alias("age")).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
 
@@ -82,7 +93,7 @@ def record_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    record_upsert, record_remove, record_history, record_retry, record_recover, record_queue, record_valid, record_recent, record_ages, record_unique_names,
+    record_upsert, record_remove, record_history, record_retry, record_recover, record_queue, record_valid, record_recent, record_autosaves, record_categories, record_ages, record_unique_names,
     record_safe_names, record_bounds, record_reachable,
 )}
 
@@ -108,6 +119,8 @@ SQL = {
         SELECT user_id, state, retries FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY no DESC) = 1""",
     "record_valid": "SELECT c_custkey, c_custkey % 5 <> 0 AND c_acctbal >= 0 AS valid FROM customer",
     "record_recent": "SELECT '/f/' || user_id AS path, max(event_id) AS opened FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    "record_autosaves": "SELECT event_id, ts AS saved_at FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAYS",
+    "record_categories": "SELECT r_name, count(*) AS n, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "record_ages": """
         WITH m AS (SELECT ts, floor((epoch_us(TIMESTAMP '2024-01-05') - epoch_us(ts)) / 60e6) AS m FROM events)
         SELECT CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CAST(m AS BIGINT) || ' min' WHEN m < 1440 THEN CAST(m AS BIGINT) // 60 || ' h'

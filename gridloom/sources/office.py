@@ -183,3 +183,58 @@ def workbook_files(cells: DataFrame) -> DataFrame:
         return pd.DataFrame({"workbook": [key[0]], "content": [workbook_bytes(sheets)]})
 
     return cells.groupBy("workbook").applyInPandas(build, "workbook string, content binary")
+
+
+def document_bytes(blocks: list[tuple[str, str, list[list[str]] | None]]) -> bytes:
+    """A text document of (kind, text, cells): paragraphs, heading1 to heading3 and tables."""
+    from xml.sax.saxutils import escape
+
+    def paragraph(text: str, style: str = "") -> str:
+        named = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
+        return f'<w:p>{named}<w:r><w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
+
+    body = ""
+    for kind, text, cells in blocks:
+        if kind == "table":
+            rows = "".join("<w:tr>" + "".join(f"<w:tc>{paragraph(c)}</w:tc>" for c in row) + "</w:tr>" for row in cells or [])
+            body += f"<w:tbl>{rows}</w:tbl>"
+        else:
+            body += paragraph(text, kind.capitalize() if kind.startswith("heading") else "")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as doc:
+        doc.writestr("word/document.xml", f'<w:document xmlns:w="{_WORD[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def rtf_bytes(paragraphs: list[str]) -> bytes:
+    """Paragraphs of text; characters beyond ASCII are escaped as UTF-16 units."""
+
+    def escaped(text: str) -> str:
+        out = ""
+        for c in text:
+            if c in "\\{}":
+                out += "\\" + c
+            elif ord(c) < 128:
+                out += c
+            else:
+                units = c.encode("utf-16-le")
+                out += "".join(f"\\u{int.from_bytes(units[k : k + 2], 'little', signed=True)}?" for k in range(0, len(units), 2))
+        return out
+
+    return ("{\\rtf1\\ansi " + "\\par ".join(map(escaped, paragraphs)) + "}").encode("ascii")
+
+
+def document_files(blocks: DataFrame, kind: str = "docx") -> DataFrame:
+    """A file per path: blocks (path, block, kind, text, cells) to bytes (path, content); kind is docx, rtf or txt."""
+
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block")
+        texts = [t or "" for t in frame["text"]]
+        if kind == "docx":
+            tables = [None if c is None else [list(row) for row in c] for c in frame["cells"]]
+            content = document_bytes(list(zip(frame["kind"], texts, tables, strict=True)))
+        else:
+            content = rtf_bytes(texts) if kind == "rtf" else "\n".join(texts).encode()
+        return pd.DataFrame({"path": [key[0]], "content": [content]})
+
+    return blocks.groupBy("path").applyInPandas(build, "path string, content binary")

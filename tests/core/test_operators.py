@@ -103,6 +103,11 @@ def test_office_files(spark, tmp_path):
     blocks = office.read_documents(spark, str(tmp_path / "d.docx")).orderBy("block").collect()
     assert [(b.kind, b.text) for b in blocks] == [("heading1", "Title"), ("paragraph", "ab"), ("table", "")] and blocks[2].cells == [["1", ""]]
     assert office.rtf_text(rb"{\rtf1{\fonttbl{\f0 Arial;}}\b Bold\b0  text\par n\u226?t}").strip() == "Bold text\nnât"
+    blocks = spark.createDataFrame([("x", 0, "heading2", "Tiêu đề {a}", None), ("x", 1, "table", "", [["1", "<2>"]]), ("x", 2, "paragraph", "chữ & số", None)], "path string, block bigint, kind string, text string, cells array<array<string>>")
+    made = bytes(office.document_files(blocks).first().content)
+    assert [tuple(b)[1:] for b in office.document_blocks(made)] == [("heading2", "Tiêu đề {a}", None), ("table", "", [["1", "<2>"]]), ("paragraph", "chữ & số", None)]
+    rtf = bytes(office.document_files(blocks.where("kind = 'paragraph'"), "rtf").first().content)
+    assert rtf.startswith(b"{\\rtf1") and office.rtf_text(rtf).strip() == "chữ & số"
     bundle = io.BytesIO()
     with zipfile.ZipFile(bundle, "w") as z:
         z.writestr("manifest.json", "{}")
