@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.quality_rules import words_of
-from gridloom.llm.shared import publish, text_of
+from gridloom.llm.shared import publish, text_of, with_text
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -38,6 +38,8 @@ SHARDS = 256
 SEED = 20_260_101
 #: Documents that may be added one by one where a source's part ends.
 FILLERS = 6
+#: A shard of more words than this is laid out in several parts, each shuffled on its own.
+WORDS_PER_PART = 1 << 21
 #: Share of a target that may lack before a document is taken in part.
 TOLERANCE = 0.001
 _LEVELS, _BITS = 4, 8
@@ -141,7 +143,9 @@ def _with_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     blocks = F.col("passes") * _BLOCKS + _cut_block() + 1
     counted = plan.select("source", blocks.alias("blocks"))  # one row per source
     bounds = counted.groupBy(F.lit(0).alias("tree")).applyInPandas(run, "source string, bounds array<bigint>")
-    return publish(_on_source(plan, bounds), "mix-plan")
+    total = F.sum("source_size").over(Window.partitionBy())
+    parts = F.greatest(F.lit(1), F.ceil(total / (shards * WORDS_PER_PART)))
+    return publish(_on_source(plan, bounds).withColumn("parts", parts.cast("bigint")), "mix-plan")
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -189,7 +193,8 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     copies = copies.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
     parted = (F.col("part") > 0) & (F.col("turn") == F.col("last"))
     text = F.when(parted, F.array_join(F.slice(words_of(text_of(F.col("doc.text"))), F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("doc.text"))
-    values = {"text": text, "n_chars": F.when(parted, F.length(text)).otherwise(F.col("doc")["n_chars"])} if "n_chars" in docs.columns else {"text": text}
-    doc = F.struct(*(values.get(c, F.col("doc")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
-    copies = copies.select(doc.alias("doc"), _shard(F.col("turn")).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "turn").alias("order"))
-    return copies.repartition("shard").sortWithinPartitions("shard", "order").select("doc.*")
+    doc = F.struct(*with_text(docs, F.col("doc"), text))
+    doc = F.when(parted, doc).otherwise(F.col("doc"))
+    copies = copies.select(doc.alias("doc"), _shard(F.col("turn")).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "turn").alias("order"), "parts")
+    copies = copies.withColumn("part", F.pmod("order", "parts"))
+    return copies.repartition("shard", "part").sortWithinPartitions("shard", "part", "order").select("doc.*")

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import SPACES, let, text_of
+from gridloom.llm.shared import SPACES, let, text_of, with_text
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -142,7 +142,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, their failing lines removed, with the columns of docs."""
-    kept = quality_columns(docs).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    kept = quality_columns(docs.select(F.struct(*docs.columns).alias("doc_"), "text")).where("kept")
+    return kept.select(*with_text(docs, F.col("doc_"), F.col("clean_text")))

@@ -52,3 +52,9 @@ def text_of(column: str | Column = "text") -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body names it, lambdas included."""
     return F.transform(F.array(value), body)[0]
+
+
+def with_text(docs: DataFrame, doc: Column, text: Column) -> list[Column]:
+    """The columns of docs, taken from the struct doc, with another text (and its n_chars)."""
+    new = {"text": text, "n_chars": F.length(text)}
+    return [new.get(c, doc[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]

@@ -30,3 +30,14 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, cases.SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_leave_other_columns_alone(spark):
+    rows = [r[:5] + ("k", "n", "h", "l", "s", "d") for r in cases.awkward_rows() if r[0] != 10]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    before = {r.doc_id: tuple(r)[2:4] + tuple(r)[5:] for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.schema.names == docs.schema.names and out.count() > 0
+        assert all(tuple(r)[2:4] + tuple(r)[5:] == before[r.doc_id] for r in out.collect())
+        assert stage(spark, docs.limit(0), "").count() == 0
