@@ -145,3 +145,14 @@ def test_queries_and_sql_name_each_other():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 80
+
+
+def test_fragments_keep_the_first_height_of_a_line(spark):
+    from gridloom.operators import fragments as R
+
+    rows = [(1, 1, t, x, y, 20.0, 10.0) for t, x, y in (("b", 40.0, 96.0), ("a", 10.0, 100.0), ("c", 61.0, 95.0), ("d", 10.0, 94.0), ("", 10.0, 50.0))]
+    frame = spark.createDataFrame(rows, "doc_id int, page_no int, text string, x double, y double, width double, size double")
+    assert [r.text for r in R.text_lines(frame).orderBy("line_no").collect()] == ["a" + " " + "b" + "c", "d"]
+    assert [r.cells for r in R.tables(frame).orderBy("row_no").collect()] == [["a", "b", "c"], ["d", "", ""]]
+    runs = spark.createDataFrame([(1, 1, "a", True), (1, 2, "b", True), (1, 3, "c", None), (1, 4, "d", None), (1, 5, "e", True)], "block_id int, run_no int, text string, bold boolean")
+    assert [r.text for r in R.merge_runs(runs, ["bold"]).orderBy("run_no").collect()] == ["ab", "cd", "e"]
