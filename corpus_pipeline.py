@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from gridloom.llm.shared import documents, publish
 
-#: Near copies: fingerprints of five-word shingles that differ in at most this many of 64 bits.
-SHINGLE, MAX_DIFF = 5, 8
+#: Near copies: fingerprints of five-word shingles of which one of WORDS 64-bit words differs in at most MAX_DIFF bits.
+SHINGLE, MAX_DIFF, WORDS = 5, 7, 4
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dedup.drop_near_copies(docs, SHINGLE, MAX_DIFF)
+    return near_dedup.drop_near_copies(docs, SHINGLE, MAX_DIFF, words=WORDS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ table gives an empty result; columns besides doc_id and text don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,33 +38,46 @@ EXACT = 2
 _CHUNK = 1 << 15
 
 
-def simhash(text: bytes, shingle: int) -> int:
-    words = text.lower().split()  # bytes: only A-Z fold, only ASCII white space splits
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Other 64 bits of the same hash value for each further word (the finisher of splitmix64)."""
+    if not word:
+        return h
+    h = h + np.uint64(word * 0x9E3779B97F4A7C15 & 2**64 - 1)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def simhash(text: bytes, shingle: int, words: int = 1) -> list[int]:
+    """A fingerprint of so many 64-bit words; the first is made of the XXH64 values themselves."""
+    parts = text.lower().split()  # bytes: only A-Z fold, only ASCII white space splits
+    if not parts:
+        return [0] * words
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(w) + 1 for w in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    firsts, lasts = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    n = max(1, len(parts) - shingle + 1)
+    firsts, lasts = starts[:n].tolist(), (ends[shingle - 1 :] if len(parts) >= shingle else ends[-1:]).tolist()
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((words, 64), np.int64)
     for k in range(0, n, _CHUNK):
         h = np.array([digest(joined[a:b], 42) for a, b in zip(firsts[k : k + _CHUNK], lasts[k : k + _CHUNK], strict=True)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for w in range(words):
+            ones[w] += np.unpackbits(_mixed(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """A row per row of docs: doc_id, text_hash, fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
+    """A row per row of docs: doc_id, text_hash, fp (the first word's bits as a signed long), more (the further words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(t.as_buffer().to_pybytes(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
+            fps = np.array([simhash(t.as_buffer().to_pybytes(), shingle, words) for t in b.column(2)], np.uint64).view(np.int64)
+            more = pa.array(list(fps[:, 1:]), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps[:, 0]), more], names=["doc_id", "text_hash", "fp", "more"])
 
     text = text_of()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, more array<bigint>")
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
@@ -72,11 +86,11 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _keys(fp: Column, max_diff: int, exact: int) -> Column:
+def _keys(fp: Column, word: Column, max_diff: int, exact: int) -> Column:
     segments = _segments(max_diff + exact)
-    keys = []
+    keys, n_choices = [], math.comb(max_diff + exact, exact)
     for k, chosen in enumerate(combinations(segments, exact)):
-        key = F.lit(k).cast("bigint")
+        key = (word * n_choices + k).cast("bigint")
         for shift, width in chosen:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)))
         keys.append(key)
@@ -98,7 +112,7 @@ def pigeonring(differing: np.ndarray, max_diff: int, n_segments: int) -> np.ndar
 
 
 def _forest(keys: np.ndarray, fps: np.ndarray, max_diff: int, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all fingerprints within max_diff among those of equal key; rows are sorted by key."""
+    """Places of links that join all fingerprints within max_diff among those of equal key; rows are sorted by key."""
     parent = np.arange(len(keys))
     left, right = [], []
 
@@ -129,29 +143,35 @@ def _forest(keys: np.ndarray, fps: np.ndarray, max_diff: int, n_segments: int) -
         if len(a):
             touched = np.concatenate([at, at + apart])
             parent[touched] = parent[parent[touched]]
-    return fps[np.array(left, np.int64)], fps[np.array(right, np.int64)]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def links(distinct: DataFrame, max_diff: int, exact: int = EXACT) -> DataFrame:
-    """Edges (u, v) that connect what lies within max_diff among distinct fingerprints (column fp)."""
+def links(nodes: DataFrame, max_diff: int, exact: int = EXACT) -> DataFrame:
+    """Edges (u, v) that connect nodes (fp, more) of which some word lies within max_diff of the other's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("fp", pa.int64())]))
-        keys, fps = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
-        order = np.lexsort((fps, keys))
-        u, v = _forest(keys[order], fps[order], max_diff, max_diff + exact)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    keyed = distinct.select(F.explode(_keys(F.col("fp"), max_diff, exact)).alias("key"), "fp")
+        table = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("word", pa.int64()), ("fp", pa.int64())]))
+        keys, values, nodes = (table.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((values.view(np.uint64), keys))
+        left, right = _forest(keys[order], values[order].view(np.uint64), max_diff, max_diff + exact)
+        nodes = nodes[order]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[left]), pa.array(nodes[right])], names=["u", "v"])
+
+    words = nodes.select(F.posexplode(F.concat(F.array("fp"), "more")).alias("no", "word"), "fp")
+    keyed = words.select(F.explode(_keys(F.col("word"), F.col("no"), max_diff, exact)).alias("key"), "word", "fp")
     return keyed.repartition("key").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact: int = EXACT) -> DataFrame:
-    """A row per row of docs: doc_id, text_hash, fingerprint (16 hex digits), component_id, first (of its component)."""
-    rows = publish(fingerprints(docs, shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact: int = EXACT, words: int = 1) -> DataFrame:
+    """A row per row of docs: doc_id, text_hash, fingerprint (16 hex digits), component_id, first (of its component).
+
+    With several words, fingerprints link when any of their 64-bit words lie within max_diff: each word is
+    another chance for a pair that a single one puts just beyond the radius.
+    """
+    rows = publish(fingerprints(docs, shingle, words), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = publish(rows.groupBy("fp").agg(F.min(place).alias("least")), "nodes")
-    roots = publish(connected_components(links(nodes.select("fp"), max_diff, exact)), "roots")
+    nodes = publish(rows.groupBy("fp").agg(F.min(place).alias("least"), F.min("more").alias("more")), "nodes")
+    roots = publish(connected_components(links(nodes.select("fp", "more"), max_diff, exact)), "roots")
     linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = publish(linked, "linked")
     heads = publish(linked.groupBy("root").agg(F.min("least").alias("head")), "heads")
@@ -162,9 +182,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact:
     )
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, max_diff: int = 4, exact: int = EXACT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, max_diff: int = 4, exact: int = EXACT, words: int = 1) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; the columns of docs."""
-    kept = publish(near_duplicates(docs, shingle, max_diff, exact).where("first").select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_hash_")), "kept")
+    kept = publish(near_duplicates(docs, shingle, max_diff, exact, words).where("first").select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_hash_")), "kept")
     repeated = kept.count() - kept.distinct().count()
     text_hash = F.xxhash64(text_of(docs["text"]))
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id_"]) & (text_hash == kept["kept_hash_"]), "left_semi")

@@ -312,6 +312,25 @@ def test_near_dedup(rows, docs, empty, max_diff):
     assert near_dedup.drop_near_copies(docs, 4, max_diff).count() == len(groups)
 
 
+def test_near_dedup_of_several_words(spark):
+    """Pairs link when any word of their fingerprints is near; copies of a similarity above 0.8 are found."""
+    rng, texts, near = np.random.default_rng(8), [], []
+    for k in range(300):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        texts.append((2 * k, " ".join(w)))
+        for at in rng.choice(200, 3, replace=False):
+            w[at] = "changed"
+        texts.append((2 * k + 1, " ".join(w)))
+        shingles = [{tuple(t.split()[a : a + 5]) for a in range(196)} for _, t in texts[-2:]]
+        near.append(len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]))
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, 5, 7, words=4).collect()}
+    prints = {i: near_dedup.simhash(t.encode(), 5, 4) for i, t in texts}
+    linked = [any((a ^ b).bit_count() <= 7 for a, b in zip(prints[2 * k], prints[2 * k + 1], strict=True)) for k in range(300)]
+    assert [got[2 * k + 1] == 2 * k for k in range(300)] == linked and all(got[2 * k] == 2 * k for k in range(300))
+    assert np.mean(linked) > 0.75 and np.median(near) > 0.8
+
+
 def test_pigeonring_loses_no_link():
     rng = np.random.default_rng(4)
     for max_diff, n in ((4, 6), (8, 10), (3, 5)):
