@@ -15,7 +15,7 @@ from gridloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from gridloom.llm.shared import documents, publish
 
 #: Near copies: fingerprints of five-word shingles of which one of WORDS 64-bit words differs in at most MAX_DIFF bits.
-SHINGLE, MAX_DIFF, WORDS = 5, 7, 4
+SHINGLE, MAX_DIFF, WORDS = 5, 8, 4
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
