@@ -206,6 +206,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         if not writer:
             fs.delete_file(attempt)
             return
+        if fs.get_file_info(name).type != pyarrow.fs.FileType.NotFound:
+            fs.delete_file(name)  # of an earlier attempt; some stores don't rename over a file
         fs.move(attempt, name)
         row = {"shard": shard, "path": f"{folder}/shard-{shard:06d}.sst", "n_docs": len(writer.doc_ids), "n_tokens": writer.n_tokens}
         yield pa.RecordBatch.from_pylist([row])

@@ -138,6 +138,7 @@ def test_token_shard_lookup(spark, rows, docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     manifest = token_shards.write_shards(docs, path, f"file://{tmp_path}/shards").collect()
+    assert token_shards.write_shards(docs, path, f"file://{tmp_path}/shards").collect() == manifest  # a second run replaces the files
     readers = [token_shards.ShardReader(r.path) for r in manifest]
     for wanted in (None, -5, 0, 10, 1003, 1199):
         found = sorted(crc(ids) for r in readers for ids in r.get(wanted))
