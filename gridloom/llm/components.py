@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 from gridloom.llm.shared import publish
 
 
+#: Edges of a table's partition; a table of so few rows is not worth hundreds of files a round.
+PART_ROWS = 500_000
+
+
+def parts_for(n_rows: int) -> int:
+    return n_rows // PART_ROWS + 1
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v (bigint). A row (node, root) for each node of an edge; root is the smallest node reachable."""
     edges = publish(_directed(edges), "edges")
     state = _state(edges)
     while True:
-        edges = publish(_small_star(publish(_large_star(edges), "large-star")), "small-star")
+        n = parts_for(2 * state[0])
+        edges = publish(_small_star(publish(_large_star(edges, n), "large-star", n), n), "small-star", n)
         now = _state(edges)
         if now == state:
             break
@@ -35,15 +44,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Link the larger neighbours of each node to the smallest node among the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = publish(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = publish(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", n)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of these."""
-    least = publish(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = publish(edges.groupBy("u").agg(F.min("v").alias("m")), "least", n)
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Distinct pre-tokens remembered by a worker; beyond it the memory is emptied and filled anew.
-MEMORY = 1 << 20
+MEMORY = 1 << 18
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ÿ]*")
 

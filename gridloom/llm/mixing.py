@@ -80,7 +80,7 @@ def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source: passes, cut (of the first 32 bits of the hash), fillers (hashes taken beyond the cut)."""
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(0)
     plan = targets.withColumn("passes", whole.cast("bigint")).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
-    plan = publish(plan.withColumns({"cut": F.lit(0).cast("bigint"), "fit": F.col("need")}), "cuts")
+    plan = publish(plan.withColumns({"cut": F.lit(0).cast("bigint"), "fit": F.col("need")}), "cuts", 1)
     for level in range(_LEVELS):
         prefix = F.lit(0).cast("bigint") if level == 0 else F.shiftrightunsigned("h", 64 - _BITS * level)
         digit = F.shiftrightunsigned("h", 64 - _BITS * (level + 1)).bitwiseAND(F.lit(_BLOCKS - 1))
@@ -96,7 +96,7 @@ def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
             "source", "source_size", "target", "passes", "fit", (F.col("need") - F.coalesce(below, "all", F.lit(0))).alias("need"),
             (F.col("cut") * _BLOCKS + F.when(F.col("all").isNull(), F.lit(0)).otherwise(F.coalesce("edge.digit", everything))).alias("cut"),
         )
-        plan = publish(plan, "cuts")
+        plan = publish(plan, "cuts", 1)
     plan = plan.withColumn("fillers", F.array().cast("array<bigint>"))
     for turn in range(FILLERS + 1):
         last = turn == FILLERS
@@ -109,12 +109,12 @@ def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
         plan = _on_source(plan, best, "left")
         if last:
             parted = plan.withColumns({"part_h": F.col("best.h"), "part_words": F.when(F.col("best").isNotNull(), F.round("need").cast("bigint"))})
-            return publish(parted.drop("best"), "cuts")
+            return publish(parted.drop("best"), "cuts", 1)
         plan = plan.select(
             "source", "source_size", "target", "passes", "fit", "cut", (F.col("need") - F.coalesce("best.size", F.lit(0))).alias("need"),
             F.when(F.col("best").isNull(), F.col("fillers")).otherwise(F.array_append("fillers", F.col("best.h"))).alias("fillers"),
         )
-        plan = publish(plan, "cuts")
+        plan = publish(plan, "cuts", 1)
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -145,7 +145,7 @@ def _with_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     bounds = counted.groupBy(F.lit(0).alias("tree")).applyInPandas(run, "source string, bounds array<bigint>")
     total = F.sum("source_size").over(Window.partitionBy())
     parts = F.greatest(F.lit(1), F.ceil(total / (shards * WORDS_PER_PART)))
-    return publish(_on_source(plan, bounds).withColumn("parts", parts.cast("bigint")), "mix-plan")
+    return publish(_on_source(plan, bounds).withColumn("parts", parts.cast("bigint")), "mix-plan", 1)
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:

@@ -33,14 +33,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def publish(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
+def publish(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write df to the shared folder, in at most so many parts, and read it back.
 
     That cuts the lineage (a lost executor costs no recomputation of what came before) and gives the
     optimizer the true size, so that it broadcasts the table only below spark.sql.autoBroadcastJoinThreshold.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
