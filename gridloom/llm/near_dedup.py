@@ -7,8 +7,9 @@ Equal fingerprints collapse first, so that copies cost nothing further. The 64 b
 max_diff + EXACT segments: two fingerprints within max_diff agree in at least EXACT of these, so every choice
 of EXACT segments is a key, and only fingerprints that share a key meet. Pairs that meet must then pass the
 pigeonring: from some segment on, the differences of each chain of l consecutive segments (round the ring)
-sum to at most l * max_diff / segments. What remains gets the full Hamming check. A key's fingerprints yield
-a spanning forest of their links, never all pairs; connected components join these.
+sum to at most l * max_diff / segments. What remains gets the full Hamming check. A pair counts under one of its
+keys only, and a key's fingerprints yield a spanning forest of their links, never all pairs; connected components
+join these.
 
 EXACT is a documented parameter: with 2, a key has about 21 bits and a fingerprint 15 keys, which suits up to
 some 10^7 distinct fingerprints; 4 gives 32-bit keys, 70 of them, for 10^9.
@@ -31,11 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.components import connected_components
+from gridloom.llm.components import connected_components, parts_for
 from gridloom.llm.shared import publish, text_of
 
 EXACT = 2
 _CHUNK = 1 << 15
+_CHOICE_BITS = 16
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -87,16 +89,25 @@ def _segments(n: int) -> list[tuple[int, int]]:
 
 
 def _keys(fp: Column, word: Column, max_diff: int, exact: int) -> Column:
+    """A key per choice of segments: their bits, and below these the number of the word and the choice."""
     segments = _segments(max_diff + exact)
     keys, n_choices = [], math.comb(max_diff + exact, exact)
     for k, chosen in enumerate(combinations(segments, exact)):
-        key = (word * n_choices + k).cast("bigint")
+        key = F.lit(0).cast("bigint")
         for shift, width in chosen:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(key)
+        keys.append(F.shiftleft(key, _CHOICE_BITS).bitwiseOR((word * n_choices + k).cast("bigint")))
     return F.array(*keys)
 
 
+def _own_key(differing: np.ndarray, keys: np.ndarray, n_segments: int, exact: int) -> np.ndarray:
+    """Is this key the pair's own, the one of its first equal segments? The pair meets under others too."""
+    equal = np.stack([(differing >> np.uint64(s)) & np.uint64((1 << w) - 1) == 0 for s, w in _segments(n_segments)])
+    last = np.array([chosen[-1] for chosen in combinations(range(n_segments), exact)])
+    choice = (keys & ((1 << _CHOICE_BITS) - 1)) % len(last)
+    return np.cumsum(equal, axis=0)[last[choice], np.arange(len(keys))] == exact
+
+
 def pigeonring(differing: np.ndarray, max_diff: int, n_segments: int) -> np.ndarray:
     """Which of the XORed fingerprints have a chain, begun at some segment, within its budget at every length."""
     parts = np.stack([np.bitwise_count((differing >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in _segments(n_segments)])
@@ -133,7 +144,9 @@ def _forest(keys: np.ndarray, fps: np.ndarray, max_diff: int, n_segments: int) -
         differing = fps[a] ^ fps[a + apart]
         near = pigeonring(differing, max_diff, n_segments)
         a, differing = a[near], differing[near]
-        a = a[np.bitwise_count(differing) <= max_diff]
+        within = np.bitwise_count(differing) <= max_diff
+        a, differing = a[within], differing[within]
+        a = a[_own_key(differing, keys[a], n_segments, n_segments - max_diff)]
         for x in a.tolist():
             p, q = root(x), root(x + apart)
             if p != q:
@@ -171,11 +184,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact:
     rows = publish(fingerprints(docs, shingle, words), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = publish(rows.groupBy("fp").agg(F.min(place).alias("least"), F.min("more").alias("more")), "nodes")
-    roots = publish(connected_components(links(nodes.select("fp", "more"), max_diff, exact)), "roots")
+    n = parts_for(nodes.count())
+    roots = publish(connected_components(links(nodes.select("fp", "more"), max_diff, exact)), "roots", n)
     linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = publish(linked, "linked")
-    heads = publish(linked.groupBy("root").agg(F.min("least").alias("head")), "heads")
-    classes = publish(linked.join(heads, "root").select("fp", "head"), "classes")
+    linked = publish(linked, "linked", n)
+    heads = publish(linked.groupBy("root").agg(F.min("least").alias("head")), "heads", n)
+    classes = publish(linked.join(heads, "root").select("fp", "head"), "classes", n)
     return rows.join(classes, "fp").select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head.doc_id").alias("component_id"),
         (place == F.col("head")).alias("first"),
