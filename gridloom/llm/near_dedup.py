@@ -11,6 +11,9 @@ sum to at most l * max_diff / segments. What remains gets the full Hamming check
 keys only, and a key's fingerprints yield a spanning forest of their links, never all pairs; connected components
 join these.
 
+With several 64-bit words a fingerprint, such pairs are only candidates: the sets of shingles of both texts are
+compared, and the pair links if their Jaccard similarity (of XXH64 values) is at least SIMILARITY.
+
 EXACT is a documented parameter: with 2, a key has about 21 bits and a fingerprint 15 keys, which suits up to
 some 10^7 distinct fingerprints; 4 gives 32-bit keys, 70 of them, for 10^9.
 
@@ -36,6 +39,8 @@ from gridloom.llm.components import connected_components, parts_for
 from gridloom.llm.shared import publish, text_of
 
 EXACT = 2
+#: Jaccard similarity of the sets of shingles, at least, of texts that fingerprints of several words link.
+SIMILARITY = 0.8
 _CHUNK = 1 << 15
 _CHOICE_BITS = 16
 
@@ -50,36 +55,53 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def simhash(text: bytes, shingle: int, words: int = 1) -> list[int]:
-    """A fingerprint of so many 64-bit words; the first is made of the XXH64 values themselves."""
+def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 values of a text's shingles, in chunks; none of a blank text."""
     parts = text.lower().split()  # bytes: only A-Z fold, only ASCII white space splits
     if not parts:
-        return [0] * words
+        return
     joined = b" ".join(parts)
     ends = np.cumsum([len(w) + 1 for w in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(parts) - shingle + 1)
     firsts, lasts = starts[:n].tolist(), (ends[shingle - 1 :] if len(parts) >= shingle else ends[-1:]).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros((words, 64), np.int64)
+    digest = xxhash.xxh64_intdigest
     for k in range(0, n, _CHUNK):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(firsts[k : k + _CHUNK], lasts[k : k + _CHUNK], strict=True)], "<u8")
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(firsts[k : k + _CHUNK], lasts[k : k + _CHUNK], strict=True)], "<u8")
+
+
+def simhash(text: bytes, shingle: int, words: int = 1) -> list[int]:
+    """A fingerprint of so many 64-bit words; the first is made of the XXH64 values themselves."""
+    n, ones = 0, np.zeros((words, 64), np.int64)
+    for h in _hashes(text, shingle):
+        n += len(h)
         for w in range(words):
             ones[w] += np.unpackbits(_mixed(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The different XXH64 values of a text's shingles, as signed longs."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_hashes(text, shingle)])).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
-    """A row per row of docs: doc_id, text_hash, fp (the first word's bits as a signed long), more (the further words)."""
+    """A row per row of docs: doc_id, text_hash, fp (the first word's bits as a signed long), more (the further words).
+
+    same is a hash of the words as the shingles see them: rows that agree in it have one set of shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([simhash(t.as_buffer().to_pybytes(), shingle, words) for t in b.column(2)], np.uint64).view(np.int64)
+            texts = [t.as_buffer().to_pybytes() for t in b.column(2)]
+            fps = np.array([simhash(t, shingle, words) for t in texts], np.uint64).view(np.int64)
             more = pa.array(list(fps[:, 1:]), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps[:, 0]), more], names=["doc_id", "text_hash", "fp", "more"])
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps[:, 0]), more, pa.array(same)], names=["doc_id", "text_hash", "fp", "more", "same"])
 
     text = text_of()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, more array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, more array<bigint>, same bigint")
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
@@ -133,6 +155,13 @@ def _forest(keys: np.ndarray, fps: np.ndarray, max_diff: int, n_segments: int) -
             x = parent[x]
         return x
 
+    same = (keys[1:] == keys[:-1]) & (fps[1:] == fps[:-1])
+    if same.any():  # equal values are a chain, and the first of them stands for all
+        chained = np.flatnonzero(same)
+        chained = chained[_own_key(np.zeros(len(chained), np.uint64), keys[chained], n_segments, n_segments - max_diff)]
+        firsts = np.flatnonzero(np.concatenate(([True], ~same)))
+        a, b = _forest(keys[firsts], fps[firsts], max_diff, n_segments)
+        return np.concatenate([chained, firsts[a]]), np.concatenate([chained + 1, firsts[b]])
     at, apart = np.arange(len(keys)), 0
     while True:
         apart += 1
@@ -159,46 +188,122 @@ def _forest(keys: np.ndarray, fps: np.ndarray, max_diff: int, n_segments: int) -
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def links(nodes: DataFrame, max_diff: int, exact: int = EXACT) -> DataFrame:
-    """Edges (u, v) that connect nodes (fp, more) of which some word lies within max_diff of the other's."""
+def _cross_pairs(keys: np.ndarray, fps: np.ndarray, labels: np.ndarray, max_diff: int, n_segments: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of equal key and different label within max_diff; rows are sorted by key."""
+    at, apart = np.arange(len(keys)), 0
+    while True:
+        apart += 1
+        at = at[at + apart < len(keys)]
+        at = at[keys[at] == keys[at + apart]]
+        if not len(at):
+            return
+        a = at[labels[at] != labels[at + apart]]
+        differing = fps[a] ^ fps[a + apart]
+        within = np.bitwise_count(differing) <= max_diff
+        a, differing = a[within], differing[within]
+        a = a[_own_key(differing, keys[a], n_segments, n_segments - max_diff)]
+        if len(a):
+            yield a, a + apart
+
+
+def links(nodes: DataFrame, max_diff: int, exact: int = EXACT, cross: bool = False) -> DataFrame:
+    """Edges (u, v) that connect nodes (node, fp, more) of which some word lies within max_diff of the other's.
+
+    With cross, nodes have a label too, and all pairs of different labels come out, not only a forest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("word", pa.int64()), ("fp", pa.int64())]))
-        keys, values, nodes = (table.column(k).to_numpy() for k in range(3))
+        table = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("key", *columns)]))
+        keys, values, nodes, *labels = (c.to_numpy() for c in table.columns)
         order = np.lexsort((values.view(np.uint64), keys))
-        left, right = _forest(keys[order], values[order].view(np.uint64), max_diff, max_diff + exact)
-        nodes = nodes[order]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[left]), pa.array(nodes[right])], names=["u", "v"])
-
-    words = nodes.select(F.posexplode(F.concat(F.array("fp"), "more")).alias("no", "word"), "fp")
-    keyed = words.select(F.explode(_keys(F.col("word"), F.col("no"), max_diff, exact)).alias("key"), "word", "fp")
+        keys, values, nodes = keys[order], values[order].view(np.uint64), nodes[order]
+        pairs = _cross_pairs(keys, values, labels[0][order], max_diff, max_diff + exact) if cross else [_forest(keys, values, max_diff, max_diff + exact)]
+        for left, right in pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[left]), pa.array(nodes[right])], names=["u", "v"])
+
+    columns = ("word", "node", "label") if cross else ("word", "node")
+    words = nodes.select(F.posexplode(F.concat(F.array("fp"), "more")).alias("no", "word"), *columns[1:])
+    keyed = words.select(F.explode(_keys(F.col("word"), F.col("no"), max_diff, exact)).alias("key"), *columns)
     return keyed.repartition("key").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact: int = EXACT, words: int = 1) -> DataFrame:
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles have at least this Jaccard similarity; only their texts are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = publish(nodes.join(ends, "node").select("node", F.col("least.doc_id").alias("doc_id_"), F.col("least.text_hash").alias("text_hash_")), "pair-nodes")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.xxhash64("text") == F.col("text_hash_")))
+    met = met.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
+    sets = publish(met.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    total, common = F.size("a") + F.size("b"), F.size(F.array_intersect("a", "b"))
+    least, most = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
+    return both.where((least >= similarity * most) & (common / (total - common) >= similarity)).select("u", "v")
+
+
+def _verified_roots(nodes: DataFrame, docs: DataFrame, shingle: int, max_diff: int, exact: int, similarity: float) -> DataFrame:
+    """Components of the links whose texts are as similar as that.
+
+    A forest of all links is tested first. Where a tested link fails, the forest may have passed over others that hold:
+    of the nodes of such a component, all links between different parts are then tested too.
+    """
+    distinct_pairs = lambda edges: edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    tried = publish(distinct_pairs(links(nodes, max_diff, exact)), "tried")
+    n_tried = tried.count()
+    good = publish(_alike(tried, nodes, docs, shingle, similarity), "alike", parts_for(n_tried))
+    roots = publish(connected_components(good), "roots", parts_for(n_tried))
+    if good.count() == n_tried:
+        return roots
+    loose = publish(connected_components(tried).withColumnRenamed("root", "group"), "loose", parts_for(n_tried))
+    parts = publish(loose.join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("label")), "parts", parts_for(n_tried))
+    split = parts.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("group")
+    doubtful = publish(nodes.join(parts.join(split, "group"), "node").select("node", "fp", "more", "label"), "doubtful", parts_for(n_tried))
+    others = publish(distinct_pairs(links(doubtful, max_diff, exact, cross=True)).join(tried, ["u", "v"], "left_anti"), "others")
+    more = publish(_alike(others, nodes, docs, shingle, similarity), "more-alike")
+    return publish(connected_components(good.unionByName(more)), "roots", parts_for(n_tried))
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact: int = EXACT, words: int = 1, similarity: float = SIMILARITY
+) -> DataFrame:
     """A row per row of docs: doc_id, text_hash, fingerprint (16 hex digits), component_id, first (of its component).
 
-    With several words, fingerprints link when any of their 64-bit words lie within max_diff: each word is
-    another chance for a pair that a single one puts just beyond the radius.
+    With several words, texts are a candidate pair when any of their 64-bit words lie within max_diff: each word is
+    another chance for a pair that a single one puts just beyond the radius. Candidates link if the Jaccard similarity of
+    their sets of shingles is at least `similarity`. One word links by the fingerprints alone.
     """
-    rows = publish(fingerprints(docs, shingle, words), "fingerprints")
+    rows = fingerprints(docs, shingle, words).withColumn("node", F.col("same") if words > 1 else F.col("fp"))
+    rows = publish(rows.drop("same"), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = publish(rows.groupBy("fp").agg(F.min(place).alias("least"), F.min("more").alias("more")), "nodes")
+    nodes = rows.groupBy("node").agg(F.min(place).alias("least"), F.min("fp").alias("fp"), F.min("more").alias("more"))
+    nodes = publish(nodes, "nodes")
     n = parts_for(nodes.count())
-    roots = publish(connected_components(links(nodes.select("fp", "more"), max_diff, exact)), "roots", n)
-    linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    if words > 1:
+        roots = _verified_roots(nodes, docs, shingle, max_diff, exact, similarity)
+    else:
+        roots = publish(connected_components(links(nodes, max_diff, exact)), "roots", n)
+    linked = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     linked = publish(linked, "linked", n)
     heads = publish(linked.groupBy("root").agg(F.min("least").alias("head")), "heads", n)
-    classes = publish(linked.join(heads, "root").select("fp", "head"), "classes", n)
-    return rows.join(classes, "fp").select(
+    classes = publish(linked.join(heads, "root").select("node", "head"), "classes", n)
+    return rows.join(classes, "node").select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head.doc_id").alias("component_id"),
         (place == F.col("head")).alias("first"),
     )
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, max_diff: int = 4, exact: int = EXACT, words: int = 1) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, shingle: int = 5, max_diff: int = 4, exact: int = EXACT, words: int = 1, similarity: float = SIMILARITY
+) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; the columns of docs."""
-    kept = publish(near_duplicates(docs, shingle, max_diff, exact, words).where("first").select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_hash_")), "kept")
+    copies = near_duplicates(docs, shingle, max_diff, exact, words, similarity)
+    kept = publish(copies.where("first").select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_hash_")), "kept")
     repeated = kept.count() - kept.distinct().count()
     text_hash = F.xxhash64(text_of(docs["text"]))
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id_"]) & (text_hash == kept["kept_hash_"]), "left_semi")

@@ -332,6 +332,34 @@ def test_near_dedup_of_several_words(spark):
     assert np.mean(linked) > 0.75 and np.median(near) > 0.8
 
 
+def test_near_copies_are_verified(spark):
+    """Near fingerprints link texts of a similarity of 0.8 alone, and a failing pair hides no link that holds."""
+    rng, texts = np.random.default_rng(9), []
+    for _ in range(40):
+        first = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for edits in (0, 1, 2, 4, 6, 9):
+            w = list(texts[-1]) if edits in (2, 6) else list(first)
+            for at in rng.choice(150, edits, replace=False):
+                w[at] = f"e{rng.integers(9999)}"
+            texts.append(w)
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id bigint, text string")
+    prints = [near_dedup.simhash(" ".join(w).encode(), 5, 4) for w in texts]
+    shingles = [{tuple(w[a : a + 5]) for a in range(146)} for w in texts]
+    parent, below = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if any((x ^ y).bit_count() <= 8 for x, y in zip(prints[a], prints[b], strict=True)):
+                if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                    old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                    parent = [new if p == old else p for p in parent]
+                else:
+                    below += 1
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, 5, 8, words=4).collect()}
+    assert [got[k] for k in range(len(texts))] == parent and below > 10
+    kept = near_dedup.drop_near_copies(frame, 5, 8, words=4).collect()
+    assert {r.doc_id for r in kept} == set(parent)
+
+
 def test_pigeonring_loses_no_link():
     rng = np.random.default_rng(4)
     for max_diff, n in ((4, 6), (8, 10), (3, 5)):
