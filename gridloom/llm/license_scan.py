@@ -1,7 +1,8 @@
 """License scan by ordered signature rules, in DataFrame functions only: one pass over the texts, no shuffle.
 
 Base: places where the words of a phrase stand consecutively. The method: every rule of license_rules whose
-keyword occurs in the text is matched; a match must begin and end at word edges. Detections are ordered by
+keyword occurs in the text is matched, on a copy in which white space and the comment marks of wrapped lines are
+one space (places are the copy's); a match must begin and end at word edges. Detections are ordered by
 start, longest first; one whose interval lies within an earlier one's of the same or a better tier is
 suppressed (equal intervals: the better tier, then the earlier rule, wins). A list of strings first decides
 whether a text can hold any rule or phrase at all; only for those that pass is anything further computed.
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.license_rules import RULES
-from gridloom.llm.shared import let, text_of
+from gridloom.llm.shared import SPACES, let, text_of
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Confidence of a detection, by tier; a base phrase counts as tier 0.
 CONFIDENCE = (1.0, 0.9, 0.7)
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A line break, with the marks that end a comment's line before it and begin the next one after it.
+WRAP = r" ?(\*/|\*|-->)? ?[\r\n] ?((//[/!]?|/?\*+|#+|;+|--+|%+|<!--|>+|rem|dnl|\|)(?=\s))?"
 #: Every rule and phrase has one of these in it: plain strings, which are cheap to look for, and two patterns.
 GATE_STRINGS = (
     "licens", "licenc", "spdx-", "gpl", "gfdl", "gnu fdl", "cddl", "wtfpl", "cc0", "creative commons", "public domain", "hereby granted",
@@ -84,6 +87,11 @@ def _kept(hits: Column) -> Column:
     return F.aggregate(F.sort_array(hits), first, step, lambda acc: acc["hits"])
 
 
+def _folded(text: Column) -> Column:
+    """Line breaks with the comment marks around them, then runs of white space, as one space each."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[ \\t]+", " "), WRAP, " "), SPACES, " ")
+
+
 def can_hold(text: Column) -> Column:
     """Can a text with its A-Z in lower case hold a rule or phrase at all?"""
     strings = (F.contains(text, F.lit(x)) for x in GATE_STRINGS)
@@ -95,12 +103,12 @@ def detections(docs: DataFrame) -> DataFrame:
     text = text_of()
     rules = F.from_json(F.lit(json.dumps(RULES)), _RULE)
     n_words = F.size(F.filter(F.split(text, SEPARATORS), lambda w: w != "")).cast("bigint")
-    gate = let(F.lower(text), can_hold)  # lower() folds more than A-Z, so it lets no more than a few other texts through
-    gated = docs.withColumn("n_words", n_words).withColumn("low_", F.when(gate, F.translate(text, _UPPER, _LOWER)))
+    gate = let(_folded(F.lower(text)), can_hold)  # lower() folds more than A-Z, so it lets no more than a few other texts through
+    gated = docs.withColumn("n_words", n_words).withColumn("low_", F.when(gate, F.translate(text, _UPPER, _LOWER))).withColumn("flat_", _folded(F.col("low_")))
     words = F.regexp_extract_all(F.col("low_"), F.lit(WORD), F.lit(0))
     base = let(words, lambda w: F.array(*(F.struct(F.lit(label).alias("label"), _phrase_starts(w, phrase).alias("starts")) for phrase, label in PHRASES.items())))
-    found = let(F.col("low_"), lambda t: _kept(F.flatten(F.transform(F.filter(rules, lambda r: F.contains(t, r["keyword"])), lambda r: _matches(t, r)))))
-    return gated.withColumns({"base": F.when(F.col("low_").isNotNull(), base), "found": F.when(F.col("low_").isNotNull(), found)}).drop("low_")
+    found = let(F.col("flat_"), lambda t: _kept(F.flatten(F.transform(F.filter(rules, lambda r: F.contains(t, r["keyword"])), lambda r: _matches(t, r)))))
+    return gated.withColumns({"base": F.when(F.col("low_").isNotNull(), base), "found": F.when(F.col("low_").isNotNull(), found)}).drop("low_", "flat_")
 
 
 def license_report(docs: DataFrame) -> DataFrame:

@@ -121,6 +121,22 @@ def test_license_labels(spark):
         assert set(filter(None, r.labels.split(","))) == want, dict(texts)[r.doc_id]
 
 
+def test_license_texts_that_wrap(spark):
+    """Line breaks, runs of spaces and comment marks within a notice hide nothing."""
+    lines = {
+        "bsd-2-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted",
+        "gpl": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License as published",
+        "zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event",
+        "mit": "Permission is hereby granted, free  of charge, to any person obtaining a\ncopy of this software",
+    }
+    marks = ("\n", "\r\n", "\n * ", "\n// ", "\n# ", "\n\n  ", " */\n/* ", "\n;; ", "\n-- ", "\n<!-- ")
+    texts = [(label, text.replace("\n", m)) for label, text in lines.items() for m in marks]
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.license_report(frame).collect()}
+    assert [(label, t) for k, (label, t) in enumerate(texts) if label not in got[k]] == []
+
+
 def test_token_shards(spark, rows, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, start, want = Tokenizer.from_file(path), 0, []
