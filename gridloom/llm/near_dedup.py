@@ -1,24 +1,30 @@
 """SimHash near-duplicates, linked by pigeonring filtering.
 
 A document's words (ASCII case folded) give shingles; a fingerprint bit is 1 if it is set in over half of the
-shingles' XXH64 values (seed 42). Fingerprints link when they differ in at most `max_diff` of 64 bits.
-
-Equal fingerprints collapse first, so that copies cost nothing further. The 64 bits are cut into
-max_diff + EXACT segments: two fingerprints within max_diff agree in at least EXACT of these, so every choice
-of EXACT segments is a key, and only fingerprints that share a key meet. Pairs that meet must then pass the
-pigeonring: from some segment on, the differences of each chain of l consecutive segments (round the ring)
-sum to at most l * max_diff / segments. What remains gets the full Hamming check. A pair counts under one of its
-keys only, and a key's fingerprints yield a spanning forest of their links, never all pairs; connected components
-join these.
-
-With several 64-bit words a fingerprint, such pairs are only candidates: the sets of shingles of both texts are
-compared, and the pair links if their Jaccard similarity (of XXH64 values) is at least SIMILARITY.
-
-EXACT is a documented parameter: with 2, a key has about 21 bits and a fingerprint 15 keys, which suits up to
-some 10^7 distinct fingerprints; 4 gives 32-bit keys, 70 of them, for 10^9.
-
-Defined results: a null or blank text has the fingerprint zero, and such texts link like any others; fewer
-words than a shingle: the whole sequence is the one shingle; a null doc_id is never the smallest unless its
+shingles' XXH64 values (seed 42). Equal texts or fingerprints collapse first, so that copies cost nothing further.
+
+`near_duplicates` links fingerprints of 64 bits that differ in at most max_diff of them. The bits are cut into
+max_diff + EXACT segments: two fingerprints within max_diff agree in at least EXACT of these, so every choice of
+EXACT segments is a key, and only fingerprints that share a key meet. EXACT grows with the number of fingerprints,
+so that a key's members stay few on average.
+
+`near_copies` links texts whose sets of shingles have a Jaccard similarity of SIMILARITY or more. Bits of such
+fingerprints differ with a probability of arccos(2 s / (1 + s)) / pi at most; further bits of the same hash values are
+cut into segments of a width that grows with the number of rows, so many of them that RECALL of the pairs at exactly
+SIMILARITY agree in one (of more similar pairs, more). Texts that share a segment meet if their numbers of shingles
+allow that similarity; 128 more bits are their fingerprint, with the radius that all but 2 in 1,000 of those pairs are
+within. What passes is a candidate, and links if the sets of shingles themselves are as similar as that.
+
+Pairs that meet must pass the pigeonring: from some segment of the fingerprint on, the differences of each chain of
+l consecutive segments (round the ring) sum to at most l * max_diff / segments. What remains gets the full Hamming
+check. Members of a key yield a spanning forest of their links, never all pairs; connected components join these.
+
+A key of more than BOUND members is cut into blocks that meet on their own first. Once components are known, the
+blocks meet in pairs, but for the members of the key's largest component, whose links among each other can add nothing:
+so the copies of one template, however many, are not paired with each other.
+
+Defined results: a null or blank text has the fingerprint zero and no shingles, and such texts link like any others;
+fewer words than a shingle: the whole sequence is the one shingle; a null doc_id is never the smallest unless its
 whole component has none; rows that repeat doc_id and text share one verdict and one of them stays; an empty
 table gives an empty result; columns besides doc_id and text don't matter.
 """
@@ -26,7 +32,7 @@ table gives an empty result; columns besides doc_id and text don't matter.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,70 +44,118 @@ from pyspark.sql import functions as F
 from gridloom.llm.components import connected_components, parts_for
 from gridloom.llm.shared import publish, text_of
 
-EXACT = 2
-#: Jaccard similarity of the sets of shingles, at least, of texts that fingerprints of several words link.
+#: Jaccard similarity of the sets of shingles, at least, of near copies.
 SIMILARITY = 0.8
-_CHUNK = 1 << 15
+#: Share of the pairs at exactly that similarity that meet under a key.
+RECALL = 0.98
+#: Members that a key has on average, at most, as far as fingerprints are even.
+BUCKET = 16
+#: Members of a key that one task compares with each other.
+BOUND = 8192
+#: Bits of the fingerprint that near copies are held against each other by, as 64-bit words.
+CHECK_WORDS = 2
+#: Rows of whole keys that a task holds at once, about.
+_ROWS_AT_ONCE = 1 << 17
+_CHUNK = 1 << 13
 _CHOICE_BITS = 16
 
 
-def _mixed(h: np.ndarray, word: int) -> np.ndarray:
-    """Other 64 bits of the same hash value for each further word (the finisher of splitmix64)."""
-    if not word:
-        return h
-    h = h + np.uint64(word * 0x9E3779B97F4A7C15 & 2**64 - 1)
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
+def _mixed(h: np.ndarray, words: int) -> np.ndarray:
+    """A row per hash value: itself and other 64 bits of it for each further word (the finisher of splitmix64)."""
+    if words == 1:
+        return h[:, None]
+    out = h[:, None] + np.array([w * 0x9E3779B97F4A7C15 & 2**64 - 1 for w in range(words)], np.uint64)
+    out = (out ^ out >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ out >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(31)
+    out[:, 0] = h
+    return out
 
 
-def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
-    """XXH64 values of a text's shingles, in chunks; none of a blank text."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 values of a text's shingles; none of a blank text."""
     parts = text.lower().split()  # bytes: only A-Z fold, only ASCII white space splits
     if not parts:
-        return
+        return np.zeros(0, "<u8")
     joined = b" ".join(parts)
     ends = np.cumsum([len(w) + 1 for w in parts]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(parts) - shingle + 1)
-    firsts, lasts = starts[:n].tolist(), (ends[shingle - 1 :] if len(parts) >= shingle else ends[-1:]).tolist()
+    firsts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(parts) - shingle + 1)].tolist()
+    lasts = (ends[shingle - 1 :] if len(parts) >= shingle else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    for k in range(0, n, _CHUNK):
-        yield np.array([digest(joined[a:b], 42) for a, b in zip(firsts[k : k + _CHUNK], lasts[k : k + _CHUNK], strict=True)], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(firsts, lasts, strict=True)], "<u8")
 
 
-def simhash(text: bytes, shingle: int, words: int = 1) -> list[int]:
-    """A fingerprint of so many 64-bit words; the first is made of the XXH64 values themselves."""
-    n, ones = 0, np.zeros((words, 64), np.int64)
-    for h in _hashes(text, shingle):
-        n += len(h)
-        for w in range(words):
-            ones[w] += np.unpackbits(_mixed(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+def simhash(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The bits of a fingerprint of so many 64-bit words; the first is made of the hash values themselves."""
+    ones = np.zeros(64 * words, np.int64)
+    for k in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(_mixed(hashes[k : k + _CHUNK], words).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
+        for at in range(0, len(bits), 255):  # so many bits fit a byte
+            ones += bits[at : at + 255].sum(0, dtype=np.uint8)
+    return 2 * ones > len(hashes)
+
+
+def _as_words(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=-1, bitorder="little").view("<i8")
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The different XXH64 values of a text's shingles, as signed longs."""
-    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_hashes(text, shingle)])).view(np.int64)
+    """The different XXH64 values of a text's shingles."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
-    """A row per row of docs: doc_id, text_hash, fp (the first word's bits as a signed long), more (the further words).
+def _texts(docs: DataFrame) -> DataFrame:
+    text = text_of()
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
-    same is a hash of the words as the shingles see them: rows that agree in it have one set of shingles.
-    """
+
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """A row per row of docs: doc_id, text_hash, node (the fingerprint's 64 bits as a signed long)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = [_as_words(simhash(shingle_hashes(t.as_buffer().to_pybytes(), shingle)))[0] for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], names=["doc_id", "text_hash", "node"])
+
+    return _texts(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint")
+
+
+def key_plan(n_rows: int, similarity: float) -> tuple[int, int]:
+    """Width and number of the segments that near copies among so many rows meet by."""
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    width = max(4, math.ceil(math.log2(max(1, n_rows) / BUCKET)))
+    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - same**width))
+
+
+def check_radius(similarity: float) -> int:
+    """Bits of the check words that all but 2 in 1,000 of the pairs at this similarity are within."""
+    n, p = 64 * CHECK_WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total = 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total >= 0.998:
+            return k
+    return n
+
+
+def sketches(docs: DataFrame, shingle: int, width: int, n_keys: int) -> DataFrame:
+    """A row per row of docs: doc_id, text_hash, node (a hash of its words as the shingles see them), size (shingles), w0, w1, keys."""
+    n_words = CHECK_WORDS + -(-width * n_keys // 64)
+    powers, numbers = 1 << np.arange(width, dtype=np.int64), np.arange(n_keys, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_buffer().to_pybytes() for t in b.column(2)]
-            fps = np.array([simhash(t, shingle, words) for t in texts], np.uint64).view(np.int64)
-            more = pa.array(list(fps[:, 1:]), pa.list_(pa.int64()))
-            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps[:, 0]), more, pa.array(same)], names=["doc_id", "text_hash", "fp", "more", "same"])
+            sets = [shingle_set(t, shingle) for t in texts]
+            bits = np.array([simhash(s, n_words) for s in sets]).reshape(-1, 64 * n_words)
+            checks = _as_words(bits[:, : 64 * CHECK_WORDS])
+            segments = bits[:, 64 * CHECK_WORDS : 64 * CHECK_WORDS + width * n_keys].reshape(-1, n_keys, width) @ powers
+            nodes = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array((segments << _CHOICE_BITS | numbers).ravel()), n_keys).cast(pa.list_(pa.int64()))
+            columns = [b.column(0), b.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(checks[:, 0]), pa.array(checks[:, 1]), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "size", "w0", "w1", "keys"])
 
-    text = text_of()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, more array<bigint>, same bigint")
+    return _texts(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, size bigint, w0 bigint, w1 bigint, keys array<bigint>")
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
@@ -110,15 +164,22 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _keys(fp: Column, word: Column, max_diff: int, exact: int) -> Column:
-    """A key per choice of segments: their bits, and below these the number of the word and the choice."""
-    segments = _segments(max_diff + exact)
-    keys, n_choices = [], math.comb(max_diff + exact, exact)
-    for k, chosen in enumerate(combinations(segments, exact)):
+def exact_for(n_rows: int, max_diff: int) -> int:
+    """Segments that a key holds, so that keys of so many fingerprints have BUCKET members or fewer on average."""
+    exact = 2
+    while exact < 8 and n_rows > BUCKET << exact * (64 // (max_diff + exact)):
+        exact += 1
+    return exact
+
+
+def _choice_keys(fp: Column, max_diff: int, exact: int) -> Column:
+    """A key per choice of segments: the choice's number and a hash of their bits (the bits themselves, up to 48)."""
+    keys = []
+    for k, chosen in enumerate(combinations(_segments(max_diff + exact), exact)):
         key = F.lit(0).cast("bigint")
         for shift, width in chosen:
             key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(F.shiftleft(key, _CHOICE_BITS).bitwiseOR((word * n_choices + k).cast("bigint")))
+        keys.append(F.shiftleft(key, _CHOICE_BITS).bitwiseOR(F.lit(k).cast("bigint")))
     return F.array(*keys)
 
 
@@ -126,105 +187,151 @@ def _own_key(differing: np.ndarray, keys: np.ndarray, n_segments: int, exact: in
     """Is this key the pair's own, the one of its first equal segments? The pair meets under others too."""
     equal = np.stack([(differing >> np.uint64(s)) & np.uint64((1 << w) - 1) == 0 for s, w in _segments(n_segments)])
     last = np.array([chosen[-1] for chosen in combinations(range(n_segments), exact)])
-    choice = (keys & ((1 << _CHOICE_BITS) - 1)) % len(last)
+    choice = keys & ((1 << _CHOICE_BITS) - 1)
     return np.cumsum(equal, axis=0)[last[choice], np.arange(len(keys))] == exact
 
 
 def pigeonring(differing: np.ndarray, max_diff: int, n_segments: int) -> np.ndarray:
-    """Which of the XORed fingerprints have a chain, begun at some segment, within its budget at every length."""
-    parts = np.stack([np.bitwise_count((differing >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in _segments(n_segments)])
-    sums, open_chains, at = parts, parts <= max_diff // n_segments, np.arange(len(differing))
+    """Which of the XORed fingerprints (a row per word) have a chain, begun at some segment, within its budget at every length."""
+    differing = np.atleast_2d(differing)
+    cuts = _segments(n_segments // len(differing))
+    parts = np.concatenate([np.stack([np.bitwise_count((word >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in cuts]) for word in differing])
+    sums, open_chains, at = parts, parts <= max_diff // n_segments, np.arange(differing.shape[1])
     for length in range(2, n_segments + 1):
         some = open_chains.any(axis=0)
         parts, sums, open_chains, at = parts[:, some], sums[:, some], open_chains[:, some], at[some]
         sums = sums + np.roll(parts, 1 - length, axis=0)
         open_chains &= sums <= length * max_diff // n_segments
-    passes = np.zeros(len(differing), bool)
+    passes = np.zeros(differing.shape[1], bool)
     passes[at[open_chains.any(axis=0)]] = True
     return passes
 
 
-def _forest(keys: np.ndarray, fps: np.ndarray, max_diff: int, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of links that join all fingerprints within max_diff among those of equal key; rows are sorted by key."""
-    parent = np.arange(len(keys))
-    left, right = [], []
+class Rule:
+    """When members of a key are near each other."""
+
+    def __init__(self, words: int, max_diff: int, n_segments: int, exact: int = 0, similarity: float = 0.0):
+        self.words, self.max_diff, self.n_segments, self.exact, self.similarity = words, max_diff, n_segments, exact, similarity
+
+    def passes(self, differing: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Places of the pairs (XORed words, their key) that are within the radius."""
+        at = np.flatnonzero(pigeonring(differing, self.max_diff, self.n_segments))
+        at = at[np.bitwise_count(differing[:, at]).sum(0) <= self.max_diff]
+        return at[_own_key(differing[0, at], keys[at], self.n_segments, self.exact)] if self.exact else at
+
+
+def _forest(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, nodes: np.ndarray, labels: np.ndarray | None, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of links that join all near members of equal key. Rows are sorted by key and size.
+
+    With labels: links between members of different labels, and of these all if they are still to be verified.
+    """
+    _, parent = np.unique(nodes if labels is None else labels, return_inverse=True)
+    parent = parent.astype(np.int64)  # members of one root are joined already
+    joins = labels is None or not rule.similarity
+    group, above = parent.copy(), np.arange(parent.max(initial=-1) + 1)
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
         return x
 
-    same = (keys[1:] == keys[:-1]) & (fps[1:] == fps[:-1])
-    if same.any():  # equal values are a chain, and the first of them stands for all
-        chained = np.flatnonzero(same)
-        chained = chained[_own_key(np.zeros(len(chained), np.uint64), keys[chained], n_segments, n_segments - max_diff)]
-        firsts = np.flatnonzero(np.concatenate(([True], ~same)))
-        a, b = _forest(keys[firsts], fps[firsts], max_diff, n_segments)
-        return np.concatenate([chained, firsts[a]]), np.concatenate([chained + 1, firsts[b]])
     at, apart = np.arange(len(keys)), 0
     while True:
         apart += 1
         at = at[at + apart < len(keys)]
-        at = at[keys[at] == keys[at + apart]]
+        at = at[(keys[at] == keys[at + apart]) & (sizes[at] >= rule.similarity * sizes[at + apart])]
         if not len(at):
-            break
+            return
         a = at[parent[at] != parent[at + apart]]
-        differing = fps[a] ^ fps[a + apart]
-        near = pigeonring(differing, max_diff, n_segments)
-        a, differing = a[near], differing[near]
-        within = np.bitwise_count(differing) <= max_diff
-        a, differing = a[within], differing[within]
-        a = a[_own_key(differing, keys[a], n_segments, n_segments - max_diff)]
+        a = a[rule.passes(words[:, a] ^ words[:, a + apart], keys[a])]
+        if not joins:
+            if len(a):
+                yield a, a + apart
+            continue
+        new = []
         for x in a.tolist():
-            p, q = root(x), root(x + apart)
+            p, q = root(group[x]), root(group[x + apart])
             if p != q:
-                parent[max(p, q)] = min(p, q)
-                left.append(x)
-                right.append(x + apart)
-        if len(a):
-            touched = np.concatenate([at, at + apart])
-            parent[touched] = parent[parent[touched]]
-    return np.array(left, np.int64), np.array(right, np.int64)
+                above[max(p, q)] = min(p, q)
+                new.append(x)
+        if new:
+            while not np.array_equal(above, flat := above[above]):
+                above[:] = flat
+            parent = above[group]
+            yield np.array(new), np.array(new) + apart
 
 
-def _cross_pairs(keys: np.ndarray, fps: np.ndarray, labels: np.ndarray, max_diff: int, n_segments: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of equal key and different label within max_diff; rows are sorted by key."""
-    at, apart = np.arange(len(keys)), 0
-    while True:
-        apart += 1
-        at = at[at + apart < len(keys)]
-        at = at[keys[at] == keys[at + apart]]
-        if not len(at):
-            return
-        a = at[labels[at] != labels[at + apart]]
-        differing = fps[a] ^ fps[a + apart]
-        within = np.bitwise_count(differing) <= max_diff
-        a, differing = a[within], differing[within]
-        a = a[_own_key(differing, keys[a], n_segments, n_segments - max_diff)]
-        if len(a):
-            yield a, a + apart
-
+def _met(keyed: DataFrame, rule: Rule, labelled: bool = False) -> DataFrame:
+    """Edges (u, v) among the members of each key and block of keyed: key, block, node, size, w0 ..., label if labelled."""
+    columns = ["key", "block", "node", "size", *(f"w{k}" for k in range(rule.words)), *(["label"] if labelled else [])]
 
-def links(nodes: DataFrame, max_diff: int, exact: int = EXACT, cross: bool = False) -> DataFrame:
-    """Edges (u, v) that connect nodes (node, fp, more) of which some word lies within max_diff of the other's.
-
-    With cross, nodes have a label too, and all pairs of different labels come out, not only a forest.
-    """
+    def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not len(rows[0]):
+            return
+        place = np.cumsum(np.concatenate(([0], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))))
+        keys = place << _CHOICE_BITS | rows[0] & ((1 << _CHOICE_BITS) - 1)
+        words = np.stack([w.view(np.uint64) for w in rows[4 : 4 + rule.words]])
+        for left, right in _forest(keys, rows[3], words, rows[2], rows[-1] if labelled else None, rule):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2][left]), pa.array(rows[2][right])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("key", *columns)]))
-        keys, values, nodes, *labels = (c.to_numpy() for c in table.columns)
-        order = np.lexsort((values.view(np.uint64), keys))
-        keys, values, nodes = keys[order], values[order].view(np.uint64), nodes[order]
-        pairs = _cross_pairs(keys, values, labels[0][order], max_diff, max_diff + exact) if cross else [_forest(keys, values, max_diff, max_diff + exact)]
-        for left, right in pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[left]), pa.array(nodes[right])], names=["u", "v"])
-
-    columns = ("word", "node", "label") if cross else ("word", "node")
-    words = nodes.select(F.posexplode(F.concat(F.array("fp"), "more")).alias("no", "word"), *columns[1:])
-    keyed = words.select(F.explode(_keys(F.col("word"), F.col("no"), max_diff, exact)).alias("key"), *columns)
-    return keyed.repartition("key").mapInArrow(run, "u bigint, v bigint")
+        held = [np.zeros(0, np.int64)] * len(columns)
+        waiting: list[pa.RecordBatch] = []
+        for b in batches:
+            waiting.append(b)
+            if sum(w.num_rows for w in waiting) < _ROWS_AT_ONCE:
+                continue
+            held = [np.concatenate([h, *(w.column(k).to_numpy() for w in waiting)]) for k, h in enumerate(held)]
+            waiting = []
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0
+            yield from links([h[:whole] for h in held])
+            held = [h[whole:] for h in held]
+        yield from links([np.concatenate([h, *(w.column(k).to_numpy() for w in waiting)]) for k, h in enumerate(held)])
+
+    rows = keyed.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block", "size", "node")
+    pairs = rows.mapInArrow(run, "u bigint, v bigint")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _hot_keys(keyed: DataFrame, n_nodes: int, bound: int) -> DataFrame | None:
+    """Keys of more than bound members, with their number; None if there are none."""
+    if n_nodes <= bound:
+        return None
+    hot = publish(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > bound), "hot-keys", 1)
+    return None if hot.isEmpty() else hot
+
+
+def _block(n: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1).cast("bigint")))
+
+
+def _blocks(keyed: DataFrame, hot: DataFrame | None, bound: int) -> DataFrame:
+    """keyed with block: members of a hot key are dealt to blocks of bound members or fewer, about."""
+    if hot is None:
+        return keyed.withColumn("block", F.lit(0).cast("bigint"))
+    n = F.ceil(F.coalesce("members", F.lit(1)) / (bound // 2)).cast("bigint")
+    return keyed.join(hot, "key", "left").withColumn("block", F.when(F.col("members").isNull(), F.lit(0)).otherwise(_block(n)).cast("bigint")).drop("members")
+
+
+def _block_pairs(keyed: DataFrame, hot: DataFrame, bound: int) -> DataFrame:
+    """keyed: labelled members of hot keys. Blocks of members of all labels but the key's largest meet each other and those of the largest."""
+    counts = publish(keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "hot-labels")
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    half = bound // 4
+    sizes = largest.select(
+        "key", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / half).cast("bigint").alias("tops"), F.ceil((F.col("all") - F.col("top.n")) / half).cast("bigint").alias("others")
+    )
+    sizes = publish(sizes.where("others > 0"), "hot-sizes", 1)
+    rows = keyed.join(sizes, "key")
+    is_top = F.col("label") == F.col("top")
+    mine = F.when(is_top, F.col("others") + _block(F.col("tops"))).otherwise(_block(F.col("others")))
+    # a pair of blocks is named by its smaller and larger number; blocks of the largest component have the larger numbers
+    met = F.when(is_top, F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("others") + F.col("tops") - 1))
+    rows = rows.withColumn("mine", mine).withColumn("met", F.explode(met))
+    name = F.least("mine", "met") * (F.col("others") + F.col("tops")) + F.greatest("mine", "met")
+    return rows.withColumn("block", name).drop("mine", "met", "top", "tops", "others")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -232,7 +339,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, si
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in b.column(1)]
+            sets = [shingle_set(t.as_buffer().to_pybytes(), shingle).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
@@ -243,66 +350,106 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, si
     sets = publish(met.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     total, common = F.size("a") + F.size("b"), F.size(F.array_intersect("a", "b"))
-    least, most = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
-    return both.where((least >= similarity * most) & (common / (total - common) >= similarity)).select("u", "v")
+    return both.where(common >= similarity * (total - common)).select("u", "v")
 
 
-def _verified_roots(nodes: DataFrame, docs: DataFrame, shingle: int, max_diff: int, exact: int, similarity: float) -> DataFrame:
-    """Components of the links whose texts are as similar as that.
+def _labels(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """node, label of every node: the smallest node that it is linked to."""
+    roots = publish(connected_components(edges), "roots", n)
+    return publish(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels", n)
 
-    A forest of all links is tested first. Where a tested link fails, the forest may have passed over others that hold:
-    of the nodes of such a component, all links between different parts are then tested too.
-    """
-    distinct_pairs = lambda edges: edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    tried = publish(distinct_pairs(links(nodes, max_diff, exact)), "tried")
-    n_tried = tried.count()
-    good = publish(_alike(tried, nodes, docs, shingle, similarity), "alike", parts_for(n_tried))
-    roots = publish(connected_components(good), "roots", parts_for(n_tried))
-    if good.count() == n_tried:
-        return roots
-    loose = publish(connected_components(tried).withColumnRenamed("root", "group"), "loose", parts_for(n_tried))
-    parts = publish(loose.join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("label")), "parts", parts_for(n_tried))
-    split = parts.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("group")
-    doubtful = publish(nodes.join(parts.join(split, "group"), "node").select("node", "fp", "more", "label"), "doubtful", parts_for(n_tried))
-    others = publish(distinct_pairs(links(doubtful, max_diff, exact, cross=True)).join(tried, ["u", "v"], "left_anti"), "others")
-    more = publish(_alike(others, nodes, docs, shingle, similarity), "more-alike")
-    return publish(connected_components(good.unionByName(more)), "roots", parts_for(n_tried))
-
-
-def near_duplicates(
-    docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact: int = EXACT, words: int = 1, similarity: float = SIMILARITY
-) -> DataFrame:
-    """A row per row of docs: doc_id, text_hash, fingerprint (16 hex digits), component_id, first (of its component).
-
-    With several words, texts are a candidate pair when any of their 64-bit words lie within max_diff: each word is
-    another chance for a pair that a single one puts just beyond the radius. Candidates link if the Jaccard similarity of
-    their sets of shingles is at least `similarity`. One word links by the fingerprints alone.
+
+def _verified(edges: DataFrame, verify: Callable[[DataFrame], DataFrame], nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges that hold, the labels that they give, edges that fail): one for each node first, of the others those that would join more."""
+    both = lambda pairs, labels: pairs.join(_labelled(labels, "u"), "u").join(_labelled(labels, "v"), "v").where("label_u <> label_v")
+    first = publish(edges.groupBy("u").agg(F.min("v").alias("v")), "tried", n)
+    good = publish(verify(first), "alike", n)
+    labels = _labels(nodes, good, n)
+    rest = publish(both(edges.join(first, ["u", "v"], "left_anti"), labels).select("u", "v"), "tried", n)
+    if not rest.isEmpty():
+        good = publish(good.unionByName(verify(rest)), "alike", n)
+        labels = _labels(nodes, good, n)
+    failed = both(first.unionByName(rest).join(good, ["u", "v"], "left_anti"), labels)
+    return good, labels, publish(failed.select(F.col("label_u").alias("u"), F.col("label_v").alias("v")).distinct(), "failed", n)
+
+
+def _labelled(labels: DataFrame, end: str) -> DataFrame:
+    return labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+
+
+def _components(nodes: DataFrame, keyed: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame] | None = None, bound: int = BOUND) -> DataFrame:
+    """node, label (the smallest node of its component) of every node. keyed: key, node, size, w0, ...
+
+    Where a candidate link of a forest fails, the forest may have passed over others that hold: of the members of all
+    components that failing links would join, all candidates between different ones are then tested too.
     """
-    rows = fingerprints(docs, shingle, words).withColumn("node", F.col("same") if words > 1 else F.col("fp"))
-    rows = publish(rows.drop("same"), "fingerprints")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = rows.groupBy("node").agg(F.min(place).alias("least"), F.min("fp").alias("fp"), F.min("more").alias("more"))
-    nodes = publish(nodes, "nodes")
-    n = parts_for(nodes.count())
-    if words > 1:
-        roots = _verified_roots(nodes, docs, shingle, max_diff, exact, similarity)
+    n_nodes = nodes.count()
+    n = parts_for(n_nodes)
+    hot = _hot_keys(keyed, n_nodes, bound)
+    edges = publish(_met(_blocks(keyed, hot, bound), rule), "met", n)
+    again = []
+    if verify is None:
+        links, labels = edges, _labels(nodes, edges, n)
     else:
-        roots = publish(connected_components(links(nodes, max_diff, exact)), "roots", n)
-    linked = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    linked = publish(linked, "linked", n)
-    heads = publish(linked.groupBy("root").agg(F.min("least").alias("head")), "heads", n)
-    classes = publish(linked.join(heads, "root").select("node", "head"), "classes", n)
-    return rows.join(classes, "node").select(
-        "doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head.doc_id").alias("component_id"),
-        (place == F.col("head")).alias("first"),
+        links, labels, failed = _verified(edges, verify, nodes, n)
+        if not failed.isEmpty():
+            ends = failed.select(F.explode(F.array("u", "v")).alias("label")).distinct()
+            doubtful = publish(labels.join(ends, "label").select("node", "label"), "doubtful", n)
+            cool = keyed if hot is None else keyed.join(hot, "key", "left_anti")
+            again.append(cool.join(doubtful, "node").withColumn("block", F.lit(0).cast("bigint")))
+    if hot is not None:
+        again.append(_block_pairs(keyed.join(hot.select("key"), "key", "left_semi").join(labels, "node"), hot, bound))
+    if not again:
+        return labels
+    pairs = [_met(k, rule, labelled=True) for k in again]
+    pairs = pairs[0].unionByName(pairs[1]).distinct() if len(pairs) > 1 else pairs[0]
+    others = publish(pairs.join(edges, ["u", "v"], "left_anti"), "met", n)
+    if verify is not None:
+        others = publish(verify(others), "alike", n)
+    return labels if others.isEmpty() else _labels(nodes, links.unionByName(others), n)
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
+def _classes(rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with head, the place of the first row of their component."""
+    n = parts_for(nodes.count())
+    linked = publish(nodes.select("node", "least").join(labels, "node"), "linked", n)
+    heads = publish(linked.groupBy("label").agg(F.min("least").alias("head")), "heads", n)
+    classes = publish(linked.join(heads, "label").select("node", "head"), "classes", n)
+    return rows.join(classes, "node")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact: int | None = None, bound: int = BOUND) -> DataFrame:
+    """A row per row of docs: doc_id, text_hash, fingerprint (16 hex digits), component_id, first (of its component)."""
+    rows = publish(fingerprints(docs, shingle), "fingerprints")
+    nodes = publish(rows.groupBy("node").agg(F.min(_place()).alias("least")), "nodes")
+    exact = exact or exact_for(nodes.count(), max_diff)
+    keyed = nodes.select(F.explode(_choice_keys(F.col("node"), max_diff, exact)).alias("key"), "node", F.lit(1).cast("bigint").alias("size"), F.col("node").alias("w0"))
+    labels = _components(nodes, keyed, Rule(1, max_diff, max_diff + exact, exact), bound=bound)
+    return _classes(rows, nodes, labels).select(
+        "doc_id", "text_hash", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), F.col("head.doc_id").alias("component_id"),
+        (_place() == F.col("head")).alias("first"),
+    )
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, bound: int = BOUND) -> DataFrame:
+    """A row per row of docs: doc_id, text_hash, component_id, first (of its component); texts link by the similarity of their sets of shingles."""
+    rows = publish(sketches(docs, shingle, *key_plan(docs.count(), similarity)), "sketches")
+    nodes = publish(rows.groupBy("node").agg(F.min(_place()).alias("least"), F.min("size").alias("size"), F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.min("keys").alias("keys")), "nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "size", "w0", "w1")
+    rule = Rule(CHECK_WORDS, check_radius(similarity), 4 * CHECK_WORDS, similarity=similarity)
+    labels = _components(nodes, keyed, rule, lambda pairs: _alike(pairs, nodes, docs, shingle, similarity), bound)
+    return _classes(rows.select("doc_id", "text_hash", "node"), nodes, labels).select(
+        "doc_id", "text_hash", F.col("head.doc_id").alias("component_id"), (_place() == F.col("head")).alias("first")
     )
 
 
-def drop_near_copies(
-    docs: DataFrame, shingle: int = 5, max_diff: int = 4, exact: int = EXACT, words: int = 1, similarity: float = SIMILARITY
-) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, bound: int = BOUND) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; the columns of docs."""
-    copies = near_duplicates(docs, shingle, max_diff, exact, words, similarity)
+    copies = near_copies(docs, shingle, similarity, bound)
     kept = publish(copies.where("first").select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_hash_")), "kept")
     repeated = kept.count() - kept.distinct().count()
     text_hash = F.xxhash64(text_of(docs["text"]))

@@ -305,75 +305,118 @@ def _simhash(text: str | None, n: int) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("max_diff", [4, 8])
-def test_near_dedup(rows, docs, empty, max_diff):
-    fps = [_simhash(r[1], 4) for r in rows]
-    parent = list(range(len(rows)))
+def _components(n: int, pairs) -> list[int]:
+    parent = list(range(n))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in range(len(rows)):
-        for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= max_diff:
-                parent[max(root(a), root(b))] = min(root(a), root(b))
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(k) for k in range(n)]
+
+
+@pytest.mark.parametrize(("max_diff", "exact", "bound"), [(4, None, near_dedup.BOUND), (8, 2, near_dedup.BOUND), (4, 3, 8), (8, 2, 16)])
+def test_near_dedup(rows, docs, empty, max_diff, exact, bound):
+    fps = [_simhash(r[1], 4) for r in rows]
+    roots = _components(len(rows), ((a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= max_diff))
     groups = defaultdict(list)
     for k in range(len(rows)):
-        groups[root(k)].append(rows[k][0])
-    want = [(rows[k][0], f"{fps[k]:016x}", min((i for i in groups[root(k)] if i is not None), default=None)) for k in range(len(rows))]
-    got = near_dedup.near_duplicates(docs, 4, max_diff).select("doc_id", "fingerprint", "component_id").collect()
+        groups[roots[k]].append(rows[k][0])
+    want = [(rows[k][0], f"{fps[k]:016x}", min((i for i in groups[roots[k]] if i is not None), default=None)) for k in range(len(rows))]
+    got = near_dedup.near_duplicates(docs, 4, max_diff, exact, bound).select("doc_id", "fingerprint", "component_id").collect()
     assert bag(got) == bag(want)
     assert near_dedup.near_duplicates(empty).count() == 0
-    assert near_dedup.drop_near_copies(docs, 4, max_diff).count() == len(groups)
-
-
-def test_near_dedup_of_several_words(spark):
-    """Pairs link when any word of their fingerprints is near; copies of a similarity above 0.8 are found."""
-    rng, texts, near = np.random.default_rng(8), [], []
-    for k in range(300):
-        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
-        texts.append((2 * k, " ".join(w)))
-        for at in rng.choice(200, 3, replace=False):
-            w[at] = "changed"
-        texts.append((2 * k + 1, " ".join(w)))
-        shingles = [{tuple(t.split()[a : a + 5]) for a in range(196)} for _, t in texts[-2:]]
-        near.append(len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]))
-    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, 5, 7, words=4).collect()}
-    prints = {i: near_dedup.simhash(t.encode(), 5, 4) for i, t in texts}
-    linked = [any((a ^ b).bit_count() <= 7 for a, b in zip(prints[2 * k], prints[2 * k + 1], strict=True)) for k in range(300)]
-    assert [got[2 * k + 1] == 2 * k for k in range(300)] == linked and all(got[2 * k] == 2 * k for k in range(300))
-    assert np.mean(linked) > 0.75 and np.median(near) > 0.8
-
-
-def test_near_copies_are_verified(spark):
-    """Near fingerprints link texts of a similarity of 0.8 alone, and a failing pair hides no link that holds."""
+
+
+def _shingles(text: str | None) -> set:
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def _alike_pairs(texts, similarity=0.8):
+    """Places of all pairs of texts with a Jaccard similarity of the shingles of so much."""
+    sets, holders = [_shingles(t) for t in texts], defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s or {None}:
+            holders[x].append(k)
+    common = Counter((a, b) for held in holders.values() for n, a in enumerate(held) for b in held[:n])
+    return {(a, b) for (a, b), n in common.items() if n >= similarity * max(1, len(sets[a]) + len(sets[b]) - n)}
+
+
+def test_near_copies_of_awkward_rows(rows, docs, empty):
+    """The links are those of an all-pairs comparison; of each component one document stays."""
+    roots = _components(len(rows), _alike_pairs([r[1] for r in rows]))
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[roots[k]].append(rows[k][0])
+    want = [(r[0], min((i for i in groups[roots[k]] if i is not None), default=None)) for k, r in enumerate(rows)]
+    assert bag(near_dedup.near_copies(docs).select("doc_id", "component_id").collect()) == bag(want)
+    assert near_dedup.drop_near_copies(docs).count() == len(groups)
+    assert near_dedup.near_copies(empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """Texts and their edits, many of them just above or below the similarity, some edits of edits, and one large group of copies of a template."""
     rng, texts = np.random.default_rng(9), []
-    for _ in range(40):
+    for _ in range(60):
         first = [f"w{x}" for x in rng.integers(0, 5000, 150)]
-        for edits in (0, 1, 2, 4, 6, 9):
+        for edits in (0, 1, 2, 3, 4, 6, 9):
             w = list(texts[-1]) if edits in (2, 6) else list(first)
             for at in rng.choice(150, edits, replace=False):
                 w[at] = f"e{rng.integers(9999)}"
             texts.append(w)
-    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id bigint, text string")
-    prints = [near_dedup.simhash(" ".join(w).encode(), 5, 4) for w in texts]
-    shingles = [{tuple(w[a : a + 5]) for a in range(146)} for w in texts]
-    parent, below = list(range(len(texts))), 0
-    for a in range(len(texts)):
-        for b in range(a):
-            if any((x ^ y).bit_count() <= 8 for x, y in zip(prints[a], prints[b], strict=True)):
-                if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
-                    old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
-                    parent = [new if p == old else p for p in parent]
-                else:
-                    below += 1
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, 5, 8, words=4).collect()}
-    assert [got[k] for k in range(len(texts))] == parent and below > 10
-    kept = near_dedup.drop_near_copies(frame, 5, 8, words=4).collect()
-    assert {r.doc_id for r in kept} == set(parent)
+    template = [f"t{x}" for x in range(200)]
+    texts += [[*template[:k], f"x{j}", *template[k + 1 :]] for j, k in enumerate(rng.integers(0, 200, 150).tolist())]
+    return [" ".join(w) for w in texts]
+
+
+@pytest.mark.parametrize("bound", [near_dedup.BOUND, 20])
+def test_near_copies_of_edited_texts(spark, edited, bound):
+    """A failing candidate hides no link that holds, whatever the number of members that meet at once."""
+    frame = spark.createDataFrame(list(enumerate(edited)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_copies(frame, bound=bound).collect()}
+    pairs = _alike_pairs(edited)
+    want = _components(len(edited), pairs)
+    assert all(want[k] == want[got[k]] for k in got)  # nothing is linked that shouldn't be
+    assert np.mean([got[a] == got[b] for a, b in pairs]) >= 0.99
+    if bound < near_dedup.BOUND:
+        whole = {r.doc_id: r.component_id for r in near_dedup.near_copies(frame).collect()}
+        assert whole == got
+
+
+def test_near_copies_are_found_in_the_documents(spark):
+    """Recall of 0.9 and more at the stated similarity, on the driver's documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) < 20000")  # the brute force below needs small texts
+    rows = {r.text: r.doc_id for r in docs.collect() if r.text}  # a row for each different text
+    frame = spark.createDataFrame([(i, t) for t, i in rows.items()], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_copies(frame).collect()}
+    texts, ids = list(rows), list(rows.values())
+    sets, holders = [_shingles(t) for t in texts], defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in sorted(s, key=hash)[: len(s) // 5 + 1]:  # similar texts share one of these, as the order is the same in all
+            holders[x].append(k)
+    met = {(a, b) for held in holders.values() if len(held) < 200 for n, a in enumerate(held) for b in held[:n]}
+    alike = [(ids[a], ids[b]) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = [got[a] == got[b] for a, b in alike]
+    assert len(found) > 30 and np.mean(found) >= 0.95
+
+
+def test_near_copies_meet_in_proportion_to_the_rows(spark):
+    """Pairs that share a key grow about as the rows do, because the keys' width does."""
+    met = []
+    for sf in ("0.01", "0.1"):
+        docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").dropDuplicates(["text"])
+        keys = near_dedup.sketches(docs, 5, *near_dedup.key_plan(docs.count(), near_dedup.SIMILARITY)).select(F.explode("keys").alias("key"))
+        met.append(keys.groupBy("key").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0])
+    assert met[1] < 25 * met[0]
+    for n in (10**3, 10**6, 10**9):
+        width, n_keys = near_dedup.key_plan(n, 0.8)
+        assert n / 2**width <= near_dedup.BUCKET and width < 47 and n_keys < 1 << 16
+        assert n / 2 ** (near_dedup.exact_for(n, 4) * (64 // (4 + near_dedup.exact_for(n, 4)))) <= near_dedup.BUCKET
 
 
 def test_pigeonring_loses_no_link():
@@ -382,6 +425,8 @@ def test_pigeonring_loses_no_link():
         bits = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, max_diff + 1), replace=False)) for _ in range(3000)]
         assert near_dedup.pigeonring(np.array(bits, np.uint64), max_diff, n).all()
         assert near_dedup.pigeonring(rng.integers(0, 2**63, 3000).astype(np.uint64), max_diff, n).mean() < 0.2
+    two = np.array([[sum(1 << int(b) for b in half) for half in (c[c < 64], c[c >= 64] - 64)] for c in (rng.choice(128, rng.integers(0, 33), replace=False) for _ in range(3000))], np.uint64).T
+    assert near_dedup.pigeonring(two, 32, 8).all()
 
 
 def test_components_of_paths_and_stars(spark):

@@ -18,7 +18,7 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     quality, lines, near, mixed, pieces = results
     assert quality_rules.quality_report(quality).where("not kept and not base_failed").count() == 0
     assert 0 < lines.count() <= quality.count()
-    groups = near_dedup.near_duplicates(lines, corpus_pipeline.SHINGLE, corpus_pipeline.MAX_DIFF, words=corpus_pipeline.WORDS)
+    groups = near_dedup.near_copies(lines, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY)
     assert {r.doc_id for r in near.collect()} == {r.component_id for r in groups.collect()}
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near.collect()}
     whole = pieces.groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).collect()
