@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from gridloom.llm.shared import documents, publish
 
-#: Near copies: fingerprints of five-word shingles of which one of WORDS 64-bit words differs in at most MAX_DIFF bits
-#: find the pairs; those whose sets of shingles have at least this Jaccard similarity link.
-SHINGLE, MAX_DIFF, WORDS = 5, 8, 4
+#: Near copies: texts whose sets of five-word shingles have at least this Jaccard similarity.
+SHINGLE = 5
 SIMILARITY = 0.8
 
 
@@ -32,7 +31,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dedup.drop_near_copies(docs, SHINGLE, MAX_DIFF, words=WORDS, similarity=SIMILARITY)
+    return near_dedup.drop_near_copies(docs, SHINGLE, SIMILARITY)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
