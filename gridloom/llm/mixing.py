@@ -3,21 +3,23 @@
 Sizes are words. Sources in code point order (null last) weigh 5, 2, 1, repeating. The targets share the total
 size by weight; a target stops at 3 times its source's size and the excess is shared by weight among the rest.
 
-How much of a source is taken: whole passes over it, and one part of a further pass. Documents stand in the
-order of a seeded hash (those larger than the whole part are left aside); that order is cut where the part ends, found by descending a 256-ary tree of hash
-prefixes (at most 256 sums a source and level, never a source's documents in one task). What the cut leaves
-is filled, a document at a time, with the largest untaken document that still fits. Only where more than
-TOLERANCE of a target then lacks (a source of a few documents, none of which fits) one more document is taken
-in part: its first words.
+How large a source's quota is: whole passes over it, and one part of a further pass. Documents stand in the
+order of a seeded hash (those larger than the whole part are left aside); that order is cut where the part ends, found by
+descending a tree of hash prefixes (at most 65,536 sums a source and level, two levels, never a source's documents in one
+task). What the cut leaves is filled, largest first, with untaken documents that still fit, one of a size. Only where more
+than TOLERANCE of a target then lacks (a source of a few documents, none of which fits) one more document is taken
+in part: its first words, line by line.
 
 Where it goes: the first 8 bits of the hash name a source's blocks, so they are a random permutation of its
 documents. The tree splits the sources' exact block quotas in two, again and again, drawing each half's
 quotas from a multivariate hypergeometric distribution, until every output shard has its own; a shard then
-takes disjoint runs of each source's blocks and is shuffled locally by another hash.
+takes disjoint runs of each source's blocks and is shuffled locally by another hash. A document is taken once for each
+time that a shard draws its block, up to the cut in the last block.
 
-Defined results: a null text has size 0; null is a source of its own, the last; rows that repeat doc_id and
-text hash alike and are taken alike; with no words all targets are 0; an empty table gives an empty result;
-everything is a function of the rows and the seed, so reruns agree.
+Defined results: a null text has size 0; null is a source of its own, the last; rows that repeat source, doc_id and text
+are numbered and each has a hash of its own (which of them is taken is open, as they can't be told apart by these); with
+no words all targets are 0; an empty table gives an empty result; everything is a function of the rows and the seed, so
+reruns agree.
 """
 
 from __future__ import annotations
@@ -37,13 +39,16 @@ MAX_REPEATS = 3
 SHARDS = 256
 SEED = 20_260_101
 #: Documents that may be added one by one where a source's part ends.
-FILLERS = 6
+FILLERS = 16
+#: Equal rows that are numbered in one task.
+ROWS_PER_SALT = 10_000
 #: A shard of more words than this is laid out in several parts, each shuffled on its own.
 WORDS_PER_PART = 1 << 21
 #: Share of a target that may lack before a document is taken in part.
 TOLERANCE = 0.001
-_LEVELS, _BITS = 4, 8
-_BLOCKS = 1 << _BITS
+_LEVELS, _BITS = 2, 16
+_BLOCK_BITS = 8
+_BLOCKS = 1 << _BLOCK_BITS
 
 
 def _size() -> Column:
@@ -77,13 +82,13 @@ def _on_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
 
 
 def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: passes, cut (of the first 32 bits of the hash), fillers (hashes taken beyond the cut)."""
+    """Per source: passes, cut (of the first 32 bits of the hash), fillers (hashes taken beyond the cut), part_h and part_words."""
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(0)
     plan = targets.withColumn("passes", whole.cast("bigint")).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
     plan = publish(plan.withColumns({"cut": F.lit(0).cast("bigint"), "fit": F.col("need")}), "cuts", 1)
     for level in range(_LEVELS):
         prefix = F.lit(0).cast("bigint") if level == 0 else F.shiftrightunsigned("h", 64 - _BITS * level)
-        digit = F.shiftrightunsigned("h", 64 - _BITS * (level + 1)).bitwiseAND(F.lit(_BLOCKS - 1))
+        digit = F.shiftrightunsigned("h", 64 - _BITS * (level + 1)).bitwiseAND(F.lit((1 << _BITS) - 1))
         open_rows = _on_source(rows, plan.select("source", "cut", "fit")).where((prefix == F.col("cut")) & (F.col("size") <= F.col("fit")))
         sums = open_rows.groupBy("source", digit.alias("digit")).agg(F.sum("size").alias("mass"))
         upto = F.sum("mass").over(Window.partitionBy("source").orderBy("digit"))
@@ -91,30 +96,37 @@ def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
         first = F.min(F.when(F.col("upto") > F.col("need"), F.struct("upto", "digit", "mass")))
         edges = sums.groupBy("source").agg(first.alias("edge"), F.max("upto").alias("all"))
         below = F.col("edge.upto") - F.col("edge.mass")
-        everything = F.lit(_BLOCKS if level == 0 else 0)  # all that may be taken is less than what is needed
+        everything = F.lit(1 << _BITS if level == 0 else 0)  # all that may be taken is less than what is needed
         plan = _on_source(plan, edges, "left").select(
             "source", "source_size", "target", "passes", "fit", (F.col("need") - F.coalesce(below, "all", F.lit(0))).alias("need"),
-            (F.col("cut") * _BLOCKS + F.when(F.col("all").isNull(), F.lit(0)).otherwise(F.coalesce("edge.digit", everything))).alias("cut"),
+            (F.col("cut") * (1 << _BITS) + F.when(F.col("all").isNull(), F.lit(0)).otherwise(F.coalesce("edge.digit", everything))).alias("cut"),
         )
         plan = publish(plan, "cuts", 1)
-    plan = plan.withColumn("fillers", F.array().cast("array<bigint>"))
-    for turn in range(FILLERS + 1):
-        last = turn == FILLERS
-        untaken = _on_source(rows, plan.select("source", "cut", "fit", "fillers", "need", "target")).where(
-            ~((F.shiftrightunsigned("h", 32) < F.col("cut")) & (F.col("size") <= F.col("fit"))) & (F.col("size") > 0) & ~F.array_contains("fillers", F.col("h"))
-        )
-        wanted = F.col("need") > F.greatest(F.lit(0.5), TOLERANCE * F.col("target"))
-        best = untaken.where(wanted & (F.col("size") > F.col("need")) if last else F.col("size") <= F.col("need"))
-        best = best.groupBy("source").agg((F.min if last else F.max)(F.struct("size", "h")).alias("best"))
-        plan = _on_source(plan, best, "left")
-        if last:
-            parted = plan.withColumns({"part_h": F.col("best.h"), "part_words": F.when(F.col("best").isNotNull(), F.round("need").cast("bigint"))})
-            return publish(parted.drop("best"), "cuts", 1)
-        plan = plan.select(
-            "source", "source_size", "target", "passes", "fit", "cut", (F.col("need") - F.coalesce("best.size", F.lit(0))).alias("need"),
-            F.when(F.col("best").isNull(), F.col("fillers")).otherwise(F.array_append("fillers", F.col("best.h"))).alias("fillers"),
+    return publish(_filled(rows, plan), "cuts", 1)
+
+
+def _filled(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan with fillers, part_h and part_words. A source's untaken documents give one row for each size up to what is needed, and one for all above."""
+    untaken = _on_source(rows, plan.select("source", "cut", "fit", "need")).where(~_below_cut() & (F.col("size") > 0))
+    sizes = untaken.groupBy("source", F.least(F.col("size"), F.floor("need") + 1).alias("class")).agg(F.min(F.struct("size", "h")).alias("doc"))
+    sizes = sizes.groupBy("source").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("docs"))
+    plan = _on_source(plan, sizes, "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<struct<size:bigint,h:bigint>>")))
+
+    def step(acc: Column, doc: Column) -> Column:
+        fits = (doc["size"] <= acc["need"]) & (F.size(acc["fillers"]) < FILLERS)
+        return F.struct(
+            F.when(fits, acc["need"] - doc["size"]).otherwise(acc["need"]).alias("need"),
+            F.when(fits, F.array_append(acc["fillers"], doc["h"])).otherwise(acc["fillers"]).alias("fillers"),
         )
-        plan = publish(plan, "cuts", 1)
+
+    start = F.struct(F.col("need").alias("need"), F.array().cast("array<bigint>").alias("fillers"))
+    plan = plan.withColumn("filled", F.aggregate("docs", start, step))
+    left, fillers = F.col("filled.need"), F.col("filled.fillers")
+    over = F.array_min(F.filter("docs", lambda d: (d["size"] > left) & ~F.array_contains(fillers, d["h"])))
+    parted = (left > F.greatest(F.lit(0.5), TOLERANCE * F.col("target"))) & over.isNotNull()
+    return plan.select(
+        "source", "source_size", "target", "passes", "fit", "cut", fillers.alias("fillers"), F.when(parted, over["h"]).alias("part_h"), F.when(parted, F.round(left).cast("bigint")).alias("part_words")
+    )
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -129,7 +141,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def _cut_block() -> Column:
-    return F.least(F.shiftrightunsigned("cut", _BITS * (_LEVELS - 1)), F.lit(_BLOCKS - 1))
+    return F.least(F.shiftrightunsigned("cut", _BITS * _LEVELS - _BLOCK_BITS), F.lit(_BLOCKS - 1))
 
 
 def _with_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -148,52 +160,98 @@ def _with_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     return publish(_on_source(plan, bounds).withColumn("parts", parts.cast("bigint")), "mix-plan", 1)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (source, h and more) with another h for each further one of those that agree in both.
+
+    Repeated rows are dealt to salts of ROWS_PER_SALT rows, numbered within these, and the salts' counts (a row per salt) offset the numbers.
+    """
+    repeated = publish(rows.groupBy(F.col("source").alias("source_r_"), F.col("h").alias("h_r_")).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1"), "repeated")
+    if repeated.isEmpty():
+        return rows
+    on = rows["source"].eqNullSafe(F.col("source_r_")) & (rows["h"] == F.col("h_r_"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("n_") / ROWS_PER_SALT))
+    dealt = publish(rows.join(repeated, on).drop("source_r_", "h_r_").withColumn("salt_", salt), "repeated-rows")
+    counts = dealt.groupBy(F.col("source").alias("source_r_"), F.col("h").alias("h_r_"), F.col("salt_").alias("salt_r_")).agg(F.count(F.lit(1)).alias("in_salt_"))
+    before = F.sum("in_salt_").over(Window.partitionBy("source_r_", "h_r_").orderBy("salt_r_")) - F.col("in_salt_")
+    offsets = publish(counts.withColumn("before_", before).drop("in_salt_"), "offsets")
+    within = F.row_number().over(Window.partitionBy("source", "h", "salt_").orderBy(F.lit(0))) - 1
+    same = F.col("source").eqNullSafe(F.col("source_r_")) & (F.col("h") == F.col("h_r_")) & (F.col("salt_") == F.col("salt_r_"))
+    dealt = dealt.withColumn("within_", within).join(offsets, same)
+    number = F.col("within_") + F.col("before_")
+    dealt = dealt.withColumn("h", F.when(number == 0, F.col("h")).otherwise(F.xxhash64("h", number))).select(*rows.columns)
+    return rows.join(repeated, on, "left_anti").unionByName(dealt)
+
+
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), _hash(seed).alias("h"))
 
 
-def _copies() -> Column:
-    """Whole copies."""
-    extra = (F.shiftrightunsigned("h", 32) < F.col("cut")) & (F.col("size") <= F.col("fit")) | F.array_contains("fillers", F.col("h"))
-    return F.col("passes") + extra.cast("bigint")
+def _below_cut() -> Column:
+    return (F.shiftrightunsigned("h", 32) < F.col("cut")) & (F.col("size") <= F.col("fit"))
+
+
+def _unit(turn: Column) -> Column:
+    """The number of a document's block in pass `turn` among all that the shards draw of its source."""
+    block = F.least(F.shiftrightunsigned("h", 64 - _BLOCK_BITS), F.when(turn == F.col("passes"), _cut_block()).otherwise(_BLOCKS))
+    return turn * _BLOCKS + block
+
+
+def _turns() -> Column:
+    """The passes in which a shard draws the document's block and, in the last one, the document stands before the cut or fills up."""
+    drawn = F.element_at("bounds", -1)
+    extra = _below_cut() | F.array_contains("fillers", F.col("h"))
+    passes = F.sequence(F.lit(0).cast("bigint"), F.col("passes"))
+    return F.filter(passes, lambda t: (_unit(t) < drawn) & ((t < F.col("passes")) | extra))
 
 
 def _part() -> Column:
     """Words of one more copy that is taken in part."""
-    return F.when(F.col("h") == F.col("part_h"), F.col("part_words")).otherwise(F.lit(0))
+    return F.coalesce(F.when(F.col("h") == F.col("part_h"), F.col("part_words")), F.lit(0))
 
 
 def _shard(turn: Column) -> Column:
-    """The shard of a document's copy in pass `turn`."""
-    block = F.least(F.shiftrightunsigned("h", 64 - _BITS), F.when(turn == F.col("passes"), _cut_block()).otherwise(_BLOCKS))
-    unit = turn * _BLOCKS + block
-    return F.size(F.filter("bounds", lambda b: b <= unit))
+    """The shard that draws a document's block in pass `turn`."""
+    return F.size(F.filter("bounds", lambda b: b <= _unit(turn)))
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text: whole lines, and of the last one its first words, a space between them."""
+
+    def step(acc: Column, line: Column) -> Column:
+        words = words_of(line)
+        cut = F.when(F.size(words) <= acc["left"], line).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(acc["left"], F.lit(0))), " "))
+        more = F.when(acc["left"] > 0, F.array_append(acc["lines"], cut)).otherwise(acc["lines"])
+        return F.struct((acc["left"] - F.size(words)).alias("left"), more.alias("lines"))
+
+    start = F.struct(n.cast("int").alias("left"), F.array().cast("array<string>").alias("lines"))
+    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: F.array_join(acc["lines"], "\n"))
 
 
 def mix_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(rows with doc_id, source, size, h; the plan of each source)."""
     rows = publish(_sized(docs, seed), "sizes")
+    numbered = _numbered(rows)
+    rows = rows if numbered is rows else publish(numbered, "sizes")
     return rows, _with_shards(_cuts(rows, source_targets(rows)), shards, seed)
 
 
 def mix_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, copies, shard (of its first copy)."""
     rows, plan = mix_plan(docs, shards, seed)
-    joined = _on_source(rows, plan).withColumn("copies", _copies())
-    first = F.when((F.col("copies") > 0) | (F.coalesce(_part(), F.lit(0)) > 0), F.when(F.col("passes") > 0, _shard(F.lit(0).cast("bigint"))).otherwise(_shard(F.col("passes"))))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.coalesce(_part(), F.lit(0))).alias("taken"), "copies", first.alias("shard"))
+    joined = _on_source(rows, plan).withColumns({"turns": _turns(), "part": _part()}).withColumn("copies", F.size("turns"))
+    first = F.when(F.col("copies") > 0, _shard(F.get("turns", F.lit(0)))).when(F.col("part") > 0, _shard(F.col("passes")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"), F.col("copies").cast("bigint").alias("copies"), first.alias("shard"))
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: a row per copy, shard by shard, each shard shuffled; the columns of docs."""
     _, plan = mix_plan(docs, shards, seed)
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").cast("string").alias("source"), _hash(seed).alias("h"), _size().alias("size"))
-    copies = _on_source(keyed, plan).withColumn("part", F.coalesce(_part(), F.lit(0)))
-    copies = copies.withColumn("last", _copies() - F.when(F.col("part") > 0, 0).otherwise(1)).where("last >= 0")
-    copies = copies.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))))
-    parted = (F.col("part") > 0) & (F.col("turn") == F.col("last"))
-    text = F.when(parted, F.array_join(F.slice(words_of(text_of(F.col("doc.text"))), F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("doc.text"))
-    doc = F.struct(*with_text(docs, F.col("doc"), text))
+    copies = _on_source(_numbered(keyed), plan).withColumn("part", _part())
+    turns = F.when(F.col("part") > 0, F.array_append(_turns(), F.col("passes"))).otherwise(_turns())
+    copies = copies.withColumn("turns", turns).select("*", F.posexplode("turns").alias("copy", "turn"))
+    parted = (F.col("part") > 0) & (F.col("copy") == F.size("turns") - 1)
+    doc = F.struct(*with_text(docs, F.col("doc"), _first_words(text_of(F.col("doc.text")), F.col("part"))))
     doc = F.when(parted, doc).otherwise(F.col("doc"))
     copies = copies.select(doc.alias("doc"), _shard(F.col("turn")).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "turn").alias("order"), "parts")
     copies = copies.withColumn("part", F.pmod("order", "parts"))
