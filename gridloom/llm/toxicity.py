@@ -2,16 +2,18 @@
 
 Fit: at most MAX_EXAMPLES labelled rows of either class (the smallest by a hash) are the examples, near copies
 of an earlier one left out; the class totals over all labels weigh their votes. Terms are lower-cased words and
-4- and 5-letter word beginnings, each with its count's levels; the vocabulary is at most MAX_TERMS terms that
-occur in more toxic than clean examples by a clear ratio and with enough evidence. Document
-frequencies for the idf weights are counted over all documents. Examples and vocabulary are bounded by these
-parameters, so the index has a proven size and goes to every task.
+4- and 5-letter word beginnings, each with levels of its count and of its share of the text's words. The vocabulary is
+a choice among the examples' terms: all that occur in more toxic than clean examples by a clear ratio and with enough
+evidence. (Cosine over all terms finds texts on the same subject, toxic or not; the README has its figures.) Document
+frequencies for the idf weights are counted over all documents. The examples are bounded by the parameter, and by these
+the vocabulary, so the index has a proven size and goes to every task.
 
 Score: a document's vector is compared with the examples in blocks of BLOCK. A block's bound is the sum, over the
 document's terms, of weight times the block's largest weight; blocks are visited from the highest bound down and
 the search ends when no bound exceeds the K-th best cosine, so the K nearest are exact. Each votes for its label
 with weight 1 / (1.05 - cosine); the toxic share, smoothed by the share of toxic among all labels, is the score,
-and the neighbours are the evidence. A text with no term of the vocabulary scores as examples with none do.
+and the neighbours are the evidence. A text with no term of the vocabulary has a cosine of 0 with every example; its
+score is the share of toxic among the examples that have none either.
 
 Defined results: a null text is the empty text; labels that are null, or of documents that don't exist, are
 ignored, repeated labels of a document count once (the larger); without any usable label every score is 0; rows
@@ -35,12 +37,13 @@ from pyspark.sql import functions as F
 from gridloom.llm.shared import publish, text_of
 
 MAX_EXAMPLES = 4096
-MAX_TERMS = 1024
 MIN_EXAMPLES_OF_TERM = 3
 #: Log-likelihood ratio of a term's class counts, at least: about one in 10^5 by chance.
 MIN_EVIDENCE = 20.0
 #: Counts that a term has features for.
 LEVELS = 4
+#: Shares of a text's words that a term has features for, if it occurs twice or more.
+RATES = (0.005, 0.01, 0.02, 0.04)
 #: Times that a term's share of toxic examples exceeds its share of clean ones, at least.
 MIN_RATIO = 6.0
 BLOCK, K = 64, 15
@@ -52,22 +55,28 @@ _WORD = re.compile(r"\w+")
 def term_counts(text: str, vocabulary: dict[str, int] | None = None, bases: frozenset[str] | None = None) -> Counter:
     """Terms of a text and how often each occurs; only those of the vocabulary (built on bases), if one is given.
 
-    A term that occurs n times also counts as term+ (n - 1 times), term++ (n - 2) and so on, LEVELS in all, so
-    that a vector tells a single occurrence from many although its length is 1.
+    A term that occurs n times also counts as term+ (n - 1 times), term++ (n - 2) and so on, LEVELS in all, so that a
+    vector tells a single occurrence from many although its length is 1; and as term%, term%% ... for each of the RATES
+    that its share of the words reaches, so that it tells a short text with a few from a long one.
     """
     out: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items():
+    words = _WORD.findall(text.lower())
+    for word, n in Counter(words).items():
         for term in (word, word[:4] + "*", word[:5] + "*") if len(word) > 5 else (word,):
             if bases is None or term in bases:
                 out[term] += n
     for term, n in list(out.items()):
         for k in range(1, min(n, LEVELS)):
             out[term + "+" * k] = n - k
+        if n > 1:
+            for k, rate in enumerate(RATES, 1):
+                if n >= rate * len(words):
+                    out[term + "%" * k] = 1
     return out if vocabulary is None else Counter({t: n for t, n in out.items() if t in vocabulary})
 
 
 def base_terms(vocabulary: dict[str, int]) -> frozenset[str]:
-    return frozenset(t.rstrip("+") for t in vocabulary)
+    return frozenset(t.rstrip("+%") for t in vocabulary)
 
 
 def signatures(text: str) -> list[int]:
@@ -193,7 +202,7 @@ def _examples(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[DataFrame
     return publish(texts.join(F.broadcast(kept), "doc_id"), "fresh-examples"), totals
 
 
-def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
+def _vocabulary(examples: DataFrame) -> list[str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
@@ -217,7 +226,7 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
     part = lambda n, size: F.when(n > 0, n * F.log(n / (expected * size))).otherwise(0.0)
     evidence = F.round(2 * (part(F.col("n1"), n_toxic) + part(F.col("n0"), n_clean)), 6)
     useful = counts.where((F.col("n1") >= MIN_EXAMPLES_OF_TERM) & (toxic >= MIN_RATIO * clean)).withColumn("evidence", evidence).where(F.col("evidence") >= MIN_EVIDENCE)
-    return [r["term"] for r in useful.orderBy(F.col("evidence").desc(), "term").limit(max_terms).select("term").collect()]
+    return [r["term"] for r in useful.orderBy(F.col("evidence").desc(), "term").select("term").collect()]  # terms of the bounded examples
 
 
 def _frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
@@ -244,9 +253,9 @@ def _frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, in
     return df, n_docs
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
     examples, totals = _examples(docs, labels, max_examples)
-    vocabulary = _vocabulary(examples, max_terms)
+    vocabulary = _vocabulary(examples)
     df, n_docs = _frequencies(docs, vocabulary)
     number = {t: k for k, t in enumerate(vocabulary)}
     shared = docs.sparkSession.sparkContext.broadcast((number, base_terms(number)))
