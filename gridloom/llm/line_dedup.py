@@ -62,7 +62,7 @@ def _ranks(rows: DataFrame, key: list[str], rank: str) -> DataFrame:
 def _runs(shared: DataFrame, min_words: int) -> DataFrame:
     """shared with island (consecutive lines) and n, last_line: the shortest run from here that has min_words."""
     by_doc = Window.partitionBy(*_DOC).orderBy("seq")
-    rows = shared.withColumn("repeated_", F.coalesce(F.lag("seq").over(by_doc) == F.col("seq"), F.lit(False))).where("not repeated_").drop("repeated_")
+    rows = shared.dropDuplicates([*_DOC, "seq"])  # of rows that repeat doc_id and text, before a document's lines meet in one window
     rows = rows.withColumn("island", F.col("seq") - F.row_number().over(by_doc))
     rows = rows.withColumn("before", F.sum("words").over(by_doc) - F.col("words"))
     ahead = Window.partitionBy(*_DOC, "island").orderBy("before").rangeBetween(0, min_words - 1)
@@ -116,8 +116,7 @@ def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     runs = runs.groupBy(*_DOC).agg(F.collect_list(F.struct("first_line", "last_line")).alias("runs_"))  # a document's own runs
     runs = publish(runs, "deleted").select(F.col("doc_id").alias("doc_r_"), F.col("text_hash").alias("hash_r_"), "runs_")
     on = docs["doc_id"].cast("bigint").eqNullSafe(F.col("doc_r_")) & (F.xxhash64(text_of(docs["text"])) == F.col("hash_r_"))
-    # always by shuffle: a broadcast below some size would hide what the join costs beyond it
-    out = docs.join(runs.hint("merge"), on, "left").drop("doc_r_", "hash_r_")
+    out = docs.join(runs, on, "left").drop("doc_r_", "hash_r_")
     kept = F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.exists("runs_", lambda r: (r["first_line"] <= i) & (i <= r["last_line"])))
     return out.withColumn("clean_text", F.when(F.col("runs_").isNull(), text_of()).otherwise(F.array_join(kept, "\n")))
 
