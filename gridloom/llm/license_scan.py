@@ -28,7 +28,6 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 #: Confidence of a detection, by tier; a base phrase counts as tier 0.
 CONFIDENCE = (1.0, 0.9, 0.7)
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A line break, with the marks that end a comment's line before it and begin the next one after it.
 WRAP = r" ?(\*/|\*|-->)? ?[\r\n] ?((//[/!]?|/?\*+|#+|;+|--+|%+|<!--|>+|rem|dnl|\|)(?=\s))?"
 #: Every rule and phrase has one of these in it: plain strings, which are cheap to look for, and two patterns.
@@ -102,7 +101,7 @@ def detections(docs: DataFrame) -> DataFrame:
     """docs with n_words, base (label and starts of each phrase) and found (detections kept)."""
     text = text_of()
     rules = F.from_json(F.lit(json.dumps(RULES)), _RULE)
-    n_words = F.size(F.filter(F.split(text, SEPARATORS), lambda w: w != "")).cast("bigint")
+    n_words = F.regexp_count(text, F.lit(WORD)).cast("bigint")
     gate = let(_folded(F.lower(text)), can_hold)  # lower() folds more than A-Z, so it lets no more than a few other texts through
     gated = docs.withColumn("n_words", n_words).withColumn("low_", F.when(gate, F.translate(text, _UPPER, _LOWER))).withColumn("flat_", _folded(F.col("low_")))
     words = F.regexp_extract_all(F.col("low_"), F.lit(WORD), F.lit(0))
