@@ -13,7 +13,8 @@ fingerprints differ with a probability of arccos(2 s / (1 + s)) / pi at most; fu
 cut into segments of a width that grows with the number of rows, so many of them that RECALL of the pairs at exactly
 SIMILARITY agree in one (of more similar pairs, more). Texts that share a segment meet if their numbers of shingles
 allow that similarity; 128 more bits are their fingerprint, with the radius that all but 2 in 1,000 of those pairs are
-within. What passes is a candidate, and links if the sets of shingles themselves are as similar as that.
+within. What passes is a candidate. Components of candidates are cut down to those that links of sets of shingles that are
+as similar as that make.
 
 Pairs that meet must pass the pigeonring: from some segment of the fingerprint on, the differences of each chain of
 l consecutive segments (round the ring) sum to at most l * max_diff / segments. What remains gets the full Hamming
@@ -32,7 +33,7 @@ table gives an empty result; columns besides doc_id and text don't matter.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +53,8 @@ RECALL = 0.98
 BUCKET = 16
 #: Members of a key that one task compares with each other.
 BOUND = 8192
+#: Members of a component of candidates that one task holds with their sets of shingles.
+GROUP_BOUND = 512
 #: Bits of the fingerprint that near copies are held against each other by, as 64-bit words.
 CHECK_WORDS = 2
 #: Rows of whole keys that a task holds at once, about.
@@ -220,15 +223,11 @@ class Rule:
         return at[_own_key(differing[0, at], keys[at], self.n_segments, self.exact)] if self.exact else at
 
 
-def _forest(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, nodes: np.ndarray, labels: np.ndarray | None, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of links that join all near members of equal key. Rows are sorted by key and size.
-
-    With labels: links between members of different labels, and of these all if they are still to be verified.
-    """
-    _, parent = np.unique(nodes if labels is None else labels, return_inverse=True)
-    parent = parent.astype(np.int64)  # members of one root are joined already
-    joins = labels is None or not rule.similarity
-    group, above = parent.copy(), np.arange(parent.max(initial=-1) + 1)
+def _forest(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, nodes: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of links that join all near members of equal key; equal nodes are joined already. Rows are sorted by key and size."""
+    _, group = np.unique(nodes, return_inverse=True)
+    above = np.arange(group.max(initial=-1) + 1)
+    parent = group
 
     def root(x: int) -> int:
         while above[x] != x:
@@ -244,13 +243,8 @@ def _forest(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, nodes: np.nd
         if not len(at):
             return
         a = at[parent[at] != parent[at + apart]]
-        a = a[rule.passes(words[:, a] ^ words[:, a + apart], keys[a])]
-        if not joins:
-            if len(a):
-                yield a, a + apart
-            continue
         new = []
-        for x in a.tolist():
+        for x in a[rule.passes(words[:, a] ^ words[:, a + apart], keys[a])].tolist():
             p, q = root(group[x]), root(group[x + apart])
             if p != q:
                 above[max(p, q)] = min(p, q)
@@ -262,36 +256,40 @@ def _forest(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, nodes: np.nd
             yield np.array(new), np.array(new) + apart
 
 
-def _met(keyed: DataFrame, rule: Rule, labelled: bool = False) -> DataFrame:
-    """Edges (u, v) among the members of each key and block of keyed: key, block, node, size, w0 ..., label if labelled."""
-    columns = ["key", "block", "node", "size", *(f"w{k}" for k in range(rule.words)), *(["label"] if labelled else [])]
+def _whole_groups(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first two columns, at least so many at once, and no group of these cut."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < at_once:
+            continue
+        table = pa.Table.from_batches(held)
+        first, second = (table.column(k).to_numpy() for k in (0, 1))
+        last = np.flatnonzero((first != first[-1]) | (second != second[-1]))
+        if len(last):
+            yield table.slice(0, int(last[-1]) + 1)
+            held = table.slice(int(last[-1]) + 1).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not len(rows[0]):
-            return
-        place = np.cumsum(np.concatenate(([0], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))))
-        keys = place << _CHOICE_BITS | rows[0] & ((1 << _CHOICE_BITS) - 1)
-        words = np.stack([w.view(np.uint64) for w in rows[4 : 4 + rule.words]])
-        for left, right in _forest(keys, rows[3], words, rows[2], rows[-1] if labelled else None, rule):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[2][left]), pa.array(rows[2][right])], names=["u", "v"])
+
+def _met(keyed: DataFrame, rule: Rule, known: str = "node") -> DataFrame:
+    """Edges (u, v) among the members of each key and block of keyed: key, block, node, size, w0 ...; members of equal `known` are joined already."""
+    columns = ["key", "block", "node", "size", *(f"w{k}" for k in range(rule.words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * len(columns)
-        waiting: list[pa.RecordBatch] = []
-        for b in batches:
-            waiting.append(b)
-            if sum(w.num_rows for w in waiting) < _ROWS_AT_ONCE:
-                continue
-            held = [np.concatenate([h, *(w.column(k).to_numpy() for w in waiting)]) for k, h in enumerate(held)]
-            waiting = []
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            whole = int(last[-1]) + 1 if len(last) else 0
-            yield from links([h[:whole] for h in held])
-            held = [h[whole:] for h in held]
-        yield from links([np.concatenate([h, *(w.column(k).to_numpy() for w in waiting)]) for k, h in enumerate(held)])
-
-    rows = keyed.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block", "size", "node")
-    pairs = rows.mapInArrow(run, "u bigint, v bigint")
+        for table in _whole_groups(batches, _ROWS_AT_ONCE):
+            key, block, nodes, sizes, *words, known = (c.to_numpy() for c in table.columns)
+            place = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
+            keys = place << _CHOICE_BITS | key & ((1 << _CHOICE_BITS) - 1)
+            for left, right in _forest(keys, sizes, np.stack([w.view(np.uint64) for w in words]), known, rule):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[left]), pa.array(nodes[right])], names=["u", "v"])
+
+    rows = keyed.select(*columns, F.col(known).alias("known")).repartition("key", "block").sortWithinPartitions("key", "block", "size", "node")
+    return _distinct_pairs(rows.mapInArrow(run, "u bigint, v bigint"))
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -315,98 +313,126 @@ def _blocks(keyed: DataFrame, hot: DataFrame | None, bound: int) -> DataFrame:
     return keyed.join(hot, "key", "left").withColumn("block", F.when(F.col("members").isNull(), F.lit(0)).otherwise(_block(n)).cast("bigint")).drop("members")
 
 
-def _block_pairs(keyed: DataFrame, hot: DataFrame, bound: int) -> DataFrame:
-    """keyed: labelled members of hot keys. Blocks of members of all labels but the key's largest meet each other and those of the largest."""
-    counts = publish(keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "hot-labels")
+def _block_pairs(keyed: DataFrame, bound: int) -> DataFrame:
+    """keyed (key, node, label ...) with block: blocks of members of all labels but the key's largest meet each other and those of the largest."""
+    counts = publish(keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "key-labels")
     largest = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    half = bound // 4
-    sizes = largest.select(
-        "key", F.col("top.label").alias("top"), F.ceil(F.col("top.n") / half).cast("bigint").alias("tops"), F.ceil((F.col("all") - F.col("top.n")) / half).cast("bigint").alias("others")
-    )
-    sizes = publish(sizes.where("others > 0"), "hot-sizes", 1)
-    rows = keyed.join(sizes, "key")
+    part = bound // 4
+    blocks = lambda n: F.ceil(n / part).cast("bigint")
+    sizes = largest.select("key", F.col("top.label").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("all") - F.col("top.n")).alias("others"))
+    rows = keyed.join(publish(sizes.where("others > 0"), "key-blocks"), "key")
     is_top = F.col("label") == F.col("top")
+    # a pair of blocks is named by its smaller and larger number; blocks of the largest label have the larger numbers
     mine = F.when(is_top, F.col("others") + _block(F.col("tops"))).otherwise(_block(F.col("others")))
-    # a pair of blocks is named by its smaller and larger number; blocks of the largest component have the larger numbers
-    met = F.when(is_top, F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("others") + F.col("tops") - 1))
+    met = F.sequence(F.lit(0).cast("bigint"), F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1)
     rows = rows.withColumn("mine", mine).withColumn("met", F.explode(met))
     name = F.least("mine", "met") * (F.col("others") + F.col("tops")) + F.greatest("mine", "met")
     return rows.withColumn("block", name).drop("mine", "met", "top", "tops", "others")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets of shingles have at least this Jaccard similarity; only their texts are read again."""
+def _labels(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """node, label of every node: the smallest node that it is linked to."""
+    roots = publish(connected_components(edges), "roots", n)
+    return publish(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels", n)
+
+
+def _candidates(nodes: DataFrame, keyed: DataFrame, rule: Rule, bound: int) -> tuple[DataFrame, DataFrame]:
+    """(edges (u, v) that join all that meet and are near; the labels that they give). keyed: key, node, size, w0, ..."""
+    n_nodes = nodes.count()
+    n = parts_for(n_nodes)
+    hot = _hot_keys(keyed, n_nodes, bound)
+    edges = publish(_met(_blocks(keyed, hot, bound), rule), "met", n)
+    labels = _labels(nodes, edges, n)
+    if hot is None:
+        return edges, labels
+    members = keyed.join(hot.select("key"), "key", "left_semi").join(labels, "node")
+    edges = publish(edges.unionByName(_met(_block_pairs(members, bound), rule, "label")), "met", n)
+    return edges, _labels(nodes, edges, n)
+
+
+def _shingle_sets(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles of the wanted (node, least); only their texts are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_buffer().to_pybytes(), shingle).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = publish(nodes.join(ends, "node").select("node", F.col("least.doc_id").alias("doc_id_"), F.col("least.text_hash").alias("text_hash_")), "pair-nodes")
+    wanted = publish(wanted.select("node", F.col("least.doc_id").alias("doc_id_"), F.col("least.text_hash").alias("text_hash_")), "wanted")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.xxhash64("text") == F.col("text_hash_")))
     met = met.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
-    sets = publish(met.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")
+    return publish(met.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles have at least this Jaccard similarity."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     total, common = F.size("a") + F.size("b"), F.size(F.array_intersect("a", "b"))
     return both.where(common >= similarity * (total - common)).select("u", "v")
 
 
-def _labels(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
-    """node, label of every node: the smallest node that it is linked to."""
-    roots = publish(connected_components(edges), "roots", n)
-    return publish(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels", n)
+def _joined(words: np.ndarray, sizes: np.ndarray, labels: np.ndarray, shingles: pa.ListArray, rule: Rule) -> Iterator[tuple[int, int]]:
+    """Places of links whose sets of shingles are similar enough and that join all such members; equal labels are joined already."""
+    _, root = np.unique(labels, return_inverse=True)
+    names, ids = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts, mine = ends - sizes, np.zeros(len(names), bool)
+    for i in range(len(root) - 1):
+        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        j = j[(np.minimum(sizes[i], sizes[j]) >= rule.similarity * np.maximum(sizes[i], sizes[j]))]
+        j = j[rule.passes(words[:, j] ^ words[:, i : i + 1], np.zeros(len(j), np.int64))]
+        if not len(j):
+            continue
+        mine[ids[starts[i] : ends[i]]] = True
+        hits = np.concatenate([[0], np.cumsum(mine[np.concatenate([ids[starts[k] : ends[k]] for k in j])])])
+        upto = np.concatenate([[0], np.cumsum(sizes[j])])
+        common = hits[upto[1:]] - hits[upto[:-1]]
+        mine[ids[starts[i] : ends[i]]] = False
+        j = j[common >= rule.similarity * (sizes[i] + sizes[j] - common)]
+        others, first = np.unique(root[j], return_index=True)
+        yield from ((i, int(k)) for k in j[first])
+        root[np.isin(root, others)] = root[i]
 
 
-def _verified(edges: DataFrame, verify: Callable[[DataFrame], DataFrame], nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges that hold, the labels that they give, edges that fail): one for each node first, of the others those that would join more."""
-    both = lambda pairs, labels: pairs.join(_labelled(labels, "u"), "u").join(_labelled(labels, "v"), "v").where("label_u <> label_v")
-    first = publish(edges.groupBy("u").agg(F.min("v").alias("v")), "tried", n)
-    good = publish(verify(first), "alike", n)
-    labels = _labels(nodes, good, n)
-    rest = publish(both(edges.join(first, ["u", "v"], "left_anti"), labels).select("u", "v"), "tried", n)
-    if not rest.isEmpty():
-        good = publish(good.unionByName(verify(rest)), "alike", n)
-        labels = _labels(nodes, good, n)
-    failed = both(first.unionByName(rest).join(good, ["u", "v"], "left_anti"), labels)
-    return good, labels, publish(failed.select(F.col("label_u").alias("u"), F.col("label_v").alias("v")).distinct(), "failed", n)
+def _linked(grouped: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (u, v) that hold and join all such members of each key and block of grouped: key, block, node, size, w0 ..., label, shingles."""
+    columns = ["key", "block", "node", "size", "label", "shingles", *(f"w{k}" for k in range(rule.words))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 1):
+            table = table.combine_chunks()
+            key, block, nodes, sizes, labels = (table.column(k).to_numpy() for k in range(5))
+            words = np.stack([table.column(k).to_numpy().view(np.uint64) for k in range(6, 6 + rule.words)])
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                sets = table.column(5).chunk(0).slice(a, b - a)
+                pairs = list(_joined(words[:, a:b], sizes[a:b], labels[a:b], sets, rule))
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[a + x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-def _labelled(labels: DataFrame, end: str) -> DataFrame:
-    return labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    rows = grouped.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block", "node")
+    return _distinct_pairs(rows.mapInArrow(run, "u bigint, v bigint"))
 
 
-def _components(nodes: DataFrame, keyed: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame] | None = None, bound: int = BOUND) -> DataFrame:
-    """node, label (the smallest node of its component) of every node. keyed: key, node, size, w0, ...
+def _verified(nodes: DataFrame, edges: DataFrame, loose: DataFrame, sets: DataFrame, rule: Rule, bound: int) -> DataFrame:
+    """The labels that links of similar sets give: node, label.
 
-    Where a candidate link of a forest fails, the forest may have passed over others that hold: of the members of all
-    components that failing links would join, all candidates between different ones are then tested too.
+    One candidate of each node is tried first. Where that doesn't join all of a component of candidates, its members meet
+    again, with their sets: in one group if they are few, else those that share a key, blocks of these in pairs.
     """
-    n_nodes = nodes.count()
-    n = parts_for(n_nodes)
-    hot = _hot_keys(keyed, n_nodes, bound)
-    edges = publish(_met(_blocks(keyed, hot, bound), rule), "met", n)
-    again = []
-    if verify is None:
-        links, labels = edges, _labels(nodes, edges, n)
-    else:
-        links, labels, failed = _verified(edges, verify, nodes, n)
-        if not failed.isEmpty():
-            ends = failed.select(F.explode(F.array("u", "v")).alias("label")).distinct()
-            doubtful = publish(labels.join(ends, "label").select("node", "label"), "doubtful", n)
-            cool = keyed if hot is None else keyed.join(hot, "key", "left_anti")
-            again.append(cool.join(doubtful, "node").withColumn("block", F.lit(0).cast("bigint")))
-    if hot is not None:
-        again.append(_block_pairs(keyed.join(hot.select("key"), "key", "left_semi").join(labels, "node"), hot, bound))
-    if not again:
+    n = parts_for(nodes.count())
+    good = publish(_alike(edges.groupBy("u").agg(F.min("v").alias("v")), sets, rule.similarity), "alike")
+    labels = _labels(nodes, good, n)
+    both = labels.join(loose.withColumnRenamed("label", "loose"), "node")
+    parts = both.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("members")).where("a <> b")
+    parts = publish(parts.select("loose", "members"), "open", n)
+    if parts.isEmpty():
         return labels
-    pairs = [_met(k, rule, labelled=True) for k in again]
-    pairs = pairs[0].unionByName(pairs[1]).distinct() if len(pairs) > 1 else pairs[0]
-    others = publish(pairs.join(edges, ["u", "v"], "left_anti"), "met", n)
-    if verify is not None:
-        others = publish(verify(others), "alike", n)
-    return labels if others.isEmpty() else _labels(nodes, links.unionByName(others), n)
+    members = publish(both.join(parts, "loose").join(nodes.drop("least"), "node"), "open-members")
+    own = F.when(F.col("members") <= bound, F.array("loose")).otherwise(F.transform("keys", lambda k: F.xxhash64(k, "loose")))
+    keyed = members.select("node", "size", "label", *(f"w{k}" for k in range(rule.words)), F.explode(own).alias("key"))
+    more = publish(_linked(_block_pairs(keyed, GROUP_BOUND).join(sets, "node"), rule), "linked")
+    return _labels(nodes, good.unionByName(more), n)
 
 
 def _place() -> Column:
@@ -428,7 +454,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, exact:
     nodes = publish(rows.groupBy("node").agg(F.min(_place()).alias("least")), "nodes")
     exact = exact or exact_for(nodes.count(), max_diff)
     keyed = nodes.select(F.explode(_choice_keys(F.col("node"), max_diff, exact)).alias("key"), "node", F.lit(1).cast("bigint").alias("size"), F.col("node").alias("w0"))
-    labels = _components(nodes, keyed, Rule(1, max_diff, max_diff + exact, exact), bound=bound)
+    _, labels = _candidates(nodes, keyed, Rule(1, max_diff, max_diff + exact, exact), bound)
     return _classes(rows, nodes, labels).select(
         "doc_id", "text_hash", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), F.col("head.doc_id").alias("component_id"),
         (_place() == F.col("head")).alias("first"),
@@ -441,7 +467,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     nodes = publish(rows.groupBy("node").agg(F.min(_place()).alias("least"), F.min("size").alias("size"), F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.min("keys").alias("keys")), "nodes")
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "size", "w0", "w1")
     rule = Rule(CHECK_WORDS, check_radius(similarity), 4 * CHECK_WORDS, similarity=similarity)
-    labels = _components(nodes, keyed, rule, lambda pairs: _alike(pairs, nodes, docs, shingle, similarity), bound)
+    edges, loose = _candidates(nodes, keyed, rule, bound)
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = _shingle_sets(nodes.join(ends, "node"), docs, shingle)
+    labels = _verified(nodes, edges, loose, sets, rule, bound)
     return _classes(rows.select("doc_id", "text_hash", "node"), nodes, labels).select(
         "doc_id", "text_hash", F.col("head.doc_id").alias("component_id"), (_place() == F.col("head")).alias("first")
     )
