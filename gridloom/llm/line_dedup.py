@@ -116,7 +116,8 @@ def without_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     runs = runs.groupBy(*_DOC).agg(F.collect_list(F.struct("first_line", "last_line")).alias("runs_"))  # a document's own runs
     runs = publish(runs, "deleted").select(F.col("doc_id").alias("doc_r_"), F.col("text_hash").alias("hash_r_"), "runs_")
     on = docs["doc_id"].cast("bigint").eqNullSafe(F.col("doc_r_")) & (F.xxhash64(text_of(docs["text"])) == F.col("hash_r_"))
-    out = docs.join(runs, on, "left").drop("doc_r_", "hash_r_")
+    # by shuffle at every size, with the small side in the hash tables: texts are not sorted
+    out = docs.join(runs.hint("shuffle_hash"), on, "left").drop("doc_r_", "hash_r_")
     kept = F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.exists("runs_", lambda r: (r["first_line"] <= i) & (i <= r["last_line"])))
     return out.withColumn("clean_text", F.when(F.col("runs_").isNull(), text_of()).otherwise(F.array_join(kept, "\n")))
 

@@ -5,7 +5,7 @@ size by weight; a target stops at 3 times its source's size and the excess is sh
 
 How large a source's quota is: whole passes over it, and one part of a further pass. Documents stand in the
 order of a seeded hash (those larger than the whole part are left aside); that order is cut where the part ends, found by
-descending a tree of hash prefixes (at most 65,536 sums a source and level, two levels, never a source's documents in one
+descending a tree of hash prefixes (at most 4,096 sums a source and level, two levels, never a source's documents in one
 task). What the cut leaves is filled, largest first, with untaken documents that still fit, one of a size. Only where more
 than TOLERANCE of a target then lacks (a source of a few documents, none of which fits) one more document is taken
 in part: its first words, line by line.
@@ -46,13 +46,15 @@ ROWS_PER_SALT = 10_000
 WORDS_PER_PART = 1 << 21
 #: Share of a target that may lack before a document is taken in part.
 TOLERANCE = 0.001
-_LEVELS, _BITS = 2, 16
+#: The cut is made of so many bits of the hash: less than 2**-24 of a source, or a document, stands beside it.
+_LEVELS, _BITS = 2, 12
+_CUT_BITS = _LEVELS * _BITS
 _BLOCK_BITS = 8
 _BLOCKS = 1 << _BLOCK_BITS
 
 
 def _size() -> Column:
-    return F.size(words_of(text_of())).cast("bigint")
+    return F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
 def _hash(seed: int) -> Column:
@@ -82,7 +84,7 @@ def _on_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
 
 
 def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: passes, cut (of the first 32 bits of the hash), fillers (hashes taken beyond the cut), part_h and part_words."""
+    """Per source: passes, cut (of the first bits of the hash), fillers (hashes taken beyond the cut), part_h and part_words."""
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(0)
     plan = targets.withColumn("passes", whole.cast("bigint")).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
     plan = publish(plan.withColumns({"cut": F.lit(0).cast("bigint"), "fit": F.col("need")}), "cuts", 1)
@@ -141,7 +143,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def _cut_block() -> Column:
-    return F.least(F.shiftrightunsigned("cut", _BITS * _LEVELS - _BLOCK_BITS), F.lit(_BLOCKS - 1))
+    return F.least(F.shiftrightunsigned("cut", _CUT_BITS - _BLOCK_BITS), F.lit(_BLOCKS - 1))
 
 
 def _with_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -160,13 +162,19 @@ def _with_shards(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     return publish(_on_source(plan, bounds).withColumn("parts", parts.cast("bigint")), "mix-plan", 1)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def _repeated(rows: DataFrame) -> DataFrame | None:
+    """source, h and number of rows that agree in both, None if there are none."""
+    counts = rows.groupBy(F.col("source").alias("source_r_"), F.col("h").alias("h_r_")).agg(F.count(F.lit(1)).alias("n_"))
+    repeated = publish(counts.where("n_ > 1"), "repeated")
+    return None if repeated.isEmpty() else repeated
+
+
+def _numbered(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """rows (source, h and more) with another h for each further one of those that agree in both.
 
     Repeated rows are dealt to salts of ROWS_PER_SALT rows, numbered within these, and the salts' counts (a row per salt) offset the numbers.
     """
-    repeated = publish(rows.groupBy(F.col("source").alias("source_r_"), F.col("h").alias("h_r_")).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1"), "repeated")
-    if repeated.isEmpty():
+    if repeated is None:
         return rows
     on = rows["source"].eqNullSafe(F.col("source_r_")) & (rows["h"] == F.col("h_r_"))
     salt = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("n_") / ROWS_PER_SALT))
@@ -187,7 +195,7 @@ def _sized(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _below_cut() -> Column:
-    return (F.shiftrightunsigned("h", 32) < F.col("cut")) & (F.col("size") <= F.col("fit"))
+    return (F.shiftrightunsigned("h", 64 - _CUT_BITS) < F.col("cut")) & (F.col("size") <= F.col("fit"))
 
 
 def _unit(turn: Column) -> Column:
@@ -227,17 +235,17 @@ def _first_words(text: Column, n: Column) -> Column:
     return F.aggregate(F.split(text, "\n"), start, step, lambda acc: F.array_join(acc["lines"], "\n"))
 
 
-def mix_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows with doc_id, source, size, h; the plan of each source)."""
+def mix_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with doc_id, source, size, h; the plan of each source; the repeated rows)."""
     rows = publish(_sized(docs, seed), "sizes")
-    numbered = _numbered(rows)
-    rows = rows if numbered is rows else publish(numbered, "sizes")
-    return rows, _with_shards(_cuts(rows, source_targets(rows)), shards, seed)
+    repeated = _repeated(rows)
+    rows = rows if repeated is None else publish(_numbered(rows, repeated), "sizes")
+    return rows, _with_shards(_cuts(rows, source_targets(rows)), shards, seed), repeated
 
 
 def mix_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, copies, shard (of its first copy)."""
-    rows, plan = mix_plan(docs, shards, seed)
+    rows, plan, _ = mix_plan(docs, shards, seed)
     joined = _on_source(rows, plan).withColumns({"turns": _turns(), "part": _part()}).withColumn("copies", F.size("turns"))
     first = F.when(F.col("copies") > 0, _shard(F.get("turns", F.lit(0)))).when(F.col("part") > 0, _shard(F.col("passes")))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"), F.col("copies").cast("bigint").alias("copies"), first.alias("shard"))
@@ -245,9 +253,9 @@ def mix_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: a row per copy, shard by shard, each shard shuffled; the columns of docs."""
-    _, plan = mix_plan(docs, shards, seed)
+    _, plan, repeated = mix_plan(docs, shards, seed)
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").cast("string").alias("source"), _hash(seed).alias("h"), _size().alias("size"))
-    copies = _on_source(_numbered(keyed), plan).withColumn("part", _part())
+    copies = _on_source(_numbered(keyed, repeated), plan).withColumn("part", _part())
     turns = F.when(F.col("part") > 0, F.array_append(_turns(), F.col("passes"))).otherwise(_turns())
     copies = copies.withColumn("turns", turns).select("*", F.posexplode("turns").alias("copy", "turn"))
     parted = (F.col("part") > 0) & (F.col("copy") == F.size("turns") - 1)

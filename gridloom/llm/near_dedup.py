@@ -360,7 +360,7 @@ def _shingle_sets(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame
 
     wanted = publish(wanted.select("node", F.col("least.doc_id").alias("doc_id_"), F.col("least.text_hash").alias("text_hash_")), "wanted")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    met = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.xxhash64("text") == F.col("text_hash_")))
+    met = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.xxhash64("text") == F.col("text_hash_")))
     met = met.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"])
     return publish(met.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingles")
 
@@ -479,8 +479,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, bound: int = BOUND) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; the columns of docs."""
     copies = near_copies(docs, shingle, similarity, bound)
-    kept = publish(copies.where("first").select(F.col("doc_id").alias("kept_id_"), F.col("text_hash").alias("kept_hash_")), "kept")
+    copies = publish(copies.select(F.col("doc_id").alias("copy_id_"), F.col("text_hash").alias("copy_hash_"), "first"), "copies")
+    kept = copies.where("first")
     repeated = kept.count() - kept.distinct().count()
+    dropped = publish(copies.where("not first").drop("first").distinct(), "dropped").hint("shuffle_hash")
     text_hash = F.xxhash64(text_of(docs["text"]))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id_"]) & (text_hash == kept["kept_hash_"]), "left_semi")
+    out = docs.join(dropped, docs["doc_id"].cast("bigint").eqNullSafe(dropped["copy_id_"]) & (text_hash == dropped["copy_hash_"]), "left_anti")
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
