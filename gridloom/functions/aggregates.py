@@ -60,7 +60,7 @@ def COUNTIF(x: Column, condition: str | float, kind: T.DataType | None = None) -
 
 
 def SUMIF(x: Column, condition: str | float, values: Column | None = None, kind: T.DataType | None = None) -> Column:
-    summed = to_number(x, kind) if values is None else values.cast("double")
+    summed = to_number(x, kind) if values is None else to_number(values)
     return F.coalesce(F.sum(F.when(criteria(x, condition, kind), summed)), F.lit(0.0))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,11 @@ from pyspark.sql import types as T
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: Day 0 of serial dates.
 EPOCH = "1899-12-30"
+#: Forms of dates in text, in the order in which they are tried; ISO forms come between the first four and the last.
+_DATE_FORMS = ("d/M/yyyy", "d/M/yyyy HH:mm", "d/M/yyyy HH:mm:ss", "d-M-yyyy")
+_LAST_FORM = "M/d/yyyy"
+#: Numbers this close are equal.
+EPSILON = 1e-7
 
 
 def text_to_number(text: Column) -> Column:
@@ -28,13 +35,33 @@ def serial_to_date(serial: Column) -> Column:
     return F.date_add(F.lit(EPOCH).cast("date"), F.floor(serial).cast("int"))
 
 
+def date_of(value: Column, kind: T.DataType | None = None) -> Column:
+    """A timestamp of a date, of a serial number, or of text in one of the usual forms; else null."""
+    if isinstance(kind, T.NumericType):
+        number = value.cast("double")
+        day = serial_to_date(number).cast("timestamp_ntz")
+        return day + F.make_dt_interval(secs=F.round((number - F.floor(number)) * 86400).cast("decimal(18,6)"))
+    if isinstance(kind, T.StringType):
+        text = F.trim(value)
+        parsed = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in _DATE_FORMS]
+        iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz"))
+        return F.coalesce(*parsed, iso, F.try_to_timestamp(text, F.lit(_LAST_FORM)).cast("timestamp_ntz"), date_of(text_to_number(text), T.DoubleType()))
+    return value.cast("timestamp_ntz")
+
+
 def to_number(value: Column, kind: T.DataType | None = None) -> Column:
-    """The formula coercion: booleans are 1 or 0, dates are serials, text is parsed, anything else is null."""
+    """The formula coercion: booleans are 1 or 0, dates are serials, text is parsed, anything else is null.
+
+    Without a kind, value may be a number, a boolean or text.
+    """
     if isinstance(kind, T.StringType):
         return text_to_number(value)
     if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
         return date_to_serial(value)
-    return value.cast("double")
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        return value.cast("double")
+    # the type is known when the plan is made, and one branch stays
+    return F.when(F.typeof(value) == "string", text_to_number(value.cast("string"))).otherwise(value.try_cast("double"))
 
 
 def format_value(value: Column, kind: T.DataType | None = None) -> Column:
@@ -71,22 +98,33 @@ def number_format(value: Column, code: str) -> Column:
     return forms[code]()
 
 
+def compare(left: Column, operator: str, right: Column, left_kind: T.DataType | None = None, right_kind: T.DataType | None = None) -> Column:
+    """left operator right: as numbers if both are, equal within EPSILON; else equality of texts in any case. Text has no order."""
+    a, b = to_number(left, left_kind), to_number(right, right_kind)
+    near = F.abs(a - b) < EPSILON
+    numbers = {"=": near, "==": near, "<>": ~near, "!=": ~near, ">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[operator]
+    same = F.upper(format_value(left, left_kind)) == F.upper(F.btrim(format_value(right, right_kind), F.lit("\"'")))
+    texts = same if operator in ("=", "==") else ~same if operator in ("<>", "!=") else F.lit(False)
+    return F.when(a.isNotNull() & b.isNotNull(), numbers).otherwise(texts)
+
+
 def criteria(value: Column, condition: str | float, kind: T.DataType | None = None) -> Column:
-    """True where value meets a condition such as ">20", "<>x" or "SP001"; text compares case-insensitively.
+    """True where value meets a condition such as ">20", "<>x", "!=5" or "SP001"; text compares case-insensitively.
 
-    An empty condition matches nothing; text under an ordering operator matches nothing.
+    Blanks around a condition, and quotes around what it compares with, don't count. An empty condition matches nothing;
+    text under an ordering operator matches nothing.
     """
-    condition = str(condition)
-    operator = next((op for op in (">=", "<=", "<>", ">", "<", "=") if condition.startswith(op)), "")
-    operand = condition[len(operator) :].strip()
-    if not condition:
+    operator, operand = re.fullmatch(r"(>=|<=|<>|!=|>|<|=)?\s*(.*)", str(condition).strip(), re.S).groups()
+    operand = operand.strip().strip('"')
+    if not str(condition).strip():
         return F.lit(False)
+    unequal = operator in ("<>", "!=")
     number = to_number(value, kind)
     try:
         wanted = float(operand.replace(",", ""))
     except ValueError:
         equal = F.upper(format_value(value, kind)) == operand.upper()
-        return {"": equal, "=": equal, "<>": ~equal}.get(operator, F.lit(False))
-    near = F.abs(number - wanted) < 1e-7
-    tests = {"": near, "=": near, "<>": ~near, ">": number > wanted, "<": number < wanted, ">=": number >= wanted, "<=": number <= wanted}
-    return F.coalesce(tests[operator], F.lit(operator == "<>"))
+        return ~equal if unequal else equal if operator in (None, "=") else F.lit(False)
+    near = F.abs(number - wanted) < EPSILON
+    tests = {None: near, "=": near, "<>": ~near, "!=": ~near, ">": number > wanted, "<": number < wanted, ">=": number >= wanted, "<=": number <= wanted}
+    return F.coalesce(tests[operator], F.lit(unequal))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.coerce import format_value
+from gridloom.operators.rounds import running
+
+#: Rows that a task may keep to find one by its number.
+TOP_ROWS = 10_000
 
 
 def lookup_key(df: DataFrame, column: str) -> Column:
@@ -31,32 +35,33 @@ def VLOOKUP(queries: DataFrame, value: str, table: DataFrame, key: str, order: s
 
 
 def HLOOKUP(table: DataFrame, header: str, row: int, order: str) -> DataFrame:
-    """The value at `row` (from 1, the header's own row) below each column whose header matches."""
+    """The value at `row` (1 is the header's own row) below the first column whose header matches; null (#N/A) if none does."""
+    if row < 1:
+        raise ValueError("#VALUE!: rows count from 1")
     match = next((c for c in table.columns if c.upper() == header.upper()), None)
-    if match is None:
-        return table.select(F.lit(None).cast("string").alias("found")).limit(1)
-    numbered = INDEX_ROWS(table, order)
-    return numbered.where(F.col("row_no") == row - 1).select(F.col(match).alias("found"))
+    if match is None or row == 1:
+        return table.sparkSession.range(1).select(F.lit(match).cast("string").alias("found"))
+    return _row_at(table, order, row - 1).select(F.col(match).alias("found"))
 
 
 def INDEX_ROWS(table: DataFrame, order: str) -> DataFrame:
-    """table with row_no from 1 in the order of a column: places from a range sort, not from one task.
+    """table with row_no from 1 in the order of a column: places from a range sort, not from one task."""
+    return running(table, [order], "row_no").withColumn("row_no", F.col("row_no") + 1)
 
-    Rows are sorted and numbered within ranges; the ranges' sizes (one row each) give the offsets.
-    """
-    ranged = table.repartitionByRange(order).sortWithinPartitions(order).withColumn("part_", F.spark_partition_id())
-    sizes = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
-    offsets = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
-    within = F.row_number().over(Window.partitionBy("part_").orderBy(order))
-    return ranged.withColumn("within_", within).join(F.broadcast(offsets), "part_").withColumn("row_no", F.col("before_") + F.col("within_")).drop("part_", "within_", "before_")
+
+def _row_at(table: DataFrame, order: str, row: int) -> DataFrame:
+    """One row by its number: up to TOP_ROWS each task keeps so many rows at most, beyond it the rows are numbered."""
+    if row <= TOP_ROWS:
+        return table.orderBy(order).offset(row - 1).limit(1)
+    return INDEX_ROWS(table, order).where(F.col("row_no") == row)
 
 
 def INDEX(table: DataFrame, order: str, row: int, column: int) -> DataFrame:
     """The value at a row and column, counted from 1; no row (#REF!) outside the table."""
     names = [c for c in table.columns]
-    if not 1 <= column <= len(names):
-        raise ValueError(f"#REF!: the table has {len(names)} columns")
-    return INDEX_ROWS(table, order).where(F.col("row_no") == row).select(F.col(names[column - 1]).alias("value"))
+    if not (1 <= column <= len(names) and row >= 1):
+        raise ValueError(f"#REF!: the table has {len(names)} columns, and rows count from 1")
+    return _row_at(table, order, row).select(F.col(names[column - 1]).alias("value"))
 
 
 def MATCH(queries: DataFrame, value: str, table: DataFrame, key: str, place: str, alias: str = "place") -> DataFrame:

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def publish(df: DataFrame) -> DataFrame:
@@ -23,3 +24,27 @@ def publish(df: DataFrame) -> DataFrame:
     path = f"{folder}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, order: list[Column | str], name: str, weight: Column | None = None) -> DataFrame:
+    """df with the sum of weight (1 each) over all rows before, in an order that should be total.
+
+    Rows are sorted and summed within ranges, kept, and the ranges' sums (a row each) are added: no task sees all rows.
+    """
+    ranged = df.withColumn("weight_", F.lit(1).cast("bigint") if weight is None else weight).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = publish(ranged.withColumn("part_", F.spark_partition_id()))
+    sums = ranged.groupBy("part_").agg(F.sum("weight_").alias("sum_"))
+    earlier = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = sums.select("part_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0)).alias("before_"))
+    within = F.coalesce(F.sum("weight_").over(Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("within_", within).join(offsets, "part_").withColumn(name, F.col("before_") + F.col("within_")).drop("part_", "within_", "before_", "weight_")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """df with numbers from 1 within each value of `by`, however many rows it has."""
+    rows = running(df, [*by, *order], name)
+    firsts = rows.groupBy(*(F.col(c).alias(f"{c}_first_") for c in by)).agg(F.min(name).alias("least_"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_first_"))
+    return rows.join(firsts, same).withColumn(name, F.col(name) - F.col("least_") + 1).drop("least_", *(f"{c}_first_" for c in by))

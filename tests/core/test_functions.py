@@ -84,3 +84,29 @@ def test_criteria(spark):
     values = spark.createDataFrame([("a",), ("A",), ("b",), ("12",), (None,)], "v string")
     count = lambda c: values.where(coerce.criteria(F.col("v"), c, T.StringType())).count()
     assert [count("a"), count("<>a"), count(">5"), count(""), count(">a"), count("12")] == [2, 3, 1, 0, 0, 1]
+
+
+def test_criteria_and_truth(spark):
+    text = T.StringType()
+    rows = spark.createDataFrame([("5",), ("6",), ("x",), (" 5 ",), (None,)], "t string")
+    for condition, want in [("!=5", 3), ("<>5", 3), ('="5"', 2), (" = 5", 2), ("x", 1), ('"X"', 1), (">5", 1), (">x", 0), ("", 0), ("  ", 0), (5, 2)]:
+        assert rows.agg(A.COUNTIF(F.col("t"), condition, text)).first()[0] == want, condition
+    assert rows.agg(A.SUM(F.col("t")), A.AVERAGE(F.col("t")), A.MAX(F.col("t")), A.STDEV(F.col("t"))).first()[:3] == (16, 16 / 3, 6)
+    for value, want in [(F.lit("6"), True), (F.lit("FALSE"), True), (F.lit("#N/A"), True), (F.lit(0), False), (F.lit(0.5), True), (F.lit(None), False), (F.lit(True), True), (F.lit(False), False), (F.current_date(), True)]:
+        assert one(spark, S.truth(value)) is want
+    assert one(spark, S.IF(F.lit("6"), F.lit("yes"), F.lit("no"))) == "yes"
+
+
+def test_dates_in_text(spark):
+    text = T.StringType()
+    for shown in ("28/08/2026", "28/8/2026 14:05", "2026-08-28", "46262", "8/28/2026"):
+        assert [one(spark, f(F.lit(shown), text)) for f in (S.YEAR, S.MONTH, S.DAY, S.WEEKDAY)] == [2026, 8, 28, 6]
+    assert one(spark, S.YEAR(F.lit("soon"), text)) is None and one(spark, S.DAY(F.lit(46262.5), T.DoubleType())) == 28
+
+
+def test_lookups_count_rows_from_the_header(spark, goods):
+    assert [lookup.HLOOKUP(goods, "NAME", k, "row").first()[0] for k in (1, 2, 5)] == ["name", "Bàn phím", "Loa"]
+    assert lookup.HLOOKUP(goods, "none", 2, "row").first()[0] is None and lookup.HLOOKUP(goods, "name", 9, "row").count() == 0
+    many = spark.range(30_000).select((F.col("id") * 7919 % 30_011).alias("k"), F.col("id").alias("v"))
+    wanted = {n: sorted((k * 7919 % 30_011, k) for k in range(30_000))[n - 1][1] for n in (1, 777, 29_000)}
+    assert {n: lookup.INDEX(many, "k", n, 2).first()[0] for n in wanted} == wanted
