@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+import time
+import traceback
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,3 +105,46 @@ def search(log: DataFrame, term: str, columns: list[str], at: str) -> DataFrame:
 
 def newest(log: DataFrame, at: str, tie: str, limit: int = 200) -> DataFrame:
     return log.orderBy(F.col(at).desc(), tie).limit(limit)
+
+
+def file_columns(path: Column) -> tuple[Column, Column]:
+    """(file name, extension in lower case with its point; empty if it has none) of a path."""
+    name = F.regexp_extract(path, r"[^/\\]*$", 0)
+    return name, F.lower(F.regexp_extract(name, r"\.[^.]*$", 0))
+
+
+def tool_runs(runs: DataFrame, expected: list[str]) -> DataFrame:
+    """Log rows of tool runs: tool_id, path, file_size, item_count, duration_ms, label, error, error_type, error_detail (null if all went well).
+
+    An error of an expected type (a mistake in what the user gave) is a warning without detail, any other an error.
+    """
+    name, ext = file_columns(F.col("path"))
+    failed, known = F.col("error").isNotNull(), F.coalesce(F.col("error_type").isin(expected), F.lit(False))
+    return runs.select(
+        F.when(~failed, "info").when(known, "warning").otherwise("error").alias("level"), F.lit("pdf-tool").alias("category"), F.lit("run").alias("action"), "tool_id",
+        name.alias("file_name"), ext.alias("file_ext"), F.col("file_size").cast("bigint").alias("file_size_bytes"), F.col("item_count").cast("int").alias("item_count"),
+        F.col("duration_ms").cast("bigint").alias("duration_ms"), (~failed).alias("success"), F.coalesce("error", "label").alias("message"),
+        F.when(failed, F.col("error_type")).alias("error_type"), F.when(failed & ~known, truncate(F.col("error_detail"))).alias("error_detail"),
+    )
+
+
+def measured(work: Callable[[], object], write: Callable[[dict], None], category: str, action: str, tool_id: str | None = None, file_name: str | None = None, file_size: int | None = None) -> object:
+    """Do a piece of work and write a log row (fields of LOG_SCHEMA) of how long it took; an error is written, then raised again."""
+    ext = os.path.splitext(file_name)[1].lower() if file_name else None
+    row = {"level": "info", "category": category, "action": action, "tool_id": tool_id, "file_name": file_name, "file_ext": ext, "file_size_bytes": file_size, "success": True}
+    began = time.monotonic()
+    try:
+        result = work()
+    except Exception as error:
+        detail = "".join(traceback.format_exception(error))[:MESSAGE_CHARS]
+        took = int(1000 * (time.monotonic() - began))
+        write(row | {"level": "error", "success": False, "duration_ms": took, "message": str(error), "error_type": type(error).__name__, "error_detail": detail})
+        raise
+    size = len(result) if isinstance(result, bytes | bytearray) else None
+    write(row | {"duration_ms": int(1000 * (time.monotonic() - began)), "result_size_bytes": size})
+    return result
+
+
+def log_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Rows of `measured` as a log."""
+    return spark.createDataFrame([[row.get(f.name) for f in LOG_SCHEMA] for row in rows], LOG_SCHEMA)

@@ -8,23 +8,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.coerce import format_value, text_to_number
+from gridloom.operators.rounds import numbered
 
 CELLS = ["sheet", "row", "col", "text", "num"]
 
 
 def col_letters(col: Column) -> Column:
-    """1 is A, 27 is AA; up to three letters."""
-    n = col.cast("int") - 1
-    letter = lambda k: F.chr(F.lit(65) + k)
-    two, three = F.floor(n / 26) - 1, F.floor((n - 26) / 676) - 1
-    last = letter(F.pmod(n, F.lit(26)).cast("int"))
-    middle = F.when(n >= 26, letter(F.pmod(two, F.lit(26)).cast("int"))).otherwise("")
-    first = F.when(n >= 702, letter(F.pmod(three, F.lit(26)).cast("int"))).otherwise("")
-    return F.concat(first, middle, last)
+    """1 is A, 27 is AA, 18279 is AAAA; up to seven letters."""
+    left, letters = col.cast("bigint"), []
+    for _ in range(7):
+        letters.append(F.when(left > 0, F.chr(F.lit(65) + F.pmod(left - 1, F.lit(26)).cast("int"))).otherwise(""))
+        left = F.floor((left - 1) / 26)
+    return F.concat(*reversed(letters))
 
 
 def col_number(letters: Column) -> Column:
@@ -85,9 +84,13 @@ def clear(cells: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
     return cells.where(~in_range(r1, c1, r2, c2))
 
 
-def set_values(cells: DataFrame, values: DataFrame) -> DataFrame:
-    """values (sheet, row, col, text) replace the cells at their places; an empty text removes the cell."""
-    new = values.where("text <> ''").withColumn("num", text_to_number(F.col("text"))).select(*CELLS)
+def set_values(cells: DataFrame, values: DataFrame, order: str | None = None) -> DataFrame:
+    """values (sheet, row, col, text) replace the cells at their places; an empty text removes the cell.
+
+    Of several values for a cell the last by order counts, or the greatest text.
+    """
+    one = values.groupBy("sheet", "row", "col").agg((F.max_by("text", F.col(order)) if order else F.max("text")).alias("text"))
+    new = one.where("text <> ''").withColumn("num", text_to_number(F.col("text"))).select(*CELLS)
     return cells.join(values.select("sheet", "row", "col"), ["sheet", "row", "col"], "left_anti").select(*CELLS).unionByName(new)
 
 
@@ -128,9 +131,8 @@ def distinct_rows(table: DataFrame, columns: list[str], order: str) -> DataFrame
 
 def sort_column(cells: DataFrame, col: int, descending: bool = False) -> DataFrame:
     """One column's texts, sorted as text and written from row 1; other columns stay."""
-    mine = cells.where(F.col("col") == col)
     order = F.col("text").desc() if descending else F.col("text")
-    placed = mine.withColumn("row", F.row_number().over(Window.partitionBy("sheet", "col").orderBy(order, "row")).cast("bigint"))
+    placed = numbered(cells.where(F.col("col") == col).withColumnRenamed("row", "row_"), ["sheet"], [order, "row_"], "row")
     return placed.select(*CELLS).unionByName(cells.where(F.col("col") != col).select(*CELLS))
 
 
@@ -164,15 +166,136 @@ def overlaps(a: str, b: str) -> Column:
     return (F.col(f"{a}.r1") <= F.col(f"{b}.r2")) & (F.col(f"{a}.r2") >= F.col(f"{b}.r1")) & (F.col(f"{a}.c1") <= F.col(f"{b}.c2")) & (F.col(f"{a}.c2") >= F.col(f"{b}.c1"))
 
 
-def merge_cells(merges: DataFrame, new: DataFrame) -> DataFrame:
-    """merges with those of new added and those that overlap them gone; a single cell doesn't merge. Columns sheet, r1, c1, r2, c2."""
-    new = new.where((F.col("r1") < F.col("r2")) | (F.col("c1") < F.col("c2")))
-    kept = merges.alias("m").join(new.alias("n"), (F.col("m.sheet") == F.col("n.sheet")) & overlaps("m", "n"), "left_anti")
-    return kept.unionByName(new)
+RECT = ["sheet", "r1", "c1", "r2", "c2"]
+#: Rows of a sheet that rectangles meet in; those that share no band are never compared.
+BAND = 256
+
+
+def _banded(rectangles: DataFrame) -> DataFrame:
+    return rectangles.withColumn("band", F.explode(F.sequence(F.floor(F.col("r1") / BAND), F.floor(F.col("r2") / BAND))))
+
+
+def _overlapped(rectangles: DataFrame, others: DataFrame, more: Column | None = None) -> DataFrame:
+    """Those of the rectangles that meet another (and for which `more`, of the aliases m and n, holds)."""
+    on = (F.col("m.sheet") == F.col("n.sheet")) & (F.col("m.band") == F.col("n.band")) & overlaps("m", "n")
+    met = _banded(rectangles).alias("m").join(_banded(others).alias("n"), on if more is None else on & more)
+    return met.select(*(F.col(f"m.{c}") for c in RECT)).distinct()
+
+
+def merge_cells(merges: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """merges with those of new added and those that overlap them gone; a single cell doesn't merge. Columns sheet, r1, c1, r2, c2.
+
+    Of new ranges that overlap each other the last by order stays, or by its corners.
+    """
+    place = [order] if order else RECT
+    new = new.where((F.col("r1") < F.col("r2")) | (F.col("c1") < F.col("c2"))).select(*dict.fromkeys([*RECT, *place])).distinct()
+    later = F.struct(*(F.col(f"n.{c}") for c in place)) > F.struct(*(F.col(f"m.{c}") for c in place))
+    kept = new.join(_overlapped(new, new, later), RECT, "left_anti").select(*RECT)
+    return merges.select(*RECT).join(_overlapped(merges.select(*RECT), new), RECT, "left_anti").unionByName(kept)
 
 
 def unmerge(merges: DataFrame, selection: DataFrame) -> DataFrame:
-    return merges.alias("m").join(selection.alias("s"), (F.col("m.sheet") == F.col("s.sheet")) & overlaps("m", "s"), "left_anti")
+    return merges.join(_overlapped(merges, selection), RECT, "left_anti")
+
+
+def merge_at(places: DataFrame, merges: DataFrame) -> DataFrame:
+    """places (sheet, row, col) with the first merged range, by its corners, that contains them: merge (r1, c1, r2, c2) or null."""
+    band = F.floor(F.col("p.row") / BAND) == F.col("m.band")
+    inside = F.col("p.row").between(F.col("m.r1"), F.col("m.r2")) & F.col("p.col").between(F.col("m.c1"), F.col("m.c2"))
+    met = places.alias("p").join(_banded(merges).alias("m"), (F.col("p.sheet") == F.col("m.sheet")) & band & inside)
+    corners = F.min(F.struct("m.r1", "m.c1", "m.r2", "m.c2")).alias("merge")
+    found = met.groupBy("p.sheet", "p.row", "p.col").agg(corners)
+    return places.join(found, ["sheet", "row", "col"], "left")
+
+
+def addresses(sheet: str, ranges: list[tuple[int, int, int, int]]) -> Column:
+    """All places of rectangles on a sheet, blank cells too: an array of structs sheet, row, col."""
+    between = lambda a, b: F.sequence(F.lit(min(a, b)), F.lit(max(a, b)))
+
+    def places(r1: int, c1: int, r2: int, c2: int) -> Column:
+        place = lambda r, c: F.struct(F.lit(sheet).alias("sheet"), r.cast("bigint").alias("row"), c.alias("col"))
+        return F.flatten(F.transform(between(r1, r2), lambda r: F.transform(between(c1, c2), lambda c: place(r, c))))
+
+    return F.array_distinct(F.flatten(F.array(*(places(*x) for x in ranges))))
+
+
+def apply_style(styles: DataFrame, sheet: str, ranges: list[tuple[int, int, int, int]], **changes: object) -> DataFrame:
+    """styles (sheet, row, col and a column per property) with properties changed over a selection; places without a style get one."""
+    selected = styles.sparkSession.range(1).select(F.inline(addresses(sheet, ranges))).withColumn("selected_", F.lit(True))
+    out = styles.join(selected, ["sheet", "row", "col"], "full_outer")
+    for name, value in changes.items():
+        kind = styles.schema[name].dataType
+        out = out.withColumn(name, F.when(F.col("selected_"), F.lit(value).cast(kind)).otherwise(F.col(name)))
+    return out.select(*styles.columns)
+
+
+def cut(cells: DataFrame, r1: int, c1: int, r2: int, c2: int) -> tuple[DataFrame, DataFrame]:
+    """(the range as tab-separated lines, the cells without it)."""
+    return copy_tsv(cells, r1, c1, r2, c2), clear(cells, r1, c1, r2, c2)
+
+
+def range_table(cells: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
+    """A range as a document's table block: sheet, rows (an array per row of display strings, blank cells too)."""
+    r1, r2, c1, c2 = min(r1, r2), max(r1, r2), min(c1, c2), max(c1, c2)
+    place = lambda r, c: F.concat(r.cast("string"), F.lit(":"), c.cast("string"))
+    texts = F.map_from_entries(F.collect_list(F.struct(place(F.col("row"), F.col("col")), "text")))
+    row = lambda m, r: F.transform(F.sequence(F.lit(c1), F.lit(c2)), lambda c: F.coalesce(F.try_element_at(m, place(r, c)), F.lit("")))
+    blocks = cells.where(in_range(r1, c1, r2, c2)).groupBy("sheet").agg(texts.alias("texts"))  # the cells of one range
+    return blocks.select("sheet", F.transform(F.sequence(F.lit(r1), F.lit(r2)), lambda r: row(F.col("texts"), r)).alias("rows"))
+
+
+# Sheets of a workbook: a list of names, in order; the cells carry the name.
+
+
+def add_sheet(sheets: list[str], name: str | None = None) -> list[str]:
+    """A further sheet; without a name it is SheetN, the first N from their number on that none has."""
+    if not (name or "").strip():
+        n, taken = len(sheets) + 1, {s.upper() for s in sheets}
+        while f"SHEET{n}" in taken:
+            n += 1
+        name = f"Sheet{n}"
+    return [*sheets, name]
+
+
+def remove_sheet(sheets: list[str], cells: DataFrame, place: int) -> tuple[list[str], DataFrame]:
+    """The sheet at a place (from 0) and its cells go; the last one stays."""
+    if len(sheets) <= 1 or not 0 <= place < len(sheets):
+        return sheets, cells
+    return [*sheets[:place], *sheets[place + 1 :]], cells.where(F.col("sheet") != sheets[place])
+
+
+def rename_sheet(sheets: list[str], cells: DataFrame, place: int, name: str) -> tuple[list[str], DataFrame]:
+    """A new name, trimmed, for the sheet at a place; blank names and those that another sheet has, in any case, are refused."""
+    name = name.strip()
+    others = {s.upper() for k, s in enumerate(sheets) if k != place}
+    if not (0 <= place < len(sheets) and name) or name.upper() in others:
+        return sheets, cells
+    renamed = cells.withColumn("sheet", F.when(F.col("sheet") == sheets[place], F.lit(name)).otherwise(F.col("sheet")))
+    return [*sheets[:place], name, *sheets[place + 1 :]], renamed
+
+
+class Versions:
+    """Undo and redo over versions of a table: a version is a plan, so a hundred of them cost nothing until they are read."""
+
+    def __init__(self, limit: int = 60):
+        self.limit, self.past, self.future = max(1, limit), [], []
+
+    def record(self, current: DataFrame) -> None:
+        """Call before a change; what was undone can't be redone any more."""
+        self.past = [*self.past, current][-self.limit :]
+        self.future = []
+
+    def undo(self, current: DataFrame) -> DataFrame:
+        if not self.past:
+            return current
+        self.future.append(current)
+        return self.past.pop()
+
+    def redo(self, current: DataFrame) -> DataFrame:
+        if not self.future:
+            return current
+        self.past.append(current)
+        return self.future.pop()
 
 
 def max_width(cells: DataFrame, least: int = 4, most: int = 60) -> DataFrame:

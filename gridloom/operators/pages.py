@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.rounds import running
+
 PAGE_BREAK = "\f"
 
 
@@ -75,18 +78,66 @@ def split_every(pages: DataFrame, size: int) -> DataFrame:
     return pages.withColumn("part", (F.floor((F.col("page_no") - 1) / size) + 1).cast("int"))
 
 
+def _in_pages(expression: str, page: Column, total: Column) -> Column:
+    """Does the expression name this page of a document of so many?"""
+    text = expression.strip().lower()
+    for words, chosen in ((_ALL, F.lit(True)), (_EVEN, page % 2 == 0), (_ODD, page % 2 == 1)):
+        if text in words:
+            return chosen
+
+    def number(word: str, default: Column) -> Column:
+        return total if word in _LAST else F.lit(int(word)) if re.fullmatch(r"[+-]?\d+", word) else default
+
+    hit = F.lit(False)
+    for part in filter(None, (x.strip() for x in re.split("[,;]", text))):
+        if ranged := re.fullmatch(r"([^-]+)-(.*)", part):
+            a, b = number(ranged[1].strip(), F.lit(1)), number(ranged[2].strip(), total)
+        else:
+            a = b = number(part, F.lit(0))
+        hit = hit | page.between(F.least(a, b), F.greatest(a, b))
+    return hit
+
+
+def split_ranges(pages: DataFrame, ranges: str, label: str = "pages_") -> DataFrame:
+    """Parts of a document by ranges such as "1-3; 4-; 2, 5": a page may be in several. Columns doc_id, part (from 1), label, page_no (in the part), source_page, text.
+
+    Ranges that name no page of a document make no part of it.
+    """
+    chunks = [c for c in ranges.split(";") if c]
+    if not chunks:
+        raise ValueError("no ranges, such as 1-3; 4-6; 7")
+    totals = pages.groupBy("doc_id").agg(F.max("page_no").alias("total_"))
+    page, total = F.col("page_no"), F.col("total_")
+    parts = F.filter(F.array(*(F.when(_in_pages(c, page, total), F.lit(k)) for k, c in enumerate(chunks, 1))), lambda k: k.isNotNull())
+    rows = pages.join(totals, "doc_id").select("doc_id", F.explode(parts).alias("part"), F.col("page_no").alias("source_page"), "text")
+    named = describe_pages(rows.select(F.struct("doc_id", "part").alias("doc_id"), F.col("source_page").alias("page_no")))
+    named = named.select("doc_id.doc_id", "doc_id.part", F.concat(F.lit(label), F.replace("pages", F.lit(", "), F.lit("_"))).alias("label"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("source_page")).alias("page_no")
+    return rows.join(named, ["doc_id", "part"]).select("doc_id", "part", "label", place, "source_page", "text")
+
+
 def merge_documents(pages: DataFrame, order: str = "doc_id", into: str = "merged") -> DataFrame:
-    """All pages as one document: numbers come from the documents' page counts (a row each), not from a sort of the pages."""
+    """All pages as one document: numbers come from running sums of the documents' page counts (a row each), not from a sort of the pages."""
     counts = pages.groupBy(order).agg(F.count(F.lit(1)).alias("n_"))
-    before = F.coalesce(F.sum("n_").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(order, before.alias("before_"))
-    return pages.join(offsets, order).select(F.lit(into).alias("doc_id"), (F.col("before_") + F.col("page_no")).alias("page_no"), "text")
+    offsets = running(counts, [order], "before_pages_", F.col("n_")).select(order, "before_pages_")
+    return pages.join(offsets, order).select(F.lit(into).alias("doc_id"), (F.col("before_pages_") + F.col("page_no")).alias("page_no"), "text")
 
 
 def rotate(pages: DataFrame, degrees: int, wanted: list[int]) -> DataFrame:
     return pages.withColumn("rotation", F.when(F.col("page_no").isin(wanted), F.pmod(F.col("rotation") + degrees, F.lit(360))).otherwise(F.col("rotation")))
 
 
+def crop(pages: DataFrame, left: float, bottom: float, right: float, top: float, wanted: list[int] | None = None) -> DataFrame:
+    """pages (x1, y1, x2, y2) with so many per cent of their width or height cut off each side, 0 to 40 of each."""
+    left, bottom, right, top = (min(max(x, 0.0), 40.0) / 100 for x in (left, bottom, right, top))
+    if left + right >= 0.9 or bottom + top >= 0.9:
+        raise ValueError("nothing would remain of a page")
+    width, height = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    new = {"x1": F.col("x1") + width * left, "y1": F.col("y1") + height * bottom, "x2": F.col("x2") - width * right, "y2": F.col("y2") - height * top}
+    chosen = F.lit(True) if wanted is None else F.col("page_no").isin(wanted)
+    return pages.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
 def n_up(pages: DataFrame, per_sheet: int, columns: int) -> DataFrame:
     """sheet, slot, grid row and column of each page."""
     slot = (F.col("page_no") - 1) % per_sheet
@@ -140,17 +191,75 @@ def placeholders(template: Column, page: Column, pages: Column, file: Column, da
     return template
 
 
-def compare_documents(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Per page (doc_id, page_no): lines removed and added as multisets of trimmed non-blank lines; changed pages only."""
+def compare_lines(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Lines that differ, per page (doc_id, page_no): line, side (removed or added) and how often; multisets of trimmed non-blank lines."""
 
-    def lines(pages: DataFrame) -> DataFrame:
-        exploded = pages.select("doc_id", "page_no", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''")
-        return exploded.groupBy("doc_id", "page_no", "line").agg(F.count(F.lit(1)).alias("n"))
+    def lines(pages: DataFrame, count: str) -> DataFrame:
+        exploded = pages.select("doc_id", "page_no", F.explode(F.split("text", "\n")).alias("line"))
+        trimmed = exploded.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).where("line <> ''")
+        return trimmed.groupBy("doc_id", "page_no", "line").agg(F.count(F.lit(1)).alias(count))
 
-    both = lines(left).withColumnRenamed("n", "n_left").join(lines(right).withColumnRenamed("n", "n_right"), ["doc_id", "page_no", "line"], "full_outer")
+    both = lines(left, "n_left").join(lines(right, "n_right"), ["doc_id", "page_no", "line"], "full_outer")
     more = F.coalesce("n_left", F.lit(0)) - F.coalesce("n_right", F.lit(0))
-    counts = both.groupBy("doc_id", "page_no").agg(F.sum(F.greatest(more, F.lit(0))).alias("removed"), F.sum(F.greatest(-more, F.lit(0))).alias("added"))
-    return counts.where("removed > 0 or added > 0")
+    side = F.when(more > 0, F.lit("removed")).otherwise(F.lit("added"))
+    return both.withColumn("more", more).where("more <> 0").select("doc_id", "page_no", "line", side.alias("side"), F.abs("more").alias("n"))
+
+
+def compare_documents(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Per page (doc_id, page_no): numbers of lines removed and added; changed pages only."""
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(side)
+    return compare_lines(left, right).groupBy("doc_id", "page_no").agg(of("removed"), of("added"))
+
+
+def find_next(blocks: DataFrame, term: str, caret_block: int, caret_offset: int, match_case: bool = False) -> DataFrame:
+    """blocks (doc_id, block_no from 0, text): per document the next place of term from the caret on, round the end if needed: block_no, offset (from 0)."""
+    pattern = ("" if match_case else "(?iu)") + re.escape(term)  # places are those of the text itself, whose length upper case may change
+    place = lambda text: F.when(text.rlike(pattern), F.length(F.split(text, pattern, 2)[0]) + 1).otherwise(0)
+    text, at_caret, block = F.col("text"), F.col("block_no") == caret_block, F.col("block_no")
+    begin = F.least(F.lit(caret_offset), F.length("text"))
+    rest = place(F.substring(text, begin + 1, F.length(text)))
+    ahead = F.when(at_caret, F.when(rest > 0, rest + begin).otherwise(0)).otherwise(place(text))
+    # blocks after the caret, blocks before it, and the caret's own block from its start, in this order
+    turns = F.array(
+        F.struct(F.when(block >= caret_block, 0).otherwise(1).alias("turn"), block.alias("block_no"), ahead.alias("at")),
+        F.struct(F.when(at_caret, 2).alias("turn"), block.alias("block_no"), place(text).alias("at")),
+    )
+    found = blocks.select("doc_id", F.explode(turns).alias("f")).where("f.turn is not null and f.at > 0")
+    return found.groupBy("doc_id").agg(F.min("f").alias("f")).select("doc_id", "f.block_no", (F.col("f.at") - 1).alias("offset"))
+
+
+def plain_text(runs: DataFrame, page_break: str = "--- PAGE BREAK ---") -> DataFrame:
+    """runs (doc_id, block_no, run_no, kind, text): a document's blocks as lines, each its runs' texts; kind PageBreak shows the mark."""
+    ordered = F.array_sort(F.collect_list(F.struct("run_no", F.coalesce("text", F.lit("")).alias("text"))))
+    lines = runs.groupBy("doc_id", "block_no").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "").alias("line"), F.max("kind").alias("kind"))
+    line = F.when(F.col("kind") == "PageBreak", F.lit(f"\n{page_break}\n\n")).otherwise(F.concat("line", F.lit("\n")))
+    blocks = F.array_sort(F.collect_list(F.struct("block_no", line.alias("line"))))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(blocks, lambda b: b["line"]), "").alias("text"))
+
+
+def wrap(text: Column, width: float, measure: Callable[[Column], Column] = F.length) -> Column:
+    """A text's lines, filled word by word up to a measured width; a word wider than a line has one of its own."""
+
+    def step(acc: Column, word: Column) -> Column:
+        longer = F.when(acc["line"] == "", word).otherwise(F.concat(acc["line"], F.lit(" "), word))
+        full = (acc["line"] != "") & (measure(longer) > width)
+        return F.struct(F.when(full, F.array_append(acc["lines"], acc["line"])).otherwise(acc["lines"]).alias("lines"), F.when(full, word).otherwise(longer).alias("line"))
+
+    def wrapped(paragraph: Column) -> Column:
+        words = F.filter(F.split(paragraph, " "), lambda w: w != "")
+        start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+        return F.aggregate(words, start, step, lambda acc: F.array_append(acc["lines"], acc["line"]))
+
+    return F.flatten(F.transform(F.split(text, "\n"), wrapped))
+
+
+def readable_date(text: Column) -> Column:
+    """A date such as D:20260828142530+07'00' as dd/MM/yyyy HH:mm; a text that is none as it is, null for a blank one."""
+    digits = F.regexp_replace(F.trim(text), "^D:", "")
+    stamp = F.try_to_timestamp(F.when(F.length(digits) >= 14, F.left(digits, F.lit(14))), F.lit("yyyyMMddHHmmss"))
+    day = F.try_to_timestamp(F.when(F.length(digits) >= 8, F.left(digits, F.lit(8))), F.lit("yyyyMMdd"))
+    shown = F.coalesce(F.date_format(stamp, "dd/MM/yyyy HH:mm"), F.date_format(day, "dd/MM/yyyy"), text)
+    return F.when(F.trim(text) != "", shown)
 
 
 def inspect(pages: DataFrame) -> DataFrame:

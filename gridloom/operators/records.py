@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.rounds import numbered, publish
+
 # fixed values: the states of an upload
 STATES = ["LocalOnly", "Pending", "Uploading", "UploadedPrivate", "UploadedShared", "Failed", "AuthenticationRequired"]
 GROUPS = {
@@ -52,19 +54,20 @@ def can_retry(state: Column) -> Column:
     return state.isin(RETRYABLE)
 
 
+# fixed values: what an event makes of a state; enqueue and retry make any state Pending, all others change nothing
+MOVES = {
+    ("Pending", "start"): "Uploading", ("Pending", "missing"): "Failed", ("Uploading", "cancel"): "Pending", ("Uploading", "shared"): "UploadedShared",
+    ("Uploading", "private"): "UploadedPrivate", ("Uploading", "fail"): "Failed", ("Uploading", "auth"): "AuthenticationRequired",
+}
+RESTARTS = ("enqueue", "retry")
+
+
 def next_state(state: Column, event: Column) -> Column:
-    """The state after an event: enqueue, retry, start, shared, private, fail, auth, cancel, missing; others change nothing."""
-    return (
-        F.when(event.isin("enqueue", "retry"), "Pending")
-        .when((event == "start") & (state == "Pending"), "Uploading")
-        .when((event == "missing") & (state == "Pending"), "Failed")
-        .when((event == "cancel") & (state == "Uploading"), "Pending")
-        .when((state == "Uploading") & (event == "shared"), "UploadedShared")
-        .when((state == "Uploading") & (event == "private"), "UploadedPrivate")
-        .when((state == "Uploading") & (event == "fail"), "Failed")
-        .when((state == "Uploading") & (event == "auth"), "AuthenticationRequired")
-        .otherwise(state)
-    )
+    """The state after an event: enqueue, retry, start, shared, private, fail, auth, cancel, missing."""
+    out = F.when(event.isin(*RESTARTS), "Pending")
+    for (before, name), after in MOVES.items():
+        out = out.when((state == before) & (event == name), after)
+    return out.otherwise(state)
 
 
 def queue_states(events: DataFrame, key: str, at: str, event: str) -> DataFrame:
@@ -80,8 +83,12 @@ def recover(records: DataFrame, state: str = "upload_state") -> DataFrame:
     return records.withColumn(state, F.when(F.col(state) == "Uploading", "Pending").otherwise(F.col(state)))
 
 
-def recent_files(files: DataFrame, path: str, at: str, limit: int = RECENT_FILES) -> DataFrame:
-    """The newest opening of each path (any case), newest first."""
+def recent_files(files: DataFrame, path: str, at: str, limit: int = RECENT_FILES, kind: str | None = None, of: str | None = None) -> DataFrame:
+    """The newest opening of each path (any case), newest first; only those whose column `kind` is `of`, if given."""
+    if kind:  # the list holds so many files of all kinds, and the filter looks at these
+        rows = files.groupBy(F.upper(path).alias("path_")).agg(F.max_by(F.struct(path, kind), at).alias("file_"), F.max(at).alias(at))
+        listed = rows.select(f"file_.{path}", f"file_.{kind}", at).orderBy(F.col(at).desc(), path).limit(limit)
+        return listed.where(F.col(kind) == of).orderBy(F.col(at).desc(), path)
     rows = files.groupBy(F.upper(path).alias("path_")).agg(F.max_by(path, at).alias(path), F.max(at).alias(at))
     return rows.drop("path_").orderBy(F.col(at).desc(), path).limit(limit)
 
@@ -119,27 +126,61 @@ def translate(points: Column, dx: float, dy: float) -> Column:
 
 def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
     """Equal names (any case) get -2, -3, ... before the extension, by order. Names number their own copies only."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(F.upper(name)).orderBy(order))
+    rows = numbered(files.withColumn("key_", F.upper(name)), ["key_"], [order], "copy_")
     stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"\.[^.]*$", 0)
-    return files.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), ext)))
+    unique = F.when(F.col("copy_") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("copy_").cast("string"), ext))
+    return rows.withColumn("unique_name", unique).drop("key_", "copy_")
 
 
 def safe_name(name: Column) -> Column:
     return F.translate(name, '\\/:*?"<>|', "_________")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Nodes that a root reaches over edges (src, dst); roots: node. One join a round, only the new nodes go on."""
-    from gridloom.operators.rounds import publish
-
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes that a root reaches over edges (src, dst); roots: node. One join a round, only the new nodes go on, until there are none."""
     found = publish(roots.select("node").distinct())
     fresh = found
-    for _ in range(max_rounds):
+    while not fresh.isEmpty():
         step = edges.join(fresh.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
         fresh = publish(step.join(found, "node", "left_anti"))
-        if fresh.isEmpty():
-            return found
         found = publish(found.unionByName(fresh))
-    raise ValueError(f"more than {max_rounds} rounds")
+    return found
+
+
+def layers_after(commands: DataFrame, key: str = "doc_id", at: str = "at", limit: int = 100) -> DataFrame:
+    """The layers of each document after its commands, in time order: key, layers (layer, x, y, bottom first).
+
+    commands: key, at, action (add, delete, move, clear, undo, redo), layer, dx, dy. Undo takes back the last command, up to
+    `limit` of them; a new command ends what can be redone. A document's own commands meet in one row.
+    """
+    events = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "action", "layer", "dx", "dy"))), lambda e: e)
+    numbers = F.array().cast("array<int>")
+
+    def turn(acc: Column, k: Column) -> Column:
+        action, applied, redo = F.col("events")[k]["action"], acc["applied"], acc["redo"]
+        undoes, redoes = (action == "undo") & (acc["depth"] > 0), (action == "redo") & (F.size(redo) > 0)
+        does, drop = ~action.isin("undo", "redo"), lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+        last = lambda a: F.try_element_at(a, F.lit(-1))
+        return F.struct(
+            F.when(undoes, drop(applied)).when(redoes, F.array_append(applied, last(redo))).when(does, F.array_append(applied, k)).otherwise(applied).alias("applied"),
+            F.when(undoes, F.array_append(redo, last(applied))).when(redoes, drop(redo)).when(does, numbers).otherwise(redo).alias("redo"),
+            F.when(undoes, acc["depth"] - 1).when(redoes, acc["depth"] + 1).when(does, F.least(acc["depth"] + 1, F.lit(limit))).otherwise(acc["depth"]).alias("depth"),
+        )
+
+    none = F.array().cast("array<struct<layer:string,x:double,y:double>>")
+
+    def draw(layers: Column, k: Column) -> Column:
+        e = F.col("events")[k]
+        layer = lambda x, y: F.struct(e["layer"].cast("string").alias("layer"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+        moved = F.transform(layers, lambda a: F.when(a["layer"] == e["layer"].cast("string"), layer(a["x"] + e["dx"], a["y"] + e["dy"])).otherwise(a))
+        others = F.filter(layers, lambda a: a["layer"] != e["layer"].cast("string"))
+        return (
+            F.when(e["action"] == "add", F.array_append(layers, layer(F.coalesce(e["dx"], F.lit(0.0)), F.coalesce(e["dy"], F.lit(0.0)))))
+            .when(e["action"] == "delete", others).when(e["action"] == "move", moved).when(e["action"] == "clear", none).otherwise(layers)
+        )
+
+    rows = commands.groupBy(key).agg(events.alias("events"))
+    places = F.sequence(F.lit(0), F.size("events") - 1)
+    start = F.struct(numbers.alias("applied"), numbers.alias("redo"), F.lit(0).alias("depth"))
+    rows = rows.withColumn("applied", F.aggregate(places, start, turn, lambda acc: acc["applied"]))
+    return rows.select(key, F.aggregate("applied", none, draw).alias("layers"))

@@ -63,7 +63,7 @@ def grid_distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_sort_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _places(grid.sort_column(grid.to_cells(table(spark, sf_dir, "nation").withColumn("row", F.col("n_nationkey") + 1), "row", ["n_name", "n_regionkey"]), 1, True))
+    return _places(grid.sort_column(_cells(spark, sf_dir), 2, True))
 
 
 def grid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +157,8 @@ SQL = {
         SELECT row, col, text FROM cells LEFT JOIN k USING (row) WHERE col = 1 OR row = coalesce(first, row)""",
     "grid_distinct_rows": "SELECT min(c_custkey) AS c_custkey, c_mktsegment, c_nationkey FROM customer GROUP BY c_mktsegment, c_nationkey",
     "grid_sort_column": """
-        SELECT row_number() OVER (ORDER BY n_name DESC) AS row, 1 AS col, n_name AS text FROM nation
-        UNION ALL SELECT n_nationkey + 1, 2, CAST(n_regionkey AS VARCHAR) FROM nation""",
+        SELECT row_number() OVER (ORDER BY c_mktsegment DESC, c_custkey) AS row, 2 AS col, c_mktsegment AS text FROM customer
+        UNION ALL SELECT c_custkey, 1, c_name FROM customer UNION ALL SELECT c_custkey, 3, CAST(c_nationkey AS VARCHAR) FROM customer""",
     "grid_table": "SELECT c_custkey AS row, c_name AS c1, c_mktsegment AS c2, CAST(c_nationkey AS VARCHAR) AS c3 FROM customer",
     "grid_copy": r"SELECT c_custkey AS row, c_mktsegment || chr(9) || c_nationkey AS line FROM customer WHERE c_custkey BETWEEN 2 AND 30",
     "grid_paste": """

@@ -23,9 +23,8 @@ def log_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    now = events.agg(F.max("ts").alias("now_"))  # one row
-    joined = events.join(F.broadcast(now))
-    return activity.recent_errors(joined, F.col("now_"), "event_type", "ts").select("event_id", "user_id", "ts", "value")
+    now = events.agg(F.max("ts")).scalar()
+    return activity.recent_errors(events, now, "event_type", "ts").select("event_id", "user_id", "ts", "value")
 
 
 def log_slow_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +41,8 @@ def log_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    now = events.agg(F.max("ts").alias("now_"))  # one row
-    return activity.retain(events.join(F.broadcast(now)), F.col("now_"), 3, "ts").select("event_id", "ts")
+    now = events.agg(F.max("ts")).scalar()
+    return activity.retain(events, now, 3, "ts").select("event_id", "ts")
 
 
 def log_event_names(spark: SparkSession, sf_dir: str) -> DataFrame:

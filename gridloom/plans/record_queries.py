@@ -59,8 +59,8 @@ def record_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_autosaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     saves = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("saved_at"))
-    now = saves.agg(F.max("saved_at").alias("now_"))  # one row
-    return R.autosaves(saves.join(F.broadcast(now)), F.col("now_"), 2).select("event_id", "saved_at")
+    now = saves.agg(F.max("saved_at")).scalar()
+    return R.autosaves(saves, now, 2).select("event_id", "saved_at")
 
 
 def record_categories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.coerce import text_to_number
@@ -24,19 +26,25 @@ def read_rows(spark: SparkSession, path: str, separator: str = ",") -> DataFrame
     return rows.where(F.exists(filled, lambda v: F.trim(v) != ""))
 
 
-def read_cells(spark: SparkSession, path: str, separator: str = ",", sheet: str = "Sheet1") -> DataFrame:
+def read_cells(spark: SparkSession, path: str, separator: str = ",", sheet: str | None = None) -> DataFrame:
     """Spreadsheet CSV, one line per row: values trimmed, numbers inferred, text starting with = is a formula, blanks dropped.
 
-    Row numbers follow the lines of one file; the file is one sheet.
+    Row numbers follow the lines of each file; a file is a sheet of its own name, or all are `sheet`. Files are read in
+    blocks, lines are numbered within their block, and the blocks' counts (a row per block) give the offsets.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("r", "line"))
-    pattern = rf'(?:^|{separator})(?:"((?:[^"]|"")*)"|([^{separator}]*))'
-    quoted, plain = F.regexp_extract_all("line", F.lit(pattern), F.lit(1)), F.regexp_extract_all("line", F.lit(pattern), F.lit(2))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("id"))
+    lines = lines.withColumn("within", within).join(counts.select("path", "block", before.alias("before")), ["path", "block"])
+    mark = re.escape(separator)
+    pattern = rf'(?:^|{mark})(?:"((?:[^"]|"")*)"|([^{mark}]*))'
+    quoted, plain = F.regexp_extract_all("value", F.lit(pattern), F.lit(1)), F.regexp_extract_all("value", F.lit(pattern), F.lit(2))
     values = F.zip_with(quoted, plain, lambda q, p: F.trim(F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p)))
-    cells = lines.select((F.col("r") + 1).cast("bigint").alias("row"), F.posexplode(values).alias("c", "text")).where("text <> ''")
+    name = F.lit(sheet) if sheet else F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    cells = lines.select(name.alias("sheet"), (F.col("before") + F.col("within")).cast("bigint").alias("row"), F.posexplode(values).alias("c", "text")).where("text <> ''")
     return cells.select(
-        F.lit(sheet).alias("sheet"), "row", (F.col("c") + 1).alias("col"), "text", text_to_number(F.col("text")).alias("num"),
-        F.when(F.col("text").startswith("="), F.col("text")).alias("formula"),
+        "sheet", "row", (F.col("c") + 1).alias("col"), "text", text_to_number(F.col("text")).alias("num"), F.when(F.col("text").startswith("="), F.col("text")).alias("formula")
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +28,45 @@ def pending_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.trim("value") != "").count()
 
 
+def read_newest(spark: SparkSession, path: str, days: int = 5, schema: T.StructType = LOG_SCHEMA) -> DataFrame:
+    """The log of the newest days there are: their names come from the folders, and only these folders are read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    newest = sorted(n for n in names if n.startswith("log_date="))[-days:]  # a name a day
+    return read_log(spark, path, schema).where(F.col("log_date").isin([n.removeprefix("log_date=") for n in newest]))
+
+
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array of records, or a record per line; damaged files give no rows."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
+    """A JSON array of records, or a record per line; of a damaged store its backup (path.bak), where there is one."""
+
+    def rows(place: str, mode: str) -> DataFrame:
+        return spark.read.schema(schema).option("mode", mode).option("multiLine", True).json(place)
+
+    def damaged(place: str) -> bool:
+        try:
+            rows(place, "FAILFAST").write.format("noop").mode("overwrite").save()
+        except (PySparkException, Py4JJavaError):
+            return True
+        return False
+
+    def exists(place: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(place)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    if not exists(path):
+        return spark.createDataFrame([], schema)
+    place = path + ".bak" if exists(path + ".bak") and damaged(path) else path
+    return rows(place, "DROPMALFORMED")
+
+
+def write_store(records: DataFrame, path: str) -> None:
+    """Written beside the store first, which then becomes the backup; a reader sees the old store or the new one."""
+    spark = records.sparkSession
+    at = lambda place: spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    records.write.json(new)
+    if fs.exists(at(path)):
+        fs.delete(at(path + ".bak"), True)
+        fs.rename(at(path), at(path + ".bak"))
+    fs.rename(at(new), at(path))

@@ -37,16 +37,12 @@ def error_rates(log: DataFrame, by: str = "tool_id", at: str = "occurred_at", wi
 
 def queue_stream(events: DataFrame, key: str = "id", at: str = "occurred_at", event: str = "action") -> DataFrame:
     """The upload queue's state per key after each micro-batch: key, state, retries. Rows of a key are folded in time order."""
-    moves = {
-        ("Pending", "start"): "Uploading", ("Pending", "missing"): "Failed", ("Uploading", "cancel"): "Pending", ("Uploading", "shared"): "UploadedShared",
-        ("Uploading", "private"): "UploadedPrivate", ("Uploading", "fail"): "Failed", ("Uploading", "auth"): "AuthenticationRequired",
-    }
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, retries = state.get if state.exists else (records.STATES[0], 0)
         rows = pd.concat(list(frames)).sort_values(at)
         for name in rows[event]:
-            now = "Pending" if name in ("enqueue", "retry") else moves.get((now, name), now)
+            now = "Pending" if name in records.RESTARTS else records.MOVES.get((now, name), now)
             retries += name == "retry"
         state.update((now, retries))
         yield pd.DataFrame({key: [group[0]], "state": [now], "retries": [retries]})

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 import io
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.operators import activity, grid, pages, records
 from gridloom.sources import delimited, logs, office
@@ -156,3 +158,137 @@ def test_fragments_keep_the_first_height_of_a_line(spark):
     assert [r.cells for r in R.tables(frame).orderBy("row_no").collect()] == [["a", "b", "c"], ["d", "", ""]]
     runs = spark.createDataFrame([(1, 1, "a", True), (1, 2, "b", True), (1, 3, "c", None), (1, 4, "d", None), (1, 5, "e", True)], "block_id int, run_no int, text string, bold boolean")
     assert [r.text for r in R.merge_runs(runs, ["bold"]).orderBy("run_no").collect()] == ["ab", "cd", "e"]
+
+
+def test_layers_keep_an_undo_stack(spark):
+    """Against a plain loop over random commands, with a short history."""
+    rng = random.Random(3)
+    actions = ["add", "add", "move", "delete", "undo", "undo", "redo", "clear"]
+    log = [(d, k, rng.choices(actions, [5, 5, 6, 2, 5, 4, 5, 1])[0], rng.choice("abcd"), float(rng.randrange(9)), float(rng.randrange(9))) for d in range(4) for k in range(60)]
+    for limit in (3, 100):
+        want = {}
+        for d in range(4):
+            applied, redo, depth = [], [], 0
+            for e in (e for e in log if e[0] == d):
+                if e[2] == "undo":
+                    if depth:
+                        redo.append(applied.pop())
+                        depth -= 1
+                elif e[2] == "redo":
+                    if redo:
+                        applied.append(redo.pop())
+                        depth += 1
+                else:
+                    applied.append(e)
+                    redo, depth = [], min(depth + 1, limit)
+            layers = []
+            for _, _, action, layer, dx, dy in applied:
+                if action == "add":
+                    layers.append((layer, dx, dy))
+                elif action == "move":
+                    layers = [(n, x + dx, y + dy) if n == layer else (n, x, y) for n, x, y in layers]
+                else:
+                    layers = [a for a in layers if action == "delete" and a[0] != layer]
+            want[d] = layers
+        frame = spark.createDataFrame(log, "doc_id int, at int, action string, layer string, dx double, dy double").repartition(3)
+        got = {r.doc_id: [tuple(a) for a in r.layers] for r in records.layers_after(frame, limit=limit).collect()}
+        assert got == want
+
+
+def test_queue_states_are_the_same_in_a_batch_and_on_a_stream(spark, tmp_path):
+    events = ["enqueue", "start", "fail", "retry", "start", "auth", "shared", "retry", "start", "private", "missing", "cancel"]
+    day = datetime.datetime(2026, 10, 5, 8)
+    rows = [(str(k), day + datetime.timedelta(minutes=k), f"t{k % 2}", True, events[k // 2]) for k in range(2 * len(events))]
+    _log(spark, rows).coalesce(1).write.json(str(tmp_path / "log"))
+    want = {r.tool_id: (r.state, r.retries) for r in records.queue_states(_log(spark, rows), "tool_id", "occurred_at", "action").collect()}
+    assert want["t0"] == ("UploadedPrivate", 2)
+    got = {}
+    stream = log_stream.queue_stream(log_stream.read_log_stream(spark, str(tmp_path / "log")).withColumn("id", F.col("tool_id")), "id", "occurred_at", "action")
+    take = lambda b, n: got.update({r.id: (r.state, r.retries) for r in b.collect()})
+    stream.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert got == want
+
+
+def test_error_rates_and_a_sink_on_a_stream(spark, tmp_path):
+    day = datetime.datetime(2026, 10, 5, 8)
+    rows = [(str(k % 20), day + datetime.timedelta(minutes=k % 20), f"t{k % 2}", k % 3 > 0, "run") for k in range(30)]
+    _log(spark, rows).coalesce(2).write.json(str(tmp_path / "log"))
+    stream = log_stream.read_log_stream(spark, str(tmp_path / "log"))
+    seen = []
+    rates = log_stream.error_rates(stream)
+    keep = lambda b, n: seen.extend(b.collect())
+    rates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    assert sum(r.total for r in seen) == 30 and sum(r.failures for r in seen) == 10 and {r.window_start.minute for r in seen} == {0, 10}
+    query = log_stream.write_once(stream, str(tmp_path / "table"), str(tmp_path / "c2"), period="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(int(r.id) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == list(range(20))
+
+
+def test_newest_days_stores_and_their_backups(spark, tmp_path):
+    days = [datetime.datetime(2026, 10, k, 8) for k in range(1, 8)]
+    log = _log(spark, [(str(k), d, "t", True, "run") for k, d in enumerate(days)])
+    logs.write_log(log, str(tmp_path / "log"))
+    assert sorted(r.id for r in logs.read_newest(spark, str(tmp_path / "log"), 5).collect()) == ["2", "3", "4", "5", "6"]
+    path, schema = str(tmp_path / "store.json"), T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    assert logs.read_store(spark, path, schema).count() == 0
+    for name in ("old", "new"):
+        logs.write_store(spark.createDataFrame([(1, name)], schema), path)
+    assert [r.name for r in logs.read_store(spark, path, schema).collect()] == ["new"]
+    (tmp_path / "store.json" / "part-damaged.json").write_text('[{"id": 1, ')
+    assert [r.name for r in logs.read_store(spark, path, schema).collect()] == ["old"]
+
+
+def test_measured_work_is_logged(spark):
+    rows = []
+    assert activity.measured(lambda: b"abc", rows.append, "pdf-tool", "run", "merge", "A.PDF", 9) == b"abc"
+    with pytest.raises(ValueError, match="bad"):
+        activity.measured(lambda: (_ for _ in ()).throw(ValueError("bad")), rows.append, "pdf-tool", "run")
+    good, bad = activity.log_rows(spark, rows).collect()
+    assert (good.level, good.success, good.file_ext, good.result_size_bytes) == ("info", True, ".pdf", 3)
+    assert (bad.level, bad.success, bad.message, bad.error_type) == ("error", False, "bad", "ValueError") and "ValueError" in bad.error_detail
+
+
+def test_cells_of_delimited_files(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('a|b|c\n\n 1,5 |"x|""y"|=A1\n')
+    (tmp_path / "two.csv").write_text("".join(f"{k}|{k * 2}\n" for k in range(1, 5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        cells = delimited.read_cells(spark, str(tmp_path / "*.csv"), "|")
+        one = [(r.row, r.col, r.text, r.num, r.formula) for r in cells.where("sheet = 'one'").orderBy("row", "col").collect()]
+        assert one == [(1, 1, "a", None, None), (1, 2, "b", None, None), (1, 3, "c", None, None), (3, 1, "1,5", 15.0, None), (3, 2, 'x|"y', None, None), (3, 3, "=A1", None, "=A1")]
+        two = cells.where("sheet = 'two'")
+        assert two.count() == 2 * 4999 and two.where("num <> row * col").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_versions_and_sheets():
+    versions, now = grid.Versions(limit=2), "v0"
+    for k in range(1, 4):
+        versions.record(now)
+        now = f"v{k}"
+    assert (now := versions.undo(now)) == "v2" and (now := versions.undo(now)) == "v1" and versions.undo(now) == "v1"  # two versions back at most
+    assert (now := versions.redo(now)) == "v2"
+    versions.record(now)
+    assert versions.redo("v9") == "v9"
+    assert grid.add_sheet(["Sheet1", "sheet3"]) == ["Sheet1", "sheet3", "Sheet4"] and grid.add_sheet(["a"], "b") == ["a", "b"]
+
+
+def test_set_values_and_letters(spark):
+    cells = spark.createDataFrame([("s", 1, 1, "old", None)], "sheet string, row bigint, col int, text string, num double")
+    values = spark.createDataFrame([("s", 1, 1, "z", 1), ("s", 1, 1, "7", 2), ("s", 2, 1, "", 3)], "sheet string, row bigint, col int, text string, at int")
+    assert [(r.row, r.text, r.num) for r in grid.set_values(cells, values, "at").collect()] == [(1, "7", 7.0)]
+    assert [r.text for r in grid.set_values(cells, values).collect()] == ["z"]
+    got = spark.createDataFrame([(1,), (26,), (27,), (702,), (703,), (18278,), (18279,), (2**31 - 1,)], "n bigint").select(grid.col_letters(F.col("n")).alias("x")).collect()
+    assert [r.x for r in got] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA", "FXSHRXW"]
+
+
+def test_numbers_of_a_hot_key(spark):
+    from gridloom.operators.rounds import numbered
+
+    frame = spark.createDataFrame([("hot" if k % 10 else None, k * 37 % 5003) for k in range(5003)], "name string, at int").repartition(7)
+    rows = numbered(frame, ["name"], ["at"], "n").collect()
+    for name in ("hot", None):
+        mine = sorted((r.at, r.n) for r in rows if r.name == name)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
