@@ -7,7 +7,7 @@ How it runs: every input partition first finds its own groups of equal texts (th
 of copies, however large, leaves at most one row per partition), then the representatives are shuffled by
 their hash and grouped again. Both passes are the same Grace hash pass: an open-addressing table compares
 complete contents; a partition that doesn't fit its memory budget is split by further hash bits into spill
-files in the task's temporary folder, recursively, until each bucket fits.
+files of the task in Spark's local folder, recursively, until each bucket fits.
 
 Defined results: null text equals the empty text; a null doc_id is larger than any other; rows that repeat
 both doc_id and text are counted in group_size and share one verdict; an empty table gives an empty result;
@@ -92,7 +92,7 @@ def grace_groups(records: Iterable[Record], budget: int = MEMORY_BUDGET, level:
     else:
         yield from map(tuple, table.groups)
         return
-    with tempfile.TemporaryDirectory(prefix="grace-") as folder:
+    with tempfile.TemporaryDirectory(prefix="grace-", dir=_local_dir()) as folder:
         files = [open(os.path.join(folder, str(k)), "wb") for k in range(FAN_OUT)]
         try:
             for source in (map(tuple, table.groups), records):
@@ -109,6 +109,12 @@ def grace_groups(records: Iterable[Record], budget: int = MEMORY_BUDGET, level:
             os.remove(f.name)
 
 
+def _local_dir() -> str | None:
+    """The folder where Spark itself spills on this machine, if it tells; a task's files there are read by the same task only."""
+    folders = (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or "").split(",")
+    return folders[0] if folders[0] and os.path.isdir(folders[0]) else None
+
+
 def _spilled(path: str) -> Iterator[Record]:
     with open(path, "rb") as f:
         while head := f.read(_HEAD.size):
@@ -157,5 +163,6 @@ def drop_exact_copies(docs: DataFrame, budget: int = MEMORY_BUDGET) -> DataFrame
     """The documents that stay, all columns; of rows that repeat doc_id and text, one."""
     verdict = exact_groups(docs, budget).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
     sha = F.sha2(F.regexp_replace(text_of(), SPACES, " "), 256)
-    kept = docs.withColumn("kept_sha_", sha).join(verdict, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_sha_") == F.col("kept_sha")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "kept_sha_"]).drop("kept_sha_")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("bigint").alias("id"), sha.alias("sha"))  # so that no column of docs clashes
+    kept = keyed.join(verdict, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return kept.dropDuplicates(["id", "sha"]).select("doc.*")

@@ -43,7 +43,8 @@ class FastTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.split, self.prepare = split, prepare
-        self.known: dict[str, bytes] = {}  # ids as 16-bit integers; both vocabularies have fewer than 65,536
+        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"  # ids are remembered in 2 or 4 bytes
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         out = []
@@ -62,8 +63,8 @@ class FastTokenizer:
                 known.clear()
                 new = list(dict.fromkeys(parts))
             bpe = self.library.model.tokenize  # a pre-token needs no more of the library's steps than its byte pair encoding
-            known.update((p, array("H", [t.id for t in bpe(p.translate(_BYTES))]).tobytes()) for p in new)
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint16).astype(np.uint32)
+            known.update((p, array(self.code, [t.id for t in bpe(p.translate(_BYTES))]).tobytes()) for p in new)
+        return np.frombuffer(b"".join(map(known.__getitem__, parts)), self.code).astype(np.uint32)
 
 
 def byte_bpe(path: str) -> FastTokenizer:

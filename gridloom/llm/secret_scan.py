@@ -75,24 +75,23 @@ def _weak_secrets(text: str) -> Iterator[tuple[int, int]]:
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak secrets with a partner in scope, and these partners; nothing that a base span covers."""
-    parts = sorted([(*m.span(), 4) for m in IDENTIFIER.finditer(text)] + [(*m.span(), 5) for m in ENDPOINT.finditer(text)] + [(s, e, 4) for s, k, e in base if k == 1])
-    if not parts:
+    kinds = [[(*m.span(), 4) for m in IDENTIFIER.finditer(text)], [(*m.span(), 5) for m in ENDPOINT.finditer(text)], [(s, e, 4) for s, k, e in base if k == 1]]
+    if not any(kinds):
         return []
     breaks = [m.start() for m in re.finditer(r"\n[\x20\t]*\n", text)]
-    starts = [p[0] for p in parts]
-    longest = max(e - s for s, e, _ in parts)
-    reach, found = 0, set()
-    covered = _Cover(base)
+    starts = [[p[0] for p in parts] for parts in kinds]
+    found, covered = set(), _Cover(base)
     for s, e in _weak_secrets(text):
         if covered.overlaps(s, e):
             continue
-        block = bisect_right(breaks, s)
-        low, high = s - SCOPE_CHARS, e + SCOPE_CHARS
-        reach = bisect_left(starts, low - longest)
-        partners = [p for p in parts[reach : bisect_right(starts, high)] if p[1] >= low and bisect_right(breaks, p[0]) == block and (p[1] <= s or p[0] >= e)]
-        if partners:
-            found.add((s, 3, e))
-            found.update((p[0], p[2], p[1]) for p in partners if not covered.overlaps(p[0], p[1]))
+        block, low, high = bisect_right(breaks, s), s - SCOPE_CHARS, e + SCOPE_CHARS
+        for parts, begins in zip(kinds, starts, strict=True):
+            # parts of one kind don't overlap, so that of those that begin before the scope only the last can reach into it
+            for p in parts[max(0, bisect_left(begins, low) - 1) : bisect_right(begins, high)]:
+                if p[1] >= low and (p[1] <= s or p[0] >= e) and bisect_right(breaks, p[0]) == block:
+                    found.add((s, 3, e))
+                    if not covered.overlaps(p[0], p[1]):
+                        found.add((p[0], p[2], p[1]))
     return sorted(found)
 
 

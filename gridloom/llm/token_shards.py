@@ -9,9 +9,10 @@ filter, finds its block by binary search in the index and its entry by a scan of
     value  := token ids, little-endian, 2 or 4 bytes each (the footer tells)
     key    := 0, or 1 and the doc_id big-endian with its sign bit flipped; then a 4-byte number among equal ids
 
-The documents are range-partitioned and sorted by doc_id; a task writes one shard under a temporary name in
-the shared folder and then renames it, so a task that runs again after a lost executor replaces its own file.
-The manifest has a row per shard. Files are written by pyarrow.fs, which knows file:, hdfs:, s3: and gs:.
+The documents are range-partitioned and sorted by doc_id; a task writes one shard into the shared folder, under a name of
+its own attempt. The manifest, which only committed attempts write, names the files that count, with their first and
+last doc_id; what a lost or a second attempt wrote is in no manifest (`remove_strays` deletes it). Files are written by
+pyarrow.fs, which knows file:, hdfs:, s3: and gs:.
 
 Defined results: a null text is the end id alone; a null doc_id sorts first; rows that repeat a doc_id are all
 kept, ordered by a hash of their texts; an empty table has no shards.
@@ -20,6 +21,7 @@ kept, ordered by a hash of their texts; an empty table has no shards.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -185,7 +187,7 @@ def _qualified(spark: SparkSession, folder: str) -> str:
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
-    """Write the shards into folder (a URI that all executors share). The manifest: shard, path, n_docs, n_tokens."""
+    """Write the shards into folder (a URI that all executors share). The manifest: shard, path, n_docs, n_tokens, first_id, last_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = fast_tokens.load("byte", tokenizer)
@@ -193,10 +195,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         shard = TaskContext.get().partitionId()
         fs, place = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(place, recursive=True)
-        name = f"{place}/shard-{shard:06d}.sst"
-        attempt = f"{place}/_attempt-{shard:06d}-{TaskContext.get().taskAttemptId()}"
+        name = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}.sst"
         writer = None
-        with fs.open_output_stream(attempt) as out:
+        with fs.open_output_stream(f"{place}/{name}") as out:
             for batch in batches:
                 writer = writer or ShardWriter(out, id_bytes)
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -204,19 +205,60 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             if writer:
                 writer.close()
         if not writer:
-            fs.delete_file(attempt)
+            fs.delete_file(f"{place}/{name}")
             return
-        if fs.get_file_info(name).type != pyarrow.fs.FileType.NotFound:
-            fs.delete_file(name)  # of an earlier attempt; some stores don't rename over a file
-        fs.move(attempt, name)
-        row = {"shard": shard, "path": f"{folder}/shard-{shard:06d}.sst", "n_docs": len(writer.doc_ids), "n_tokens": writer.n_tokens}
-        yield pa.RecordBatch.from_pylist([row])
+        row = {"shard": shard, "path": f"{folder}/{name}", "n_docs": len(writer.doc_ids), "n_tokens": writer.n_tokens, "first_id": writer.doc_ids[0], "last_id": writer.doc_ids[-1]}
+        yield pa.RecordBatch.from_pylist([row], _MANIFEST)
 
     folder = _qualified(docs.sparkSession, folder)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return publish(ranged.mapInArrow(run, "shard bigint, path string, n_docs bigint, n_tokens bigint"), "shards")
+    return publish(ranged.mapInArrow(run, "shard bigint, path string, n_docs bigint, n_tokens bigint, first_id bigint, last_id bigint"), "shards")
+
+
+def remove_strays(manifest: DataFrame, folder: str) -> None:
+    """Delete the shards in folder that the manifest doesn't name; only when no task writes there any more."""
+    fs, place = pyarrow.fs.FileSystem.from_uri(_qualified(manifest.sparkSession, folder))
+    named = {r["path"].rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()}  # a row per shard
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(place)):
+        if info.base_name.endswith(".sst") and info.base_name not in named:
+            fs.delete_file(info.path)
+
+
+def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, ids (4 bytes each) of each document whose doc_id is among those wanted. Only shards whose range holds one are opened.
+
+    The shards' ranges (a row per shard) go to every task; wanted ids then meet at their shard.
+    """
+    order = lambda k: (k is not None, k or 0)
+    ranges = sorted((order(r["last_id"]), order(r["first_id"]), r["path"]) for r in manifest.select("path", "first_id", "last_id").collect())  # a row per shard
+    shared = manifest.sparkSession.sparkContext.broadcast(ranges)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for doc_id in batch.column(0).to_pylist():
+                key, k = order(doc_id), bisect_left(shared.value, (order(doc_id),))
+                while k < len(shared.value) and shared.value[k][1] <= key:  # equal ids may reach over several shards
+                    out[0].append(shared.value[k][2])
+                    out[1].append(doc_id)
+                    k += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], names=["path", "doc_id"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, reader = None, None
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for at, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path, reader = (path, reader) if at == path else (at, ShardReader(at))
+                for ids in reader.get(doc_id):
+                    found[0].append(doc_id)
+                    found[1].append(ids.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], names=["doc_id", "ids"])
+
+    placed = wanted.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().mapInArrow(place, "path string, doc_id bigint")
+    return placed.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(read, "doc_id bigint, ids binary")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -240,6 +282,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return manifest.select("shard", "path").repartitionByRange(n, "shard").mapInArrow(run, "shard bigint, doc_id bigint, start bigint, ids binary")
 
 
+_MANIFEST = pa.schema([("shard", pa.int64()), ("path", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_tokens", "first_id", "last_id"))])
 _READ = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
 
