@@ -2,12 +2,14 @@
 
 The lines with a word are the corpus's symbols. Prefix doubling ranks the suffixes: rank k orders them by
 their first 2**k lines, rank k + 1 comes from sorting the pairs (rank k here, rank k 2**k lines further on).
-Suffixes of equal rank are a longest-common-prefix interval, so any run of n lines is named by two ranks of
-level log2(n) (its first and its last 2**k lines). A run counts when it has MIN_WORDS words or more; as a
-longer common prefix is the union of such runs, doubling can stop once 2**k lines must hold MIN_WORDS words,
-six levels at most whatever the documents' lengths. Only lines that occur twice take part, and at each level
-only what is still shared. Of each repeated run the first place in (doc_id, line) order stays; overlapping
-later copies merge into maximal runs and are deleted, blank lines within them too.
+A run counts when it has MIN_WORDS words or more; as a longer common prefix is the union of such runs, suffixes are cut to
+the shortest run that has so many, and doubling stops at its length, six levels at most whatever the documents' lengths.
+Only lines that occur twice take part, and at each level only what is still shared.
+
+The suffix array is these suffixes in order of their ranks, equal ones by place, sorted in ranges; the longest common prefix of
+neighbours follows from the ranks in which they agree. Neighbours that share a whole run are an interval of copies, and the
+first of each, by (doc_id, line), stays; overlapping later copies merge into maximal runs and are deleted, blank lines within
+them too.
 
 Defined results: a null text has no lines; a null doc_id comes after all others; rows that repeat doc_id and
 text are one document and share its outcome; a run that overlaps its own earlier copy leaves the first period;
@@ -89,17 +91,37 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _later(rows: DataFrame, levels: int) -> DataFrame:
-    """Runs that an earlier place has too: doc_id, text_hash, line_no, last_line."""
+    """Runs that an earlier place has too: doc_id, text_hash, line_no, last_line. Read from the suffix array: those that share their n lines with the suffix before."""
+    suffixes = publish(_suffix_array(rows, levels), "suffix-array")
+    ends = publish(suffixes.groupBy("part").agg(F.max("ranks").alias("ranks")), "suffix-array-ends", 1)  # a row per range
+    ends = ends.select("part", F.lag("ranks").over(Window.orderBy("part")).alias("range_before"))
+    before = F.lag("ranks").over(Window.partitionBy("part").orderBy("ranks", _place()))
+    pairs = suffixes.withColumn("before", before).join(ends, "part").withColumn("before", F.coalesce("before", "range_before"))
+    return pairs.where(_common_prefix("before", "ranks") >= F.col("n")).select(*_DOC, "line_no", "last_line")
+
+
+def _suffix_array(rows: DataFrame, levels: int) -> DataFrame:
+    """The suffixes that hold a run of enough words, each cut to that run's n lines, in order: ranks (of the first 1, 2, 4 ... lines, then of the last ones), part (the range).
+
+    Equal ones stand by place. The array is sorted in ranges, so that the copies of a run, however many, are dealt to several tasks.
+    """
     ranks = F.array(*(F.col(f"r{k}") for k in range(levels + 1)))
     level = F.length(F.bin(F.col("n").cast("bigint"))) - 1  # floor of the binary logarithm
-    starts = rows.where("n is not null").withColumns({"level": level, "x": ranks[level]})
-    starts = starts.withColumn("tail", F.col("seq") + F.col("n") - F.pow(F.lit(2), F.col("level")).cast("int")).where("x is not null")
+    starts = rows.where("n is not null").withColumns({"level": level, "head": F.slice(ranks, F.lit(1), level + 1)})
+    starts = starts.withColumn("tail", F.col("seq") + F.col("n") - F.pow(F.lit(2), F.col("level")).cast("int")).where(~F.exists("head", lambda r: r.isNull()))
     tails = rows.select(F.col("doc_id").alias("doc_t"), F.col("text_hash").alias("hash_t"), F.col("seq").alias("seq_t"), ranks.alias("ranks_t"))
     same = F.col("doc_id").eqNullSafe(F.col("doc_t")) & (F.col("text_hash") == F.col("hash_t")) & (F.col("tail") == F.col("seq_t"))
-    named = starts.join(tails, same).withColumn("y", F.col("ranks_t")[F.col("level")]).where("y is not null")
-    named = publish(named.select(*_DOC, "seq", "line_no", "last_line", "n", "x", "y"), "runs")
-    firsts = named.groupBy("n", "x", "y").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
-    return named.join(publish(firsts, "firsts"), ["n", "x", "y"]).where(_place() > F.col("first")).select(*_DOC, "line_no", "last_line")
+    named = starts.join(tails, same).withColumn("last", F.col("ranks_t")[F.col("level")]).where("last is not null")
+    named = named.select(*_DOC, "seq", "line_no", "last_line", "n", F.array_append("head", F.col("last")).alias("ranks"))
+    order = ["ranks", _place()]
+    return named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+
+
+def _common_prefix(a: str, b: str) -> Column:
+    """Lines that two suffixes, given by their ranks, share at the least: all of both if they agree in all ranks, else 2**k if they do in k + 1."""
+    heads = (F.slice(c, F.lit(1), F.size(c) - 1) for c in (a, b))  # without the ranks of the last lines
+    agree = F.size(F.filter(F.zip_with(*heads, lambda x, y: x.eqNullSafe(y)), lambda x: x))  # ranks of longer prefixes only agree if those of shorter ones do
+    return F.when(F.col(a) == F.col(b), F.col("n")).when(agree > 0, F.pow(F.lit(2), agree - 1).cast("int")).otherwise(0)
 
 
 def _merged(later: DataFrame) -> DataFrame:

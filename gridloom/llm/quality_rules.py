@@ -37,6 +37,11 @@ BOILERPLATE = (
     r"log ?in\b|subscribe (now|to our)|newsletter|share (this|on)|follow us|back to top|skip to (main )?content|powered by|"
     r"copyright (©|\(c\))|page not found|add to cart|advertisement|sponsored content|related articles|leave a (comment|reply))"
 )
+#: Every boilerplate match has one of these in it, in lower case: strings that are cheap to look for, once in a text.
+BOILERPLATE_KEYS = (
+    "all rights reserved", "cookie", "privacy policy", "terms ", "javascript", "lorem ipsum", "click here", "read more", "sign in", "sign up", "log in", "login", "subscribe ", "newsletter",
+    "share ", "follow us", "back to top", "skip to ", "powered by", "copyright ", "page not found", "add to cart", "advertisement", "sponsored content", "related articles", "leave a ",
+)
 _BLANKS = " \t\n\x0b\x0c\r"
 _INDEX_BITS = 28
 
@@ -93,8 +98,12 @@ def _repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(covered(w))).cast("bigint")
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line with a word that a punctuation, navigation or boilerplate rule removes."""
+def may_hold_boilerplate(text: Column) -> Column:
+    return let(F.lower(text), lambda low: reduce(Column.__or__, (F.contains(low, F.lit(k)) for k in BOILERPLATE_KEYS)))
+
+
+def line_fails(line: Column, boilerplate: Column) -> Column:
+    """True for a line with a word that a punctuation, navigation or (where `boilerplate` is true) boilerplate rule removes."""
     trimmed = F.btrim(line, F.lit(_BLANKS))
     marks = F.regexp_replace(line, f"[^{SYMBOLS}!]+", "")  # ASCII only: wider classes make Java's matcher slow
     facts = F.struct(trimmed.alias("line"), F.size(F.split(trimmed, SPACES)).alias("n"), marks.alias("marks"))
@@ -105,8 +114,8 @@ def line_fails(line: Column) -> Column:
         symbols = _chars_in(x["marks"], SYMBOLS) > SYMBOLS_PER_WORD * x["n"]
         shouts = _chars_in(x["marks"], "!") > F.greatest(F.lit(3.0), SHOUTS_PER_WORD * x["n"])
         bars = has_bar & (_chars_in(x["line"], SEPARATORS) > F.greatest(F.lit(2.0), SEPARATORS_PER_WORD * x["n"]))
-        boilerplate = (x["n"] <= BOILERPLATE_WORDS) & x["line"].rlike(BOILERPLATE)
-        return (x["line"] != "") & (stump | (x["marks"] != "") & (symbols | shouts) | bars | boilerplate)
+        known = boilerplate & (x["n"] <= BOILERPLATE_WORDS) & x["line"].rlike(BOILERPLATE)
+        return (x["line"] != "") & (stump | (x["marks"] != "") & (symbols | shouts) | bars | known)
 
     return let(facts, rules)
 
@@ -121,15 +130,21 @@ def quality_columns(docs: DataFrame) -> DataFrame:
     Columns of these names that docs already has are replaced.
     """
     text = text_of()
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def of_lines(lines: Column) -> Column:
+        filled = F.filter(lines, lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
+        repeated = let(filled, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("bigint")
+        clean = let(may_hold_boilerplate(text), lambda known: F.array_join(F.filter(lines, lambda x: ~line_fails(x, known)), "\n"))
+        return F.struct(repeated.alias("repeated"), clean.alias("clean"))
+
     out = docs.withColumns({
         "word_chars": _word_chars(text),
         "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint"),
-        "n_dup_lines": let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("bigint"),
+        "lines_": let(F.split(text, "\n"), of_lines),
         "counts_": let(words_of(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeat_words(w).alias("r"))),
-        "clean_text": F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n"),
     })
-    out = out.withColumns({"n_words": F.col("counts_.n"), "n_repeat_words": F.col("counts_.r"), "lost_chars": F.col("word_chars") - _word_chars(F.col("clean_text"))}).drop("counts_")
+    out = out.withColumns({"n_words": F.col("counts_.n"), "n_repeat_words": F.col("counts_.r"), "n_dup_lines": F.col("lines_.repeated"), "clean_text": F.col("lines_.clean")})
+    out = out.withColumn("lost_chars", F.col("word_chars") - _word_chars(F.col("clean_text"))).drop("counts_", "lines_")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_chars") <= MAX_LOST * F.col("word_chars")))
 
