@@ -29,8 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: What this process has written to the shared folder and not deleted.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def written() -> int:
+    """How many tables have been written so far: a mark for `discard`."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what was written since a mark, but for the last `keep`. Only when no DataFrame that reads them is still needed."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
 
 
 def publish(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:

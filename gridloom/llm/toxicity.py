@@ -26,7 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,15 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
 
-def term_counts(text: str, vocabulary: dict[str, int] | None = None, bases: frozenset[str] | None = None) -> Counter:
+#: Words whose terms a worker remembers; beyond it the memory is emptied and filled anew.
+MEMORY = 1 << 18
+
+
+def _terms_of(word: str) -> tuple[str, ...]:
+    return (word, word[:4] + "*", word[:5] + "*") if len(word) > 5 else (word,)
+
+
+def term_counts(text: str, vocabulary: dict[str, int] | None = None, bases: frozenset[str] | None = None, memory: dict[str, tuple[str, ...]] | None = None) -> Counter:
     """Terms of a text and how often each occurs; only those of the vocabulary (built on bases), if one is given.
 
     A term that occurs n times also counts as term+ (n - 1 times), term++ (n - 2) and so on, LEVELS in all, so that a
@@ -61,10 +69,15 @@ def term_counts(text: str, vocabulary: dict[str, int] | None = None, bases: froz
     """
     out: Counter = Counter()
     words = _WORD.findall(text.lower())
+    memory = {} if memory is None else memory
     for word, n in Counter(words).items():
-        for term in (word, word[:4] + "*", word[:5] + "*") if len(word) > 5 else (word,):
-            if bases is None or term in bases:
-                out[term] += n
+        terms = memory.get(word)
+        if terms is None:
+            if len(memory) >= MEMORY:
+                memory.clear()
+            terms = memory[word] = tuple(t for t in _terms_of(word) if bases is None or t in bases)
+        for term in terms:
+            out[term] += n
     for term, n in list(out.items()):
         for k in range(1, min(n, LEVELS)):
             out[term + "+" * k] = n - k
@@ -104,9 +117,10 @@ class Index:
     ids: np.ndarray
     prior: float
     empty_score: float
+    memory: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = term_counts(text, self.vocabulary, self.bases)
+        counts = term_counts(text, self.vocabulary, self.bases, self.memory)
         terms = np.array([self.vocabulary[t] for t in counts], np.int64)
         weights = np.array([1 + math.log(n) for n in counts.values()]) * self.idf[terms] if len(terms) else np.zeros(0)
         return terms, weights / (np.linalg.norm(weights) or 1.0)
@@ -235,11 +249,11 @@ def _frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, in
     shared = docs.sparkSession.sparkContext.broadcast((number, base_terms(number)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n_docs = Counter(), 0
+        seen, n_docs, memory = Counter(), 0, {}
         for b in batches:
             n_docs += b.num_rows
             for text in b.column(0).to_pylist():
-                seen.update(term_counts(text, *shared.value).keys())
+                seen.update(term_counts(text, *shared.value, memory).keys())
         terms = [shared.value[0][t] for t in seen]
         yield pa.RecordBatch.from_arrays([pa.array([*terms, -1], pa.int32()), pa.array([*seen.values(), n_docs], pa.int64())], names=["term", "n"])
 
