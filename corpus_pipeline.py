@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from gridloom.llm.shared import documents, publish
+from gridloom.llm.shared import discard, documents, publish, written
 
 #: Near copies: texts whose sets of five-word shingles have at least this Jaccard similarity.
 SHINGLE = 5
@@ -57,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, mark = documents(spark, sf_dir), written()
     for name, stage in STAGES:
         docs = publish(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, mark, keep=1)  # a stage's own rounds and its input are used up
     return docs
