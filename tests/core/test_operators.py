@@ -120,6 +120,36 @@ def test_office_files(spark, tmp_path):
         office.reader_for("a.exe")
 
 
+def test_workbooks_keep_merges_and_formats(spark, tmp_path):
+    cells = [("b", "S", 1, 1, "title", None, None), ("b", "S", 2, 1, "46262", 46262.0, "dd/mm/yyyy"), ("b", "S", 2, 2, "3", 3.0, '0.0" days"'), ("b", "T", 1, 28, "x", None, None)]
+    frame = spark.createDataFrame(cells, "workbook string, sheet string, row int, col int, text string, num double, format string")
+    merges = spark.createDataFrame([("b", "S", 1, 1, 1, 3), ("b", "T", 1, 28, 4, 29)], "workbook string, sheet string, r1 int, c1 int, r2 int, c2 int")
+    content = bytes(office.workbook_files(frame, merges).first().content)
+    assert set(office.workbook_merges(content)) == {("S", 1, 1, 1, 3), ("T", 1, 28, 4, 29)}
+    (tmp_path / "b.xlsx").write_bytes(content)
+    styles = {(r.sheet, r.row, r.col): (r.format, r.is_date) for r in office.read_styles(spark, str(tmp_path / "b.xlsx")).collect()}
+    assert styles == {("S", 2, 1): ("dd/mm/yyyy", True), ("S", 2, 2): ('0.0" days"', False)}
+    assert office.read_merges(spark, str(tmp_path / "b.xlsx")).count() == 2 and office.read_workbooks(spark, str(tmp_path / "b.xlsx")).count() == 4
+    table = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts><font/><font><b/><color rgb="FF00AA11"/></font></fonts><cellXfs><xf/><xf numFmtId="14" fontId="1"/></cellXfs></styleSheet>'
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" s="1"><v>5</v></c><c r="B1" s="0"/></row></sheetData><mergeCells><mergeCell ref="bad"/></mergeCells></worksheet>'
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheets><sheet name="A" sheetId="1"/></sheets></workbook>')
+        z.writestr("xl/styles.xml", table)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    assert list(office.workbook_styles(made.getvalue())) == [("A", 1, 1, "mm-dd-yy", True, True, False, "#00AA11")] and list(office.workbook_merges(made.getvalue())) == []
+
+
+def test_documents_keep_runs(spark, tmp_path):
+    blocks = spark.createDataFrame([("x", 0, "heading1", "Title", None), ("x", 1, "paragraph", "ab", None), ("x", 2, "table", "", [["1"]])], "path string, block bigint, kind string, text string, cells array<array<string>>")
+    runs = [("x", 1, 0, "a & ", True, False, False, "Arial", 14, "#FF0000"), ("x", 1, 1, "b", False, True, True, None, None, None)]
+    content = bytes(office.document_files(blocks, runs=spark.createDataFrame(runs, office.RUNS)).first().content)
+    assert [b[2] for b in office.document_blocks(content)] == ["Title", "a & b", ""]
+    (tmp_path / "d.docx").write_bytes(content)
+    got = [tuple(r)[1:] for r in office.read_runs(spark, str(tmp_path / "d.docx")).orderBy("block", "run").collect()]
+    assert got == [(0, 0, "Title", False, False, False, None, None, None), *(r[1:] for r in runs)]
+
+
 def _log(spark, rows):
     return spark.createDataFrame(rows, "id string, occurred_at timestamp, tool_id string, success boolean, action string")
 
