@@ -110,3 +110,9 @@ def test_lookups_count_rows_from_the_header(spark, goods):
     many = spark.range(30_000).select((F.col("id") * 7919 % 30_011).alias("k"), F.col("id").alias("v"))
     wanted = {n: sorted((k * 7919 % 30_011, k) for k in range(30_000))[n - 1][1] for n in (1, 777, 29_000)}
     assert {n: lookup.INDEX(many, "k", n, 2).first()[0] for n in wanted} == wanted
+
+
+def test_suggestions_look_into_descriptions():
+    assert [catalog.suggest(p)[0] for p in ("SU", "su", "CO", "VL", "AVER")] == ["SUM", "SUM", "COUNT", "VLOOKUP", "AVERAGE"]
+    assert catalog.suggest("remainder") == ["MOD"] and catalog.suggest(" ") == sorted(catalog.CATALOGUE)[:12] and catalog.suggest("nothing like it") == []
+    assert all(f.description for f in catalog.CATALOGUE.values())
