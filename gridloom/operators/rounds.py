@@ -1,4 +1,4 @@
-"""Results of a round of an iterative operator, kept in the session's shared folder."""
+"""Tables kept in the session's shared folder: rounds of iterative operators, running sums and numbers of rows."""
 
 from __future__ import annotations
 
@@ -8,22 +8,54 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: What this process has written to the shared folder and not deleted.
+_WRITTEN: list[str] = []
 
-def publish(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it back; in local mode without that setting, to a temporary folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset (tests in local mode), a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = f"{folder}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def written() -> int:
+    """How many tables have been written so far: a mark for `discard`."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what was written since a mark, but for the last `keep`. Only when no DataFrame that reads them is still needed."""
+    for path in _WRITTEN[since : len(_WRITTEN) - keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
+
+
+def publish(df: DataFrame, name: str = "round", parts: int | None = None) -> DataFrame:
+    """Write df to the shared folder, in at most so many parts, and read it back.
+
+    That cuts the lineage (a lost executor costs no recomputation of what came before) and gives the
+    optimizer the true size, so that it broadcasts the table only below spark.sql.autoBroadcastJoinThreshold.
+    """
+    path = new_path(df.sparkSession, name)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, order: list[Column | str], name: str, weight: Column | None = None) -> DataFrame:
