@@ -1,67 +1,18 @@
-"""What the corpus operators share: the folder that all executors see, published tables, a few expressions."""
+"""What the corpus operators share: published tables, a few expressions."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the contracts of the operators name it.
-SPACES = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests in local mode), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="gridloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-#: What this process has written to the shared folder and not deleted.
-_WRITTEN: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    return path
+from gridloom.operators.rounds import discard, new_path, publish, written
 
+__all__ = ["SPACES", "discard", "documents", "let", "new_path", "publish", "text_of", "with_text", "written"]
 
-def written() -> int:
-    """How many tables have been written so far: a mark for `discard`."""
-    return len(_WRITTEN)
-
-
-def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Delete what was written since a mark, but for the last `keep`. Only when no DataFrame that reads them is still needed."""
-    gone = _WRITTEN[since : len(_WRITTEN) - keep]
-    for path in gone:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _WRITTEN.remove(path)
-
-
-def publish(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
-    """Write df to the shared folder, in at most so many parts, and read it back.
-
-    That cuts the lineage (a lost executor costs no recomputation of what came before) and gives the
-    optimizer the true size, so that it broadcasts the table only below spark.sql.autoBroadcastJoinThreshold.
-    """
-    path = new_path(df.sparkSession, name)
-    (df.coalesce(parts) if parts else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space, as the contracts of the operators name it.
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
