@@ -27,7 +27,8 @@ from gridloom.llm.shared import SPACES, let, text_of
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Confidence of a detection, by tier; a base phrase counts as tier 0.
 CONFIDENCE = (1.0, 0.9, 0.7)
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: All but ASCII's characters that are no letters and digits; as what it holds, which Java matches many times faster than what it doesn't.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: A line break, with the marks that end a comment's line before it and begin the next one after it.
 WRAP = r" ?(\*/|\*|-->)? ?[\r\n] ?((//[/!]?|/?\*+|#+|;+|--+|%+|<!--|>+|rem|dnl|\|)(?=\s))?"
 #: Every rule and phrase has one of these in it: plain strings, which are cheap to look for, and two patterns.
@@ -39,6 +40,15 @@ GATE_STRINGS = (
     "permission is granted", "mit no attribution", "clause bsd", "bsd zero", "clause",
 )
 GATE_PATTERNS = (r"cc[^a-z]", r"(^|[^a-z])(asl|osl|afl|ofl|mpl|epl|eupl|busl|upl|sspl|odbl)[-, v0-9]")
+#: A text that holds a gate string, wrapped or not, has one of these in it: the string's rarest word, which no line break cuts.
+GATE_WORDS = (
+    "licens", "licenc", "spdx-", "gpl", "gfdl", "fdl", "cddl", "wtfpl", "cc0", "creative", "domain", "hereby", "redistribution", "reserved", "warranty", "software", ".org/", "unencumbered",
+    "commercial", "unauthorised", "unauthorized", "proprietary", "terms", "nasa", "endorse", "advertising", "substantial", "disclaimer", "nationalarchives", "permission",
+    "attribution", "clause", "bsd", "just",
+)
+GATE_WORD_PATTERN = r"cc[^a-z]|(?:^|[^a-z])(?:asl|osl|afl|ofl|mpl|epl|eupl|busl|upl|sspl|odbl)[-,\sv0-9]"
+#: A match of that pattern has one of these in it.
+GATE_NAMES = ("cc", "asl", "osl", "afl", "ofl", "mpl", "epl", "upl", "usl", "spl", "dbl")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULE = "array<struct<label:string,tier:int,keyword:string,pattern:string,rank:int>>"
 _HIT = "struct<start:int,back:int,tier:int,rank:int,label:string>"
@@ -97,12 +107,19 @@ def can_hold(text: Column) -> Column:
     return reduce(Column.__or__, (*strings, *(text.rlike(p) for p in GATE_PATTERNS)))
 
 
+def may_hold(text: Column) -> Column:
+    """A cheaper question than `can_hold`, of the text as it is, that all texts pass whose folded copy passes that one."""
+    any_of = lambda strings: reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in strings))
+    return any_of(GATE_WORDS) | any_of(GATE_NAMES) & text.rlike(GATE_WORD_PATTERN)
+
+
 def detections(docs: DataFrame) -> DataFrame:
     """docs with n_words, base (label and starts of each phrase) and found (detections kept)."""
     text = text_of()
     rules = F.from_json(F.lit(json.dumps(RULES)), _RULE)
     n_words = F.regexp_count(text, F.lit(WORD)).cast("bigint")
-    gate = let(_folded(F.lower(text)), can_hold)  # lower() folds more than A-Z, so it lets no more than a few other texts through
+    # lower() folds more than A-Z, so it lets no more than a few other texts through
+    gate = let(F.lower(text), lambda low: may_hold(low) & let(_folded(low), can_hold))
     gated = docs.withColumn("n_words", n_words).withColumn("low_", F.when(gate, F.translate(text, _UPPER, _LOWER))).withColumn("flat_", _folded(F.col("low_")))
     words = F.regexp_extract_all(F.col("low_"), F.lit(WORD), F.lit(0))
     base = let(words, lambda w: F.array(*(F.struct(F.lit(label).alias("label"), _phrase_starts(w, phrase).alias("starts")) for phrase, label in PHRASES.items())))

@@ -96,6 +96,11 @@ def test_license_rules_pass_their_own_gates(spark):
     assert all(re.search(p, t) and k in t for _, p, k, t in samples)
     frame = spark.createDataFrame(samples, "rank int, pattern string, keyword string, text string")
     assert frame.where(~license_scan.can_hold(F.col("text"))).count() == 0
+    strings = [*license_scan.GATE_STRINGS, "cc-", "asl 2", " mpl-2", "x odbl v1"]
+    wrapped = [x.replace(" ", w) for x in strings for w in (" ", "\n", "\n # ", " */\n/* ", "\t")]
+    assert all(any(w in x for w in license_scan.GATE_WORDS) or re.search(license_scan.GATE_WORD_PATTERN, x) for x in wrapped)
+    both = spark.createDataFrame([(x,) for x in wrapped], "text string")
+    assert both.where(~license_scan.may_hold(F.col("text"))).count() == 0
 
 
 def _license_labels(text: str) -> set[str]:
@@ -639,3 +644,27 @@ def test_secret_links_against_all_pairs():
     assert n_linked > 500
     hostile = "https://" + "a" * 200_000 + " " + "key: a8Kd02mXq91LsP user = bob " * 5000
     assert len(secret_scan.linked_spans(hostile, [])) == 10_001  # all secrets and users, and the endpoint
+
+
+def test_packing_fills_gaps_and_ends_in_powers_of_two():
+    """Each token stands in one place; a sequence lacks less than the least gap or has a power of two of tokens."""
+    rng = np.random.default_rng(7)
+    for length, gap in ((64, 4), (100, 1), (2048, 16)):
+        for n in (0, 1, 2, 5, 200):
+            sizes = rng.integers(1, 3 * length, n).tolist()
+            seen: dict[int, list] = defaultdict(list)
+            for pieces in packing.pack_group(sizes, length, gap):
+                total = sum(p[2] for p in pieces)
+                assert 0 < total <= length and min(p[2] for p in pieces) > 0 and (length - total < gap or total & (total - 1) == 0)
+                for doc, start, size in pieces:
+                    seen[doc].append((start, size))
+            for doc, size in enumerate(sizes):
+                end = 0
+                for start, part in sorted(seen[doc]):
+                    assert start == end
+                    end += part
+                assert end == size
+    windows = packing.best_fit_decreasing([(k, 0, s) for k, s in enumerate([60, 50, 40, 30])], 64)
+    filled = packing.fill_gaps(windows, 4)
+    assert sorted(w.room for w in filled)[:-1] == [0] * (len(filled) - 1) and sum(64 - w.room for w in filled) == 180
+    assert [64 - w.room for w in packing.powers_of_two(packing.Window(64 - 44, [(0, 0, 30), (1, 5, 14)]), 64)] == [64] * 3
