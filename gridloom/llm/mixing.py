@@ -48,13 +48,15 @@ WORDS_PER_PART = 1 << 21
 TOLERANCE = 0.001
 #: The cut is made of so many bits of the hash: less than 2**-24 of a source, or a document, stands beside it.
 _LEVELS, _BITS = 2, 12
+#: All but ASCII white space; as what it holds, which Java matches many times faster than what it doesn't.
+_WORD = r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]+"
 _CUT_BITS = _LEVELS * _BITS
 _BLOCK_BITS = 8
 _BLOCKS = 1 << _BLOCK_BITS
 
 
 def _size() -> Column:
-    return F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    return F.regexp_count(text_of(), F.lit(_WORD)).cast("bigint")
 
 
 def _hash(seed: int) -> Column:
