@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import (
     exact_dedup,
+    hard_negatives,
     license_scan,
     line_dedup,
     mixing,
@@ -63,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mining_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_shards": op2_token_shards,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": run_pipeline,
 }
 
