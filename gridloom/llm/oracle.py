@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import hard_negatives, line_dedup
+from gridloom.llm import hard_negatives, line_dedup, merkle
 from gridloom.llm import quality_rules as Q
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -57,4 +57,4 @@ LINE_DEDUP = rf"""
                       coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS clean FROM k GROUP BY doc_id)
     SELECT doc_id, n_lines, n_deleted, n_runs, length(clean) AS clean_chars, sha256(clean) AS clean_sha256 FROM s"""
 
-SQL = {"op3_quality_rules": QUALITY, "op5_exact_dedup": EXACT_DEDUP, "op9_line_dedup": LINE_DEDUP, "op13_hard_negatives": hard_negatives.SQL}
+SQL = {"op3_quality_rules": QUALITY, "op5_exact_dedup": EXACT_DEDUP, "op9_line_dedup": LINE_DEDUP, "op12_merkle_manifest": merkle.SQL, "op13_hard_negatives": hard_negatives.SQL}

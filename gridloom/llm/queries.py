@@ -12,6 +12,7 @@ from gridloom.llm import (
     hard_negatives,
     license_scan,
     line_dedup,
+    merkle,
     mixing,
     near_dedup,
     packing,
@@ -64,6 +65,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mining_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": run_pipeline,
 }
