@@ -8,6 +8,7 @@ from corpus_pipeline import run as run_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import (
+    byte_pairs,
     exact_dedup,
     hard_negatives,
     license_scan,
@@ -65,6 +66,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.byte_pair_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(documents(spark, sf_dir))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_byte_pairs": op11_byte_pairs,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": run_pipeline,
