@@ -78,6 +78,36 @@ def queue_states(events: DataFrame, key: str, at: str, event: str) -> DataFrame:
     return events.groupBy(key).agg(F.aggregate(ordered, first, step).alias("s")).select(key, "s.state", "s.retries")
 
 
+def timed_states(events: DataFrame, key: str, at: str, event: str, now: Column, stuck: int, idle: int) -> DataFrame:
+    """The state of each key at a time, when time acts too (all in milliseconds): key, state, retries, recovered, expired.
+
+    An upload under way for `stuck` was interrupted and is pending again (recovered counts that); a key without an event for `idle` is
+    forgotten, so that a later event finds it new. A key's own events meet in one row, as in `queue_states`.
+    """
+    start = F.struct(F.lit(STATES[0]).alias("state"), F.lit(0).alias("retries"), F.lit(0).alias("recovered"), F.lit(-1).cast("bigint").alias("since"), F.lit(-1).cast("bigint").alias("last"))
+
+    def pass_time(acc: Column, upto: Column) -> Column:
+        due = (acc["state"] == "Uploading") & (acc["since"] + stuck <= upto)
+        changed = {"state": F.when(due, "Pending").otherwise(acc["state"]), "recovered": acc["recovered"] + due.cast("int"), "since": F.when(due, acc["since"] + stuck).otherwise(acc["since"])}
+        return F.struct(*(changed.get(c, acc[c]).alias(c) for c in ("state", "retries", "recovered", "since", "last")))
+
+    def step(acc: Column, e: Column) -> Column:
+        forgotten = (acc["last"] >= 0) & (acc["last"] + idle <= e["at"])
+        before = pass_time(F.when(forgotten, start).otherwise(acc), e["at"])
+        after = next_state(before["state"], e["event"])
+        entered = (after != before["state"]) | e["event"].isin(*RESTARTS)
+        return F.struct(
+            after.alias("state"), (before["retries"] + (e["event"] == "retry").cast("int")).alias("retries"), before["recovered"].alias("recovered"),
+            F.when(entered, e["at"]).otherwise(before["since"]).alias("since"), e["at"].alias("last"),
+        )
+
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).cast("bigint").alias("at"), F.col(event).alias("event"))))
+    rows = events.where(F.col(at) <= now).groupBy(key).agg(F.aggregate(ordered, start, step).alias("s"))
+    end = F.col("s.last") + idle
+    rows = rows.select(key, end.alias("end"), pass_time(F.col("s"), F.least(now, end)).alias("s"))
+    return rows.select(key, "s.state", "s.retries", "s.recovered", (F.col("end") <= now).alias("expired"))
+
+
 def recover(records: DataFrame, state: str = "upload_state") -> DataFrame:
     """After a restart, uploads that were under way are pending again."""
     return records.withColumn(state, F.when(F.col(state) == "Uploading", "Pending").otherwise(F.col(state)))
@@ -124,12 +154,50 @@ def translate(points: Column, dx: float, dy: float) -> Column:
     return F.transform(points, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
 
 
-def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
-    """Equal names (any case) get -2, -3, ... before the extension, by order. Names number their own copies only."""
-    rows = numbered(files.withColumn("key_", F.upper(name)), ["key_"], [order], "copy_")
-    stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"\.[^.]*$", 0)
-    unique = F.when(F.col("copy_") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("copy_").cast("string"), ext))
-    return rows.withColumn("unique_name", unique).drop("key_", "copy_")
+#: Copies of a name that meet the free numbers of their family in one band.
+_NAME_BAND = 1024
+#: A name's extension: from its last point on, unless the name begins with that.
+_EXTENSION = r"(?<=.)\.[^.]*$"
+
+
+def unique_names(files: DataFrame, name: str, order: str, existing: DataFrame | None = None) -> DataFrame:
+    """files with unique_name: no two are equal in any case, nor equal to one of `existing` (a column `name`).
+
+    The first by order of each name keeps it, unless it exists. Its copies get -2, -3, ... before the extension, in turn the numbers
+    that no existing and no other wanted name has. The numbers taken are islands; the n-th copy finds the gap between them that holds the
+    n-th free number, by bands of copies, so neither a name with many copies nor one with many numbers meets in one task.
+    """
+    upper = F.upper(F.col(name))
+    wanted = files.select(upper.alias("key_")).distinct()
+    taken = wanted if existing is None else wanted.unionByName(existing.select(F.upper("name").alias("key_"))).distinct()
+    rows = numbered(files.withColumn("key_", upper), ["key_"], [order, name], "copy_")
+    if existing is not None:
+        old = existing.select(F.upper("name").alias("key_")).distinct().withColumn("old_", F.lit(1))
+        rows = rows.join(old, "key_", "left").withColumn("copy_", F.col("copy_") + F.coalesce("old_", F.lit(0))).drop("old_")
+    gaps = _gaps(taken, rows.groupBy("key_").agg(F.max("copy_").alias("copies_")).where("copies_ > 1"))
+    copies = rows.where("copy_ > 1").withColumn("band_", F.floor(F.col("copy_") / _NAME_BAND))
+    found = copies.join(gaps, ["key_", "band_"]).where(F.col("copy_").between(F.col("first_"), F.col("last_")))
+    stem, ext = F.regexp_replace(name, _EXTENSION, ""), F.regexp_extract(name, _EXTENSION, 0)
+    renamed = found.withColumn("unique_name", F.concat(stem, F.lit("-"), (F.col("copy_") + F.col("shift_")).cast("string"), ext))
+    kept = rows.where("copy_ = 1 or key_ is null").withColumn("unique_name", F.col(name))
+    return kept.select(*files.columns, "unique_name").unionByName(renamed.select(*files.columns, "unique_name"))
+
+
+def _gaps(taken: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Free numbers of names: key_, band_, first_ and last_ (copies that get one), shift_ (to add to a copy's number)."""
+    key = F.col("key_")
+    ext, whole = F.regexp_extract(key, _EXTENSION, 0), F.regexp_replace(key, _EXTENSION, "")
+    number = F.regexp_extract(whole, r"-([1-9]\d{0,17})$", 1)
+    numbers = taken.select(F.concat(F.regexp_replace(whole, r"-\d+$", ""), ext).alias("key_"), F.when(number != "", number).try_cast("bigint").alias("number_")).where("number_ >= 2").distinct()
+    placed = numbered(numbers.join(wanted, "key_", "left_semi"), ["key_"], ["number_"], "place_")
+    # before the i-th taken number t there are t - 2 - (i - 1) free ones; copy c wants free number c - 1
+    upto = placed.select("key_", F.col("place_").alias("shift_"), (F.col("number_") - F.col("place_")).alias("upto_"))  # copies up to upto_ stand before it
+    following = upto.select("key_", (F.col("shift_") - 1).alias("shift_"), F.col("upto_").alias("next_"))  # as many as the one before, within an island
+    after = upto.join(following, ["key_", "shift_"], "left").join(wanted, "key_").select("key_", "shift_", (F.col("upto_") + 1).alias("first_"), F.coalesce("next_", "copies_").alias("last_"))
+    first = following.where("shift_ = 0").select("key_", "next_")
+    start = wanted.join(first, "key_", "left").select("key_", F.lit(0).cast("bigint").alias("shift_"), F.lit(2).cast("bigint").alias("first_"), F.coalesce("next_", "copies_").alias("last_"))
+    gaps = after.unionByName(start).join(wanted, "key_").withColumn("last_", F.least("last_", "copies_")).where("first_ <= last_")
+    return gaps.withColumn("band_", F.explode(F.sequence(F.floor(F.col("first_") / _NAME_BAND), F.floor(F.col("last_") / _NAME_BAND)))).drop("copies_")
 
 
 def safe_name(name: Column) -> Column:

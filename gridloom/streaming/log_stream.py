@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.operators import records
 from gridloom.operators.activity import LOG_SCHEMA
+from gridloom.sources.keyed import KeyedTable
 
 PERIOD = "20 seconds"
 FILES_PER_BATCH = 200
@@ -27,10 +28,9 @@ def once(log: DataFrame, key: str = "id", at: str = "occurred_at", delay: str =
     return log.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def error_rates(log: DataFrame, by: str = "tool_id", at: str = "occurred_at", window: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """Failures and total per tool and window; late rows are taken up to the delay."""
-    watermarked = log if log.isStreaming and at not in log.columns else log.withWatermark(at, delay)
-    grouped = watermarked.groupBy(F.window(at, window), by)
+def error_rates(log: DataFrame, by: str = "tool_id", at: str = "occurred_at", window: str = "10 minutes", delay: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Failures and total per tool and window, which begins every `slide` (else windows don't overlap); late rows are taken up to the delay."""
+    grouped = log.withWatermark(at, delay).groupBy(F.window(at, window, slide), by)
     counts = grouped.agg(F.count_if(~F.coalesce(F.col("success"), F.lit(True))).alias("failures"), F.count(F.lit(1)).alias("total"))
     return counts.select(F.col("window.start").alias("window_start"), by, "failures", "total")
 
@@ -60,6 +60,12 @@ def write_once(log: DataFrame, table: str, checkpoint: str, key: str = "id", per
     return log.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=period).start()
 
 
+def write_keyed(log: DataFrame, table: KeyedTable, checkpoint: str, writer: str = "stream", period: str | None = None) -> StreamingQuery:
+    """Store each batch's rows of new ids in a keyed table: an id counts once, whichever batches bring it. Without a period: what is there now, then stop."""
+    sink = log.writeStream.foreachBatch(lambda batch, number: table.append(batch, writer, number)).option("checkpointLocation", checkpoint)
+    return (sink.trigger(processingTime=period) if period else sink.trigger(availableNow=True)).start()
+
+
 def each_batch(log: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run a batch function over what is there now, then stop."""
     return log.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
