@@ -120,11 +120,11 @@ def criteria(value: Column, condition: str | float, kind: T.DataType | None = No
         return F.lit(False)
     unequal = operator in ("<>", "!=")
     number = to_number(value, kind)
-    try:
-        wanted = float(operand.replace(",", ""))
-    except ValueError:
+    plain = re.sub(r"^\((.*)\)$", r"-\1", operand.replace(",", ""))
+    if not re.fullmatch(_NUMBER, plain, re.ASCII):  # as `text_to_number` reads a cell
         equal = F.upper(format_value(value, kind)) == operand.upper()
         return ~equal if unequal else equal if operator in (None, "=") else F.lit(False)
+    wanted = float(plain)
     near = F.abs(number - wanted) < EPSILON
     tests = {None: near, "=": near, "<>": ~near, "!=": ~near, ">": number > wanted, "<": number < wanted, ">=": number >= wanted, "<=": number <= wanted}
     return F.coalesce(tests[operator], F.lit(unequal))

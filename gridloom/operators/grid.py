@@ -208,40 +208,29 @@ def merge_at(places: DataFrame, merges: DataFrame) -> DataFrame:
     return places.join(found, ["sheet", "row", "col"], "left")
 
 
-def addresses(sheet: str, ranges: list[tuple[int, int, int, int]]) -> Column:
-    """All places of rectangles on a sheet, blank cells too: an array of structs sheet, row, col."""
-    between = lambda a, b: F.sequence(F.lit(min(a, b)), F.lit(max(a, b)))
-
-    def places(r1: int, c1: int, r2: int, c2: int) -> Column:
-        place = lambda r, c: F.struct(F.lit(sheet).alias("sheet"), r.cast("bigint").alias("row"), c.alias("col"))
-        return F.flatten(F.transform(between(r1, r2), lambda r: F.transform(between(c1, c2), lambda c: place(r, c))))
-
-    return F.array_distinct(F.flatten(F.array(*(places(*x) for x in ranges))))
-
-
-def apply_style(styles: DataFrame, sheet: str, ranges: list[tuple[int, int, int, int]], **changes: object) -> DataFrame:
-    """styles (sheet, row, col and a column per property) with properties changed over a selection; places without a style get one."""
-    selected = styles.sparkSession.range(1).select(F.inline(addresses(sheet, ranges))).withColumn("selected_", F.lit(True))
-    out = styles.join(selected, ["sheet", "row", "col"], "full_outer")
-    for name, value in changes.items():
-        kind = styles.schema[name].dataType
-        out = out.withColumn(name, F.when(F.col("selected_"), F.lit(value).cast(kind)).otherwise(F.col(name)))
-    return out.select(*styles.columns)
-
-
 def cut(cells: DataFrame, r1: int, c1: int, r2: int, c2: int) -> tuple[DataFrame, DataFrame]:
     """(the range as tab-separated lines, the cells without it)."""
     return copy_tsv(cells, r1, c1, r2, c2), clear(cells, r1, c1, r2, c2)
 
 
-def range_table(cells: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
-    """A range as a document's table block: sheet, rows (an array per row of display strings, blank cells too)."""
+def range_rows(cells: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
+    """A range row by row: sheet, row, texts (an array of display strings, blank ones too), for every sheet with a cell in it. A task makes and fills some of the rows."""
     r1, r2, c1, c2 = min(r1, r2), max(r1, r2), min(c1, c2), max(c1, c2)
-    place = lambda r, c: F.concat(r.cast("string"), F.lit(":"), c.cast("string"))
-    texts = F.map_from_entries(F.collect_list(F.struct(place(F.col("row"), F.col("col")), "text")))
-    row = lambda m, r: F.transform(F.sequence(F.lit(c1), F.lit(c2)), lambda c: F.coalesce(F.try_element_at(m, place(r, c)), F.lit("")))
-    blocks = cells.where(in_range(r1, c1, r2, c2)).groupBy("sheet").agg(texts.alias("texts"))  # the cells of one range
-    return blocks.select("sheet", F.transform(F.sequence(F.lit(r1), F.lit(r2)), lambda r: row(F.col("texts"), r)).alias("rows"))
+    inside = cells.where(in_range(r1, c1, r2, c2))
+    width = c2 - c1 + 1
+    filled = inside.groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), "text"))).alias("texts"))
+    blank = F.transform(F.sequence(F.lit(c1), F.lit(c2)), lambda c: F.coalesce(F.try_element_at("texts", c), F.lit("")))
+    starts = F.sequence(F.lit(r1).cast("bigint"), F.lit(r2).cast("bigint"), F.lit(1 << 16).cast("bigint"))
+    every = inside.select("sheet").distinct().withColumn("from_", F.explode(starts)).repartition("sheet", "from_")
+    every = every.select("sheet", F.explode(F.sequence("from_", F.least(F.lit(r2), F.col("from_") + (1 << 16) - 1))).alias("row"))
+    empty = F.array_repeat(F.lit(""), width)
+    return every.join(filled, ["sheet", "row"], "left").select("sheet", "row", F.when(F.col("texts").isNull(), empty).otherwise(blank).alias("texts"))
+
+
+def range_table(cells: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
+    """A range as a document's table block: sheet, rows (an array per row of display strings, blank cells too). A block is one value; `range_rows` has a row for each of its rows."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row", "texts"))), lambda x: x["texts"])
+    return range_rows(cells, r1, c1, r2, c2).groupBy("sheet").agg(ordered.alias("rows"))
 
 
 # Sheets of a workbook: a list of names, in order; the cells carry the name.
@@ -274,30 +263,6 @@ def rename_sheet(sheets: list[str], cells: DataFrame, place: int, name: str) ->
     return [*sheets[:place], name, *sheets[place + 1 :]], renamed
 
 
-class Versions:
-    """Undo and redo over versions of a table: a version is a plan, so a hundred of them cost nothing until they are read."""
-
-    def __init__(self, limit: int = 60):
-        self.limit, self.past, self.future = max(1, limit), [], []
-
-    def record(self, current: DataFrame) -> None:
-        """Call before a change; what was undone can't be redone any more."""
-        self.past = [*self.past, current][-self.limit :]
-        self.future = []
-
-    def undo(self, current: DataFrame) -> DataFrame:
-        if not self.past:
-            return current
-        self.future.append(current)
-        return self.past.pop()
-
-    def redo(self, current: DataFrame) -> DataFrame:
-        if not self.future:
-            return current
-        self.past.append(current)
-        return self.future.pop()
-
-
 def max_width(cells: DataFrame, least: int = 4, most: int = 60) -> DataFrame:
     """Display width per column."""
     return cells.groupBy("sheet", "col").agg(F.greatest(F.lit(least), F.least(F.lit(most), F.max(F.length("text")))).alias("width"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from gridloom.operators.rounds import running
 
 PAGE_BREAK = "\f"
+#: What is trimmed off lines: all Unicode white space.
+BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Lines of a page's report that are shown a side.
+REPORT_LINES = 15
 
 
 def to_pages(docs: DataFrame, lines_per_page: int | None = None) -> DataFrame:
@@ -117,10 +121,15 @@ def split_ranges(pages: DataFrame, ranges: str, label: str = "pages_") -> DataFr
 
 
 def merge_documents(pages: DataFrame, order: str = "doc_id", into: str = "merged") -> DataFrame:
-    """All pages as one document: numbers come from running sums of the documents' page counts (a row each), not from a sort of the pages."""
+    """All pages as one document, numbered from 1 without gaps: a page's place in its document (whose own numbers may have gaps), after the running sum of the documents' page counts.
+
+    Documents stand in the order of `order`, one without it first; of pages with one number the smaller text comes first.
+    """
     counts = pages.groupBy(order).agg(F.count(F.lit(1)).alias("n_"))
-    offsets = running(counts, [order], "before_pages_", F.col("n_")).select(order, "before_pages_")
-    return pages.join(offsets, order).select(F.lit(into).alias("doc_id"), (F.col("before_pages_") + F.col("page_no")).alias("page_no"), "text")
+    offsets = running(counts, [order], "before_pages_", F.col("n_")).select(F.col(order).alias("order_"), "before_pages_")
+    place = F.row_number().over(Window.partitionBy(order).orderBy("page_no", "text"))
+    placed = pages.withColumn("place_", place).join(offsets, F.col(order).eqNullSafe(F.col("order_")))
+    return placed.select(F.lit(into).alias("doc_id"), (F.col("before_pages_") + F.col("place_")).alias("page_no"), "text")
 
 
 def rotate(pages: DataFrame, degrees: int, wanted: list[int]) -> DataFrame:
@@ -170,10 +179,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
 
 def find_text(pages: DataFrame, term: str, match_case: bool = False) -> DataFrame:
-    """pages that contain term, with its number of occurrences."""
-    text, term = (F.col("text"), term) if match_case else (F.upper("text"), term.upper())
-    hits = ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("bigint")
-    return pages.withColumn("hits", hits).where("hits > 0")
+    """pages that contain term, with its number of occurrences. An empty term is found nowhere; letters match in any case one by one, so "ss" doesn't find "ß"."""
+    if not term:
+        return pages.withColumn("hits", F.lit(0).cast("bigint")).where("false")
+    pattern = ("" if match_case else "(?iu)") + re.escape(term)
+    return pages.withColumn("hits", F.regexp_count("text", F.lit(pattern)).cast("bigint")).where("hits > 0")
 
 
 def replace_text(pages: DataFrame, old: str, new: str, match_case: bool = True) -> DataFrame:
@@ -196,7 +206,7 @@ def compare_lines(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def lines(pages: DataFrame, count: str) -> DataFrame:
         exploded = pages.select("doc_id", "page_no", F.explode(F.split("text", "\n")).alias("line"))
-        trimmed = exploded.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).where("line <> ''")
+        trimmed = exploded.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
         return trimmed.groupBy("doc_id", "page_no", "line").agg(F.count(F.lit(1)).alias(count))
 
     both = lines(left, "n_left").join(lines(right, "n_right"), ["doc_id", "page_no", "line"], "full_outer")
@@ -211,6 +221,29 @@ def compare_documents(left: DataFrame, right: DataFrame) -> DataFrame:
     return compare_lines(left, right).groupBy("doc_id", "page_no").agg(of("removed"), of("added"))
 
 
+def compare_report(left: DataFrame, right: DataFrame, most: int = REPORT_LINES) -> DataFrame:
+    """What a reader of the comparison sees: doc_id, page_no, side (removed or added), lines (the first `most`, in the page's order, an array), more (how many others).
+
+    Equal lines are used up from the top: the n-th of a text on one side meets the n-th on the other, and what is left over are the later ones.
+    """
+
+    def lines(pages: DataFrame) -> DataFrame:
+        numbered = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+        return numbered.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "page_no", "line").orderBy("place")))
+
+    def left_over(mine: DataFrame, others: DataFrame, side: str) -> DataFrame:
+        counts = others.groupBy("doc_id", "page_no", "line").agg(F.count(F.lit(1)).alias("n"))
+        return mine.join(counts, ["doc_id", "page_no", "line"], "left").where(F.col("turn") > F.coalesce("n", F.lit(0))).select("doc_id", "page_no", F.lit(side).alias("side"), "place", "line")
+
+    a, b = lines(left), lines(right)
+    rest = left_over(a, b, "removed").unionByName(left_over(b, a, "added"))
+    by = ["doc_id", "page_no", "side"]
+    first = rest.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).where(F.col("rank") <= most)  # each task keeps so many before rows are shuffled
+    shown = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("lines"))
+    counts = rest.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return shown.join(counts, by).select(*by, "lines", (F.col("n") - F.size("lines")).alias("more"))
+
+
 def find_next(blocks: DataFrame, term: str, caret_block: int, caret_offset: int, match_case: bool = False) -> DataFrame:
     """blocks (doc_id, block_no from 0, text): per document the next place of term from the caret on, round the end if needed: block_no, offset (from 0)."""
     pattern = ("" if match_case else "(?iu)") + re.escape(term)  # places are those of the text itself, whose length upper case may change
@@ -237,18 +270,59 @@ def plain_text(runs: DataFrame, page_break: str = "--- PAGE BREAK ---") -> DataF
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(blocks, lambda b: b["line"]), "").alias("text"))
 
 
-def wrap(text: Column, width: float, measure: Callable[[Column], Column] = F.length) -> Column:
-    """A text's lines, filled word by word up to a measured width; a word wider than a line has one of its own."""
+class Font:
+    """Widths of a font's characters in thousandths of its size: by character, and one for all others. Characters beyond U+03FF have that one."""
+
+    def __init__(self, widths: dict[str, int], default: int):
+        codes = {ord(c): w for c, w in widths.items() if ord(c) < 1024}
+        self.table, self.default = [codes.get(k, default) for k in range(max(codes, default=-1) + 1)], default
+
+    def width(self, char: Column) -> Column:
+        if not self.table:
+            return F.lit(self.default)
+        return F.coalesce(F.get(F.array(*map(F.lit, self.table)), F.ascii(char)), F.lit(self.default))
+
+    def measure(self, text: Column) -> Column:
+        """The sum of the widths of a text's characters, in thousandths."""
+        return F.aggregate(_chars(text), F.lit(0), lambda n, c: n + self.width(c))
+
+
+#: Every character as wide as the size.
+EVEN = Font({}, 1000)
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def wrap(text: Column, width: float, font: Font = EVEN, size: float = 1.0) -> Column:
+    """A text's lines, filled word by word up to a width, in a font of a size (by default: up to so many characters).
+
+    Tabs are four blanks, and blanks within a line stay, but for those that it would begin with. A word wider than a line is cut
+    where it is full, and the rest of it begins the next line.
+    """
+    limit, blank = math.floor(width * 1000 / size + 1e-9), font.width(F.lit(" "))
+    none = F.array().cast("array<string>")
+
+    def state(lines: Column, line: Column, used: Column) -> Column:
+        return F.struct(lines.alias("lines"), line.alias("line"), used.cast("int").alias("used"))
+
+    def cut(acc: Column, c: Column) -> Column:
+        full = (acc["line"] != "") & (acc["used"] + font.width(c) > limit)
+        return F.when(full, state(F.array_append(acc["lines"], acc["line"]), c, font.width(c))).otherwise(state(acc["lines"], F.concat(acc["line"], c), acc["used"] + font.width(c)))
 
     def step(acc: Column, word: Column) -> Column:
-        longer = F.when(acc["line"] == "", word).otherwise(F.concat(acc["line"], F.lit(" "), word))
-        full = (acc["line"] != "") & (measure(longer) > width)
-        return F.struct(F.when(full, F.array_append(acc["lines"], acc["line"])).otherwise(acc["lines"]).alias("lines"), F.when(full, word).otherwise(longer).alias("line"))
+        empty, wide = acc["line"] == "", word["width"]
+        longer = state(acc["lines"], F.when(empty, word["text"]).otherwise(F.concat(acc["line"], F.lit(" "), word["text"])), F.when(empty, wide).otherwise(acc["used"] + blank + wide))
+        # the line so far is full, and the word begins the next one, in pieces if it has to
+        before = F.when(empty, acc["lines"]).otherwise(F.array_append(acc["lines"], acc["line"]))
+        whole = state(before, word["text"], wide)
+        pieces = F.aggregate(_chars(word["text"]), state(before, F.lit(""), F.lit(0)), cut)
+        return F.when(longer["used"] <= limit, longer).when(wide <= limit, whole).otherwise(pieces)
 
     def wrapped(paragraph: Column) -> Column:
-        words = F.filter(F.split(paragraph, " "), lambda w: w != "")
-        start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
-        return F.aggregate(words, start, step, lambda acc: F.array_append(acc["lines"], acc["line"]))
+        words = F.transform(F.split(F.replace(paragraph, F.lit("\t"), F.lit("    ")), " "), lambda w: F.struct(w.alias("text"), font.measure(w).alias("width")))
+        return F.aggregate(words, state(none, F.lit(""), F.lit(0)), step, lambda acc: F.array_append(acc["lines"], acc["line"]))
 
     return F.flatten(F.transform(F.split(text, "\n"), wrapped))
 

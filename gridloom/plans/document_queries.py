@@ -49,7 +49,50 @@ def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", P.readable_date(text).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (page_ranges, page_crop, page_compare_lines, page_find_next, page_plain_text, page_wrap, page_dates)}
+#: Narrow, wide and all other letters of a font, in thousandths of its size.
+FONT = P.Font({c: 250 for c in "ilt .,"} | {c: 900 for c in "mwMW"}, 500)
+
+
+def page_wrap_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tabs, runs of blanks and words that are wider than a line."""
+    text = F.concat(F.col("p_name"), F.lit("\t"), F.replace("p_type", F.lit(" "), F.lit("")), F.lit("  "), F.replace("p_type", F.lit(" "), F.lit("mm")), F.lit(" "), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(P.wrap(text, 56.0, FONT, 10.0), "/").alias("lines"))
+
+
+def page_compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _pages(spark, sf_dir)
+    right = left.withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.regexp_replace("text", "^[^\n]*", "new\nline\nnew")).otherwise(F.col("text")))
+    return P.compare_report(left, right, 2).select("doc_id", "page_no", "side", F.array_join("lines", "|").alias("shown"), "more")
+
+
+def page_merge_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose own numbers have gaps, some without an id."""
+    pages = P.remove_pages(_pages(spark, sf_dir), [2, 3]).withColumn("doc_id", F.when(F.col("doc_id") % 100 != 7, F.col("doc_id")))
+    return P.merge_documents(pages).select("doc_id", "page_no", F.md5("text").alias("md5"))
+
+
+QUERIES = {f.__name__: f for f in (page_ranges, page_crop, page_compare_lines, page_find_next, page_plain_text, page_wrap, page_wrap_fonts, page_compare_report, page_merge_gaps, page_dates)}
+
+
+def _wrap(source: str, key: str, text: str, width: str, limit: int) -> str:
+    """Lines of a text by folds over words and characters; width: a character c's. A state is {lines, line, used}."""
+    measure = f"coalesce(list_sum(list_transform(list_filter(string_split({{0}}, ''), lambda c: c <> ''), lambda c: {width})), 0)"
+    cut = f"""list_reduce(list_transform(list_filter(string_split(w.line, ''), lambda c: c <> ''), lambda c: {{lines: '', line: c, used: {width}}}),
+                  lambda a, c: CASE WHEN a.used + c.used > {limit} THEN {{lines: a.lines || a.line || '/', line: c.line, used: c.used}} ELSE {{lines: a.lines, line: a.line || c.line, used: a.used + c.used}} END)"""
+    blank = measure.format("' '")
+    return f"""
+        WITH s AS (SELECT {key}, list_transform(string_split(replace({text}, chr(9), '    '), ' '), lambda w: {{lines: '', line: w, used: {measure.format("w")}}}) AS words FROM {source}),
+             p AS (SELECT {key}, list_transform(words, lambda w: {{line: w.line, used: w.used, pieces: CASE WHEN w.used <= {limit} THEN {{lines: '', line: w.line, used: w.used}} ELSE {cut} END}}) AS words FROM s),
+             f AS (SELECT {key}, list_reduce(list_transform(words, lambda w: {{line: w.line, used: w.used, pieces: w.pieces, lines: w.pieces.lines}}),
+                   lambda a, w: CASE WHEN (CASE WHEN a.line = '' THEN 0 ELSE a.used + {blank} END) + w.used <= {limit}
+                                     THEN {{line: CASE WHEN a.line = '' THEN w.line ELSE a.line || ' ' || w.line END, used: (CASE WHEN a.line = '' THEN 0 ELSE a.used + {blank} END) + w.used, pieces: a.pieces, lines: a.lines}}
+                                     ELSE {{line: w.pieces.line, used: w.pieces.used, pieces: a.pieces, lines: a.lines || CASE WHEN a.line = '' THEN '' ELSE a.line || '/' END || w.pieces.lines}} END,
+                   {{line: '', used: 0, pieces: {{lines: '', line: '', used: 0}}, lines: ''}}) AS t FROM p)
+        SELECT {key}, t.lines || t.line AS lines FROM f"""
+
+
+_WORDS = "p_name || chr(9) || replace(p_type, ' ', '') || '  ' || replace(p_type, ' ', 'mm') || ' ' || p_brand"
+_WIDTH = "CASE WHEN contains('ilt .,', c) THEN 250 WHEN contains('mwMW', c) THEN 900 ELSE 500 END"
 
 _B = "WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)"
 SQL = {
@@ -75,9 +118,19 @@ SQL = {
         SELECT doc_id, CAST(no AS INTEGER) AS block_no, CAST(pos - 1 AS INTEGER) AS "offset" FROM h WHERE pos > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY turn, no) = 1""",
     "page_plain_text": _B + """
         SELECT doc_id, md5(string_agg(CASE WHEN no % 5 = 4 THEN chr(10) || '--- PAGE BREAK ---' || chr(10) || chr(10) ELSE replace(line, ' ', '') || chr(10) END, '' ORDER BY no)) AS md5 FROM b GROUP BY doc_id""",
-    "page_wrap": """
-        SELECT p_partkey, list_reduce(list_filter(string_split(concat_ws(' ', p_name, p_brand, '  ', p_type), ' '), lambda w: w <> ''),
-               lambda acc, w: CASE WHEN length(regexp_extract(acc, '[^/]*$')) + 1 + length(w) > 14 THEN acc || '/' || w ELSE acc || ' ' || w END) AS lines FROM part""",
+    "page_wrap": _wrap("part", "p_partkey", "concat_ws(' ', p_name, p_brand, '  ', p_type)", "1", 14),
+    "page_wrap_fonts": _wrap("part", "p_partkey", _WORDS, _WIDTH, 5600),
+    "page_compare_report": _P + r""", a AS (SELECT doc_id, page_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM p),
+             b AS (SELECT doc_id, page_no, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS no
+                   FROM (SELECT *, CASE WHEN doc_id % 3 > 0 THEN regexp_replace(text, '^[^\n]*', 'new' || chr(10) || 'line' || chr(10) || 'new') ELSE text END AS t FROM p)),
+             u AS (SELECT 'removed' AS side, * FROM a UNION ALL SELECT 'added', * FROM b),
+             t AS (SELECT side, doc_id, page_no, no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM u),
+             k AS (SELECT *, row_number() OVER (PARTITION BY side, doc_id, page_no, line ORDER BY no) AS turn FROM t WHERE line <> ''),
+             r AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.side <> k.side AND o.doc_id = k.doc_id AND o.page_no = k.page_no AND o.line = k.line AND o.turn = k.turn)),
+             n AS (SELECT *, row_number() OVER (PARTITION BY side, doc_id, page_no ORDER BY no) AS rank FROM r)
+        SELECT doc_id, page_no, side, string_agg(line, '|' ORDER BY rank) FILTER (WHERE rank <= 2) AS shown, count(*) FILTER (WHERE rank > 2) AS more FROM n GROUP BY ALL""",
+    "page_merge_gaps": _P + """, g AS (SELECT CASE WHEN doc_id % 100 = 7 THEN NULL ELSE doc_id END AS id, page_no, text FROM p WHERE page_no NOT IN (2, 3))
+        SELECT 'merged' AS doc_id, row_number() OVER (ORDER BY id NULLS FIRST, page_no, text) AS page_no, md5(text) AS md5 FROM g""",
     "page_dates": """
         SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y %H:%M') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN 'D:2026' END AS shown FROM orders""",
 }

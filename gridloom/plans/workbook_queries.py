@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import activity, grid, records
+from gridloom.operators import activity, grid, records, rectangles
 from gridloom.plans.grid_queries import _cells, _merges, _places
 from gridloom.plans.log_queries import table
 
@@ -25,7 +25,7 @@ def grid_merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     styles = table(spark, sf_dir, "supplier").select(F.lit("S").alias("sheet"), F.col("s_suppkey").alias("row"), F.lit(1).alias("col"), (F.col("s_acctbal") > 0).alias("bold"), F.lit("general").alias("format"))
-    return grid.apply_style(styles, "S", [(1, 1, 5, 2), (8, 2, 4, 1)], bold=True, format="percent")
+    return rectangles.apply_style(styles, rectangles.rectangles(spark, "S", [(1, 1, 5, 2), (8, 2, 4, 1)]), bold=True, format="percent")
 
 
 def grid_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ that its own ids fall into, and of these, if it is small, only the row groups wh
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.sources.manifest import Manifest
+
 BUCKETS = 64
 #: A batch of so many ids or fewer names them to the scan.
 FEW_IDS = 200
@@ -26,38 +27,11 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, path: str, key: str = "id", order: str | None = None, buckets: int = BUCKETS):
         self.spark, self.path, self.key, self.order, self.buckets = spark, path.rstrip("/"), key, order, buckets
-
-    def _at(self, place: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(place)
-
-    def _fs(self):
-        return self._at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.versions = Manifest(spark, f"{self.path}/manifest")
 
     def manifest(self) -> dict:
         """The newest version: version, schema, buckets, commits (name, buckets, rows, without_id), batches (the last number of each writer)."""
-        fs, folder = self._fs(), self._at(f"{self.path}/manifest")
-        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-        versions = sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
-        if not versions:
-            return {"version": 0, "schema": None, "buckets": self.buckets, "commits": [], "batches": {}}
-        stream = fs.open(self._at(f"{self.path}/manifest/{versions[-1]:012d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict) -> None:
-        """The next version, whole or not at all: written beside its place, then renamed."""
-        fs = self._fs()
-        target = self._at(f"{self.path}/manifest/{manifest['version']:012d}.json")
-        if fs.exists(target):
-            raise RuntimeError(f"another writer has made version {manifest['version']} of {self.path}")
-        beside = self._at(f"{self.path}/manifest/{uuid.uuid4().hex}.new")
-        out = fs.create(beside, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if not fs.rename(beside, target):
-            raise RuntimeError(f"version {manifest['version']} of {self.path} could not be published")
+        return self.versions.read() or {"version": 0, "schema": None, "buckets": self.buckets, "commits": [], "batches": {}}
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.manifest()["buckets"])).cast("int")
@@ -115,8 +89,7 @@ class KeyedTable:
 
     def _commit(self, manifest: dict, batch: DataFrame, name: str, writer: str, number: int | None) -> int:
         folder = f"{self.path}/data/{name}"
-        found = [f.getPath().getName() for f in self._fs().listStatus(self._at(folder))]
-        buckets = sorted(int(n.partition("=")[2]) for n in found if n.startswith(f"{_BUCKET}="))
+        buckets = sorted(int(n.partition("=")[2]) for n in self.versions.names(folder) if n.startswith(f"{_BUCKET}="))
         written = self.spark.read.parquet(folder).count() if buckets else 0
         if written:
             commit = {"name": name, "buckets": buckets, "rows": written, "without_id": batch.where(F.col(self.key).isNull()).count()}
@@ -125,7 +98,7 @@ class KeyedTable:
         if number is not None:
             manifest["batches"][writer] = number
         manifest["version"] += 1
-        self._publish(manifest)
+        self.versions.publish(manifest)
         return written
 
     def compact(self) -> None:
@@ -138,13 +111,11 @@ class KeyedTable:
         total = {k: sum(c[k] for c in manifest["commits"]) for k in ("rows", "without_id")}
         manifest["commits"] = [{"name": name, "buckets": sorted({b for c in manifest["commits"] for b in c["buckets"]}), **total}]
         manifest["version"] += 1
-        self._publish(manifest)
+        self.versions.publish(manifest)
 
     def vacuum(self) -> list[str]:
         """Delete folders that the newest version doesn't name; their names. Not while a batch or an older reader is at work."""
-        fs, folder = self._fs(), self._at(f"{self.path}/data")
         named = {c["name"] for c in self.manifest()["commits"]}
-        gone = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName() not in named] if fs.exists(folder) else []
-        for place in gone:
-            fs.delete(place, True)
-        return sorted(place.getName() for place in gone)
+        gone = sorted(n for n in self.versions.names(f"{self.path}/data") if n not in named)
+        self.versions.delete([f"{self.path}/data/{n}" for n in gone])
+        return gone

@@ -51,12 +51,12 @@ def test_ids_of_two_batches_are_stored_once(spark, tmp_path):
     assert rows() == want and table.manifest()["version"] == before
     # killed between the files and the commit: the files count for nothing, and the next try stores them
     put(spark, tmp_path, "c", [("3", week + 1, "s", "copy"), ("4", week + 1, "s", "first")])
-    publish = table._publish
-    table._publish = lambda manifest: (_ for _ in ()).throw(RuntimeError("killed"))
+    publish = table.versions.publish
+    table.versions.publish = lambda manifest: (_ for _ in ()).throw(RuntimeError("killed"))
     with pytest.raises(Exception, match="killed"):
         run()
     assert rows() == want
-    table._publish = publish
+    table.versions.publish = publish
     run()
     assert rows() == want | {"4": "first"} and len(table.vacuum()) == 1
     assert rows() == want | {"4": "first"}
