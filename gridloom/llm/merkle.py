@@ -200,6 +200,7 @@ def height_of(n: Column) -> Column:
 def leaves(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     """A row per row of docs: doc_id, lang, leaf, other (the leaf with the text `tampered`; null where that is null), at (place in its language from 0)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), leaf().alias("leaf"), (F.lit(None).cast("string") if tampered is None else tampered).alias("other"))
+    rows = publish(rows, "digests")  # texts are hashed once, not again to find the ranges
     placed = numbered(rows, ["lang"], [F.col("doc_id").asc_nulls_first(), F.col("leaf")], "at")
     return placed.withColumn("at", F.col("at") - 1)
 
