@@ -6,9 +6,10 @@ size by weight; a target stops at 3 times its source's size and the excess is sh
 How large a source's quota is: whole passes over it, and one part of a further pass. Documents stand in the
 order of a seeded hash (those larger than the whole part are left aside); that order is cut where the part ends, found by
 descending a tree of hash prefixes (at most 4,096 sums a source and level, two levels, never a source's documents in one
-task). What the cut leaves is filled, largest first, with untaken documents that still fit, one of a size. Only where more
-than TOLERANCE of a target then lacks (a source of a few documents, none of which fits) one more document is taken
-in part: its first words, line by line.
+task). What the cut leaves is filled, largest first, with untaken documents that still fit, one of a size, until none does.
+If the smallest of the others then comes nearer to the target than nothing, it is taken too. Documents are always taken whole,
+so a source misses its target by less than half of one document: by words where it has documents of many sizes, by much
+where it has very few.
 
 Where it goes: the first 8 bits of the hash name a source's blocks, so they are a random permutation of its
 documents. The tree splits the sources' exact block quotas in two, again and again, drawing each half's
@@ -31,21 +32,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.quality_rules import words_of
-from gridloom.llm.shared import publish, text_of, with_text
+from gridloom.llm.shared import publish, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SHARDS = 256
 SEED = 20_260_101
-#: Documents that may be added one by one where a source's part ends.
-FILLERS = 16
 #: Equal rows that are numbered in one task.
 ROWS_PER_SALT = 10_000
 #: A shard of more words than this is laid out in several parts, each shuffled on its own.
 WORDS_PER_PART = 1 << 21
-#: Share of a target that may lack before a document is taken in part.
-TOLERANCE = 0.001
 #: The cut is made of so many bits of the hash: less than 2**-24 of a source, or a document, stands beside it.
 _LEVELS, _BITS = 2, 12
 #: All but ASCII white space; as what it holds, which Java matches many times faster than what it doesn't.
@@ -86,7 +82,7 @@ def _on_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
 
 
 def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: passes, cut (of the first bits of the hash), fillers (hashes taken beyond the cut), part_h and part_words."""
+    """Per source: passes, cut (of the first bits of the hash), fillers (hashes taken beyond the cut)."""
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_REPEATS))).otherwise(0)
     plan = targets.withColumn("passes", whole.cast("bigint")).withColumn("need", F.col("target") - F.col("passes") * F.col("source_size"))
     plan = publish(plan.withColumns({"cut": F.lit(0).cast("bigint"), "fit": F.col("need")}), "cuts", 1)
@@ -110,14 +106,14 @@ def _cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _filled(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """plan with fillers, part_h and part_words. A source's untaken documents give one row for each size up to what is needed, and one for all above."""
+    """plan with fillers. A source's untaken documents give one row for each size up to what is needed, and one for all above."""
     untaken = _on_source(rows, plan.select("source", "cut", "fit", "need")).where(~_below_cut() & (F.col("size") > 0))
     sizes = untaken.groupBy("source", F.least(F.col("size"), F.floor("need") + 1).alias("class")).agg(F.min(F.struct("size", "h")).alias("doc"))
     sizes = sizes.groupBy("source").agg(F.sort_array(F.collect_list("doc"), asc=False).alias("docs"))
     plan = _on_source(plan, sizes, "left").withColumn("docs", F.coalesce("docs", F.array().cast("array<struct<size:bigint,h:bigint>>")))
 
     def step(acc: Column, doc: Column) -> Column:
-        fits = (doc["size"] <= acc["need"]) & (F.size(acc["fillers"]) < FILLERS)
+        fits = doc["size"] <= acc["need"]
         return F.struct(
             F.when(fits, acc["need"] - doc["size"]).otherwise(acc["need"]).alias("need"),
             F.when(fits, F.array_append(acc["fillers"], doc["h"])).otherwise(acc["fillers"]).alias("fillers"),
@@ -127,10 +123,8 @@ def _filled(rows: DataFrame, plan: DataFrame) -> DataFrame:
     plan = plan.withColumn("filled", F.aggregate("docs", start, step))
     left, fillers = F.col("filled.need"), F.col("filled.fillers")
     over = F.array_min(F.filter("docs", lambda d: (d["size"] > left) & ~F.array_contains(fillers, d["h"])))
-    parted = (left > F.greatest(F.lit(0.5), TOLERANCE * F.col("target"))) & over.isNotNull()
-    return plan.select(
-        "source", "source_size", "target", "passes", "fit", "cut", fillers.alias("fillers"), F.when(parted, over["h"]).alias("part_h"), F.when(parted, F.round(left).cast("bigint")).alias("part_words")
-    )
+    nearer = over.isNotNull() & (over["size"] - left < left)
+    return plan.select("source", "source_size", "target", "passes", "fit", "cut", F.when(nearer, F.array_append(fillers, over["h"])).otherwise(fillers).alias("fillers"))
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -214,29 +208,11 @@ def _turns() -> Column:
     return F.filter(passes, lambda t: (_unit(t) < drawn) & ((t < F.col("passes")) | extra))
 
 
-def _part() -> Column:
-    """Words of one more copy that is taken in part."""
-    return F.coalesce(F.when(F.col("h") == F.col("part_h"), F.col("part_words")), F.lit(0))
-
-
 def _shard(turn: Column) -> Column:
     """The shard that draws a document's block in pass `turn`."""
     return F.size(F.filter("bounds", lambda b: b <= _unit(turn)))
 
 
-def _first_words(text: Column, n: Column) -> Column:
-    """The first n words of a text: whole lines, and of the last one its first words, a space between them."""
-
-    def step(acc: Column, line: Column) -> Column:
-        words = words_of(line)
-        cut = F.when(F.size(words) <= acc["left"], line).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(acc["left"], F.lit(0))), " "))
-        more = F.when(acc["left"] > 0, F.array_append(acc["lines"], cut)).otherwise(acc["lines"])
-        return F.struct((acc["left"] - F.size(words)).alias("left"), more.alias("lines"))
-
-    start = F.struct(n.cast("int").alias("left"), F.array().cast("array<string>").alias("lines"))
-    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: F.array_join(acc["lines"], "\n"))
-
-
 def mix_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(rows with doc_id, source, size, h; the plan of each source; the repeated rows)."""
     rows = publish(_sized(docs, seed), "sizes")
@@ -248,21 +224,16 @@ def mix_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> tuple[D
 def mix_report(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, copies, shard (of its first copy)."""
     rows, plan, _ = mix_plan(docs, shards, seed)
-    joined = _on_source(rows, plan).withColumns({"turns": _turns(), "part": _part()}).withColumn("copies", F.size("turns"))
-    first = F.when(F.col("copies") > 0, _shard(F.get("turns", F.lit(0)))).when(F.col("part") > 0, _shard(F.col("passes")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("part")).alias("taken"), F.col("copies").cast("bigint").alias("copies"), first.alias("shard"))
+    joined = _on_source(rows, plan).withColumn("turns", _turns()).withColumn("copies", F.size("turns"))
+    first = F.when(F.col("copies") > 0, _shard(F.get("turns", F.lit(0))))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("bigint").alias("copies"), first.alias("shard"))
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix: a row per copy, shard by shard, each shard shuffled; the columns of docs."""
+    """The mix: a row per copy, whole texts, shard by shard, each shard shuffled; the columns of docs."""
     _, plan, repeated = mix_plan(docs, shards, seed)
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").cast("string").alias("source"), _hash(seed).alias("h"), _size().alias("size"))
-    copies = _on_source(_numbered(keyed, repeated), plan).withColumn("part", _part())
-    turns = F.when(F.col("part") > 0, F.array_append(_turns(), F.col("passes"))).otherwise(_turns())
-    copies = copies.withColumn("turns", turns).select("*", F.posexplode("turns").alias("copy", "turn"))
-    parted = (F.col("part") > 0) & (F.col("copy") == F.size("turns") - 1)
-    doc = F.struct(*with_text(docs, F.col("doc"), _first_words(text_of(F.col("doc.text")), F.col("part"))))
-    doc = F.when(parted, doc).otherwise(F.col("doc"))
-    copies = copies.select(doc.alias("doc"), _shard(F.col("turn")).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "turn").alias("order"), "parts")
+    copies = _on_source(_numbered(keyed, repeated), plan).withColumn("turn", F.explode(_turns()))
+    copies = copies.select("doc", _shard(F.col("turn")).alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "turn").alias("order"), "parts")
     copies = copies.withColumn("part", F.pmod("order", "parts"))
     return copies.repartition("shard", "part").sortWithinPartitions("shard", "part", "order").select("doc.*")

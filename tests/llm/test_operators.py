@@ -490,6 +490,11 @@ def test_components_of_paths_and_stars(spark):
     assert got == {k: 0 for k in range(61)} | {k: 500 for k in [1000, *range(500, 700)]}
 
 
+def copies_of(row, report) -> int:
+    """How often a row of the documents is taken, by its id and size."""
+    return next(r.copies for r in report if (r.doc_id, r.size) == (row.doc_id, len(WORD.findall(row.text or ""))))
+
+
 def test_mixing(rows, docs, empty):
     sizes = [len(WORD.findall(r[1] or "")) for r in rows]
     by_source = defaultdict(int)
@@ -514,15 +519,15 @@ def test_mixing(rows, docs, empty):
     taken = defaultdict(int)
     for r in got:
         (source,) = [s for s in source_of[r.doc_id] if by_source[s] == r.source_size][:1]
-        assert r.target == pytest.approx(target[source]) and r.copies * r.size <= r.taken <= 3 * r.size
+        assert r.target == pytest.approx(target[source]) and r.taken == r.copies * r.size <= 3 * r.size
         taken[source] += r.taken
-    for s in order:
-        assert abs(taken[s] - target[s]) <= max(1, 0.002 * target[s])
+    largest = {s: max(n for r, n in zip(rows, sizes, strict=True) if r[3] == s) for s in order}
+    for s in order:  # within half a document, where documents of a source have few sizes
+        assert abs(taken[s] - target[s]) <= max(1, 0.002 * target[s], largest[s] / 2)
     assert bag(mixing.mix_report(docs).collect()) == bag(got)
     assert mixing.mix_report(empty).count() == 0
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies + (r.taken > r.copies * r.size) for r in got)
-    assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == sum(r.taken for r in got)
+    assert mixed.columns == docs.columns and bag(mixed.collect()) == bag(r for r in docs.collect() for _ in range(copies_of(r, got)))
 
 
 def test_mixing_repeated_rows(spark, monkeypatch):
@@ -537,7 +542,7 @@ def test_mixing_repeated_rows(spark, monkeypatch):
         taken[r.source_size] += r.taken
         target[r.source_size] = r.target
         assert 0 <= r.taken <= 3 * r.size
-    assert all(abs(taken[s] - target[s]) <= max(1, 0.01 * target[s]) for s in target) and 503 in target
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target) and 503 in target  # half of a document of ten words
     mixed = mixing.mixed_documents(docs).collect()
     assert sum(len(WORD.findall(r.text or "")) for r in mixed) == sum(r.taken for r in got)
 
@@ -550,12 +555,6 @@ def test_mixing_takes_what_the_tree_deals_out(docs, monkeypatch):
     assert 0.2 * whole < sum(r.taken for r in mixing.mix_report(docs).collect()) < 0.8 * whole
 
 
-def test_mixing_cuts_lines(spark):
-    frame = spark.createDataFrame([("a b\n\nc  d\ne", n) for n in range(6)], "text string, n int")
-    got = [r[0] for r in frame.orderBy("n").select(mixing._first_words(F.col("text"), F.col("n"))).collect()]
-    assert got == ["", "a", "a b", "a b\n\nc", "a b\n\nc  d", "a b\n\nc  d\ne"]
-
-
 def test_splitting_tree():
     quotas = np.array([700, 0, 13, 256, 1])
     split = mixing.split_quotas(quotas, 16, 9)
