@@ -53,8 +53,10 @@ RECALL = 0.98
 BUCKET = 16
 #: Members of a key that one task compares with each other.
 BOUND = 8192
-#: Members of a component of candidates that one task holds with their sets of shingles.
-GROUP_BOUND = 512
+#: Members of a component of candidates that one task holds with their sets of shingles, and shingles of these, about.
+GROUP_BOUND, GROUP_SHINGLES = 512, 1 << 22
+#: Texts whose bits are held at once.
+_TEXTS_AT_ONCE = 256
 #: Bits of the fingerprint that near copies are held against each other by, as 64-bit words.
 CHECK_WORDS = 2
 #: Rows of whole keys that a task holds at once, about.
@@ -147,7 +149,7 @@ def sketches(docs: DataFrame, shingle: int, width: int, n_keys: int) -> DataFram
     powers, numbers = 1 << np.arange(width, dtype=np.int64), np.arange(n_keys, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(k, _TEXTS_AT_ONCE) for x in batches for k in range(0, x.num_rows, _TEXTS_AT_ONCE)):
             texts = [t.as_buffer().to_pybytes() for t in b.column(2)]
             sets = [shingle_set(t, shingle) for t in texts]
             bits = np.array([simhash(s, n_words) for s in sets]).reshape(-1, 64 * n_words)
@@ -168,7 +170,7 @@ def _segments(n: int) -> list[tuple[int, int]]:
 
 
 def exact_for(n_rows: int, max_diff: int) -> int:
-    """Segments that a key holds, so that keys of so many fingerprints have BUCKET members or fewer on average."""
+    """Segments that a key holds, so that keys of so many fingerprints have BUCKET members or fewer on average; eight are enough for 10^13."""
     exact = 2
     while exact < 8 and n_rows > BUCKET << exact * (64 // (max_diff + exact)):
         exact += 1
@@ -297,7 +299,7 @@ def _hot_keys(keyed: DataFrame, n_nodes: int, bound: int) -> DataFrame | None:
     """Keys of more than bound members, with their number; None if there are none."""
     if n_nodes <= bound:
         return None
-    hot = publish(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > bound), "hot-keys", 1)
+    hot = publish(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > bound), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
@@ -313,13 +315,19 @@ def _blocks(keyed: DataFrame, hot: DataFrame | None, bound: int) -> DataFrame:
     return keyed.join(hot, "key", "left").withColumn("block", F.when(F.col("members").isNull(), F.lit(0)).otherwise(_block(n)).cast("bigint")).drop("members")
 
 
-def _block_pairs(keyed: DataFrame, bound: int) -> DataFrame:
-    """keyed (key, node, label ...) with block: blocks of members of all labels but the key's largest meet each other and those of the largest."""
-    counts = publish(keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "key-labels")
-    largest = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+def _block_pairs(keyed: DataFrame, bound: int, shingles: int | None = None) -> DataFrame:
+    """keyed (key, node, size, label ...) with block: blocks of members of all labels but the key's largest meet each other and those of the largest.
+
+    A pair of blocks has about half of bound members, and if shingles is given, half of so many shingles (or a single longer text).
+    """
+    counts = publish(keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass")), "key-labels")
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", "label", "mass")).alias("top"), F.sum("n").alias("all"), F.sum("mass").alias("mass"))
     part = bound // 4
-    blocks = lambda n: F.ceil(n / part).cast("bigint")
-    sizes = largest.select("key", F.col("top.label").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("all") - F.col("top.n")).alias("others"))
+    least = lambda mass: mass / (shingles // 4) if shingles else F.lit(0.0)
+    # no more blocks than members
+    blocks = lambda n, mass: F.ceil(F.greatest(n / part, F.least(least(mass), n.cast("double")))).cast("bigint")
+    top, rest = blocks(F.col("top.n"), F.col("top.mass")), blocks(F.col("all") - F.col("top.n"), F.col("mass") - F.col("top.mass"))
+    sizes = largest.select("key", F.col("top.label").alias("top"), top.alias("tops"), rest.alias("others"))
     rows = keyed.join(publish(sizes.where("others > 0"), "key-blocks"), "key")
     is_top = F.col("label") == F.col("top")
     # a pair of blocks is named by its smaller and larger number; blocks of the largest label have the larger numbers
@@ -431,7 +439,7 @@ def _verified(nodes: DataFrame, edges: DataFrame, loose: DataFrame, sets: DataFr
     members = publish(both.join(parts, "loose").join(nodes.drop("least"), "node"), "open-members")
     own = F.when(F.col("members") <= bound, F.array("loose")).otherwise(F.transform("keys", lambda k: F.xxhash64(k, "loose")))
     keyed = members.select("node", "size", "label", *(f"w{k}" for k in range(rule.words)), F.explode(own).alias("key"))
-    more = publish(_linked(_block_pairs(keyed, GROUP_BOUND).join(sets, "node"), rule), "linked")
+    more = publish(_linked(_block_pairs(keyed, GROUP_BOUND, GROUP_SHINGLES).join(sets, "node"), rule), "linked")
     return _labels(nodes, good.unionByName(more), n)
 
 
