@@ -95,6 +95,16 @@ def truncate(text: Column, limit: int = MESSAGE_CHARS) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("…"))).otherwise(text)
 
 
+def capture_rows(events: DataFrame) -> DataFrame:
+    """Capture events (EVENT_SCHEMA) as they are written: names normalised, error codes and messages redacted."""
+    return events.withColumns({"eventName": event_name(F.col("eventName")), "errorCode": redact(F.col("errorCode")), "message": redact(F.col("message"))})
+
+
+def recent_captures(log: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest rows of a capture log, newest first; messages are redacted on reading too, for rows that others wrote."""
+    return log.withColumn("message", redact(F.col("message"))).orderBy(F.col("timestamp").desc(), "correlationId").limit(limit)
+
+
 def search(log: DataFrame, term: str, columns: list[str], at: str) -> DataFrame:
     """Rows with term, in any case, in one of the columns; newest first."""
     hit = F.lit(False)
@@ -136,7 +146,8 @@ def measured(work: Callable[[], object], write: Callable[[dict], None], category
     try:
         result = work()
     except Exception as error:
-        detail = "".join(traceback.format_exception(error))[:MESSAGE_CHARS]
+        detail = "".join(traceback.format_exception(error))
+        detail = detail if len(detail) <= MESSAGE_CHARS else detail[:MESSAGE_CHARS] + "…"  # as `truncate`
         took = int(1000 * (time.monotonic() - began))
         write(row | {"level": "error", "success": False, "duration_ms": took, "message": str(error), "error_type": type(error).__name__, "error_detail": detail})
         raise

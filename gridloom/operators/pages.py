@@ -344,6 +344,16 @@ def inspect(pages: DataFrame) -> DataFrame:
     )
 
 
+def inspect_layout(pages: DataFrame) -> DataFrame:
+    """Per document: sizes (each size of its pages, in points, with how many have it, the most frequent first) and fonts (in order). pages: doc_id, page_no, width, height, fonts (an array)."""
+    shown = F.concat(F.format_string("%.0f x %.0f", F.col("width"), F.col("height")))
+    counts = pages.groupBy("doc_id", shown.alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "size")))
+    sizes = counts.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["size"], F.lit(": "), (-x["less"]).cast("string"))), ", ").alias("sizes"))
+    fonts = pages.select("doc_id", F.explode("fonts").alias("font")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("font")), ", ").alias("fonts"))
+    return sizes.join(fonts, "doc_id", "left")
+
+
 def canonical_objects(objects: DataFrame, key: str, content: str) -> DataFrame:
     """Every object with the lowest key that has the same content (SHA-256)."""
     hashed = objects.withColumn("sha", F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256))

@@ -133,6 +133,16 @@ def by_category(items: DataFrame, category: str, name: str) -> DataFrame:
     return items.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("names"))
 
 
+def of_kind(items: DataFrame, kind: str, value: str | None = None) -> DataFrame:
+    """Items, such as templates, of one kind, or all of them."""
+    return items if value is None else items.where(F.col(kind) == value)
+
+
+def by_id(items: DataFrame, key: str, value: object, order: str) -> DataFrame:
+    """The first item by `order` that has this id; no row if none has it."""
+    return items.where(F.col(key) == F.lit(value)).orderBy(order).limit(1)
+
+
 def age_label(then: Column, now: Column) -> Column:
     minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 60e6)
     return (

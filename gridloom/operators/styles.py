@@ -45,3 +45,21 @@ def code_of(pattern: Column) -> Column:
     """The code of exactly this pattern; null for any other."""
     pairs = [F.lit(x) for code, p in PATTERNS.items() for x in (p, code)]
     return F.create_map(*pairs)[pattern]
+
+
+# fixed values: words of the labels of number formats, in the order in which they are looked for, and the code that each stands for
+_LABELS = (
+    (("chung", "general"), None), (("tiền", "currency", "₫"), "currency"), (("phần trăm", "percent", "%"), "percent"), (("nghìn", "thousand"), "thousands"), (("ngày", "date"), "date"),
+    (("khoa học", "scientific"), "scientific"), (("số nguyên", "integer"), "integer"), (("thập phân", "decimal"), "decimal2"),
+)
+
+
+def code_of_label(label: Column) -> Column:
+    """The format code that a list's label, such as "Tiền tệ (₫)", stands for; null for the general format and any other label."""
+    lower, out = F.lower(label), None
+    for words, code in _LABELS:
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | F.contains(lower, F.lit(word))
+        out = F.when(hit, F.lit(code)) if out is None else out.when(hit, F.lit(code))
+    return out

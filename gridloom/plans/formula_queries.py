@@ -78,7 +78,8 @@ def fn_date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fn_hlookup_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return lookup.HLOOKUP(suppliers, "S_NAME", 1, "s_suppkey").unionByName(lookup.HLOOKUP(suppliers, "nowhere", 2, "s_suppkey"))
+    found = lookup.HLOOKUP(suppliers, "S_NAME", 1, "s_suppkey").unionByName(lookup.HLOOKUP(suppliers, "nowhere", 2, "s_suppkey"))
+    return found.unionByName(lookup.HLOOKUP(suppliers, "s_name", 2, "s_suppkey")).unionByName(lookup.HLOOKUP(suppliers, "S_Name", 40, "s_suppkey"))
 
 
 QUERIES = {f.__name__: f for f in (fn_criteria, fn_truth, fn_compare, fn_text_columns, fn_operators, fn_arguments, fn_date_text, fn_hlookup_header)}
@@ -116,5 +117,7 @@ SQL = {
         SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN year(o_orderdate)::DOUBLE END AS "year", CASE WHEN o_orderkey % 5 < 4 THEN month(o_orderdate)::DOUBLE END AS "month",
                CASE WHEN o_orderkey % 5 < 4 THEN day(o_orderdate)::DOUBLE END AS "day", CASE WHEN o_orderkey % 5 < 4 THEN (dayofweek(o_orderdate) + 1)::DOUBLE END AS weekday, year(o_orderdate)::DOUBLE AS serial_year
         FROM orders""",
-    "fn_hlookup_header": "SELECT 's_name' AS found UNION ALL SELECT NULL",
+    "fn_hlookup_header": """
+        WITH n AS (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS no FROM supplier)
+        SELECT 's_name' AS found UNION ALL SELECT NULL UNION ALL SELECT s_name FROM n WHERE no IN (1, 39)""",
 }

@@ -117,7 +117,7 @@ def grid_unmerge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_sort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.sort_rows(table(spark, sf_dir, "nation"), ["n_regionkey", "n_name"], [True, False])
+    return grid.sort_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name"), ["c_nationkey", "c_name"], [True, False])
 
 
 def grid_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ SQL = {
     "grid_widths": _C + "SELECT col, CAST(greatest(6, least(15, max(length(text)))) AS INTEGER) AS width FROM cells GROUP BY col",
     "grid_merge": _M + f", n AS (SELECT * FROM s WHERE r1 < r2 OR c1 < c2) SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM n AS s WHERE {_MEET}) UNION ALL SELECT * FROM n",
     "grid_unmerge": _M + f"SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM s WHERE {_MEET})",
-    "grid_sort_rows": "SELECT * FROM nation ORDER BY n_regionkey DESC, n_name",
+    "grid_sort_rows": "SELECT c_custkey, c_nationkey, c_name FROM customer ORDER BY c_nationkey DESC, c_name",
     "grid_totals": "SELECT round(sum(l_quantity), 2) AS l_quantity, CAST(sum(l_linenumber) AS DOUBLE) AS l_linenumber FROM lineitem",
     "grid_csv_lines": "SELECT p_partkey || ',\"' || p_brand || ', \"\"' || p_type || '\"\"\",' || p_size AS line FROM part",
 }

@@ -108,8 +108,8 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = P.placeholders(F.lit("{file}: {page}/{pages} on {date}"), F.col("r_regionkey"), F.lit(5), F.col("r_name"), F.lit("01/02/2026"))
-    return table(spark, sf_dir, "region").select(shown.alias("footer"))
+    shown = P.placeholders(F.lit("{file}: {page}/{pages} on {date}"), F.col("p_partkey"), F.col("p_size"), F.col("p_name"), F.lit("01/02/2026"))
+    return table(spark, sf_dir, "part").select(shown.alias("footer"))
 
 
 def page_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ SQL = {
     "page_canonical": """
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical, count(*) OVER (PARTITION BY text) AS copies FROM documents""",
     "page_columns": "SELECT l_orderkey, CAST((max(l_linenumber) - 1) // 2 + 1 AS INTEGER) AS n_columns FROM lineitem GROUP BY l_orderkey",
-    "page_placeholders": "SELECT r_name || ': ' || r_regionkey || '/5 on 01/02/2026' AS footer FROM region",
+    "page_placeholders": "SELECT p_name || ': ' || p_partkey || '/' || p_size || ' on 01/02/2026' AS footer FROM part",
     "page_widths": """
         WITH w AS (SELECT greatest(3, least(40, max(length(p_name)))) AS a, greatest(3, least(40, max(length(p_brand)))) AS b, greatest(3, least(40, max(length(p_type)))) AS c FROM part)
         SELECT round(a / (a + b + c), 6) AS p_name, round(b / (a + b + c), 6) AS p_brand, round(c / (a + b + c), 6) AS p_type FROM w""",

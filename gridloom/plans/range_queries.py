@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions import aggregates as A
-from gridloom.operators import records
+from gridloom.operators import activity, records, styles
+from gridloom.operators import pages as P
 from gridloom.operators import rectangles as X
 from gridloom.operators.rounds import new_path
 from gridloom.operators.versions import CellHistory
 from gridloom.plans.formula_queries import _pick
 from gridloom.plans.grid_queries import _cells
 from gridloom.plans.log_queries import table
-from gridloom.sources import logs
+from gridloom.sources import delimited, logs
 from gridloom.streaming.log_stream import error_rates
 
 SHEET_ROWS = 1_048_576
@@ -130,9 +131,44 @@ def log_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.groupBy("log_date", "tool_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("sessions"))
 
 
+def log_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts, which hold secrets, as messages of capture events."""
+    docs = table(spark, sf_dir, "documents")
+    names = _pick(F.col("doc_id"), " Capture.Started ", "upload failed!", "OCR-Done 2", "Zażółć")
+    events = docs.select(
+        F.timestamp_seconds(F.col("doc_id")).alias("timestamp"), F.col("doc_id").cast("string").alias("correlationId"), names.alias("eventName"), F.lit("Information").alias("level"),
+        F.lit(None).cast("string").alias("errorCode"), F.concat(F.col("text"), F.lit(" access_token="), F.col("doc_id").cast("string"), F.lit("&Authorization: Bearer abc.d")).alias("message"))
+    return activity.capture_rows(events).select("correlationId", "eventName", F.md5("message").alias("md5"))
+
+
+def record_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("id"), F.col("p_type").alias("kind"))
+    kind = records.of_kind(items, "kind", "ECONOMY").withColumn("found", F.lit("kind"))
+    one = records.by_id(items, "id", "Brand#11", "p_partkey").withColumn("found", F.lit("id"))
+    return kind.unionByName(one).unionByName(records.by_id(items, "id", "no such id", "p_partkey").withColumn("found", F.lit("none")))
+
+
+def grid_csv_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank rows and cells are written too."""
+    cells = _sparse(spark, sf_dir).where("row % 10 <> 4").withColumn("text", F.when(F.col("row") % 4 == 0, F.concat("text", F.lit(', "x"'))).otherwise(F.col("text")))
+    return delimited.sheet_lines(cells)
+
+
+def grid_format_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat(_pick(F.col("p_partkey"), "Chung", "Tiền tệ (₫)", "Percent", "Hàng nghìn", "Ngày", "SCIENTIFIC", "Số nguyên", "Thập phân 2", "none"), F.lit(" "), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", styles.code_of_label(label).alias("code"))
+
+
+def page_inspect_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("l_linenumber")
+    fonts = F.array(F.concat(F.lit("F"), (F.col("l_suppkey") % 3).cast("string")), F.concat(F.lit("F"), (key % 2).cast("string")))
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), key.alias("page_no"), F.when(key % 3 == 0, 842.0).otherwise(595.0).alias("width"), F.when(key % 3 == 0, 595.0).otherwise(842.0).alias("height"), fonts.alias("fonts"))
+    return P.inspect_layout(pages)
+
+
 QUERIES = {f.__name__: f for f in (
     fn_countblank_range, grid_selection, grid_style_ranges, grid_aggregate_range, grid_aggregate_block, grid_aggregate_above, grid_versions, record_unique_collisions, fn_criteria_words, record_queue_timed,
-    log_sliding_rates, log_clustered,
+    log_sliding_rates, log_clustered, log_capture, record_templates, grid_csv_dense, grid_format_labels, page_inspect_layout,
 )}
 
 _CELLS = """
@@ -204,4 +240,23 @@ SQL = {
         SELECT window_start, tool_id, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) AS total FROM e GROUP BY ALL""",
     "log_clustered": """
         SELECT CAST(ts AS DATE) AS log_date, event_type AS tool_id, count(*) AS n, count(DISTINCT user_id) AS sessions FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-10' AND event_type IN ('error', 'view') GROUP BY ALL""",
+    "log_capture": r"""
+        WITH m AS (SELECT doc_id, text || ' access_token=' || doc_id || '&Authorization: Bearer abc.d' AS m FROM documents),
+             a AS (SELECT doc_id, regexp_replace(m, '(?i)(\\?"?Authorization\\?"?\s*:\s*\\?"?)(?:Bearer\s+)?[^"\s,;}]+', '\1[REDACTED]', 'g') AS m FROM m),
+             b AS (SELECT doc_id, regexp_replace(m, '(?i)(\bBearer\s+)[A-Za-z0-9._~+/=-]+', '\1[REDACTED]', 'g') AS m FROM a),
+             c AS (SELECT doc_id, regexp_replace(m, '\bprivate_[A-Za-z0-9_\-]{8,}\b', '[REDACTED]', 'g') AS m FROM b),
+             d AS (SELECT doc_id, regexp_replace(m, '(?i)(access_token|refresh_token|code)("?\s*[:=]\s*"?)([^"&\s}]+)', '\1\2[REDACTED]', 'g') AS m FROM c)
+        SELECT CAST(doc_id AS VARCHAR) AS "correlationId", ['capture_started', 'upload_failed_', 'ocr_done_2', 'zażółć'][doc_id % 4 + 1] AS "eventName", md5(m) AS md5 FROM d""",
+    "record_templates": """
+        SELECT p_partkey, p_brand AS id, p_type AS kind, 'kind' AS found FROM part WHERE p_type = 'ECONOMY'
+        UNION ALL (SELECT p_partkey, p_brand, p_type, 'id' FROM part WHERE p_brand = 'Brand#11' ORDER BY p_partkey LIMIT 1)""",
+    "grid_csv_dense": _CELLS + """, d AS (SELECT row, col, CASE WHEN row % 4 = 0 THEN chr(34) || text || ', ' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) ELSE text END AS text FROM s WHERE row % 10 <> 4 AND row > 0),
+             r AS (SELECT unnest(range(1, (SELECT max(row) FROM d) + 1)) AS row)
+        SELECT r.row, coalesce(max(CASE WHEN col = 1 THEN text END), '') || ',' || coalesce(max(CASE WHEN col = 2 THEN text END), '') || ',' || coalesce(max(CASE WHEN col = 3 THEN text END), '') AS line FROM r LEFT JOIN d USING (row) GROUP BY r.row""",
+    "grid_format_labels": "SELECT p_partkey, [NULL, 'currency', 'percent', 'thousands', 'date', 'scientific', 'integer', 'decimal2', NULL][p_partkey % 9 + 1] AS code FROM part",
+    "page_inspect_layout": """
+        WITH p AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 3 = 0 THEN '842 x 595' ELSE '595 x 842' END AS size, unnest(['F' || l_suppkey % 3, 'F' || l_linenumber % 2]) AS font FROM lineitem),
+             z AS (SELECT doc_id, size, count(*) // 2 AS n FROM p GROUP BY ALL),
+             f AS (SELECT doc_id, string_agg(DISTINCT font, ', ' ORDER BY font) AS fonts FROM p GROUP BY doc_id)
+        SELECT doc_id, string_agg(size || ': ' || n, ', ' ORDER BY n DESC, size) AS sizes, any_value(fonts) AS fonts FROM z JOIN f USING (doc_id) GROUP BY doc_id""",
 }

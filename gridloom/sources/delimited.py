@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.coerce import text_to_number
+from gridloom.operators import grid
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
@@ -62,3 +63,17 @@ def write_rows(table: DataFrame, path: str, separator: str = ",", header: bool =
 def as_lines(table: DataFrame, separator: str = ",") -> DataFrame:
     """A row's values as one delimited line."""
     return table.select(F.concat_ws(separator, *(quoted(F.col(c), separator) for c in table.columns)).alias("line"))
+
+
+def sheet_lines(cells: DataFrame, separator: str = ",") -> DataFrame:
+    """A sheet (row, col, text) as delimited lines (row, line), dense: every row up to the last, every column up to the last, blank or not. Rows are filled in many tasks."""
+    extent = grid.extent(cells).first()
+    rows = grid.range_rows(cells.withColumn("sheet", F.lit("sheet")), 1, 1, extent.max_row, extent.max_col)
+    return rows.select("row", F.array_join(F.transform("texts", lambda t: quoted(t, separator)), separator).alias("line"))
+
+
+def write_sheet(cells: DataFrame, path: str, separator: str = ",") -> None:
+    """sheet_lines as files in the order of rows; the first begins with a byte order mark, so that spreadsheets take it for UTF-8."""
+    lines = sheet_lines(cells, separator).repartitionByRange("row").sortWithinPartitions("row")
+    mark = F.when(F.col("row") == 1, F.lit("\ufeff")).otherwise("")
+    lines.select(F.concat(mark, "line").alias("value")).write.text(path)

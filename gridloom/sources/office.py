@@ -215,6 +215,8 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, PARTS, bundle_parts)
 
 
+#: How a text file shows a page break: a mark between blank lines.
+PAGE_BREAK_LINES = "\n--- PAGE BREAK ---\n"
 #: Which reader takes which extension.
 READERS = {".csv": delimited.read_rows, ".xlsx": read_workbooks, ".docx": read_documents, ".rtf": read_rtf, ".txt": read_text, ".zip": read_bundles}
 
@@ -226,10 +228,28 @@ def reader_for(path: str) -> Callable[[SparkSession, str], DataFrame]:
     return READERS[extension]
 
 
+#: A cell's look: number format, bold, italic, colour (as #RRGGBB).
+Look = tuple[str | None, bool, bool, str | None]
+PLAIN: Look = (None, False, False, None)
+
+
+def _style_table(looks: list[Look]) -> str:
+    """The style sheet of a workbook: each look is a cell format after the plain one, with a font of its own where it has one."""
+    from xml.sax.saxutils import escape
+
+    fonts = sorted({look[1:] for look in looks} | {PLAIN[1:]}, key=lambda f: (f != PLAIN[1:], f[0], f[1], f[2] or ""))
+    codes = sorted({look[0] for look in looks if look[0]})
+    own = "".join(f'<numFmt numFmtId="{_OWN_FORMATS + k}" formatCode="{escape(code, {chr(34): "&quot;"})}"/>' for k, code in enumerate(codes))
+    faces = "".join(f"<font>{'<b/>' * bold}{'<i/>' * italic}{f'<color rgb={chr(34)}FF{color[-6:].upper()}{chr(34)}/>' if color else ''}</font>" for bold, italic, color in fonts)
+    number = lambda code: _OWN_FORMATS + codes.index(code) if code else 0
+    formats = "".join(f'<xf numFmtId="{number(look[0])}" fontId="{fonts.index(look[1:])}"{" applyNumberFormat=" + chr(34) + "1" + chr(34) if look[0] else ""}/>' for look in [PLAIN, *looks])
+    return f'<styleSheet xmlns="{_MAIN[1:-1]}">{f"<numFmts>{own}</numFmts>" if own else ""}<fonts>{faces}</fonts><cellXfs>{formats}</cellXfs></styleSheet>'
+
+
 def workbook_bytes(
-    sheets: dict[str, dict[tuple[int, int], object]], merges: dict[str, list[tuple[int, int, int, int]]] | None = None, formats: dict[str, dict[tuple[int, int], str]] | None = None
+    sheets: dict[str, dict[tuple[int, int], object]], merges: dict[str, list[tuple[int, int, int, int]]] | None = None, looks: dict[str, dict[tuple[int, int], Look]] | None = None
 ) -> bytes:
-    """A workbook of sheets of (row, col) -> value; text starting with = is a formula. With merged ranges and number formats of cells."""
+    """A workbook of sheets of (row, col) -> value: a number, a text, a formula (a text that starts with =), or a formula and what it gave (a pair). With merged ranges and looks of cells."""
     from xml.sax.saxutils import escape
 
     def letters(n: int) -> str:
@@ -239,29 +259,28 @@ def workbook_bytes(
             out = chr(65 + r) + out
         return out
 
-    merges, formats = merges or {}, formats or {}
-    codes = sorted({code for of in formats.values() for code in of.values()})
+    merges, looks = merges or {}, looks or {}
+    styles = sorted({look for of in looks.values() for look in of.values() if look != PLAIN}, key=str)
 
-    def cell(row: int, col: int, value: object, code: str | None) -> str:
-        at = f'<c r="{letters(col)}{row}"' + (f' s="{codes.index(code) + 1}"' if code else "")
-        if isinstance(value, str) and value.startswith("="):
-            return f"{at}><f>{escape(value[1:])}</f></c>"
-        if isinstance(value, int | float):
-            return f"{at}><v>{value}</v></c>"
-        return f'{at} t="inlineStr"><is><t>{escape(str(value))}</t></is></c>'
+    def cell(row: int, col: int, value: object, look: Look) -> str:
+        at = f'<c r="{letters(col)}{row}"' + (f' s="{styles.index(look) + 1}"' if look != PLAIN else "")
+        formula, value = value if isinstance(value, tuple) else (value, None) if isinstance(value, str) and value.startswith("=") else (None, value)
+        number = isinstance(value, int | float)
+        if formula:
+            shown = "" if value is None else f"<v>{value if number else escape(str(value))}</v>"
+            return f"{at}{'' if number or value is None else ' t=' + chr(34) + 'str' + chr(34)}><f>{escape(formula[1:])}</f>{shown}</c>"
+        return f"{at}><v>{value}</v></c>" if number else f'{at} t="inlineStr"><is><t>{escape(str(value))}</t></is></c>'
 
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         entries = "".join(f'<sheet name="{escape(name)}" sheetId="{k}"/>' for k, name in enumerate(sheets, 1))
         book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}"><sheets>{entries}</sheets></workbook>')
-        own = "".join(f'<numFmt numFmtId="{_OWN_FORMATS + k}" formatCode="{escape(code, {chr(34): "&quot;"})}"/>' for k, code in enumerate(codes))
-        looks = "".join(f'<xf numFmtId="{_OWN_FORMATS + k}" fontId="0" applyNumberFormat="1"/>' for k in range(len(codes)))
-        if codes:
-            book.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN[1:-1]}"><numFmts>{own}</numFmts><fonts><font/></fonts><cellXfs><xf numFmtId="0" fontId="0"/>{looks}</cellXfs></styleSheet>')
+        if styles:
+            book.writestr("xl/styles.xml", _style_table(styles))
         for k, (name, cells) in enumerate(sheets.items(), 1):
             rows: dict[int, list[str]] = {}
-            for (row, col), value in sorted(cells.items()):
-                rows.setdefault(row, []).append(cell(row, col, value, formats.get(name, {}).get((row, col))))
+            for (row, col), value in sorted(cells.items(), key=lambda x: x[0]):
+                rows.setdefault(row, []).append(cell(row, col, value, looks.get(name, {}).get((row, col), PLAIN)))
             body = "".join(f'<row r="{r}">{"".join(c)}</row>' for r, c in rows.items())
             ranges = "".join(f'<mergeCell ref="{letters(c1)}{r1}:{letters(c2)}{r2}"/>' for r1, c1, r2, c2 in merges.get(name, []))
             merged = f"<mergeCells>{ranges}</mergeCells>" if ranges else ""
@@ -270,22 +289,25 @@ def workbook_bytes(
 
 
 def workbook_files(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
-    """A workbook per name: cells (workbook, sheet, row, col, text, num and, if there, format) to bytes (workbook, content).
+    """A workbook per name: cells to bytes (workbook, content).
 
+    cells: workbook, sheet, row, col, text, num and, if there, formula (then text and num are what it gave), format, bold, italic, color.
     merges: workbook, sheet, r1, c1, r2, c2. A workbook is one file, so one workbook's cells meet in one task.
     """
 
     def build(key: tuple, frame: pd.DataFrame, ranges: pd.DataFrame | None = None) -> pd.DataFrame:
         sheets: dict[str, dict] = {}
-        formats: dict[str, dict] = {}
+        looks: dict[str, dict] = {}
         merged: dict[str, list] = {}
+        word = lambda r, name: x if isinstance(x := getattr(r, name, None), str) else None
+        flag = lambda r, name: not pd.isna(x := getattr(r, name, None)) and bool(x)
         for r in frame.itertuples():
-            sheets.setdefault(r.sheet, {})[int(r.row), int(r.col)] = r.text if pd.isna(r.num) else float(r.num)
-            if isinstance(getattr(r, "format", None), str):
-                formats.setdefault(r.sheet, {})[int(r.row), int(r.col)] = r.format
+            value, formula = r.text if pd.isna(r.num) else float(r.num), word(r, "formula")
+            sheets.setdefault(r.sheet, {})[int(r.row), int(r.col)] = (formula, value) if formula else value
+            looks.setdefault(r.sheet, {})[int(r.row), int(r.col)] = (word(r, "format"), flag(r, "bold"), flag(r, "italic"), word(r, "color"))
         for r in ranges.itertuples() if ranges is not None else ():
             merged.setdefault(r.sheet, []).append((int(r.r1), int(r.c1), int(r.r2), int(r.c2)))
-        return pd.DataFrame({"workbook": [key[0]], "content": [workbook_bytes(sheets, merged, formats)]})
+        return pd.DataFrame({"workbook": [key[0]], "content": [workbook_bytes(sheets, merged, looks)]})
 
     out = "workbook string, content binary"
     if merges is None:
@@ -293,6 +315,23 @@ def workbook_files(cells: DataFrame, merges: DataFrame | None = None) -> DataFra
     return cells.groupBy("workbook").cogroup(merges.groupBy("workbook")).applyInPandas(lambda key, a, b: build(key, a, b), out)
 
 
+def bundle_files(parts: DataFrame) -> DataFrame:
+    """A bundle per name: parts (bundle, kind, id, body) to bytes (bundle, content). kind is document or sheet, body JSON; the manifest counts them. A bundle is one file, so its parts meet in one task."""
+
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame, out = frame.sort_values("id"), io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as bundle:
+            of = {kind: frame[frame["kind"] == kind] for kind in ("document", "sheet")}
+            manifest = {"ManifestVersion": "1.0", "Name": key[0], "DocCount": len(of["document"]), "SheetCount": len(of["sheet"])}
+            bundle.writestr("manifest.json", json.dumps(manifest, indent=2, ensure_ascii=False))
+            for kind, place in (("document", "docs/doc"), ("sheet", "sheets/sheet")):
+                for k, (name, body) in enumerate(zip(of[kind]["id"], of[kind]["body"], strict=True)):
+                    bundle.writestr(f"{place}_{k}_{name}.json", body)
+        return pd.DataFrame({"bundle": [key[0]], "content": [out.getvalue()]})
+
+    return parts.groupBy("bundle").applyInPandas(build, "bundle string, content binary")
+
+
 def document_bytes(blocks: list[tuple[str, str, list[list[str]] | None]], runs: dict[int, list[dict]] | None = None) -> bytes:
     """A text document of (kind, text, cells): paragraphs, heading1 to heading3 and tables.
 
@@ -344,7 +383,7 @@ def rtf_bytes(paragraphs: list[str]) -> bytes:
 
 
 def document_files(blocks: DataFrame, kind: str = "docx", runs: DataFrame | None = None) -> DataFrame:
-    """A file per path: blocks (path, block, kind, text, cells) to bytes (path, content); kind is docx, rtf or txt. A docx may have runs (RUNS)."""
+    """A file per path: blocks (path, block, kind, text, cells) to bytes (path, content); kind is docx, rtf or txt. A docx may have runs (RUNS); a txt marks blocks of kind pagebreak."""
 
     def build(key: tuple, frame: pd.DataFrame, parts: pd.DataFrame | None = None) -> pd.DataFrame:
         frame = frame.sort_values("block")
@@ -357,7 +396,8 @@ def document_files(blocks: DataFrame, kind: str = "docx", runs: DataFrame | None
                 looks.setdefault(places[run["block"]], []).append({name: None if pd.isna(value) else value for name, value in run.items()})
             content = document_bytes(list(zip(frame["kind"], texts, tables, strict=True)), looks)
         else:
-            content = rtf_bytes(texts) if kind == "rtf" else "\n".join(texts).encode()
+            lines = [PAGE_BREAK_LINES if k == "pagebreak" else t for k, t in zip(frame["kind"], texts, strict=True)]
+            content = rtf_bytes(texts) if kind == "rtf" else "\n".join(lines).encode()
         return pd.DataFrame({"path": [key[0]], "content": [content]})
 
     out = "path string, content binary"

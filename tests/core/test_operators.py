@@ -140,6 +140,30 @@ def test_workbooks_keep_merges_and_formats(spark, tmp_path):
     assert list(office.workbook_styles(made.getvalue())) == [("A", 1, 1, "mm-dd-yy", True, True, False, "#00AA11")] and list(office.workbook_merges(made.getvalue())) == []
 
 
+def test_workbooks_keep_looks_and_what_formulas_gave(spark, tmp_path):
+    rows = [("b", "S", 1, 1, "total", None, None, None, True, False, "#00AA11"), ("b", "S", 1, 2, "5", 5.0, "=SUM(B2:B3)", "0.00", False, True, None), ("b", "S", 2, 2, "yes <no>", None, '=IF(1>0,"yes <no>")', None, None, None, None), ("b", "S", 3, 2, "3", 3.0, None, None, True, True, "#FF0000")]
+    frame = spark.createDataFrame(rows, "workbook string, sheet string, row int, col int, text string, num double, formula string, format string, bold boolean, italic boolean, color string")
+    (tmp_path / "b.xlsx").write_bytes(bytes(office.workbook_files(frame).first().content))
+    got = {(r.row, r.col): (r.text, r.num, r.formula) for r in office.read_workbooks(spark, str(tmp_path / "b.xlsx")).collect()}
+    assert got == {(1, 1): ("total", None, None), (1, 2): ("5.0", 5.0, "=SUM(B2:B3)"), (2, 2): ("yes <no>", None, '=IF(1>0,"yes <no>")'), (3, 2): ("3.0", 3.0, None)}
+    looks = {(r.row, r.col): (r.format, r.bold, r.italic, r.color) for r in office.read_styles(spark, str(tmp_path / "b.xlsx")).collect()}
+    assert looks == {(1, 1): ("General", True, False, "#00AA11"), (1, 2): ("0.00", False, True, None), (3, 2): ("General", True, True, "#FF0000")}
+
+
+def test_bundles_texts_and_sheets_round_trip(spark, tmp_path):
+    parts = spark.createDataFrame([("p", "sheet", "s1", '{"a": 1}'), ("p", "document", "d2", '{"t": "é"}'), ("p", "document", "d1", "[]")], "bundle string, kind string, id string, body string")
+    (tmp_path / "p.zip").write_bytes(bytes(office.bundle_files(parts).first().content))
+    got = {r.part: (r.kind, json.loads(r.body)) for r in office.read_bundles(spark, str(tmp_path / "p.zip")).collect()}
+    assert got.pop("manifest.json") == ("manifest", {"ManifestVersion": "1.0", "Name": "p", "DocCount": 2, "SheetCount": 1})
+    assert got == {"docs/doc_0_d1.json": ("document", []), "docs/doc_1_d2.json": ("document", {"t": "é"}), "sheets/sheet_0_s1.json": ("sheet", {"a": 1})}
+    blocks = spark.createDataFrame([("x", 0, "paragraph", "one", None), ("x", 1, "pagebreak", "", None), ("x", 2, "paragraph", "two", None)], "path string, block bigint, kind string, text string, cells array<array<string>>")
+    assert bytes(office.document_files(blocks, "txt").first().content).decode() == "one\n\n--- PAGE BREAK ---\n\ntwo"
+    sheet = cells(spark, {(1, 2): "é", (4, 1): 'a,"b'})
+    delimited.write_sheet(sheet, str(tmp_path / "out.csv"))
+    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "out.csv").glob("part-*")))
+    assert text == b'\xef\xbb\xbf' + ',é\n,\n,\n"a,""b",\n'.encode()
+
+
 def test_documents_keep_runs(spark, tmp_path):
     blocks = spark.createDataFrame([("x", 0, "heading1", "Title", None), ("x", 1, "paragraph", "ab", None), ("x", 2, "table", "", [["1"]])], "path string, block bigint, kind string, text string, cells array<array<string>>")
     runs = [("x", 1, 0, "a & ", True, False, False, "Arial", 14, "#FF0000"), ("x", 1, 1, "b", False, True, True, None, None, None)]
