@@ -1,6 +1,6 @@
 """Ordered license signature rules: hand-written regular expressions with a keyword each.
 
-Every rule has a label, a tier (0: a license tag or the words of a notice; 1: a grant "under the ..."; 2: a
+Every rule has a label, a tier (0: the words of a notice; 1: a grant "under the ..."; 2: a
 name alone), a pattern for text whose A-Z are lower case, and a keyword, the longest plain part that each of its
 matches contains. FAMILIES holds a line per license: label | SPDX ids | name patterns, separated by ;; and
 NOTICES the sentences of license texts: label | patterns. Patterns use no anchors, no captures and no look-around,
@@ -232,20 +232,32 @@ def keyword(pattern: str) -> str:
 
 def _rules() -> list[dict]:
     """The rules in order of priority within their tier."""
-    tags, grants, names, notices = [], [], [], []
+    grants, names, notices = [], [], []
     for line in FAMILIES.strip().splitlines():
-        label, ids, patterns = (x.strip() for x in line.split(" | ", 2))
-        for spdx in ids.split(";"):
-            escaped = spdx.replace(".", r"\.").replace("+", r"\+")
-            tags.append((label, 0, f"spdx-license-identifier: ?{escaped}"))
+        label, _, patterns = (x.strip() for x in line.split(" | ", 2))
         for pattern in patterns.split(";;"):
             grants.append((label, 1, GRANT + pattern))
             names.append((label, 2, pattern))
     for line in NOTICES.strip().splitlines():
         label, patterns = (x.strip() for x in line.split(" | ", 1))
         notices += [(label, 0, p) for p in patterns.split(";;")]
-    rules = tags + notices + grants + names
+    rules = notices + grants + names
     return [{"label": label, "tier": tier, "keyword": keyword(p.removeprefix(GRANT)), "pattern": p, "rank": k} for k, (label, tier, p) in enumerate(rules)]
 
 
 RULES = _rules()
+
+#: A license's identifier, and an expression of several: with "or", "and" and "with", in parentheses.
+IDENTIFIER = r"[a-z0-9]([a-z0-9.+-]*[a-z0-9+])?"
+_OPERAND = rf"(\( ?)*{IDENTIFIER}( ?\))*"
+#: Where expressions stand, with what comes before them and a string that every match contains: after a tag, and after words of a grant that names several.
+EXPRESSIONS = (
+    ("spdx-license-identifier:", rf"spdx-license-identifier: ?{_OPERAND}( (and|or|with) {_OPERAND})*", "spdx-license-identifier: ?"),
+    ("licen", rf"licen[cs]ed under (either )?(the )?{IDENTIFIER}( ?/ ?{IDENTIFIER}| (and|or) (the )?{IDENTIFIER})+", "licen[cs]ed under (either )?(the )?"),
+)
+
+
+def identifiers() -> dict[str, str]:
+    """The label of each identifier; the versions of a family have one each, so an identifier is matched whole or not at all."""
+    families = (line.split(" | ", 2) for line in FAMILIES.strip().splitlines())
+    return {spdx: label.strip() for label, ids, _ in families for spdx in ids.strip().split(";")}

@@ -2,7 +2,9 @@
 
 Base: places where the words of a phrase stand consecutively. The method: every rule of license_rules whose
 keyword occurs in the text is matched, on a copy in which white space and the comment marks of wrapped lines are
-one space (places are the copy's); a match must begin and end at word edges. Detections are ordered by
+one space (places are the copy's); a match must begin and end at word edges. License expressions (`Apache-2.0 OR MIT`, `(MIT AND BSD-3-Clause)`,
+`GPL-2.0-only WITH Classpath-exception-2.0`) after a tag, or after "licensed under", are cut into identifiers, each a detection of the best tier
+with its own place; only whole identifiers count, and unknown ones, exceptions among them, have no label. Detections are ordered by
 start, longest first; one whose interval lies within an earlier one's of the same or a better tier is
 suppressed (equal intervals: the better tier, then the earlier rule, wins). A list of strings first decides
 whether a text can hold any rule or phrase at all; only for those that pass is anything further computed.
@@ -21,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.license_rules import RULES
+from gridloom.llm.license_rules import EXPRESSIONS, IDENTIFIER, RULES, identifiers
 from gridloom.llm.shared import SPACES, let, text_of
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -82,6 +84,27 @@ def _matches(text: Column, rule: Column) -> Column:
     return let(F.split(text, rule["pattern"], -1), lambda between: let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda found: places(between, found)))
 
 
+def _identifiers(text: Column) -> Column:
+    """Detections of the identifiers in a text's license expressions."""
+    label_of = F.create_map(*(F.lit(x) for pair in identifiers().items() for x in pair))
+    rule = lambda pattern: F.struct(F.lit("").alias("label"), F.lit(0).alias("tier"), F.lit(pattern).alias("pattern"), F.lit(-1).alias("rank"))
+    one = rule(IDENTIFIER)
+    part = lambda t, hit: F.substring(t, hit["start"] + 1, -hit["back"] - hit["start"])
+
+    def within(expression: Column, lead: str) -> Column:
+        # what leads to the expression is cut off, so that its words are no identifiers
+        start, whole = expression["start"], part(text, expression)
+        ids = let(F.regexp_replace(whole, f"^{lead}", ""), lambda t: let(start + F.length(whole) - F.length(t), lambda at: F.transform(_matches(t, one), lambda hit: F.struct(
+            (at + hit["start"]).alias("start"), (hit["back"] - at).alias("back"), hit["tier"].alias("tier"), hit["rank"].alias("rank"), label_of[part(t, hit)].alias("label")))))
+        return F.filter(ids, lambda hit: hit["label"].isNotNull())
+
+    def of(keyword: str, pattern: str, lead: str) -> Column:
+        found = F.flatten(F.transform(_matches(text, rule(pattern)), lambda e: within(e, lead)))
+        return F.when(F.contains(text, F.lit(keyword)), found).otherwise(F.array().cast(f"array<{_HIT}>"))
+
+    return F.concat(*(of(*x) for x in EXPRESSIONS))
+
+
 def _kept(hits: Column) -> Column:
     """Detections that no other one of the same or a better tier contains."""
     n = len(CONFIDENCE)
@@ -123,7 +146,8 @@ def detections(docs: DataFrame) -> DataFrame:
     gated = docs.withColumn("n_words", n_words).withColumn("low_", F.when(gate, F.translate(text, _UPPER, _LOWER))).withColumn("flat_", _folded(F.col("low_")))
     words = F.regexp_extract_all(F.col("low_"), F.lit(WORD), F.lit(0))
     base = let(words, lambda w: F.array(*(F.struct(F.lit(label).alias("label"), _phrase_starts(w, phrase).alias("starts")) for phrase, label in PHRASES.items())))
-    found = let(F.col("flat_"), lambda t: _kept(F.flatten(F.transform(F.filter(rules, lambda r: F.contains(t, r["keyword"])), lambda r: _matches(t, r)))))
+    ruled = lambda t: F.flatten(F.transform(F.filter(rules, lambda r: F.contains(t, r["keyword"])), lambda r: _matches(t, r)))
+    found = let(F.col("flat_"), lambda t: _kept(F.concat(ruled(t), _identifiers(t))))
     return gated.withColumns({"base": F.when(F.col("low_").isNotNull(), base), "found": F.when(F.col("low_").isNotNull(), found)}).drop("low_", "flat_")
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_shards, toxicity
+from gridloom.llm import exact_dedup, license_rules, license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_shards, toxicity
 from gridloom.llm.components import connected_components
 from tests.llm import cases
 
@@ -112,6 +112,11 @@ def _license_labels(text: str) -> set[str]:
             plain = lambda k: low[k].isascii() and low[k].isalnum()
             if not (word(a - 1) and plain(a)) and not (word(b) and plain(b - 1)):
                 hits.append((a, -b, r["tier"], r["rank"], r["label"]))
+    labels, one = license_rules.identifiers(), re.compile(license_rules.IDENTIFIER)
+    for _, pattern, lead in license_rules.EXPRESSIONS:
+        for m in re.finditer(pattern, low):
+            after = m.start() + re.match(lead, m[0]).end()
+            hits += [(after + x.start(), -after - x.end(), 0, -1, labels[x[0]]) for x in one.finditer(low[after : m.end()]) if x[0] in labels]
     hits.sort()
     return {h[4] for k, h in enumerate(hits) if not any(g[0] <= h[0] and g[1] <= h[1] and g[2] <= h[2] for g in hits[:k])}
 
@@ -126,6 +131,19 @@ def test_license_labels(spark):
         assert set(filter(None, r.labels.split(","))) == want, dict(texts)[r.doc_id]
 
 
+def test_license_expressions(spark):
+    """Whole identifiers only, each with its label; operators, exceptions and unknown ones have none."""
+    texts = {
+        "SPDX-License-Identifier: Apache-2.0 OR MIT\nint main()": "apache-2,mit", "// SPDX-License-Identifier: (MIT AND BSD-3-Clause)": "bsd-3-clause,mit", "SPDX-License-Identifier: MIT-Modern-Variant": "",
+        "dual-licensed under MIT/Apache-2.0.": "apache-2,mit", "Licensed under either the MPL-2.0 or the GPL-3.0-or-later": "gpl-3,mpl-2", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "gpl-2",
+        "SPDX-License-Identifier: ((MIT OR ISC) AND Zlib)": "isc,mit,zlib", "SPDX-License-Identifier: LicenseRef-Own AND 0BSD": "0bsd", "SPDX-License-Identifier:GPL-2.0+": "gpl-2", "# SPDX-License-Identifier: MIT\n# and more words": "mit",
+        "SPDX-License-Identifier: NOASSERTION": "", "SPDX-License-Identifier: MIT OR unknown-1.0 OR Unlicense": "mit,unlicense",
+    }
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in license_scan.license_report(frame).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_license_texts_that_wrap(spark):
     """Line breaks, runs of spaces and comment marks within a notice hide nothing."""
     lines = {
