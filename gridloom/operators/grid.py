@@ -176,10 +176,10 @@ def _banded(rectangles: DataFrame) -> DataFrame:
 
 
 def _overlapped(rectangles: DataFrame, others: DataFrame, more: Column | None = None) -> DataFrame:
-    """Those of the rectangles that meet another (and for which `more`, of the aliases m and n, holds)."""
+    """Those of the rectangles that meet another (and for which `more`, of the aliases m and n, holds), some more than once."""
     on = (F.col("m.sheet") == F.col("n.sheet")) & (F.col("m.band") == F.col("n.band")) & overlaps("m", "n")
     met = _banded(rectangles).alias("m").join(_banded(others).alias("n"), on if more is None else on & more)
-    return met.select(*(F.col(f"m.{c}") for c in RECT)).distinct()
+    return met.select(*(F.col(f"m.{c}") for c in RECT))
 
 
 def merge_cells(merges: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:

@@ -7,12 +7,15 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: What this process has written to the shared folder and not deleted.
-_WRITTEN: list[str] = []
+#: What has been written to the shared folder and not deleted: by this process, or by the run of `run_tables` that is going on.
+_WRITTEN: ContextVar[list[str]] = ContextVar("written", default=[])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,21 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _WRITTEN.get().append(path)
     return path
 
 
+@contextmanager
+def run_tables() -> Iterator[None]:
+    """Within it, `written` and `discard` know of this run's tables only, so runs side by side in threads don't delete each other's."""
+    before = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        left = _WRITTEN.get()
+        _WRITTEN.reset(before)
+        _WRITTEN.get().extend(left)
+
+
 def written() -> int:
     """How many tables have been written so far: a mark for `discard`."""
-    return len(_WRITTEN)
+    return len(_WRITTEN.get())
 
 
 def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Delete what was written since a mark, but for the last `keep`. Only when no DataFrame that reads them is still needed."""
-    for path in _WRITTEN[since : len(_WRITTEN) - keep]:
+    tables = _WRITTEN.get()
+    for path in tables[since : len(tables) - keep]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _WRITTEN.remove(path)
+        tables.remove(path)
 
 
 def publish(df: DataFrame, name: str = "round", parts: int | None = None) -> DataFrame:
