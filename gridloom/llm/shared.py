@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.rounds import discard, new_path, publish, written
+from gridloom.operators.rounds import discard, new_path, publish, run_tables, written
 
-__all__ = ["SPACES", "discard", "documents", "let", "new_path", "publish", "text_of", "with_text", "written"]
+__all__ = ["SPACES", "discard", "documents", "let", "new_path", "publish", "run_tables", "text_of", "with_text", "written"]
 
 #: ASCII white space, as the contracts of the operators name it.
 SPACES = r"[\x20\x09-\x0D]+"
