@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Nulls, empties and the like in a stage: a null or blank text has no words, so the quality rules reject it and later stages, given one, keep it
+as it is (near copies of each other; size 0 in the mix; the end id alone in packing). A null doc_id, source or other column is kept;
+null is a source of its own. Rows that repeat doc_id and text share one outcome: all stay or go together in the first two stages, one
+of them stays in the third, and each counts for itself after it. Texts of any length are whole throughout. Other columns, whatever their
+names, pass through all stages but the last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from gridloom.llm.shared import discard, documents, publish, written
+from gridloom.llm.shared import discard, documents, publish, run_tables
 
 #: Near copies: texts whose sets of five-word shingles have at least this Jaccard similarity.
 SHINGLE = 5
@@ -57,8 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, mark = documents(spark, sf_dir), written()
-    for name, stage in STAGES:
-        docs = publish(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        discard(spark, mark, keep=1)  # a stage's own rounds and its input are used up
+    docs = documents(spark, sf_dir)
+    with run_tables():
+        for name, stage in STAGES:
+            docs = publish(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            discard(spark, keep=1)  # a stage's own rounds and its input are used up
     return docs
