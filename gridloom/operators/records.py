@@ -70,12 +70,33 @@ def next_state(state: Column, event: Column) -> Column:
     return out.otherwise(state)
 
 
-def queue_states(events: DataFrame, key: str, at: str, event: str) -> DataFrame:
-    """The state and number of retries of each key after all its events, in time order; a key's own events meet in one row."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(at, event))), lambda s: s[event])
-    first = F.struct(F.lit("LocalOnly").alias("state"), F.lit(0).alias("retries"))
+#: Events of a key that meet in one row.
+_EVENTS_AT_ONCE = 10_000
+
+
+def queue_states(events: DataFrame, key: str, at: str, event: str, at_once: int = _EVENTS_AT_ONCE) -> DataFrame:
+    """The state and number of retries of each key after all its events, in time order (of one time, by name).
+
+    A key's events meet in one row if they are few. Those of a key with more are cut into runs: what a run makes of each state is a table of
+    as many entries as there are states, and such tables follow each other like the events themselves, so no row holds more than `at_once` events or runs.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(event).alias("event")))), lambda s: s["event"])
+    first = F.struct(F.lit(STATES[0]).alias("state"), F.lit(0).alias("retries"))
     step = lambda acc, e: F.struct(next_state(acc["state"], e).alias("state"), (acc["retries"] + (e == "retry").cast("int")).alias("retries"))
-    return events.groupBy(key).agg(F.aggregate(ordered, first, step).alias("s")).select(key, "s.state", "s.retries")
+    hot = publish(events.groupBy(F.col(key).alias("key_")).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > at_once).select("key_"), "hot-keys")
+    if hot.isEmpty():
+        return events.groupBy(key).agg(F.aggregate(ordered, first, step).alias("s")).select(key, "s.state", "s.retries")
+    is_hot = F.col(key).eqNullSafe(F.col("key_"))
+    few = events.join(hot, is_hot, "left_anti").groupBy(key).agg(F.aggregate(ordered, first, step).alias("s")).select(key, "s.state", "s.retries")
+    placed = numbered(events.join(hot, is_hot, "left_semi").select(key, at, event), [key], [at, event], "n_").withColumn("run_", F.floor((F.col("n_") - 1) / at_once))
+    every = F.array(*map(F.lit, STATES))
+    start = F.struct(every.alias("states"), F.lit(0).alias("retries"))
+    run = lambda acc, e: F.struct(F.transform(acc["states"], lambda s: next_state(s, e)).alias("states"), (acc["retries"] + (e == "retry").cast("int")).alias("retries"))
+    runs = placed.groupBy(key, "run_").agg(F.aggregate(ordered, start, run).alias("made_"))
+    in_turn = F.transform(F.array_sort(F.collect_list(F.struct("run_", "made_"))), lambda x: x["made_"])
+    after = lambda acc, made: F.struct(made["states"][F.array_position(every, acc["state"]).cast("int") - 1].alias("state"), (acc["retries"] + made["retries"]).alias("retries"))
+    many = runs.groupBy(key).agg(F.aggregate(in_turn, first, after).alias("s")).select(key, "s.state", "s.retries")
+    return few.unionByName(many)
 
 
 def timed_states(events: DataFrame, key: str, at: str, event: str, now: Column, stuck: int, idle: int) -> DataFrame:

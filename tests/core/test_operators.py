@@ -249,6 +249,16 @@ def test_layers_keep_an_undo_stack(spark):
         assert got == want
 
 
+def test_queue_states_of_hot_keys(spark):
+    """Keys with more events than a row holds are cut into runs; some, a null one among them, just reach the bound."""
+    rng = random.Random(7)
+    actions = ["enqueue", "start", "fail", "retry", "auth", "shared", "private", "missing", "cancel"]
+    rows = [(key, t // 2, rng.choice(actions)) for key, n in (("hot", 400), (None, 90), ("even", 50), ("few", 7)) for t in range(n)]
+    frame = spark.createDataFrame(rows, "id string, at int, action string").repartition(3)
+    of = lambda at_once: {r.id: (r.state, r.retries) for r in records.queue_states(frame, "id", "at", "action", at_once).collect()}
+    assert of(50) == of(3) == of(10_000) and len(of(50)) == 4
+
+
 def test_queue_states_are_the_same_in_a_batch_and_on_a_stream(spark, tmp_path):
     events = ["enqueue", "start", "fail", "retry", "start", "auth", "shared", "retry", "start", "private", "missing", "cancel"]
     day = datetime.datetime(2026, 10, 5, 8)
