@@ -6,7 +6,7 @@ language (null first), form one more tree, whose root stands for the table.
 
 Leaves are numbered by a range sort and dealt to aligned blocks of BLOCK leaves, so any language, however large, is many
 blocks. A block's own levels are climbed in one task. The levels above it, of which there is a row per BLOCK leaves and
-fewer, are grouped sums of Spark, level by level, and give every block its upper proof. Then each block is traversed once more,
+fewer, are grouped aggregates of Spark, level by level, and give every block its upper proof. Then each block is traversed once more,
 leaf by leaf, by `Fractal`: its tree is cut into bands of subtrees BAND levels high; each band keeps the subtree that
 holds the current leaf (existing) and builds the one to its right (desired) a leaf at a time, so that it is complete when the
 traversal gets there. Digests in memory are two subtrees a band, besides the block's leaves.
@@ -19,6 +19,7 @@ have equal leaves, so which is which doesn't matter); an empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import pyarrow as pa
@@ -256,31 +257,34 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, int
 def _upper(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """nodes: keys, at, digest. (their proofs: keys, at, root, path; the roots: keys, root).
 
-    Level by level, eight nodes make one, as long as a tree has several; a level is a grouped aggregate over rows that get
+    Level by level, eight nodes make one, in trees that are higher still; a level is a grouped aggregate over rows that get
     fewer by eight. path holds a run (nodes, place) for each level, from the bottom up.
     """
-    levels = [publish(nodes, "nodes")]
-    runs = []
-    while True:
-        below = levels[-1]
-        counts = publish(below.groupBy(*keys).agg(F.max("at").alias("last")), "last")
-        if counts.where("last > 0").isEmpty():
-            break
+    nodes = publish(nodes, "nodes")
+    sizes = publish(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    most, levels = sizes.agg(F.max("n")).first()[0] or 0, 0
+    while ARITY**levels < most:
+        levels += 1
+    height = F.lit(levels)
+    for level in reversed(range(levels)):
+        height = F.when(F.col("n") <= ARITY**level, F.lit(level)).otherwise(height)
+    below = _on(nodes, sizes.select(*keys, height.alias("height")), keys)
+    roots, runs = [below.where("height = 0")], []
+    for level in range(levels):
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])
-        open_ = _on(below, counts.where("last > 0"), keys)
-        run = publish(open_.groupBy(*keys, F.floor(F.col("at") / ARITY).alias("above")).agg(ordered.alias("run")), "runs")
-        runs.append(run)
-        done = _on(below, counts.where("last = 0"), keys).select(*keys, "at", "digest")
-        levels.append(publish(run.select(*keys, F.col("above").alias("at"), F.sha2(F.array_join("run", ""), 256).alias("digest")).unionByName(done), "nodes"))
-    roots = levels[-1].select(*keys, F.col("digest").alias("root"))
+        grouped = below.where(F.col("height") > level).groupBy(*keys, "height", F.floor(F.col("at") / ARITY).alias("above"))
+        runs.append(publish(grouped.agg(ordered.alias("run")), "runs"))
+        below = runs[-1].select(*keys, "height", F.col("above").alias("at"), F.sha2(F.array_join("run", ""), 256).alias("digest"))
+        roots.append(below.where(F.col("height") == level + 1))
     none = F.array().cast("array<struct<run:array<string>,place:int>>")
-    proofs = levels[0].select(*keys, "at", F.col("at").alias("above"), none.alias("path"))
+    proofs = nodes.select(*keys, "at", F.col("at").alias("above"), none.alias("path"))
     for run in runs:
         proofs = proofs.withColumns({"place": (F.col("above") % ARITY).cast("int"), "above": F.floor(F.col("above") / ARITY)})
-        proofs = _on(proofs, run, [*keys, "above"], "left")
+        proofs = _on(proofs, run.drop("height"), [*keys, "above"], "left")
         step = F.when(F.col("run").isNull(), F.col("path")).otherwise(F.array_append("path", F.struct("run", "place")))
         proofs = proofs.withColumn("path", step).drop("run", "place")
-    return publish(_on(proofs.drop("above"), roots, keys), "proofs"), publish(roots, "roots")
+    found = publish(reduce(DataFrame.unionByName, (r.select(*keys, F.col("digest").alias("root")) for r in roots)), "roots")
+    return publish(_on(proofs.drop("above"), found, keys), "proofs"), found
 
 
 def proved(docs: DataFrame, tampered: Column | None = None, paths: bool = True) -> DataFrame:
