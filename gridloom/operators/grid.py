@@ -18,16 +18,16 @@ CELLS = ["sheet", "row", "col", "text", "num"]
 
 
 def col_letters(col: Column) -> Column:
-    """1 is A, 27 is AA, 18279 is AAAA; up to seven letters."""
-    left, letters = col.cast("bigint"), []
-    for _ in range(7):
+    """1 is A, 27 is AA, 18279 is AAAA; every bigint, with 14 letters at most."""
+    left, letters = F.greatest(col.cast("bigint"), F.lit(0).cast("bigint")), []
+    for _ in range(14):
         letters.append(F.when(left > 0, F.chr(F.lit(65) + F.pmod(left - 1, F.lit(26)).cast("int"))).otherwise(""))
-        left = F.floor((left - 1) / 26)
+        left = F.call_function("div", left - 1, F.lit(26))  # whole numbers: as doubles, those beyond 2^53 would lose digits
     return F.concat(*reversed(letters))
 
 
 def col_number(letters: Column) -> Column:
-    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda n, c: F.when(c == "", n).otherwise(n * 26 + F.ascii(c) - 64))
+    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0).cast("bigint"), lambda n, c: F.when(c == "", n).otherwise(n * 26 + (F.ascii(c) - 64)))
 
 
 def address(row: Column, col: Column) -> Column:

@@ -342,6 +342,18 @@ def test_set_values_and_letters(spark):
     assert [r.x for r in got] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA", "FXSHRXW"]
 
 
+def test_letters_of_every_number(spark):
+    numbers = [0, -5, 2**31, 8_353_082_582, 8_353_082_583, 9_080_998_991, 2**53 + 1, 2**63 - 1]
+    frame = spark.createDataFrame([(n,) for n in numbers], "n bigint").withColumn("x", grid.col_letters(F.col("n")))
+    got = {r.n: (r.x, r.back) for r in frame.withColumn("back", grid.col_number(F.col("x"))).collect()}
+    for n in numbers:
+        left, want = n, ""
+        while left > 0:
+            left, k = divmod(left - 1, 26)
+            want = chr(65 + k) + want
+        assert got[n] == (want, max(n, 0))
+
+
 def test_numbers_of_a_hot_key(spark):
     from gridloom.operators.rounds import numbered
 
