@@ -56,6 +56,15 @@ def test_text_and_dates(spark):
         assert one(spark, column) == want
 
 
+def test_whole_zero_has_no_sign(spark):
+    for number, code, want in [
+        (-0.3, "integer", "0"), (-0.5, "integer", "0"), (-0.51, "integer", "-1"), (-0.0, "integer", "0"), (-0.3, "currency", "0 ₫"), (-0.0, "thousands", "0"), (-0.004, "thousands", "0"),
+        (-0.04, "thousands", "-0,04"), (-0.3, "decimal2", "-0,30"), (-1000.2, "integer", "-1.000"),
+    ]:
+        assert one(spark, coerce.number_format(F.lit(number), code)) == want
+    assert one(spark, coerce.number_format(F.lit(None).cast("double"), "integer")) is None
+
+
 def test_logic(spark, goods):
     q = F.col("qty")
     at = lambda row, c: goods.where(F.col("row") == row).select(c.alias("x")).first().x
