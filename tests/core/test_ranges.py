@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,40 @@ def test_blocks_above(spark):
     assert above == {(4, 1): 3.0, (7, 1): 6.0, (9, 1): 8.0, (12, 1): 8.0, (6, 1): 5.0, (3, 2): 4.0}
 
 
+def test_all_above(spark):
+    """Against plain loops; and rows that meet grow with the numbers, not with numbers times targets."""
+    rng = random.Random(6)
+    places = {(rng.choice("ST"), rng.randrange(1, 300), rng.randrange(1, 4)): rng.randrange(-50, 50) for _ in range(900)}
+    cells = spark.createDataFrame([(s, r, c, str(v), None if v % 9 == 0 else float(v)) for (s, r, c), v in places.items()], CELLS).repartition(5)
+    asked = {(rng.choice("STU"), rng.randrange(1, 320), rng.randrange(1, 6)) for _ in range(300)}
+    targets = spark.createDataFrame([*asked, *list(asked)[:9]], "sheet string, row int, col int")
+    plain = {A.SUM: sum, A.AVERAGE: lambda x: sum(x) / len(x), A.COUNT: len, A.MIN: min, A.MAX: max, A.MEDIAN: statistics.median}
+    for function, want in plain.items():
+        rows = X.aggregate_above(cells, targets, function)
+        assert rows.dtypes == [("sheet", "string"), ("row", "int"), ("col", "int"), ("value", "double")] or function is A.MEDIAN
+        got = {(r.sheet, r.row, r.col): r.value for r in rows.collect()}
+        assert set(got) == {p for p in asked if p[1] > 1} and rows.count() == len(got)
+        for (s, row, col), value in got.items():
+            above = [float(v) for (t, r, c), v in places.items() if (t, c) == (s, col) and r < row and v % 9]
+            assert value == pytest.approx(want(above) if above else 0.0, abs=1e-9)
+
+
+def _most_rows(node):
+    """The most rows that a node of a plan that has run put out."""
+    kind, made, children = node.getClass().getSimpleName(), node.metrics().get("numOutputRows"), node.children()
+    below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if "QueryStage" in kind else [children.apply(k) for k in range(children.size())]
+    return max([made.get().value() if made.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_all_above_reads_a_number_once(spark):
+    key = F.col("id")
+    cells = spark.range(1, 4001).select(F.lit("S").alias("sheet"), key.alias("row"), F.lit(1).alias("col"), key.cast("string").alias("text"), key.cast("double").alias("num"))
+    above = X.aggregate_above(cells, cells.where("row % 2 = 0").select("sheet", "row", "col"), A.SUM)
+    rows = above.collect()
+    assert len(rows) == 2000 and all(r.value == r.row * (r.row - 1) / 2 for r in rows)
+    assert _most_rows(above._jdf.queryExecution().executedPlan()) <= 6000  # numbers and targets, not pairs of them
+
+
 def test_history_of_a_sheet(spark, tmp_path):
     """Against lists of snapshots, with a short limit."""
     rng = random.Random(8)
