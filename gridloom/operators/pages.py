@@ -261,13 +261,22 @@ def find_next(blocks: DataFrame, term: str, caret_block: int, caret_offset: int,
     return found.groupBy("doc_id").agg(F.min("f").alias("f")).select("doc_id", "f.block_no", (F.col("f.at") - 1).alias("offset"))
 
 
-def plain_text(runs: DataFrame, page_break: str = "--- PAGE BREAK ---") -> DataFrame:
-    """runs (doc_id, block_no, run_no, kind, text): a document's blocks as lines, each its runs' texts; kind PageBreak shows the mark."""
+def gather_runs(runs: DataFrame) -> DataFrame:
+    """runs (doc_id, block_no, run_no, kind, text) as blocks: doc_id, block_no, kind, runs (an array of texts, in order). Each run is shuffled."""
     ordered = F.array_sort(F.collect_list(F.struct("run_no", F.coalesce("text", F.lit("")).alias("text"))))
-    lines = runs.groupBy("doc_id", "block_no").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "").alias("line"), F.max("kind").alias("kind"))
-    line = F.when(F.col("kind") == "PageBreak", F.lit(f"\n{page_break}\n\n")).otherwise(F.concat("line", F.lit("\n")))
-    blocks = F.array_sort(F.collect_list(F.struct("block_no", line.alias("line"))))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(blocks, lambda b: b["line"]), "").alias("text"))
+    return runs.groupBy("doc_id", "block_no").agg(F.max("kind").alias("kind"), F.transform(ordered, lambda r: r["text"]).alias("runs"))
+
+
+def plain_text(blocks: DataFrame, page_break: str = "--- PAGE BREAK ---") -> DataFrame:
+    """blocks (doc_id, block_no, kind, runs: an array of texts): a document's blocks as lines, each its runs' texts; kind PageBreak shows the mark.
+
+    What is shuffled is a row per block, its line. A table with a row per run (run_no and text in place of runs) is gathered into blocks first.
+    """
+    if "run_no" in blocks.columns:
+        blocks = gather_runs(blocks)
+    line = F.when(F.col("kind") == "PageBreak", F.lit(f"\n{page_break}\n\n")).otherwise(F.concat(F.coalesce(F.array_join("runs", ""), F.lit("")), F.lit("\n")))
+    ordered = F.array_sort(F.collect_list(F.struct("block_no", "line")))
+    return blocks.select("doc_id", "block_no", line.alias("line")).groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda b: b["line"]), "").alias("text"))
 
 
 class Font:

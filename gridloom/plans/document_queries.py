@@ -33,8 +33,8 @@ def page_find_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "line"))
-    runs = lines.select("doc_id", "block_no", F.posexplode(F.split("line", " ")).alias("run_no", "text"), F.when(F.col("block_no") % 5 == 4, "PageBreak").otherwise("Paragraph").alias("kind"))
-    return P.plain_text(runs).select("doc_id", F.md5("text").alias("md5"))
+    blocks = lines.select("doc_id", "block_no", F.when(F.col("block_no") % 5 == 4, "PageBreak").otherwise("Paragraph").alias("kind"), F.split("line", " ").alias("runs"))
+    return P.plain_text(blocks).select("doc_id", F.md5("text").alias("md5"))
 
 
 def page_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from gridloom.functions import aggregates as A
 from gridloom.operators import pages, records
 from gridloom.operators import rectangles as X
 from gridloom.operators.versions import CellHistory
+from gridloom.plans import document_queries
 from gridloom.sources import logs
 
 CELLS = "sheet string, row bigint, col int, text string, num double"
@@ -93,6 +94,32 @@ def test_all_above_reads_a_number_once(spark):
     assert _most_rows(above._jdf.queryExecution().executedPlan()) <= 6000  # numbers and targets, not pairs of them
 
 
+def test_plain_text_of_runs_and_blocks(spark):
+    """A table of runs in any order, nulls among them, against a plain loop, and the same from blocks that carry their runs."""
+    rng = random.Random(9)
+    runs = [(d, b, r, rng.choice(["", "a", "ß c", None, "\n"]), "PageBreak" if (d + b) % 4 == 3 else None if b == 1 else "Paragraph") for d in range(6) for b in (0, 1, 2, 11) for r in range(rng.randrange(1, 5))]
+    rng.shuffle(runs)
+    frame = spark.createDataFrame(runs, "doc_id int, block_no int, run_no int, text string, kind string").repartition(3)
+    want, blocks = {}, {}
+    for d, b, _, text, kind in sorted(runs, key=lambda x: x[:3]):
+        blocks.setdefault((d, b), (kind, []))[1].append(text)
+    for (d, _), (kind, texts) in blocks.items():
+        want[d] = want.get(d, "") + ("\n--- PAGE BREAK ---\n\n" if kind == "PageBreak" else "".join(t or "" for t in texts) + "\n")
+    assert {r.doc_id: r.text for r in pages.plain_text(frame).collect()} == want
+    nested = spark.createDataFrame([(d, b, kind, texts) for (d, b), (kind, texts) in blocks.items()], "doc_id int, block_no int, kind string, runs array<string>")
+    assert {r.doc_id: r.text for r in pages.plain_text(nested).collect()} == want
+    empty = nested.limit(1).select(F.lit(1).alias("doc_id"), F.lit(0).alias("block_no"), F.lit("Paragraph").alias("kind"), F.lit(None).cast("array<string>").alias("runs"))
+    assert [r.text for r in pages.plain_text(empty).collect()] == ["\n"]
+
+
+def test_plain_text_makes_a_row_per_block(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = docs.select(F.sum(F.size(F.split("text", "\n")))).first()[0]
+    shown = document_queries.page_plain_text(spark, "/root/testdata/sf0.001")
+    assert len(shown.collect()) == docs.where("text is not null").count()
+    assert _most_rows(shown._jdf.queryExecution().executedPlan()) <= lines  # and not one per run
+
+
 def test_history_of_a_sheet(spark, tmp_path):
     """Against lists of snapshots, with a short limit."""
     rng = random.Random(8)
